@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lodestone.llm.packing import op10_best_fit_packing
+from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op6_line_dedup": op6_line_dedup,
+    "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
