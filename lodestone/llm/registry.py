@@ -5,12 +5,14 @@ from __future__ import annotations
 from lodestone.llm.decontamination import OP1_SQL, op1_decontamination
 from lodestone.llm.language_id import op5_language_id
 from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
+from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
 from lodestone.llm.packing import op10_best_fit_packing
 from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
