@@ -8,11 +8,13 @@ from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
 from lodestone.llm.packing import op10_best_fit_packing
 from lodestone.llm.simhash import op7_simhash
+from lodestone.llm.suffix_tree_lm import op3_suffix_tree_lm
 from lodestone.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
