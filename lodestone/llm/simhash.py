@@ -83,3 +83,12 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """The whole documents table."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each component: that of its smallest id, and one of the rows that repeat this id."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    same = F.coalesce(F.col(id_col), F.lit(NULL_ID)) == F.coalesce("component_id", F.lit(NULL_ID))
+    first = written(found.filter(same).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")), "kept")
+    kept = docs.alias("d").join(first.alias("k"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
+    return kept if first.filter("__n > 1").isEmpty() else kept.dropDuplicates([id_col])
