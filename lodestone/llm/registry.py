@@ -7,6 +7,7 @@ from lodestone.llm.language_id import op5_language_id
 from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
 from lodestone.llm.packing import op10_best_fit_packing
+from lodestone.llm.repeats import op9_repeats
 from lodestone.llm.sanitisation import op4_sanitisation
 from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.suffix_tree_lm import op3_suffix_tree_lm
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op9_repeats": op9_repeats,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
