@@ -108,17 +108,18 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst, last = compiled(definition.value), end_id.to_bytes(4, "little")
+        turn = 0
         for batch in batches:
             owner, rows = [], []
             for k, ids in enumerate(fst.encoded(batch.column(1).to_pylist())):
-                data = b"".join(ids) + last
+                data = ids.tobytes() + last
                 n = len(data) // 4
                 head = n % capacity or capacity
                 cuts = [0, *range(head, n, capacity), n]
                 for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    crc = zlib.crc32(data[4 * a : 4 * b])
                     owner.append(k)
-                    rows.append((p, a, b - a, crc, (crc * 2654435761 + b) % buckets))
+                    rows.append((p, a, b - a, zlib.crc32(data[4 * a : 4 * b]), turn % buckets))
+                    turn += 1
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)

@@ -16,10 +16,12 @@ bound; a transition into a new pre-token adds the emitted count of the last.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import regex
+from tiktoken._tiktoken import CoreBPE
 from tokenizers import Tokenizer
 
 # Classes of code points. The letters of the contractions 's 't 'm 'd 're 've 'll are apart.
@@ -30,6 +32,7 @@ N_CLASSES = N_STATES = 12
 #: Marks on transitions.
 HERE, BEFORE = 1, 2
 CHUNK = 128
+FORGET = 16
 
 
 def _transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +89,29 @@ def code_point_classes() -> np.ndarray:
 
 
 def chunk_maps(classes: np.ndarray) -> np.ndarray:
-    """For each chunk (row) the state that it leads to from each state."""
-    state = np.repeat(np.arange(N_STATES, dtype=np.uint8)[:, None], len(classes), axis=1)
-    for t in range(classes.shape[1]):
-        state = NEXT[state * np.uint8(N_CLASSES) + classes[:, t]]
-    return np.ascontiguousarray(state.T)
+    """For each chunk (row) the state that it leads to from each state.
+
+    Most chunks forget the state they began in within a few code points; from
+    there on they run once instead of from every state.
+    """
+    columns = np.ascontiguousarray(classes.T)
+    state = np.repeat(np.arange(N_STATES, dtype=np.uint8)[:, None], columns.shape[1], axis=1)
+    lanes = np.arange(columns.shape[1])
+    out = np.empty_like(state)
+    for a in range(0, CHUNK, FORGET):
+        for t in range(a, min(a + FORGET, CHUNK)):
+            state = NEXT[state * np.uint8(N_CLASSES) + columns[t, lanes]]
+        open_ = (state != state[0]).any(axis=0)
+        done = ~open_
+        one, rest = state[0, done], lanes[done]
+        for t in range(min(a + FORGET, CHUNK), CHUNK):
+            one = NEXT[one * np.uint8(N_CLASSES) + columns[t, rest]]
+        out[:, rest] = one
+        lanes, state = lanes[open_], state[:, open_]
+        if not len(lanes):
+            break
+    out[:, lanes] = state
+    return np.ascontiguousarray(out.T)
 
 
 def scan(maps: np.ndarray) -> np.ndarray:
@@ -123,6 +144,21 @@ def marks(classes: np.ndarray) -> np.ndarray:
     return begins
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in the file: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def _valid(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class CompiledTokenizer:
     """Counts or ids of whole texts, as the tokenizer file's library gives them without added tokens."""
 
@@ -140,6 +176,16 @@ class CompiledTokenizer:
         self.library.no_padding()
         self.added = {x["content"]: x["id"] for x in added}
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
+        to_byte = byte_letters()
+        tokens = {x: k for x, k in spec["model"]["vocab"].items() if x not in self.added}
+        ranks = {bytes(map(to_byte.__getitem__, x)): k for x, k in tokens.items()}
+        merged = ("".join(x) if isinstance(x, list) else x.replace(" ", "") for x in spec["model"]["merges"])
+        order = [tokens[x] for x in merged]
+        # Merging the pair of least id is the file's merging only if ids follow its merges.
+        self.core = CoreBPE(ranks, {}, ".") if order == sorted(order) and len(ranks) == len(tokens) else None
+        # Tokens that the file's merges never make: paths through them are left to the library.
+        whole = [(x.decode(), k) for x, k in ranks.items() if len(x) > 1 and _valid(x)]
+        self.unmade = {k for (_, k), y in zip(whole, self.library.encode_batch_fast([x for x, _ in whole], add_special_tokens=False), strict=True) if y.ids != [k]}
         self.paths: dict[str, bytes] = {}
         self.most_paths = most_paths
 
@@ -153,6 +199,15 @@ class CompiledTokenizer:
         if len(paths) + len(new) > self.most_paths:
             paths.clear()
             new = set(tokens)
+        if self.core is not None:
+            hard = []
+            for x in new:
+                ids = self.core.encode_single_piece(x.encode())
+                if self.unmade.isdisjoint(ids):
+                    paths[x] = array("I", ids).tobytes()
+                else:
+                    hard.append(x)
+            new = hard
         new = list(new)
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
@@ -160,51 +215,98 @@ class CompiledTokenizer:
                 paths[x] = np.array(y.ids, dtype="<u4").tobytes()
         return list(map(paths.__getitem__, tokens))
 
-    def encoded(self, texts: Iterable[str | None], most_chars: int = 500_000) -> Iterator[list[bytes]]:
-        """For each text its pre-tokens' ids; special strings count as their own."""
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= most_chars:
-                yield from self._group(group)
-                group, size = [], 0
-        if group:
-            yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[list[bytes]]:
+    def encoded(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[np.ndarray]:
+        """The ids of each text; special strings count as their own."""
+        for group in _groups(texts, most_chars):
+            yield from self._run(group, True)
+
+    def counted(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[int]:
+        """The number of ids of each text."""
+        for group in _groups(texts, most_chars):
+            yield from self._run(group, False)
+
+    def _run(self, texts: list[str], want_ids: bool) -> Iterator[np.ndarray] | list[int]:
         pieces: list[str] = []
-        layout: list[list[int | bytes]] = []  # for each text: numbers of pieces, and ids of special strings
+        after: list[int] = []  # the special id that follows a piece, or -1
+        last: list[int] = []  # the last piece of each text
         for text in texts:
-            own: list[int | bytes] = []
             at = 0
             if self.special is not None:
                 for m in self.special.finditer(text):
-                    own += [len(pieces), int(self.added[m[0]]).to_bytes(4, "little")]
                     pieces.append(text[at : m.start()])
+                    after.append(self.added[m[0]])
                     at = m.end()
-            own.append(len(pieces))
             pieces.append(text[at:] if at else text)
-            layout.append(own)
+            after.append(-1)
+            last.append(len(pieces) - 1)
         stream = "\0".join(pieces) + "\0"
         ends = np.cumsum([len(x) + 1 for x in pieces]) - 1
-        classes = code_point_classes()[np.frombuffer(stream.encode("utf-32-le"), dtype="<u4")]
+        points = np.frombuffer(stream.encode("utf-32-le"), dtype="<u4")
+        classes = code_point_classes()[points]
         classes[ends] = END
         starts = np.flatnonzero(marks(classes))
-        bounds = np.append(starts, len(stream)).tolist()
-        tokens = list(map(stream.__getitem__, map(slice, bounds, bounds[1:])))
-        ids = self.emitted(tokens)
-        cut = np.searchsorted(starts, ends).tolist()  # the end mark of each piece among the tokens
-        first = [0, *(x + 1 for x in cut)]
-        for own in layout:
-            out: list[bytes] = []
-            for x in own:
-                if isinstance(x, bytes):
-                    out.append(x)
-                else:
-                    out += ids[first[x] : cut[x]]
-            yield out
+        kinds, kind = same_strings(points, starts)
+        stops = np.append(starts[1:], len(points))
+        ids = self.emitted([stream[a:b] for a, b in zip(starts[kinds].tolist(), stops[kinds].tolist(), strict=True)])
+        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        marked = np.searchsorted(starts, ends)  # end marks among the pre-tokens emit the special id, if one follows
+        special = np.array(after, dtype=np.int64)
+        emitted = sizes[kind]
+        emitted[marked] = special >= 0
+        total = np.cumsum(emitted)
+        bounds = total[marked[last]]
+        if not want_ids:
+            return np.diff(bounds, prepend=0).tolist()
+        source = np.concatenate([np.frombuffer(b"".join(ids), dtype="<u4"), special[special >= 0].astype("<u4")])
+        place = (np.cumsum(sizes) - sizes)[kind]
+        place[marked[special >= 0]] = sizes.sum() + np.arange(np.count_nonzero(special >= 0))
+        flat = source[np.repeat(place - (total - emitted), emitted) + np.arange(total[-1])]
+        return iter(np.split(flat, bounds[:-1]))
+
+
+def _groups(texts: Iterable[str | None], most_chars: int) -> Iterator[list[str]]:
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= most_chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers modulo 2^64 of an odd number and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        size = 1 << max(20, (n - 1).bit_length())
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, dtype=np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def same_strings(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group the substrings that begin at starts: one substring's number for each group, and each one's group.
+
+    Equal polynomial hashes are compared code point by code point; should two
+    different substrings share one, all are told apart by themselves.
+    """
+    up, down = _power_tables(len(points))
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    stops = np.append(starts[1:], len(points))
+    lengths = stops - starts
+    hashes = (sums[stops] - sums[starts]) * down[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    twin = first[group]
+    shift = np.repeat(starts[twin] - starts, np.minimum(lengths, lengths[twin])) if (lengths == lengths[twin]).all() else None
+    if shift is None or not np.array_equal(points[np.arange(len(points)) + shift], points):
+        return np.arange(len(starts)), np.arange(len(starts))
+    return first, group
 
 
 _compiled: dict[int, CompiledTokenizer] = {}
