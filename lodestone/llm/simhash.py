@@ -10,8 +10,8 @@ one fingerprint are one vertex, so copies are never expanded into pairs.
 Cases: null, empty and blank texts have no words and fingerprint zero, and are
 linked like any other; a null id counts as larger than all others and is
 returned as null, as is a component of null ids alone; rows that repeat an id
-are linked to each other only if their fingerprints are, or through that id; an
-empty table gives an empty result; other columns are ignored.
+are linked to each other only if their fingerprints are; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,39 +44,46 @@ def simhash(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, fp) for each row; a null id becomes NULL_ID."""
+    """(doc, version, fp) for each row; a null id becomes NULL_ID, version is a hash of the text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [simhash(x, width) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(fp, pa.int64())], ["doc", "fp"])
+            fp = [simhash(x, width) for x in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], ["doc", "version", "fp"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), text_col).mapInArrow(made, "doc long, fp long")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col))
+    return keyed.mapInArrow(made, "doc long, version long, fp long")
 
 
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """Vertices (fp, rep) -> links (a, b) between representatives of fingerprints within three bits."""
+    """Distinct fingerprints (fp) -> links (a, b) between those within three bits."""
     if radius > 3:
         raise ValueError("balls of one bit a half find pairs within three bits")
     halves = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    centres = nodes.select("fp", "rep", F.posexplode(halves).alias("half", "value"))
+    centres = nodes.select("fp", F.posexplode(halves).alias("half", "value"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(32)))
-    balls = centres.select(F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), "half", "value", F.explode(flips).alias("flip")).select("fp2", "rep2", (F.col("value").bitwiseXOR(F.col("flip")) + F.col("half") * F.lit(1 << 32)).alias("key"))
-    keyed = centres.select("fp", "rep", (F.col("value") + F.col("half") * F.lit(1 << 32)).alias("key"))
+    balls = centres.select(F.col("fp").alias("fp2"), "half", "value", F.explode(flips).alias("flip")).select("fp2", (F.col("value").bitwiseXOR(F.col("flip")) + F.col("half") * F.lit(1 << 32)).alias("key"))
+    keyed = centres.select("fp", (F.col("value") + F.col("half") * F.lit(1 << 32)).alias("key"))
     met = balls.join(keyed, "key").filter((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius))
-    return met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
+    return met.select(F.col("fp2").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """Return id_col, fp (signed 64-bit) and component_id, the smallest id that a row reaches over links."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
+    """(doc, version, fp, group, component): group is a fingerprint that names the component, component its least id."""
     marked = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc").alias("rep")), "nodes")
-    # A representative can stand for several fingerprints where an id repeats: then they are one vertex.
     roots = written(star_components(links(nodes, radius)), "roots")
-    classes = written(nodes.join(roots, nodes["rep"] == roots["vertex"], "left").select("fp", F.coalesce("root", "rep").alias("root")), "classes")
+    grouped = written(nodes.join(roots, nodes["fp"] == roots["vertex"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("group")), "grouped")
+    least = grouped.groupBy("group").agg(F.min("rep").alias("component"))
+    classes = written(grouped.select("fp", "group").join(least, "group"), "classes")
+    return marked.join(classes, "fp").select("doc", "version", "fp", "group", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """Return id_col, fp (signed 64-bit) and component_id, the smallest id that a row reaches over links."""
     null = F.lit(None).cast("long")
     known = lambda c: F.when(F.col(c) == NULL_ID, null).otherwise(F.col(c))
-    return marked.join(classes, "fp").select(known("doc").alias(id_col), "fp", known("root").alias("component_id"))
+    return _classes(docs, id_col, text_col, width, radius).select(known("doc").alias(id_col), "fp", known("component").alias("component_id"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
@@ -85,10 +92,11 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: that of its smallest id, and one of the rows that repeat this id."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    same = F.coalesce(F.col(id_col), F.lit(NULL_ID)) == F.coalesce("component_id", F.lit(NULL_ID))
-    first = written(found.filter(same).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    kept = docs.alias("d").join(first.alias("k"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
-    return kept if first.filter("__n > 1").isEmpty() else kept.dropDuplicates([id_col])
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """docs with one row of each component: one of its smallest id."""
+    found = _classes(docs, id_col, text_col, width, radius).filter("doc = component")
+    first = found.groupBy("group", "doc").agg(F.min("version").alias("version"))
+    kept = written(first.join(found.groupBy("doc", "version").agg(F.count(F.lit(1)).alias("n")), ["doc", "version"]).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "n"), "kept")
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__version"))
+    left = docs.join(kept.select("__doc", "__version"), same, "left_semi")
+    return left if kept.filter("n > 1").isEmpty() else left.dropDuplicates([id_col, text_col])
