@@ -45,8 +45,9 @@ PATTERNS = {
 #: A character that every match holds, where one is rare enough to ask for first.
 HOLDS = {"email": "@", "phone": "+", "ip": "."}
 WORD = r"\p{L}{4,}+"
+#: Longer words are no terms.
+MOST_LETTERS = 40
 MOST_TERMS = 500_000
-MOST_DOCS = 500_000
 
 
 def is_valid(kind: str, match: Column) -> Column:
@@ -86,17 +87,35 @@ def protected_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(reduce(DataFrame.union, found), "spans"), some
 
 
+def nearby_words(spans: DataFrame, holders: DataFrame, reach: int) -> DataFrame:
+    """(doc, version, entity, term, start, end): words within reach of an entity that overlap no base span.
+
+    Only the text at both sides of a span is looked at: reach code points and
+    MOST_LETTERS more, so that words of at most that length are whole.
+    """
+    text, size = F.col("text"), F.length("text")
+    begin = F.greatest(F.col("s") - reach - MOST_LETTERS, F.lit(0))
+    left = F.struct(begin.alias("at"), F.substring(text, begin.cast("int") + 1, (F.col("s") - begin).cast("int")).alias("part"), (begin == 0).alias("open"), F.lit(True).alias("shut"))
+    right = F.struct(F.col("e").alias("at"), F.substring(text, F.col("e").cast("int") + 1, F.lit(reach + MOST_LETTERS)).alias("part"), F.lit(True).alias("open"), (F.col("e") + reach + MOST_LETTERS >= size).alias("shut"))
+    at = spans.select(*DOC, "entity", F.col("start").alias("s"), F.col("end").alias("e"))
+    sides = at.join(holders, list(DOC)).select(*DOC, "entity", "s", "e", F.explode(F.array(left, right)).alias("x")).select(*DOC, "entity", "s", "e", "x.*")
+    sides = sides.withColumn("m", F.regexp_extract_all("part", F.lit(WORD), F.lit(0))).withColumn("p", F.split("part", WORD, -1)).filter(F.size("m") > 0)
+    until = lambda arr, k: F.aggregate(F.slice(arr, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
+    each = F.transform("m", lambda w, i: F.struct(w.alias("w"), (F.col("at") + until(F.col("p"), i + 1) + until(F.col("m"), i)).alias("start")))
+    words = sides.withColumn("z", F.explode(each)).select("*", F.col("z.start").alias("start"), (F.col("z.start") + F.length("z.w")).alias("end"), ascii_lower(F.col("z.w")).alias("term"))
+    whole = (F.col("open") | (F.col("start") > F.col("at"))) & (F.col("shut") | (F.col("end") < F.col("at") + F.length("part")))
+    close = (F.col("end") >= F.col("s") - reach) & (F.col("start") <= F.col("e") + reach)
+    words = words.filter(whole & close & (F.length("term") <= MOST_LETTERS)).select(*DOC, "entity", "term", "start", "end").distinct()
+    block = 128
+    covered = spans.select(*DOC, F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
+    over = words.select(*DOC, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block")).distinct()
+    inside = over.join(covered, [*DOC, "block"]).filter("start < e AND end > s").select(*DOC, "start", "end").distinct()
+    return words.join(inside, [*DOC, "start", "end"], "left_anti")
+
+
 def revealing_terms(docs: DataFrame, spans: DataFrame, holders: DataFrame, reach: int, support: int, least: float) -> DataFrame:
     """(doc, version, start, end, disclosure): terms near an entity whose disclosure is at least so much."""
-    block = 2 * reach
-    words = placed_matches(holders.join(sized(written(spans.select(*DOC).distinct(), "holding"), MOST_DOCS), list(DOC), "left_semi"), WORD)
-    words = words.select(*DOC, ascii_lower(F.col("match")).alias("term"), "start", "end", F.floor(F.col("start") / block).alias("block"))
-    around = F.explode(F.sequence(F.floor(F.greatest(F.col("s") - reach - 1, F.lit(0)) / block), F.floor((F.col("e") + reach) / block)))
-    near_to = spans.select(*DOC, "entity", F.col("start").alias("s"), F.col("end").alias("e")).withColumn("block", around)
-    met = words.join(near_to, [*DOC, "block"]).filter((F.col("start") <= F.col("e") + reach) & (F.col("end") >= F.col("s") - reach))
-    apart = met.groupBy(*DOC, "term", "start", "end", "entity").agg(F.max((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))).alias("inside"))
-    whole = Window.partitionBy(*DOC, "start")
-    near = written(apart.withColumn("inside", F.max("inside").over(whole)).filter("NOT inside").drop("inside"), "near")
+    near = written(nearby_words(spans, holders, reach), "near")
     together = near.select(*DOC, "term", "entity").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
     together = written(together, "together")
     terms = written(together.select("term").distinct(), "terms")
