@@ -177,3 +177,56 @@ def op4_sanitisation(spark, sf_dir: str) -> DataFrame:
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k))
     counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
     return whole.select(doc.alias("doc_id"), *counts, F.sha2(span_list(F.col("spans"), KINDS[:4]), 256).alias("base_sha256"), span_list(F.col("spans"), KINDS).alias("spans"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = "list_sum(list_transform(range(1, length(dg) + 1), lambda i: CAST(substr(dg, length(dg) - i + 1, 1) AS INT) * (2 - i % 2) - CASE WHEN i % 2 = 0 AND CAST(substr(dg, length(dg) - i + 1, 1) AS INT) > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 999) <= 255))"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"length(dg) BETWEEN 12 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(dg) BETWEEN 9 AND 15"),
+}
+
+
+def _matches_sql(source: str, keep: str, text: str, pattern: str, at: str = "0") -> str:
+    """SELECT of keep, m (match) and s (start) for each match of a pattern in source."""
+    return f"""SELECT {keep}, ms[i] AS m, {at} + list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS ms, string_split_regex({text}, '{pattern}') AS ps FROM {source}))"""
+
+
+_BASE = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {rank} AS r, s, s + length(m) AS e, '{kind}:' || {_LOWER.format('m') if kind in ('email', 'ip') else 'dg'} AS entity FROM (SELECT *, {_DIGITS} AS dg FROM ({_matches_sql('d', 'doc_id', 't', pattern)})) WHERE {good}"
+    for rank, (kind, (pattern, good)) in enumerate(_SQL_KINDS.items())
+)
+_FAR = 64 + MOST_LETTERS
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_BASE}),
+sides AS (
+  SELECT doc_id, entity, s AS bs, e AS be, greatest(s - {_FAR}, 0) AS place, substr(t, CAST(greatest(s - {_FAR}, 0) + 1 AS BIGINT), CAST(s - greatest(s - {_FAR}, 0) AS BIGINT)) AS part, s - {_FAR} <= 0 AS op, true AS shut FROM base JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, entity, s, e, e, substr(t, CAST(e + 1 AS BIGINT), {_FAR}), true, e + {_FAR} >= length(t) FROM base JOIN d USING (doc_id)
+),
+words AS ({_matches_sql('sides', 'doc_id, entity, bs, be, place, part, op, shut', 'part', r'\p{L}{4,}', 'place')}),
+near AS (
+  SELECT DISTINCT doc_id, entity, {_LOWER.format('m')} AS term, s, s + length(m) AS e FROM words w
+  WHERE (op OR s > place) AND (shut OR s + length(m) < place + length(part)) AND s + length(m) >= bs - 64 AND s <= be + 64 AND length(m) <= {MOST_LETTERS}
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND w.s < b.e AND w.s + length(w.m) > b.s)
+),
+together AS (SELECT term, entity, count(DISTINCT doc_id) AS n_et FROM near GROUP BY term, entity HAVING count(DISTINCT doc_id) >= 2),
+of_entity AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY entity),
+of_term AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_LOWER.format('t')}, '\\p{{L}}{{4,}}')) AS term FROM d) WHERE term IN (SELECT term FROM together) GROUP BY term),
+told AS (
+  SELECT term, entity FROM together JOIN of_entity USING (entity) JOIN of_term USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
+  WHERE n > n_e AND log2(n_et * n / (n_e * greatest(n_t, n_et))) / log2(n / n_e) >= 0.8
+),
+spans AS (SELECT doc_id, kind, r, s, e FROM base UNION ALL SELECT DISTINCT doc_id, 'term', 4, s, e FROM near JOIN told USING (term, entity)),
+lists AS (
+  SELECT doc_id, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, r, e) AS spans,
+    string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, r) FILTER (WHERE r < 4) AS base_spans,
+    {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS[:4])} FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS[:4])}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN lists USING (doc_id)
+"""
