@@ -35,11 +35,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Lets Spark delete an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Once the table is there its shuffle files serve nothing and go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

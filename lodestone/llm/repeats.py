@@ -37,7 +37,7 @@ from lodestone.llm.line_dedup import SEGMENT_BITS, SEGMENT_BYTES, _fold, _packed
 from lodestone.llm.tokenizer_fst import _power_tables
 
 GRAM = 24
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 400_000
 #: Blocks of one anchor that a task orders itself.
 MANY = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -138,10 +138,11 @@ def _filled(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterato
 def repeated_anchor_filter(pairs: DataFrame, bits: int, width: int) -> np.ndarray:
     """Bits of anchors that may stand in two documents; bits / 8 bytes, whatever the input."""
     shape = "segment int, once binary, twice binary"
-    folded = pairs.mapInArrow(lambda it: _filled(it, bits, width), shape).repartition("segment").mapInArrow(_fold, shape)
+    folded = written(pairs.mapInArrow(lambda it: _filled(it, bits, width), shape).repartition("segment").mapInArrow(_fold, shape), "filter")
     out = np.zeros((bits // SEGMENT_BITS, SEGMENT_BYTES), np.uint8)
     for row in folded.select("segment", "twice").toLocalIterator():
         out[row.segment] = _unpacked(bytes(row.twice))
+    forget(folded)
     return out.reshape(-1)
 
 
@@ -153,7 +154,7 @@ def version_of(text: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], shared, bits: int, width: int) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch], shared, bits: int, width: int, unique_ids: bool) -> Iterator[pa.RecordBatch]:
     """Blocks of suspected anchors; the bytes come with the first of each kind that a task meets."""
     bitmap = shared.value
     seen: set[int] = set()
@@ -170,7 +171,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], shared, bits: int, width: in
         block = _mixed(stretch_hashes(prefix_sums(data), low, stop) + (place - low).astype(np.uint64) * MIX[0]).astype(np.int64)
         bounds = np.cumsum(sizes)
         owner = np.searchsorted(bounds, low, side="right")
-        if len(seen) > 1_500_000:
+        if len(seen) > 300_000:
             seen.clear()
         texts_of = []
         for x, f, s in zip(block.tolist(), low.tolist(), stop.tolist(), strict=True):
@@ -179,7 +180,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], shared, bits: int, width: in
             else:
                 seen.add(x)
                 texts_of.append(data[f:s])
-        versions = np.array([version_of(x) for x in texts], dtype=np.int64)
+        versions = np.array([0 if unique_ids else version_of(x) for x in texts], dtype=np.int64)
         yield pa.record_batch(
             [pa.array(hashes.astype(np.int64)), pa.array(block), pa.array(np.array(ids, dtype=np.int64)[owner]), pa.array(versions[owner]), pa.array((low - (bounds - sizes)[owner]).astype(np.int32)), pa.array((stop - low).astype(np.int32)), pa.array((place - low).astype(np.int32)), pa.array(texts_of, pa.binary())],
             ["anchor", "block", "doc", "version", "start", "size", "lead", "bytes"],
@@ -245,15 +246,18 @@ def _exploded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             yield pa.record_batch([pa.array(anchor[part][number]), pa.array(block[part][number]), pa.array(first[part][number]), pa.array(at.astype(np.int32)), pa.array((at + width).astype(np.int32)), pa.array(key.astype(np.int64))], ["anchor", "block", "first", "head", "tail", "key"])
 
 
-def removed_ranges(pairs: DataFrame, width: int, filter_bits: int | None = None) -> DataFrame:
-    """Write and return (doc, version, spans): the maximal byte runs that each document loses, in order."""
+def removed_ranges(pairs: DataFrame, width: int, unique_ids: bool, filter_bits: int | None = None) -> DataFrame:
+    """Write and return (doc, version, spans): the maximal byte runs that each document loses, in order.
+
+    Where no id repeats, version is zero throughout, which spares the shuffles its bytes.
+    """
     spark = pairs.sparkSession
     bits = filter_bits
     if bits is None:
         size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = power_of_two(size // 4, 1 << 20, 1 << 30)
     shared = spark.sparkContext.broadcast(repeated_anchor_filter(pairs, bits, width))
-    found = written(pairs.mapInArrow(lambda it: _occurrences(it, shared, bits, width), OCCURRENCE), "occurrences")
+    found = written(pairs.mapInArrow(lambda it: _occurrences(it, shared, bits, width, unique_ids), OCCURRENCE), "occurrences", "zstd")
     key = ["anchor", "block"]
     blocks = written(found.groupBy(key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "blocks")
     several = written(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
@@ -272,15 +276,16 @@ def removed_ranges(pairs: DataFrame, width: int, filter_bits: int | None = None)
     begin = F.col("start") + F.coalesce("head", F.lit(0))
     end = F.col("start") + F.coalesce("tail", "size")
     lost = found.drop("bytes", "lead").join(verdicts, key).filter((F.col("head").isNull() & (F.col("doc") > F.col("first"))) | (F.col("head").isNotNull() & (F.col("doc") == F.col("first"))))
-    lost = lost.select("doc", "version", begin.alias("head"), end.alias("tail")).distinct()
+    lost = written(lost.select("doc", "version", begin.alias("head"), end.alias("tail")), "lost")
+    for x in (found, verdicts):
+        forget(x)
     one = Window.partitionBy("doc", "version").orderBy("head", "tail")
     reached = F.max("tail").over(one.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("head") > F.coalesce("reached", F.lit(-1)), 1).otherwise(0)).over(one.rowsBetween(Window.unboundedPreceding, 0))
     runs = lost.withColumn("reached", reached).withColumn("island", island).groupBy("doc", "version", "island").agg(F.min("head").alias("head"), F.max("tail").alias("tail"))
     spans = F.array_sort(F.collect_list(F.struct("head", "tail")))
     out = written(runs.groupBy("doc", "version").agg(spans.alias("spans")), "removed")
-    for x in (found, verdicts):
-        forget(x)
+    forget(lost)
     return out
 
 
@@ -297,7 +302,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"windows have at least {GRAM} bytes")
     spark = docs.sparkSession
     pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    removed = removed_ranges(pairs, width, filter_bits)
+    unique_ids = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    version = lambda text: 0 if unique_ids else version_of(text)
+    removed = removed_ranges(pairs, width, unique_ids, filter_bits)
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -321,14 +328,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for batch in batches:
                 texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
                 ids = [NULL_ID if x is None else x for x in batch.column(2).to_pylist()]
-                spans = [np.frombuffer(runs.get((d, version_of(x)), b""), np.int32).reshape(-1, 2).tolist() for d, x in zip(ids, texts, strict=True)]
+                spans = [np.frombuffer(runs.get((d, version(x)), b""), np.int32).reshape(-1, 2).tolist() for d, x in zip(ids, texts, strict=True)]
                 yield pa.record_batch([batch.column(0), *left(texts, spans)], names)
 
         return docs.select(F.col(id_col), F.col(text_col), F.col(id_col).cast("long").alias("__doc")).mapInArrow(by_table, shape)
 
     def versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [version_of((x or "").encode()) for x in batch.column(1).to_pylist()]
+            own = [version((x or "").encode()) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(own, pa.int64())], ["id", "text", "doc", "version"])
 
     def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,3 +352,21 @@ def op9_repeats(spark, sf_dir: str) -> DataFrame:
     """The whole documents table, windows of 50 bytes."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS k FROM (SELECT *, unnest(range(0, n - 49)) AS s FROM d WHERE n >= 50)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+g AS (SELECT doc_id, s FROM w JOIN f USING (k) WHERE first < doc_id),
+m AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM g),
+i AS (SELECT doc_id, s, sum(CASE WHEN s <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM m),
+runs AS (SELECT doc_id, run, min(s) AS a, max(s) + 50 AS b FROM i GROUP BY doc_id, run),
+left_over AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q, b - a AS lost FROM runs
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), max(n), 0 FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, max(n) AS n_bytes, CAST(sum(lost) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+       sha256(unhex(string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p))) AS kept_sha256
+FROM left_over JOIN d USING (doc_id) GROUP BY doc_id
+"""
