@@ -7,8 +7,8 @@ from lodestone.llm.language_id import op5_language_id
 from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
 from lodestone.llm.packing import op10_best_fit_packing
-from lodestone.llm.repeats import op9_repeats
-from lodestone.llm.sanitisation import op4_sanitisation
+from lodestone.llm.repeats import OP9_SQL, op9_repeats
+from lodestone.llm.sanitisation import OP4_SQL, op4_sanitisation
 from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.suffix_tree_lm import op3_suffix_tree_lm
 from lodestone.llm.token_counts import op8_token_counts
@@ -25,4 +25,4 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-SQL = {"op1_decontamination": OP1_SQL, "op6_line_dedup": OP6_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op4_sanitisation": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_repeats": OP9_SQL}
