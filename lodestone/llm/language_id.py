@@ -29,7 +29,7 @@ from lodestone.llm.tokenizer_fst import E as LAST_LETTER
 from lodestone.llm.tokenizer_fst import code_point_classes
 
 BOUNDARY = 0
-BATCH_CHARS = 600_000
+BATCH_CHARS = 400_000
 _letters: dict[tuple[int, int], np.ndarray] = {}
 
 

@@ -64,7 +64,8 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(32)))
     balls = centres.select(F.col("fp").alias("fp2"), "half", "value", F.explode(flips).alias("flip")).select("fp2", (F.col("value").bitwiseXOR(F.col("flip")) + F.col("half") * F.lit(1 << 32)).alias("key"))
     keyed = centres.select("fp", (F.col("value") + F.col("half") * F.lit(1 << 32)).alias("key"))
-    met = balls.join(keyed, "key").filter((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius))
+    # Sizes are estimated as if nothing were exploded: without the hint the balls of a small table would be broadcast.
+    met = balls.hint("merge").join(keyed.hint("merge"), "key").filter((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius))
     return met.select(F.col("fp2").alias("a"), F.col("fp").alias("b")).distinct()
 
 

@@ -162,7 +162,7 @@ def _valid(data: bytes) -> bool:
 class CompiledTokenizer:
     """Counts or ids of whole texts, as the tokenizer file's library gives them without added tokens."""
 
-    def __init__(self, definition: str, most_paths: int = 600_000) -> None:
+    def __init__(self, definition: str, most_paths: int = 200_000) -> None:
         """definition: the file's JSON text. most_paths: pre-tokens kept; the memory's bound."""
         spec = json.loads(definition)
         before = spec.get("pre_tokenizer") or {}
@@ -197,8 +197,9 @@ class CompiledTokenizer:
             return out
         new = {x for x, y in zip(tokens, out, strict=True) if y is None}
         if len(paths) + len(new) > self.most_paths:
+            recent = {x: y for x, y in zip(tokens, out, strict=True) if y is not None}  # mostly the frequent ones
             paths.clear()
-            new = set(tokens)
+            paths.update(recent)
         if self.core is not None:
             hard = []
             for x in new:
@@ -215,12 +216,12 @@ class CompiledTokenizer:
                 paths[x] = np.array(y.ids, dtype="<u4").tobytes()
         return list(map(paths.__getitem__, tokens))
 
-    def encoded(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[np.ndarray]:
+    def encoded(self, texts: Iterable[str | None], most_chars: int = 400_000) -> Iterator[np.ndarray]:
         """The ids of each text; special strings count as their own."""
         for group in _groups(texts, most_chars):
             yield from self._run(group, True)
 
-    def counted(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[int]:
+    def counted(self, texts: Iterable[str | None], most_chars: int = 400_000) -> Iterator[int]:
         """The number of ids of each text."""
         for group in _groups(texts, most_chars):
             yield from self._run(group, False)
