@@ -96,14 +96,19 @@ def _entries(batches: Iterator[pa.RecordBatch], tables: int, probes: int, form:
 
 
 def nearest_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest candidates of each query, exactly, ties to the smaller id."""
+    """The k nearest candidates of each query, exactly, ties to the smaller id; rows that repeat an id take one place."""
     out = []
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    repeated = len(first) < len(ids)
     own = (vectors**2).sum(axis=1)
     for a in range(0, len(queries), 256):
         part = queries[a : a + 256]
         rough = (part**2).sum(axis=1)[:, None] + own[None] - 2 * part @ vectors.T
         rough[query_ids[a : a + 256, None] == ids[None]] = np.inf
-        limit = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+        of_id = np.minimum.reduceat(rough, first, axis=1) if repeated else rough
+        limit = np.partition(of_id, min(k, of_id.shape[1]) - 1, axis=1)[:, min(k, of_id.shape[1]) - 1]
         for i, row in enumerate(rough):
             slack = 1e-9 * (1 + abs(limit[i])) if np.isfinite(limit[i]) else 0
             near = np.flatnonzero((row <= limit[i] + slack) & np.isfinite(row))

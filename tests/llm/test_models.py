@@ -173,3 +173,15 @@ def test_revealing_terms(docs_of):
     texts = {r.doc_id: r.text for r in sanitise(docs).collect()}
     assert texts[0] == "the person  writes to [EMAIL] every day number 0" and texts[10] == rows[3][1]
     assert sanitise(docs.filter("false")).collect() == []
+
+
+def test_neighbours_where_ids_repeat(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * k]) for k in range(30)] + [(k, [1.0, 0.1 * k]) for k in range(2, 8)]
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    exact = [(1, 0.0)] + [(k, 0.1 * k) for k in range(2, 6)]
+    got = nearest_in_block(ids[:1], vectors[:1], ids, vectors, 5)
+    assert [(v, round(s, 9)) for _, v, s in got] == [(v, round(s, 9)) for v, s in exact]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    for tables in (8, 1):  # one table with few probes leaves queries to the exact search
+        found = nearest_neighbours(df, F.col("vec_id") == 0, k=5, tables=tables, probes=1).orderBy("rank").collect()
+        assert [(r.vec_id, round(r.score, 9)) for r in found] == [(v, round(s, 9)) for v, s in exact]
