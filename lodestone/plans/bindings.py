@@ -168,14 +168,13 @@ edges AS (SELECT a, b, count(*) AS occurrences FROM c WHERE b IS NOT NULL GROUP
 SPARSE = CANDIDATES.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 40 = 0")
 
 
-def candidates(read, sparse: bool = False) -> DataFrame:
+def candidates(read) -> DataFrame:
     rows = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    rows = rows.filter("l_orderkey % 40 = 0") if sparse else rows
     return graph.transitions(rows, "l_orderkey", ["l_linenumber", "l_partkey"], "l_partkey")
 
 
-def edges_of(read, sparse: bool = False) -> DataFrame:
-    return candidates(read, sparse).groupBy("a", "b").agg(F.count(F.lit(1)).alias("occurrences"))
+def edges_of(read) -> DataFrame:
+    return candidates(read).groupBy("a", "b").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 _EDGE_ID = _sid(identity.EDGE, "'part'", "'follows'", "CAST(a AS VARCHAR)", "CAST(b AS VARCHAR)", "'resolved_local'")
@@ -233,14 +232,14 @@ comp AS (SELECT v.x AS vertex, coalesce(min(least(m.y, v.x)), v.x) AS component
 
 @query(f"{CLOSURE} SELECT * FROM comp")
 def scc(spark, read):
-    return graph.strong_components(edges_of(read, sparse=True))
+    return graph.strong_components(edges_of(read))
 
 
 @query(f"""{CLOSURE}, s AS (SELECT component, count(*) AS size FROM comp GROUP BY component)
 SELECT component, size, {_sid(identity.CYCLE, "'part'", "CAST(component AS VARCHAR)")} AS cycle_id, 'structural' AS classification FROM s
 WHERE size > 1 OR component IN (SELECT a FROM edges WHERE a = b)""")
 def cycles(spark, read):
-    e = edges_of(read, sparse=True)
+    e = edges_of(read)
     found = graph.component_summary(graph.strong_components(e), e).filter("cyclic")
     return found.select("component", "size", identity.stable_id(identity.CYCLE, F.lit("part"), F.col("component").cast("string")).alias("cycle_id"), F.lit("structural").alias("classification"))
 
@@ -266,7 +265,7 @@ SELECT v AS vertex, min(d) AS depth FROM walk GROUP BY v HAVING min(d) > 0"""
 
 
 def _impact(read, outward: bool) -> DataFrame:
-    e = edges_of(read, sparse=True)
+    e = edges_of(read)
     here = "a" if outward else "b"
     return graph.impact(e, e.orderBy(here).limit(1).select(F.col(here).alias("vertex")), 3, outward)
 
@@ -283,7 +282,7 @@ def impact_up(spark, read):
 
 @query()
 def impact_budgeted(spark, read):
-    e = graph.eligibility(edges_of(read, sparse=True), read("part"), "p_partkey", F.col("p_type") != "ECONOMY").withColumn("edge_id", edge_id_column())
+    e = graph.eligibility(edges_of(read), read("part"), "p_partkey", F.col("p_type") != "ECONOMY").withColumn("edge_id", edge_id_column())
     start = e.filter("eligible").orderBy("a").first()["a"]
     found = graph.budgeted_impact(e, [start], 16, 200, 400)
     rows = [("reached", v, d) for v, d in found.reached] + [("boundary", v, None) for v in found.boundary] + [("scanned", found.scanned, None), ("visited", found.visited, None)]
