@@ -7,7 +7,9 @@ those of its parent (the context without its first byte) by a test on the
 Kullback-Leibler divergence, or if a longer retained context needs it. The
 distribution of a retained context is smoothed by absolute discounting towards
 its parent's, the root's towards the uniform one. A symbol is scored from the
-longest retained suffix of what precedes it, across tokens.
+longest retained suffix of what precedes it, across tokens. The retained
+contexts grow with the corpus: a tree too large for a broadcast stays in tables,
+which the distinct windows of all texts join level by level.
 
 Beside it stands an add-one unigram score over whole tokens. Token counts cover
 the whole corpus: the most frequent tokens, a bounded number, go to all tasks,
@@ -22,21 +24,28 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import crc_mod, forget, written
+from lodestone.llm._common import crc_mod, forget, sized, written
 
 END = b"\n"
 #: Stands for the end of a text among tokens; no token holds a blank.
 END_TOKEN = "\n"
 GROUP_BYTES = 1_000_000
+#: Texts that meet the probabilities of their windows in one task.
+PART_BYTES = 4_000_000
+#: Rows of a level that a broadcast may hold.
+MOST_CONTEXTS = 100_000
+#: A tree of up to so many pairs goes to all tasks; a larger one stays in tables that join the windows.
+MOST_PAIRS = 2_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -148,63 +157,63 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def learn_tree(counts: DataFrame, depth: int, least_share: float, divergence: float, evidence: float, discount: float) -> SuffixTree:
-    """Retain contexts and smooth their distributions.
+def learn_levels(counts: DataFrame, depth: int, least_count: float, divergence: float, evidence: float, discount: float) -> list[tuple[DataFrame, DataFrame]]:
+    """Retain contexts and smooth their distributions: for each depth write (context, rest) and (gram, share).
 
-    least_share: contexts seen in less than this share of all places are not
-    tested, which bounds the tree by depth / least_share contexts, and symbols
-    seen less than a sixteenth of that in a context are left to its parent.
-    divergence: least divergence from the parent, in nats. evidence: least
-    divergence times the context's count for each of its symbols.
+    least_count: contexts seen less often are not tested; a count and no share
+    of the corpus, so that the tree grows with it. divergence: least divergence
+    from the parent, in nats. evidence: least divergence times the context's
+    count for each of its symbols. All tests are joins and aggregates over the
+    grams, which stay in tables.
     """
-    places = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(2, int(places * least_share))
-    levels = []
+    least = max(2, int(least_count))
+    context = F.shiftright("gram", 8)
+    levels: list[DataFrame] = []
     source = counts
     for k in range(depth, -1, -1):
         shifted = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
         source = written(source.groupBy(shifted.alias("gram")).agg(F.sum("n").alias("n")), f"grams{k}")
-        totals = source.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        kept = source.withColumn("context", F.shiftright("gram", 8)).filter(F.col("n") >= max(1, least // 16)).join(totals, "context").select("gram", "n", "total")
-        got = kept.toArrow()
-        gram, n, total = (got[c].to_numpy() for c in ("gram", "n", "total"))
-        order = np.argsort(gram)
-        levels.append((gram[order].astype(np.uint64), n[order].astype(np.float64), total[order].astype(np.float64)))
-    return _retained(levels[::-1], divergence, evidence, discount)
-
-
-def _retained(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float, evidence: float, discount: float) -> SuffixTree:
-    """levels: for each depth the grams in order, their counts and their contexts' counts."""
-    contexts, keep = [], []
-    byte = np.uint64(8)
-    for k, (gram, n, total) in enumerate(levels):
-        own, first = np.unique(gram >> byte, return_index=True)
-        contexts.append(own)
-        if k == 0:
-            keep.append(np.ones(len(own), dtype=bool))
-            continue
-        above, n_above, total_above = levels[k - 1]
-        parent = gram & np.uint64((1 << 8 * k) - 1)
-        at = np.minimum(np.searchsorted(above, parent), len(above) - 1)
-        share = np.where(above[at] == parent, n_above[at] / total_above[at], 1 / total_above[at])
-        gain = np.add.reduceat(n * np.log(n / total / share), first) if len(gram) else np.zeros(0)
-        each = np.diff(np.append(first, len(gram)))
-        keep.append((gain >= divergence * total[first]) & (gain >= evidence * each))
-    for k in range(len(levels) - 1, 1, -1):
-        needed = contexts[k][keep[k]] & np.uint64((1 << 8 * (k - 1)) - 1)
-        keep[k - 1] |= np.isin(contexts[k - 1], needed)
+        totals = source.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).filter((F.col("total") >= least) | F.lit(k == 0))
+        totals = sized(written(totals, f"totals{k}"), MOST_CONTEXTS)
+        levels.append(written(source.withColumn("context", context).join(totals, "context").select("gram", "n", "context", "total"), f"tested{k}"))
+    levels.reverse()
+    out: list[tuple[DataFrame, DataFrame]] = []
+    longer: DataFrame | None = None
+    for k in range(depth, -1, -1):
+        kept = levels[k].select("context").distinct()
+        if k:
+            above = sized(levels[k - 1].select(F.col("gram").alias("parent"), (F.col("n") / F.col("total")).alias("p")), MOST_CONTEXTS)
+            met = levels[k].withColumn("parent", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(above, "parent")
+            gains = met.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("gain"), F.first("total").alias("total"), F.count(F.lit(1)).alias("each"))
+            kept = gains.filter((F.col("gain") >= divergence * F.col("total")) & (F.col("gain") >= evidence * F.col("each"))).select("context")
+            if longer is not None:
+                kept = kept.union(longer.select(F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)))).distinct()
+        longer = written(kept, f"kept{k}")
+        share = (F.col("n") - F.least(F.lit(discount), F.col("n") / 2)) / F.col("total")
+        pairs = written(levels[k].join(sized(longer, MOST_CONTEXTS), "context", "left_semi").select("gram", share.alias("share")), f"pairs{k}")
+        out.append((written(pairs.groupBy(context.alias("context")).agg((1 - F.sum("share")).alias("rest")), f"contexts{k}"), pairs))
+    for x in levels:
+        forget(x)
+    return out[::-1]
+
+
+def collected(levels: list[tuple[DataFrame, DataFrame]]) -> SuffixTree:
+    """The tree as arrays, each in order."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    for (gram, n, total), own, good in zip(levels, contexts, keep, strict=True):
-        chosen = np.isin(gram >> byte, own[good])
-        g, c, t = gram[chosen], n[chosen], total[chosen]
-        _, first = np.unique(g >> byte, return_index=True)
-        share = (c - np.minimum(discount, c / 2)) / t
-        rest = 1 - np.add.reduceat(share, first) if len(g) else np.zeros(0)
-        for x, y in zip(out, (own[good], rest, g, share), strict=True):
-            x.append(y)
+    for level in levels:
+        for at, table in zip((0, 2), level, strict=True):
+            key, value = (x.to_numpy() for x in table.toArrow().columns)
+            order = np.argsort(key)
+            out[at].append(key[order].astype(np.uint64))
+            out[at + 1].append(value[order].astype(np.float64))
     return SuffixTree(*(tuple(x) for x in out))
 
 
+def learn_tree(counts: DataFrame, depth: int, least_count: float, divergence: float, evidence: float, discount: float) -> SuffixTree:
+    """The retained contexts of learn_levels, all in the driver."""
+    return collected(learn_levels(counts, depth, least_count, divergence, evidence, discount))
+
+
 def log10_probabilities(tree: SuffixTree, window: np.ndarray) -> np.ndarray:
     """log10 of each window's symbol after its longest retained context."""
     p = np.full(len(window), 1 / 256)
@@ -224,9 +233,58 @@ def log10_probabilities(tree: SuffixTree, window: np.ndarray) -> np.ndarray:
 
 def tree_scores(tree: SuffixTree, texts: list[list[bytes]]) -> np.ndarray:
     """The model's log10 probability of each text."""
-    window, sizes = text_windows(texts, tree.depth)
+    return _summed(texts, tree.depth, lambda unique: log10_probabilities(tree, unique))
+
+
+def _summed(texts: list[list[bytes]], depth: int, logs: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    window, sizes = text_windows(texts, depth)
     unique, place = np.unique(window, return_inverse=True)
-    return np.add.reduceat(log10_probabilities(tree, unique)[place], np.cumsum(sizes) - sizes)
+    return np.add.reduceat(logs(unique)[place], np.cumsum(sizes) - sizes)
+
+
+def window_logs(found: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(window, log) for distinct windows, by joins with each level of a tree that is too large for a broadcast."""
+    now = found.withColumn("p", F.lit(1 / 256))
+    done: DataFrame | None = None
+    for k, (contexts, pairs) in enumerate(levels):
+        gram = F.col("window").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        keyed = now.withColumn("gram", gram).withColumn("context", F.shiftright("gram", 8))
+        met = written(keyed.join(sized(contexts, MOST_CONTEXTS), "context", "left").join(sized(pairs, MOST_CONTEXTS), "gram", "left").select("window", "p", "rest", "share"), f"walk{k}")
+        ended = met.filter("rest IS NULL").select("window", "p")  # contexts are closed under suffixes
+        done = ended if done is None else done.union(ended)
+        now = met.filter("rest IS NOT NULL").select("window", (F.coalesce("share", F.lit(0.0)) + F.col("rest") * F.col("p")).alias("p"))
+    whole = now if done is None else done.union(now)
+    return written(whole.select("window", F.log10("p").alias("log")), "logs")
+
+
+def grouped_texts(rows: DataFrame, kind: str) -> DataFrame:
+    """Write (part, doc, text, held_out): rows in parts of about PART_BYTES of text."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, size = TaskContext.get().partitionId() << 20, 0
+        for batch in batches:
+            part = []
+            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
+                part.append(begin + size // PART_BYTES)
+                size += n + 1
+            yield pa.record_batch([pa.array(part, pa.int64()), *batch.columns], ["part", "doc", "text", "held_out"])
+
+    return written(rows.mapInArrow(dealt, f"part long, doc {kind}, text string, held_out boolean"), "texts")
+
+
+def part_windows(texts: DataFrame, depth: int) -> DataFrame:
+    """Write (part, window): the distinct windows of each part."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            for part in np.unique(parts):
+                own = [x for x, p in zip(batch.column(1).to_pylist(), parts, strict=True) if p == part]
+                for group in _grouped(own):
+                    unique = np.unique(text_windows(group, depth)[0])
+                    yield pa.record_batch([pa.array(np.full(len(unique), part)), pa.array(unique.astype(np.int64))], ["part", "window"])
+
+    return written(texts.select("part", "text").mapInArrow(found, "part long, window long").distinct(), "windows")
 
 
 def frequent_tokens(token_counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
@@ -244,7 +302,7 @@ def frequent_tokens(token_counts: DataFrame, most: int) -> tuple[dict[bytes, int
 PARTIAL = "row long, doc {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<token:string,n:bigint>>"
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_share: float = 2e-6, divergence: float = 0.01, evidence: float = 2.0, discount: float = 0.75, most_frequent: int = 300_000) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_count: int = 2, divergence: float = 0.01, evidence: float = 2.0, discount: float = 0.75, most_frequent: int = 300_000, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Learn from the rows that training selects and score all.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and score.
@@ -252,7 +310,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     rows = docs.select(id_col, text_col, (~F.coalesce(training, F.lit(False))).alias("_held_out"))
     counts = corpus_counts(rows.filter("NOT _held_out"), text_col, depth)
-    tree = spark.sparkContext.broadcast(learn_tree(counts.filter("gram IS NOT NULL").select("gram", "n"), depth, least_share, divergence, evidence, discount))
+    levels = learn_levels(counts.filter("gram IS NOT NULL").select("gram", "n"), depth, least_count, divergence, evidence, discount)
     vocabulary = written(counts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")), "vocabulary")
     forget(counts)
     size, total = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -260,30 +318,55 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     table.setdefault(END_TOKEN.encode(), 0)
     frequent = spark.sparkContext.broadcast(table)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own_tree = frequent.value, tree.value
-        logs = {x: float(np.log10(n + 1)) for x, n in known.items()}
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, held = batch.column(0), batch.column(2)
-            at = 0
-            for group in _grouped(batch.column(1).to_pylist()):
-                done = []
-                for words, score in zip(group, tree_scores(own_tree, group), strict=True):
-                    own = Counter(words)
-                    own[END] += 1
-                    rare = [(x.decode(), n) for x, n in own.items() if x not in known]
-                    seen = sum(n for x, n in own.items() if known.get(x))
-                    done.append((row, len(words) + 1, seen, sum(logs[x] * n for x, n in own.items() if x in logs), float(score), [{"token": x, "n": n} for x, n in rare]))
-                    row += 1
-                columns = list(zip(*done, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))
-                arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
-                part = slice(at, at + len(group))
-                yield pa.record_batch([arrays[0], ids[part], held[part], *arrays[1:]], ["row", "doc", "held_out", "n_tokens", "known", "logs", "score", "rare"])
-                at += len(group)
-
-    done = written(rows.mapInArrow(partial, PARTIAL.format(kind=docs.schema[id_col].dataType.simpleString())), "partial")
+    def scored(ids, texts: list[str | None], held, score_of: Callable[[list[list[bytes]]], np.ndarray], row: int) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        at = 0
+        for group in _grouped(texts):
+            done = []
+            for words, score in zip(group, score_of(group), strict=True):
+                own = Counter(words)
+                own[END] += 1
+                rare = [(x.decode(), n) for x, n in own.items() if x not in known]
+                seen = sum(n for x, n in own.items() if known.get(x))
+                logs = sum(float(np.log10(known[x] + 1)) * n for x, n in own.items() if x in known)
+                done.append((row, len(words) + 1, seen, logs, float(score), [{"token": x, "n": n} for x, n in rare]))
+                row += 1
+            columns = list(zip(*done, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))
+            arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
+            part = slice(at, at + len(group))
+            yield pa.record_batch([arrays[0], ids[part], held[part], *arrays[1:]], ["row", "doc", "held_out", "n_tokens", "known", "logs", "score", "rare"])
+            at += len(group)
+
+    form = PARTIAL.format(kind=docs.schema[id_col].dataType.simpleString())
+    if sum(pairs.count() for _, pairs in levels) <= most_pairs:
+        tree = spark.sparkContext.broadcast(collected(levels))
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row = TaskContext.get().partitionId() << 40
+            for batch in batches:
+                yield from scored(batch.column(0), batch.column(1).to_pylist(), batch.column(2), lambda x: tree_scores(tree.value, x), row)
+                row += batch.num_rows
+
+        found = rows.mapInArrow(partial, form)
+    else:
+        texts = grouped_texts(rows, docs.schema[id_col].dataType.simpleString())
+        windows_of = part_windows(texts, depth)
+        logs = window_logs(windows_of.select("window").distinct(), levels)
+        known_logs = windows_of.join(logs, "window").select("part", "window", "log")
+
+        def met(own: pa.Table, logs: pa.Table) -> pa.Table:
+            key, value = (logs[c].to_numpy() for c in ("window", "log"))
+            order = np.argsort(key)
+            key, value = key[order].astype(np.uint64), value[order]
+            of = lambda x: _summed(x, depth, lambda unique: value[np.searchsorted(key, unique)])
+            begin = own["part"][0].as_py() << 23
+            whole = own.combine_chunks()
+            ids, held = (pa.concat_arrays(whole[c].chunks) for c in ("doc", "held_out"))
+            return pa.Table.from_batches(list(scored(ids, whole["text"].to_pylist(), held, of, begin)))
+
+        found = texts.groupBy("part").cogroup(known_logs.groupBy("part")).applyInArrow(met, form)
+    done = written(found, "partial")
     rare = done.select("row", F.explode("rare").alias("r")).select("row", "r.token", F.col("r.n").alias("times"))
     found = rare.join(vocabulary.filter(F.col("n") < least), "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"))
     log_all = float(np.log10(total + size + 1))

@@ -185,3 +185,22 @@ def test_neighbours_where_ids_repeat(spark):
     for tables in (8, 1):  # one table with few probes leaves queries to the exact search
         found = nearest_neighbours(df, F.col("vec_id") == 0, k=5, tables=tables, probes=1).orderBy("rank").collect()
         assert [(r.vec_id, round(r.score, 9)) for r in found] == [(v, round(s, 9)) for v, s in exact]
+
+
+def test_suffix_tree_grows_with_the_corpus(docs_of):
+    from lodestone.llm.suffix_tree_lm import corpus_counts, learn_tree
+
+    rare = [(k, "qzjxv qzjxv") for k in range(2)]
+    for more in (0, 60):  # a context that a small corpus retains stays in a large one
+        docs = docs_of(rare + [(10 + k, "plain words stand here " * 4000) for k in range(more)])
+        counts = corpus_counts(docs, "text", 5).filter("gram IS NOT NULL").select("gram", "n")
+        tree = learn_tree(counts, 5, 2e-6, 0.01, 2.0, 0.75)
+        assert ord("q") in tree.contexts[1]
+
+
+def test_suffix_tree_in_tables_scores_as_in_a_broadcast(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.union(spark.createDataFrame([(None, "own words"), (-1, None), (-2, "")], "doc_id long, text string")).repartition(3)
+    training = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 0
+    a, b = (sorted(((repr(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, training, most_pairs=n).collect())) for n in (10**9, 0))
+    assert a == b and len(a) == 63
