@@ -9,8 +9,10 @@ n_et in which the term stands near the entity,
 
 and the term's disclosure of the entity is pmi / information, at most 1, which
 it reaches if the term stands nowhere else. A term with enough support whose
-disclosure exceeds a threshold is generalised where it stands near the entity,
-and removed above a second threshold. Base spans are always replaced. Documents
+disclosure exceeds a threshold is generalised wherever it stands in documents
+that hold the entity, and removed above a second threshold. Terms are runs of
+letters and digits of any length; one to three letters a-z, all lower-case,
+are judged only where the same word stands capitalised near an entity. Base spans are always replaced. Documents
 without an entity are left alone.
 
 Everything is DataFrame code. Positions count code points; a pattern's matches
@@ -44,8 +46,13 @@ PATTERNS = {
 }
 #: A character that every match holds, where one is rare enough to ask for first.
 HOLDS = {"email": "@", "phone": "+", "ip": "."}
-WORD = r"\p{L}{4,}+"
-#: Longer words are no terms.
+#: A term: letters with their marks and digits, of any length.
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: Still no candidates by themselves: tests hold that such words are none.
+SHORT = r"^[a-z]{1,3}$"
+#: Code points in a block of positions that meet in a join.
+BLOCK = 128
+#: Longest term of OP4_SQL.
 MOST_LETTERS = 40
 MOST_TERMS = 500_000
 
@@ -87,47 +94,44 @@ def protected_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(reduce(DataFrame.union, found), "spans"), some
 
 
-def nearby_words(spans: DataFrame, holders: DataFrame, reach: int) -> DataFrame:
-    """(doc, version, entity, term, start, end): words within reach of an entity that overlap no base span.
+def free_words(spans: DataFrame, holders: DataFrame) -> DataFrame:
+    """Write (doc, version, term, able, start, end): all words of documents with an entity that overlap no base span."""
+    placed = placed_matches(holders, TERM)
+    words = written(placed.select(*DOC, ascii_lower(F.col("match")).alias("term"), (~F.col("match").rlike(SHORT)).alias("able"), "start", "end"), "words")
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK), F.floor((b - 1) / BLOCK))).alias("block")
+    covered = spans.select(*DOC, F.col("start").alias("s"), F.col("end").alias("e"), blocks(F.col("start"), F.col("end")))
+    over = words.select(*DOC, "start", "end", blocks(F.col("start"), F.col("end")))
+    inside = over.join(covered, [*DOC, "block"]).filter("start < e AND end > s").select(*DOC, "start", "end").distinct()
+    return written(words.join(inside, [*DOC, "start", "end"], "left_anti"), "free")
 
-    Only the text at both sides of a span is looked at: reach code points and
-    MOST_LETTERS more, so that words of at most that length are whole.
-    """
-    text, size = F.col("text"), F.length("text")
-    begin = F.greatest(F.col("s") - reach - MOST_LETTERS, F.lit(0))
-    left = F.struct(begin.alias("at"), F.substring(text, begin.cast("int") + 1, (F.col("s") - begin).cast("int")).alias("part"), (begin == 0).alias("open"), F.lit(True).alias("shut"))
-    right = F.struct(F.col("e").alias("at"), F.substring(text, F.col("e").cast("int") + 1, F.lit(reach + MOST_LETTERS)).alias("part"), F.lit(True).alias("open"), (F.col("e") + reach + MOST_LETTERS >= size).alias("shut"))
-    at = spans.select(*DOC, "entity", F.col("start").alias("s"), F.col("end").alias("e"))
-    sides = at.join(holders, list(DOC)).select(*DOC, "entity", "s", "e", F.explode(F.array(left, right)).alias("x")).select(*DOC, "entity", "s", "e", "x.*")
-    sides = sides.withColumn("m", F.regexp_extract_all("part", F.lit(WORD), F.lit(0))).withColumn("p", F.split("part", WORD, -1)).filter(F.size("m") > 0)
-    until = lambda arr, k: F.aggregate(F.slice(arr, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
-    each = F.transform("m", lambda w, i: F.struct(w.alias("w"), (F.col("at") + until(F.col("p"), i + 1) + until(F.col("m"), i)).alias("start")))
-    words = sides.withColumn("z", F.explode(each)).select("*", F.col("z.start").alias("start"), (F.col("z.start") + F.length("z.w")).alias("end"), ascii_lower(F.col("z.w")).alias("term"))
-    whole = (F.col("open") | (F.col("start") > F.col("at"))) & (F.col("shut") | (F.col("end") < F.col("at") + F.length("part")))
+
+def nearby_words(spans: DataFrame, words: DataFrame, reach: int) -> DataFrame:
+    """(doc, version, entity, term), distinct: able words within reach of an entity."""
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK), F.floor(b / BLOCK))).alias("block")
+    around = spans.select(*DOC, "entity", F.col("start").alias("s"), F.col("end").alias("e"), blocks(F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach))
+    each = words.filter("able").select(*DOC, "term", "start", "end", blocks(F.col("start"), F.col("end")))
     close = (F.col("end") >= F.col("s") - reach) & (F.col("start") <= F.col("e") + reach)
-    words = words.filter(whole & close & (F.length("term") <= MOST_LETTERS)).select(*DOC, "entity", "term", "start", "end").distinct()
-    block = 128
-    covered = spans.select(*DOC, F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
-    over = words.select(*DOC, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block")).distinct()
-    inside = over.join(covered, [*DOC, "block"]).filter("start < e AND end > s").select(*DOC, "start", "end").distinct()
-    return words.join(inside, [*DOC, "start", "end"], "left_anti")
+    return each.join(around, [*DOC, "block"]).filter(close).select(*DOC, "entity", "term").distinct()
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, holders: DataFrame, reach: int, support: int, least: float) -> DataFrame:
-    """(doc, version, start, end, disclosure): terms near an entity whose disclosure is at least so much."""
-    near = written(nearby_words(spans, holders, reach), "near")
-    together = near.select(*DOC, "term", "entity").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    """(doc, version, start, end, disclosure): occurrences, in documents that hold an entity, of terms whose disclosure of it is at least so much."""
+    words = free_words(spans, holders)
+    near = nearby_words(spans, words, reach)
+    together = near.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
     together = written(together, "together")
     terms = written(together.select("term").distinct(), "terms")
-    of_entity = spans.select(*DOC, "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    every = docs.select(*DOC, F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)))).alias("term"))
+    held = written(spans.select(*DOC, "entity").distinct(), "held")
+    of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    every = docs.select(*DOC, F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
     of_term = every.join(sized(terms, MOST_TERMS), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = docs.count()
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     told = together.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0)).filter(F.col("disclosure") >= least)
     told = written(told.select("term", "entity", "disclosure"), "disclosing")
-    return near.join(sized(told, MOST_TERMS), ["term", "entity"]).groupBy(*DOC, "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    masked = written(held.join(sized(told, MOST_TERMS), "entity").groupBy(*DOC, "term").agg(F.max("disclosure").alias("disclosure")), "masked")
+    return words.join(sized(masked, MOST_TERMS), [*DOC, "term"]).select(*DOC, "start", "end", "disclosure").distinct()
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, support: int = 2, generalise_at: float = 0.8) -> DataFrame:

@@ -204,3 +204,15 @@ def test_suffix_tree_in_tables_scores_as_in_a_broadcast(spark, sf_dir):
     training = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 0
     a, b = (sorted(((repr(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, training, most_pairs=n).collect())) for n in (10**9, 0))
     assert a == b and len(a) == 63
+
+
+def test_revealing_terms_of_any_kind_and_everywhere(docs_of):
+    long = "w" * 60
+    names = ["Zebulon", "Li", "A7731", "李", long]
+    rows = [(k, f"the {' '.join(names[:4])} at me@example.org {long} " + f"and so on number x{k} " * 30 + " ".join(names)) for k in range(3)] + [(k, f"the day at and so on of the year number x{k}") for k in range(10, 60)]
+    docs = docs_of(rows)
+    found = private_spans(docs).filter("kind = 'term'").collect()
+    named = Counter((r.doc, rows[r.doc][1][r.start : r.end]) for r in found)
+    assert named == {(k, x): 2 for k in range(3) for x in names}
+    texts = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert not any(x in texts[k].split() for k in range(3) for x in names) and texts[10] == rows[3][1]
