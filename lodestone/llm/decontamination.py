@@ -14,7 +14,8 @@ Only tables of test words, and ids of documents up to a checked number, are
 broadcast; beyond that the same joins shuffle.
 
 Cases: a null or empty text has no words and is never hit; an item without
-words, or with a null id, has no windows; items that repeat an id count once a
+words has no windows; items with a null id are left out unless unnamed is set,
+as the query and the pipeline do, and then only their id is left out of the list; items that repeat an id count once a
 document; rows that repeat an id are told apart by their texts, and rows that
 repeat both get the same result each; a null id is kept; empty tables give no
 hits or no rows; other columns are ignored.
@@ -54,9 +55,9 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "
     return written(marked.select(*DOC, "term", "pos"), "postings")
 
 
-def test_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Write and return (item, item_id as text, j, term, n): the words of each item."""
-    kept = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w"))
+def test_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
+    """Write and return (item, item_id as text, j, term, n): the words of each item; unnamed: also of items without id."""
+    kept = items.filter(F.col(id_col).isNotNull() | F.lit(unnamed)).select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w"))
     numbered = kept.withColumn("item", F.monotonically_increasing_id())
     return written(numbered.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("j", "term")), "items")
 
@@ -101,24 +102,24 @@ def occurrences(index: DataFrame, item_words: DataFrame, found: DataFrame, width
     return runs.filter(F.col("last") - F.col("first") + 1 >= F.least(F.lit(width), "n")).select("item_id", *DOC, "first", "last")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
-    """For each document: doc, version, n_words, n_hit (words in occurring windows), items (their ids, sorted)."""
-    item_words = test_words(items, item_id_col, item_text_col)
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, unnamed: bool = False) -> DataFrame:
+    """For each document: doc, version, n_words, n_hit (words in occurring windows), items (their ids, sorted), unnamed (1 if an item without id is among them)."""
+    item_words = test_words(items, item_id_col, item_text_col, unnamed)
     index = build_index(docs, item_words, id_col, text_col)
     found = occurrences(index, item_words, alignments(index, anchors(item_words, index, width)), width)
     found = written(found, "occurrences")
     order = Window.partitionBy(*DOC).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select(*DOC, "first", "last").distinct().withColumn("reached", F.coalesce(F.max("last").over(order), F.lit(-1)))
     covered = spans.groupBy(*DOC).agg(F.sum(F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.col("reached") + 1) + 1)).alias("n_hit"))
-    named = found.groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    named = found.groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
     hit = covered.join(named, list(DOC))
     whole = index.filter(F.col("term") == END_MARK).select(*DOC, F.col("pos").cast("long").alias("n_words"))
-    return whole.join(hit, list(DOC), "left").select(*DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return whole.join(hit, list(DOC), "left").select(*DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("unnamed", F.lit(0)).alias("unnamed"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10, unnamed: bool = False) -> DataFrame:
     """docs without the documents that hold a whole window of a test item."""
-    hit = written(contamination(docs, items, id_col, text_col, width=width).filter("n_hit > 0").select(*DOC).distinct(), "contaminated")
+    hit = written(contamination(docs, items, id_col, text_col, width=width, unnamed=unnamed).filter("n_hit > 0").select(*DOC).distinct(), "contaminated")
     keyed = docs.select("*", *(c.alias(f"__key_{n}") for c, n in zip(document_key(id_col, text_col), DOC, strict=True)))
     small = sized(hit, MOST_DOC_IDS)
     same = [F.col(f"__key_{n}") == small[n] for n in DOC]
@@ -147,9 +148,9 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int, item_id_col
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     """The whole documents table against the whole benchmark table."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = contamination(docs, items)
+    found = contamination(docs, items, unnamed=True)
     doc = F.when(F.col("doc") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("doc"))
-    return found.select(doc.alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(doc.alias("doc_id"), "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -143,3 +143,21 @@ def test_proximity(spark, docs_of):
     items = spark.createDataFrame([(1, "red fox"), (2, "big")], "item_id long, text string")
     got = {(r.item_id, r.doc, r["first"], r["last"]) for r in proximity_matches(build_index(docs), items, 1).collect()}
     assert got == {("1", 1, 0, 2), ("1", 4, 0, 1), ("2", 1, 1, 1), ("2", 2, 2, 2), ("2", 3, 1, 1)}
+
+
+def test_contamination_by_items_without_id(spark, docs_of, tmp_path):
+    import duckdb
+
+    from lodestone.llm.decontamination import OP1_SQL, op1_decontamination
+
+    rows = [(1, "the secret passage stands here"), (2, "nothing to see"), (3, "secret passage and known answer")]
+    items = spark.createDataFrame([(None, "secret passage"), (4, "known answer")], "item_id long, text string")
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs_of(rows), str(tmp_path)).collect()} == {2}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, op1_decontamination(spark, str(tmp_path)).collect())) == sorted(con.execute(OP1_SQL).fetchall())
