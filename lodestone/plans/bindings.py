@@ -358,7 +358,7 @@ def staleness(spark, read):
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'matched' END AS outcome
 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 > 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
 def reconcile(spark, read):
-    return resolution.reconcile(read("documents").filter("doc_id % 3 > 0").select("doc_id"), read("labels").select("doc_id"), ["doc_id"])
+    return resolution.reconcile(read("documents").select("doc_id"), read("labels").select("doc_id"), ["doc_id"])
 
 
 EVENTS = "SELECT event_id, user_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events"
