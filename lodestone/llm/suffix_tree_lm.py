@@ -8,143 +8,137 @@ Kullback-Leibler divergence, or if a longer retained context needs it. The
 distribution of a retained context is smoothed by absolute discounting towards
 its parent's, the root's towards the uniform one. A symbol is scored from the
 longest retained suffix of what precedes it, across tokens. The retained
-contexts grow with the corpus: a tree too large for a broadcast stays in tables,
-which the distinct windows of all texts join level by level.
+contexts grow with the corpus; they stay in tables, which the distinct windows
+(a symbol with the depth bytes before it) of all texts join level by level.
 
-Beside it stands an add-one unigram score over whole tokens. Token counts cover
-the whole corpus: the most frequent tokens, a bounded number, go to all tasks,
-and the counts of all others reach their documents through a shuffle.
+Beside it stands an add-one unigram score over whole tokens. Counts of tokens
+and windows cover the whole corpus. The most frequent of each, a bounded number,
+go to all tasks; the values of all others reach their texts through a shuffle.
 
 Cases: a null text is empty and has its end alone; rows that repeat an id are
 scored one by one; null ids count as the empty text in the split; with no
-training rows every distribution is uniform; texts are taken whole; an empty
-table gives an empty result; other columns are ignored.
+training rows every distribution is uniform; texts are taken whole, the longest
+in pieces of about PIECE bytes; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import crc_mod, forget, sized, written
+from lodestone.llm._common import crc_mod, forget, lean, written
 
 END = b"\n"
 #: Stands for the end of a text among tokens; no token holds a blank.
 END_TOKEN = "\n"
+BLANKS = re.compile(rb"[ \t-\r]")
+PIECE = 1 << 20
 GROUP_BYTES = 1_000_000
-#: Texts that meet the probabilities of their windows in one task.
-PART_BYTES = 4_000_000
-#: Rows of a level that a broadcast may hold.
-MOST_CONTEXTS = 100_000
-#: A tree of up to so many pairs goes to all tasks; a larger one stays in tables that join the windows.
-MOST_PAIRS = 2_000_000
+EMPTY = np.uint64((1 << 64) - 1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, lower-cased in A-Z."""
-    return (text or "").encode().lower().split()
+def pieces(text: str | None) -> Iterator[tuple[list[bytes], bool]]:
+    """The tokens of a text, lower-cased in A-Z, in pieces cut at blanks, and whether a piece is the last."""
+    data, at = (text or "").encode().lower(), 0
+    while len(data) - at > PIECE and (m := BLANKS.search(data, at + PIECE)):
+        yield data[at : m.start()].split(), False
+        at = m.start()
+    yield data[at:].split(), True
 
 
-@dataclass(frozen=True)
-class SuffixTree:
-    """For each depth: retained contexts with the weight that goes to the parent, and (context, symbol) pairs with their own share.
-
-    A context is the number whose bytes are its symbols, the last one lowest.
-    """
-
-    contexts: tuple[np.ndarray, ...]
-    weights: tuple[np.ndarray, ...]
-    pairs: tuple[np.ndarray, ...]
-    shares: tuple[np.ndarray, ...]
-
-    @property
-    def depth(self) -> int:
-        return len(self.contexts) - 1
-
-
-def windows(stream: np.ndarray, depth: int) -> np.ndarray:
-    """At each place of a byte stream (begun by depth ends) the symbol in the lowest byte and the depth bytes before it above."""
-    n = len(stream) - depth
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(depth + 1):
-        out |= stream[depth - k : depth - k + n].astype(np.uint64) << np.uint64(8 * k)
-    return out
+def runs(texts: list[str | None], depth: int) -> Iterator[tuple[int, bytes, bytes, list[bytes], bool]]:
+    """Pieces of texts: text number, the depth bytes before, the symbols, the tokens, and whether the text ends here."""
+    for k, text in enumerate(texts):
+        context, begun = END * depth, False
+        for words, last in pieces(text):
+            symbols = (b" " if begun and words else b"") + b" ".join(words) + (END if last else b"")
+            if symbols:
+                yield k, context, symbols, words, last
+            context, begun = (context + symbols)[-depth:], begun or bool(words)
 
 
-def as_streams(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each begun by depth ends, and the number of symbols of each."""
-    parts = [b" ".join(x) + END for x in texts]
-    return np.frombuffer(b"".join(END * depth + x for x in parts), dtype=np.uint8), np.array([len(x) for x in parts])
+def grouped(texts: list[str | None], depth: int) -> Iterator[list[tuple[int, bytes, bytes, list[bytes], bool]]]:
+    """Runs in groups of about GROUP_BYTES."""
+    group: list = []
+    size = 0
+    for run in runs(texts, depth):
+        group.append(run)
+        size += len(run[2])
+        if size > GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
-def text_windows(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of all symbols of the texts, and each text's number of them."""
-    stream, sizes = as_streams(texts, depth)
-    every = windows(np.concatenate([np.full(depth, END[0], np.uint8), stream]), depth)
-    keep = np.ones(len(stream), dtype=bool)
+def run_windows(contexts: list[bytes], symbols: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol a number that holds it in the lowest byte and the depth bytes before it above, and where each run begins."""
+    sizes = np.array([len(x) for x in symbols])
+    stream = bytes(8) + b"".join(x for pair in zip(contexts, symbols, strict=True) for x in pair)
+    every = np.ndarray((len(stream) - 8,), ">u8", stream, 1, (1,))
     begins = np.cumsum(sizes + depth) - sizes - depth
+    keep = np.ones(len(every), dtype=bool)
     for k in range(depth):
         keep[begins + k] = False
-    return every[keep], sizes
+    return every[keep].astype(np.uint64) & np.uint64((1 << 8 * (depth + 1)) - 1), np.cumsum(sizes) - sizes
 
 
-def _grouped(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
-    group: list[list[bytes]] = []
-    size = 0
-    for text in texts:
-        group.append(tokens(text))
-        size += len(text or "") + 1
-        if size > GROUP_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+COUNTS = "token string, gram long, n long, uses long"
 
 
-def corpus_counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """Write and return (token, gram, n): each task's counts of tokens and of windows; one of the two is null."""
+def corpus_counts(docs: DataFrame, text_col: str, held_col: str, depth: int) -> DataFrame:
+    """Write and return (token, gram, n, uses): each task's counts of tokens and of windows; one of the two is null.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            if words:
-                yield batch_of(list(words), None, np.fromiter(words.values(), np.int64, len(words)))
-                words.clear()
-            if grams:
-                keys, counts = _merged(grams)
-                yield batch_of(None, keys.astype(np.int64), counts)
-                grams.clear()
-
-        def batch_of(token, gram, n) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([x.decode() for x in token], pa.string()) if token is not None else pa.nulls(len(n), pa.string()), pa.array(gram) if gram is not None else pa.nulls(len(n), pa.int64()), pa.array(n)], ["token", "gram", "n"])
+    n counts training texts, uses of windows counts all.
+    """
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        grams: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
+
+        def word_rows() -> pa.RecordBatch:
+            n = np.fromiter(words.values(), np.int64, len(words))
+            out = pa.record_batch([pa.array([x.decode() for x in words], pa.string()), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(n)], ["token", "gram", "n", "uses"])
+            words.clear()
+            return out
+
+        def gram_rows(held: bool) -> pa.RecordBatch:
+            keys, uses = _merged(grams[held])
+            grams[held].clear()
+            return pa.record_batch([pa.nulls(len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(np.zeros_like(uses) if held else uses), pa.array(uses)], ["token", "gram", "n", "uses"])
+
         for batch in batches:
-            for group in _grouped(batch.column(0).to_pylist()):
-                for x in group:
-                    words.update(x)
-                words[END] += len(group)
-                found = np.unique(text_windows(group, depth)[0], return_counts=True)
-                grams.append(found)
-                held += len(found[0])
-                if held > 2_000_000:
-                    grams[:] = [_merged(grams)]
-                    held = len(grams[0][0])
-                if held > 1_500_000 or len(words) > 700_000:  # pre-aggregated rows leave before memory fills
-                    yield from flush()
-                    held = 0
-        yield from flush()
-
-    return written(docs.select(text_col).mapInArrow(counted, "token string, gram long, n long"), "counts")
+            texts, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for held in (False, True):
+                for group in grouped([x for x, y in zip(texts, flags, strict=True) if y == held], depth):
+                    found = grams[held]
+                    found.append(np.unique(run_windows([x[1] for x in group], [x[2] for x in group], depth)[0], return_counts=True))
+                    if sum(len(x) for x, _ in found) > 2_500_000:
+                        found[:] = [_merged(found)]
+                        if len(found[0][0]) > 1_500_000:  # pre-aggregated rows leave before memory fills
+                            yield gram_rows(held)
+                    if not held:
+                        for x in group:
+                            words.update(x[3])
+                        words[END] += sum(x[4] for x in group)
+                        if len(words) > 700_000:
+                            yield word_rows()
+        if words:
+            yield word_rows()
+        for held in (False, True):
+            if grams[held]:
+                yield gram_rows(held)
+
+    return written(docs.select(text_col, held_col).mapInArrow(lean(counted), COUNTS), "counts")
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,224 +151,275 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def learn_levels(counts: DataFrame, depth: int, least_count: float, divergence: float, evidence: float, discount: float) -> list[tuple[DataFrame, DataFrame]]:
-    """Retain contexts and smooth their distributions: for each depth write (context, rest) and (gram, share).
-
-    least_count: contexts seen less often are not tested; a count and no share
-    of the corpus, so that the tree grows with it. divergence: least divergence
-    from the parent, in nats. evidence: least divergence times the context's
-    count for each of its symbols. All tests are joins and aggregates over the
-    grams, which stay in tables.
+def _mask(k: int) -> np.uint64:
+    """Of the symbol and k bytes of context."""
+    return np.uint64((1 << 8 * (k + 1)) - 1)
+
+
+class Level:
+    """All contexts of one length: grams (context and symbol) in order, their counts, and what is made of them."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(grams)
+        first = np.flatnonzero(np.append(True, np.diff(grams[order]) != 0)) if len(grams) else np.zeros(0, np.int64)
+        self.grams = grams[order][first]
+        self.n = np.add.reduceat(n[order], first) if len(first) else n[:0]
+        context = self.grams >> np.uint64(8)
+        self.begins = np.flatnonzero(np.append(True, np.diff(context) != 0)) if len(first) else first
+        self.contexts = context[self.begins]
+        self.sizes = np.diff(np.append(self.begins, len(self.grams)))
+        self.totals = self.sums(self.n)
+        self.kept = np.zeros(len(self.contexts), dtype=bool)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over each context's symbols."""
+        return np.add.reduceat(values, self.begins) if len(self.begins) else values[:0]
+
+    def shorter(self, k: int) -> Level:
+        """Contexts of k bytes from these, which have one more."""
+        return Level(self.grams & _mask(k), self.n)
+
+    def test(self, parent: Level, k: int, least: int, divergence: float, evidence: float) -> None:
+        """Retain contexts of k bytes whose symbols diverge from those of the parent."""
+        p = (parent.n / np.repeat(parent.totals, parent.sizes))[np.searchsorted(parent.grams, self.grams & _mask(k - 1))]
+        gain = self.sums(self.n * np.log(self.n / np.repeat(self.totals, self.sizes) / p))
+        self.kept |= (self.totals >= least) & (gain >= divergence * self.totals) & (gain >= evidence * self.sizes)
+
+    def keep(self, contexts: np.ndarray) -> None:
+        """Retain these, which longer ones need."""
+        self.kept |= np.isin(self.contexts, contexts)
+
+    def step(self, windows: np.ndarray, k: int, p: np.ndarray, inside: np.ndarray, discount: float) -> np.ndarray:
+        """p after this level; inside: windows whose contexts were retained so far, which this level narrows."""
+        if not len(self.grams):
+            inside &= False
+            return p
+        share = (self.n - np.minimum(discount, self.n / 2)) / np.repeat(self.totals, self.sizes)
+        rest = 1 - self.sums(share)
+        gram = windows & _mask(k)
+        at = np.minimum(np.searchsorted(self.contexts, gram >> np.uint64(8)), len(self.contexts) - 1)
+        inside &= (self.contexts[at] == gram >> np.uint64(8)) & self.kept[at]
+        own = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        return np.where(inside, np.where(self.grams[own] == gram, share[own], 0.0) + rest[at] * p, p)
+
+
+#: Levels that are learned in the driver. Their size is bounded by the alphabet: LOW bytes of context and a symbol.
+LOW = 2
+SUBTREE_ROWS = 1_000_000
+
+
+def in_subtrees(windows: DataFrame, solve, shape: str) -> DataFrame:
+    """Apply solve(gram, n, uses) to windows whose last LOW bytes of context are the same: whole subtrees, some at a time."""
+    key = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            of = batch.column(3).to_numpy()
+            new = np.flatnonzero(of[1:] != of[:-1]) + 1
+            if size and len(of) and of[0] != held[-1].column(3)[-1].as_py():
+                new = np.append(0, new)
+            if size + len(of) > SUBTREE_ROWS and len(new):
+                cut = int(new[-1])
+                yield from solve(*_columns([*held, batch.slice(0, cut)]))
+                held, size, batch = [], 0, batch.slice(cut)
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+        if held:
+            yield from solve(*_columns(held))
+
+    keyed = windows.select("gram", "n", "uses", key.cast("int").alias("subtree"))
+    return keyed.repartition("subtree").sortWithinPartitions("subtree").mapInArrow(lean(solved), shape)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+    return [np.concatenate([x.column(k).to_numpy() for x in batches]) for k in range(3)]
+
+
+def learned(gram: np.ndarray, n: np.ndarray, low: Level, depth: int, least: int, divergence: float, evidence: float) -> list[Level]:
+    """Levels LOW + 1 to depth of some subtrees, with the contexts that the tests retain; low: the level below."""
+    levels = [Level(gram[n > 0].astype(np.uint64), n[n > 0])]
+    for k in range(depth - 1, LOW, -1):
+        levels.append(levels[-1].shorter(k))
+    levels.reverse()
+    for k in range(depth, LOW, -1):
+        level = levels[k - LOW - 1]
+        level.test(levels[k - LOW - 2] if k > LOW + 1 else low, k, least, divergence, evidence)
+        if k < depth:
+            above = levels[k - LOW]
+            level.keep(above.contexts[above.kept] & _mask(k - 1))
+    return levels
+
+
+def window_logs(windows: DataFrame, depth: int, least_count: float, divergence: float, evidence: float, discount: float) -> DataFrame:
+    """Learn the tree from windows (gram, n, uses) and write (window, uses, log): log10 of each one's symbol after its longest retained context.
+
+    n is a window's training count, zero if it is only scored. least_count:
+    contexts seen less often are not tested; a count and no share of the corpus,
+    so that the tree grows with it. divergence: least divergence from the
+    parent, in nats. evidence: least divergence times the context's count for
+    each of its symbols. Contexts of up to LOW bytes are learned in the driver;
+    the longer ones below each of them are a subtree, learned where its windows
+    meet, twice: first to tell which short contexts they need.
     """
-    least = max(2, int(least_count))
-    context = F.shiftright("gram", 8)
-    levels: list[DataFrame] = []
-    source = counts
-    for k in range(depth, -1, -1):
-        shifted = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        source = written(source.groupBy(shifted.alias("gram")).agg(F.sum("n").alias("n")), f"grams{k}")
-        totals = source.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).filter((F.col("total") >= least) | F.lit(k == 0))
-        totals = sized(written(totals, f"totals{k}"), MOST_CONTEXTS)
-        levels.append(written(source.withColumn("context", context).join(totals, "context").select("gram", "n", "context", "total"), f"tested{k}"))
+    spark, least = windows.sparkSession, max(2, int(least_count))
+    short = F.col("gram").bitwiseAND(F.lit(int(_mask(LOW))))
+    rows = windows.filter("n > 0").groupBy(short.alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    levels = [Level(rows["gram"].to_numpy().astype(np.uint64), rows["n"].to_numpy())]
+    for k in range(LOW - 1, -1, -1):
+        levels.append(levels[-1].shorter(k))
     levels.reverse()
-    out: list[tuple[DataFrame, DataFrame]] = []
-    longer: DataFrame | None = None
-    for k in range(depth, -1, -1):
-        kept = levels[k].select("context").distinct()
-        if k:
-            above = sized(levels[k - 1].select(F.col("gram").alias("parent"), (F.col("n") / F.col("total")).alias("p")), MOST_CONTEXTS)
-            met = levels[k].withColumn("parent", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(above, "parent")
-            gains = met.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("gain"), F.first("total").alias("total"), F.count(F.lit(1)).alias("each"))
-            kept = gains.filter((F.col("gain") >= divergence * F.col("total")) & (F.col("gain") >= evidence * F.col("each"))).select("context")
-            if longer is not None:
-                kept = kept.union(longer.select(F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)))).distinct()
-        longer = written(kept, f"kept{k}")
-        share = (F.col("n") - F.least(F.lit(discount), F.col("n") / 2)) / F.col("total")
-        pairs = written(levels[k].join(sized(longer, MOST_CONTEXTS), "context", "left_semi").select("gram", share.alias("share")), f"pairs{k}")
-        out.append((written(pairs.groupBy(context.alias("context")).agg((1 - F.sum("share")).alias("rest")), f"contexts{k}"), pairs))
-    for x in levels:
-        forget(x)
-    return out[::-1]
-
-
-def collected(levels: list[tuple[DataFrame, DataFrame]]) -> SuffixTree:
-    """The tree as arrays, each in order."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for level in levels:
-        for at, table in zip((0, 2), level, strict=True):
-            key, value = (x.to_numpy() for x in table.toArrow().columns)
-            order = np.argsort(key)
-            out[at].append(key[order].astype(np.uint64))
-            out[at + 1].append(value[order].astype(np.float64))
-    return SuffixTree(*(tuple(x) for x in out))
-
-
-def learn_tree(counts: DataFrame, depth: int, least_count: float, divergence: float, evidence: float, discount: float) -> SuffixTree:
-    """The retained contexts of learn_levels, all in the driver."""
-    return collected(learn_levels(counts, depth, least_count, divergence, evidence, discount))
-
-
-def log10_probabilities(tree: SuffixTree, window: np.ndarray) -> np.ndarray:
-    """log10 of each window's symbol after its longest retained context."""
-    p = np.full(len(window), 1 / 256)
-    inside = np.ones(len(window), dtype=bool)
-    for k in range(tree.depth + 1):
-        if not len(tree.contexts[k]):
-            break
-        gram = window & np.uint64((1 << 8 * (k + 1)) - 1)
-        context = gram >> np.uint64(8)
-        at = np.minimum(np.searchsorted(tree.contexts[k], context), len(tree.contexts[k]) - 1)
-        inside &= tree.contexts[k][at] == context  # contexts are closed under suffixes
-        own = np.minimum(np.searchsorted(tree.pairs[k], gram), len(tree.pairs[k]) - 1)
-        share = np.where(tree.pairs[k][own] == gram, tree.shares[k][own], 0.0)
-        p = np.where(inside, share + tree.weights[k][at] * p, p)
-    return np.log10(p)
-
-
-def tree_scores(tree: SuffixTree, texts: list[list[bytes]]) -> np.ndarray:
-    """The model's log10 probability of each text."""
-    return _summed(texts, tree.depth, lambda unique: log10_probabilities(tree, unique))
-
-
-def _summed(texts: list[list[bytes]], depth: int, logs: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    window, sizes = text_windows(texts, depth)
-    unique, place = np.unique(window, return_inverse=True)
-    return np.add.reduceat(logs(unique)[place], np.cumsum(sizes) - sizes)
-
-
-def window_logs(found: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(window, log) for distinct windows, by joins with each level of a tree that is too large for a broadcast."""
-    now = found.withColumn("p", F.lit(1 / 256))
-    done: DataFrame | None = None
-    for k, (contexts, pairs) in enumerate(levels):
-        gram = F.col("window").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        keyed = now.withColumn("gram", gram).withColumn("context", F.shiftright("gram", 8))
-        met = written(keyed.join(sized(contexts, MOST_CONTEXTS), "context", "left").join(sized(pairs, MOST_CONTEXTS), "gram", "left").select("window", "p", "rest", "share"), f"walk{k}")
-        ended = met.filter("rest IS NULL").select("window", "p")  # contexts are closed under suffixes
-        done = ended if done is None else done.union(ended)
-        now = met.filter("rest IS NOT NULL").select("window", (F.coalesce("share", F.lit(0.0)) + F.col("rest") * F.col("p")).alias("p"))
-    whole = now if done is None else done.union(now)
-    return written(whole.select("window", F.log10("p").alias("log")), "logs")
-
-
-def grouped_texts(rows: DataFrame, kind: str) -> DataFrame:
-    """Write (part, doc, text, held_out): rows in parts of about PART_BYTES of text."""
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, size = TaskContext.get().partitionId() << 20, 0
-        for batch in batches:
-            part = []
-            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
-                part.append(begin + size // PART_BYTES)
-                size += n + 1
-            yield pa.record_batch([pa.array(part, pa.int64()), *batch.columns], ["part", "doc", "text", "held_out"])
-
-    return written(rows.mapInArrow(dealt, f"part long, doc {kind}, text string, held_out boolean"), "texts")
+    below = spark.sparkContext.broadcast(levels[LOW])
 
+    def needed(gram, n, uses) -> Iterator[pa.RecordBatch]:
+        level = learned(gram, n, below.value, depth, least, divergence, evidence)[0]
+        yield pa.record_batch([pa.array(np.unique(level.contexts[level.kept] & _mask(LOW - 1)).astype(np.int64))], ["context"])
 
-def part_windows(texts: DataFrame, depth: int) -> DataFrame:
-    """Write (part, window): the distinct windows of each part."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = batch.column(0).to_numpy()
-            for part in np.unique(parts):
-                own = [x for x, p in zip(batch.column(1).to_pylist(), parts, strict=True) if p == part]
-                for group in _grouped(own):
-                    unique = np.unique(text_windows(group, depth)[0])
-                    yield pa.record_batch([pa.array(np.full(len(unique), part)), pa.array(unique.astype(np.int64))], ["part", "window"])
-
-    return written(texts.select("part", "text").mapInArrow(found, "part long, window long").distinct(), "windows")
+    wanted = [r[0] for r in in_subtrees(windows, needed, "context long").distinct().collect()] if depth > LOW else []  # at most 256 to the power of LOW
+    need = np.array(wanted, dtype=np.uint64)
+    for k in range(LOW, -1, -1):
+        if k:
+            levels[k].test(levels[k - 1], k, least, divergence, evidence)
+        levels[k].keep(need)
+        need = levels[k].contexts[levels[k].kept] & (_mask(k - 2) if k > 1 else np.uint64(0))
+    levels[0].kept[:] = True
+    lower = spark.sparkContext.broadcast(levels)
+
+    def logs(gram, n, uses) -> Iterator[pa.RecordBatch]:
+        window, low = gram.astype(np.uint64), lower.value
+        every = [*low, *learned(gram, n, low[LOW], depth, least, divergence, evidence)]
+        p, inside = np.full(len(window), 1 / 256), np.ones(len(window), dtype=bool)
+        for k, level in enumerate(every[: depth + 1]):
+            p = level.step(window, k, p, inside, discount)
+        yield pa.record_batch([pa.array(gram), pa.array(uses), pa.array(np.log10(p))], ["window", "uses", "log"])
+
+    out = written(in_subtrees(windows, logs, "window long, uses long, log double"), "logs")
+    below.destroy()
+    lower.destroy()
+    return out
 
 
-def frequent_tokens(token_counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
-    """Tokens with at least a count that no more than so many reach, and that count."""
-    by_count = sorted(((r["n"], r["k"]) for r in token_counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(most).collect()), reverse=True)
+class ValueTable:
+    """Values of 64-bit keys by open addressing, at most half full; looked up for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, EMPTY)
+        self.values = np.zeros(1 << self.bits)
+        place, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[place] == EMPTY
+            self.keys[place[free]] = keys[left[free]]
+            settled = self.keys[place] == keys[left]
+            self.values[place[settled]] = values[left[settled]]
+            left, place = left[~settled], (place[~settled] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's value, zero for those that are not there, and the numbers of the latter."""
+        place = self._slots(keys)
+        out = self.values[place]
+        left = np.flatnonzero(self.keys[place] != keys)
+        place, missing = place[left], []
+        while len(left):
+            gone = self.keys[place] == EMPTY
+            out[left[gone]] = 0
+            missing.append(left[gone])
+            left, place = left[~gone], (place[~gone] + 1) & (len(self.keys) - 1)
+            out[left] = self.values[place]
+            other = self.keys[place] != keys[left]
+            left, place = left[other], place[other]
+        return out, np.concatenate(missing) if missing else left
+
+
+def least_frequent(table: DataFrame, column: str, most: int) -> int:
+    """The least count that no more than so many rows of the table reach."""
+    by_count = sorted(((r[0], r["k"]) for r in table.groupBy(column).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc(column)).limit(most).collect()), reverse=True)
     total, least = 0, 1
     for n, k in by_count:
-        if total + k > most:
-            least = n + 1
-            break
         total += k
-    return {r["token"].encode(): r["n"] for r in token_counts.filter(F.col("n") >= least).toLocalIterator()}, least
+        if total > most:
+            return n + 1
+        least = n
+    return least
 
 
-PARTIAL = "row long, doc {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<token:string,n:bigint>>"
+PARTIAL = "row long, doc {kind}, held_out boolean, n_tokens long, known long, logs double, score double, words array<struct<token:string,n:bigint>>, grams array<bigint>"
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_count: int = 2, divergence: float = 0.01, evidence: float = 2.0, discount: float = 0.75, most_frequent: int = 300_000, most_pairs: int = MOST_PAIRS) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_count: int = 2, divergence: float = 0.01, evidence: float = 2.0, discount: float = 0.75, most_frequent: int = 300_000, most_windows: int = 1 << 21) -> DataFrame:
     """Learn from the rows that training selects and score all.
 
-    Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and score.
+    Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and
+    score. depth: 2 to 7 bytes of context. most_frequent and most_windows
+    bound what goes to all tasks and change no result.
     """
+    if not LOW <= depth <= 7:
+        raise ValueError(f"contexts have {LOW} to 7 bytes")
     spark = docs.sparkSession
     rows = docs.select(id_col, text_col, (~F.coalesce(training, F.lit(False))).alias("_held_out"))
-    counts = corpus_counts(rows.filter("NOT _held_out"), text_col, depth)
-    levels = learn_levels(counts.filter("gram IS NOT NULL").select("gram", "n"), depth, least_count, divergence, evidence, discount)
+    counts = corpus_counts(rows, text_col, "_held_out", depth)
+    windows = written(counts.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "windows")
     vocabulary = written(counts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")), "vocabulary")
     forget(counts)
-    size, total = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    table, least = frequent_tokens(vocabulary, most_frequent)
-    table.setdefault(END_TOKEN.encode(), 0)
-    frequent = spark.sparkContext.broadcast(table)
-
-    def scored(ids, texts: list[str | None], held, score_of: Callable[[list[list[bytes]]], np.ndarray], row: int) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        at = 0
-        for group in _grouped(texts):
-            done = []
-            for words, score in zip(group, score_of(group), strict=True):
-                own = Counter(words)
-                own[END] += 1
-                rare = [(x.decode(), n) for x, n in own.items() if x not in known]
-                seen = sum(n for x, n in own.items() if known.get(x))
-                logs = sum(float(np.log10(known[x] + 1)) * n for x, n in own.items() if x in known)
-                done.append((row, len(words) + 1, seen, logs, float(score), [{"token": x, "n": n} for x, n in rare]))
-                row += 1
-            columns = list(zip(*done, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))
-            arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
-            part = slice(at, at + len(group))
-            yield pa.record_batch([arrays[0], ids[part], held[part], *arrays[1:]], ["row", "doc", "held_out", "n_tokens", "known", "logs", "score", "rare"])
-            at += len(group)
-
-    form = PARTIAL.format(kind=docs.schema[id_col].dataType.simpleString())
-    if sum(pairs.count() for _, pairs in levels) <= most_pairs:
-        tree = spark.sparkContext.broadcast(collected(levels))
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row = TaskContext.get().partitionId() << 40
-            for batch in batches:
-                yield from scored(batch.column(0), batch.column(1).to_pylist(), batch.column(2), lambda x: tree_scores(tree.value, x), row)
-                row += batch.num_rows
-
-        found = rows.mapInArrow(partial, form)
-    else:
-        texts = grouped_texts(rows, docs.schema[id_col].dataType.simpleString())
-        windows_of = part_windows(texts, depth)
-        logs = window_logs(windows_of.select("window").distinct(), levels)
-        known_logs = windows_of.join(logs, "window").select("part", "window", "log")
-
-        def met(own: pa.Table, logs: pa.Table) -> pa.Table:
-            key, value = (logs[c].to_numpy() for c in ("window", "log"))
-            order = np.argsort(key)
-            key, value = key[order].astype(np.uint64), value[order]
-            of = lambda x: _summed(x, depth, lambda unique: value[np.searchsorted(key, unique)])
-            begin = own["part"][0].as_py() << 23
-            whole = own.combine_chunks()
-            ids, held = (pa.concat_arrays(whole[c].chunks) for c in ("doc", "held_out"))
-            return pa.Table.from_batches(list(scored(ids, whole["text"].to_pylist(), held, of, begin)))
-
-        found = texts.groupBy("part").cogroup(known_logs.groupBy("part")).applyInArrow(met, form)
-    done = written(found, "partial")
-    rare = done.select("row", F.explode("rare").alias("r")).select("row", "r.token", F.col("r.n").alias("times"))
-    found = rare.join(vocabulary.filter(F.col("n") < least), "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"))
+    logs = window_logs(windows, depth, least_count, divergence, evidence, discount)
+    forget(windows)
+    often = least_frequent(logs, "uses", most_windows)
+    found = logs.filter(F.col("uses") >= often).select("window", "log").toArrow()
+    table = spark.sparkContext.broadcast(ValueTable(found["window"].to_numpy().astype(np.uint64), found["log"].to_numpy()))
+    size, total, ends = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.when(F.col("token") == END_TOKEN, F.col("n"))), F.lit(0))).first()
+    least = least_frequent(vocabulary, "n", most_frequent)
+    values = {r["token"].encode(): float(np.log10(r["n"] + 1)) for r in vocabulary.filter(F.col("n") >= least).toLocalIterator()}
+    frequent = spark.sparkContext.broadcast(values | {END: float(np.log10(ends + 1))})  # every text has an end
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_of, windows_of = frequent.value.get, table.value
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for group in grouped(batch.column(1).to_pylist(), depth):
+                window, begins = run_windows([x[1] for x in group], [x[2] for x in group], depth)
+                value, missing = windows_of.get(window)
+                scores = np.add.reduceat(value, begins)
+                owner = np.searchsorted(begins, missing, side="right") - 1
+                other: list = [None] * len(group)
+                for k in np.unique(owner).tolist():
+                    other[k] = window[missing[owner == k]].astype(np.int64)
+                done = []
+                for _, _, _, words, last in group:
+                    seen, base, rare = 0, 0.0, []
+                    for x, n in Counter(words + [END] * last).items():
+                        v = log_of(x)
+                        if v is None:
+                            rare.append({"token": x.decode(), "n": n})
+                        elif v:
+                            seen += n
+                            base += v * n
+                    done.append((len(words) + last, seen, base, rare))
+                numbers = np.array([x[0] for x in group])
+                columns = list(zip(*done, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))
+                n_tokens, known, base, rare = (pa.array(x, t) for x, t in zip(columns, kinds, strict=True))
+                take = pa.array(numbers)
+                yield pa.record_batch([pa.array(row + numbers), batch.column(0).take(take), batch.column(2).take(take), n_tokens, known, base, pa.array(scores), rare, pa.array(other, pa.list_(pa.int64()))], ["row", "doc", "held_out", "n_tokens", "known", "logs", "score", "words", "grams"])
+            row += batch.num_rows
+
+    done = written(rows.mapInArrow(lean(partial), PARTIAL.format(kind=docs.schema[id_col].dataType.simpleString())), "partial")
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    rare = done.select("row", F.explode("words").alias("r")).select("row", "r.token", F.col("r.n").alias("times"))
+    rare = rare.join(vocabulary.filter(F.col("n") < least), "token").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    other = done.select("row", F.explode("grams").alias("window")).groupBy("row", "window").agg(F.count(F.lit(1)).alias("times"))
+    other = other.join(logs.filter(F.col("uses") < often), "window").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("score"))
+    same = ["row", F.lit(None).cast(docs.schema[id_col].dataType).alias("doc"), F.lit(None).cast("boolean").alias("held_out"), zero.alias("n_tokens")]
+    parts = done.select("row", "doc", "held_out", "n_tokens", "known", "logs", "score")
+    parts = parts.union(rare.select(*same, "known", "logs", none.alias("score"))).union(other.select(*same, zero.alias("known"), none.alias("logs"), "score"))
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "known", "logs", "score")]
+    whole = parts.groupBy("row").agg(F.max("doc").alias("doc"), F.max("held_out").alias("held_out"), *sums)
     log_all = float(np.log10(total + size + 1))
-    whole = done.drop("rare").join(found, "row", "left")
-    return whole.select(
-        F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score",
-    )
+    return whole.select(F.col("doc").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score")
 
 
 def op3_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestone.llm.language_id import Profiles, identify_language, learn_profile
 from lodestone.llm.nearest_neighbours import hadamard, nearest_in_block, nearest_neighbours
 from lodestone.llm.sanitisation import op4_sanitisation, private_spans, sanitise
 from lodestone.llm.simhash import drop_near_duplicates, near_duplicates, simhash
-from lodestone.llm.suffix_tree_lm import SuffixTree, log10_probabilities, score_texts, text_windows
+from lodestone.llm.suffix_tree_lm import score_texts
 
 AWKWARD = [(1, None), (2, ""), (3, "123 !?"), (4, "É"), (None, "plain words here"), (5, "plain words here"), (5, "plain words here"), (6, "w" * 50_000)]
 
@@ -53,19 +53,6 @@ def test_suffix_tree_scores(spark, sf_dir):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and got[i].score < 0
 
 
-def test_suffix_tree_distributions_sum_to_one(docs_of):
-    from lodestone.llm.suffix_tree_lm import corpus_counts, learn_tree
-
-    docs = docs_of([(k, "abracadabra abra cadabra " * 30) for k in range(5)])
-    counts = corpus_counts(docs, "text", 3).filter("gram IS NOT NULL").select("gram", "n")
-    tree = learn_tree(counts, 3, 1e-6, 0.01, 1.0, 0.5)
-    assert isinstance(tree, SuffixTree) and len(tree.contexts[2])  # two letters tell the third here
-    for context in (b"abr", b"rac", b"zzz", b" ab"):
-        window = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], dtype=np.uint64)
-        assert abs((10 ** log10_probabilities(tree, window)).sum() - 1) < 1e-9
-    assert len(text_windows([[b"ab"], []], 3)[0]) == 4  # a, b, end; end
-
-
 def test_suffix_tree_of_awkward_rows(docs_of):
     docs = docs_of(AWKWARD)
     got = score_texts(docs, F.lit(True)).collect()
@@ -187,25 +174,6 @@ def test_neighbours_where_ids_repeat(spark):
         assert [(r.vec_id, round(r.score, 9)) for r in found] == [(v, round(s, 9)) for v, s in exact]
 
 
-def test_suffix_tree_grows_with_the_corpus(docs_of):
-    from lodestone.llm.suffix_tree_lm import corpus_counts, learn_tree
-
-    rare = [(k, "qzjxv qzjxv") for k in range(2)]
-    for more in (0, 60):  # a context that a small corpus retains stays in a large one
-        docs = docs_of(rare + [(10 + k, "plain words stand here " * 4000) for k in range(more)])
-        counts = corpus_counts(docs, "text", 5).filter("gram IS NOT NULL").select("gram", "n")
-        tree = learn_tree(counts, 5, 2e-6, 0.01, 2.0, 0.75)
-        assert ord("q") in tree.contexts[1]
-
-
-def test_suffix_tree_in_tables_scores_as_in_a_broadcast(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
-    docs = docs.union(spark.createDataFrame([(None, "own words"), (-1, None), (-2, "")], "doc_id long, text string")).repartition(3)
-    training = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 0
-    a, b = (sorted(((repr(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, training, most_pairs=n).collect())) for n in (10**9, 0))
-    assert a == b and len(a) == 63
-
-
 def test_revealing_terms_of_any_kind_and_everywhere(docs_of):
     long = "w" * 60
     names = ["Zebulon", "Li", "A7731", "李", long]
