@@ -1,25 +1,27 @@
 """Repeated byte windows by depth-limited radix sort.
 
 Every window of width bytes is ordered by digits, most significant first, and
-no further than its width; windows in one last group are equal.
+no further than its width. After each digit only groups that still hold several
+documents go on; the groups left after the last digit are the repeated windows.
 
 The first digit is the window's anchor: of all grams of GRAM bytes inside it the
 one with the least hash, so that equal windows share anchor and offset, and
-neighbouring windows mostly share one anchor and go through the passes together
-as one block. Two Bloom filters over anchors leave out those that stand once.
-The second digit is the block as a whole: the windows of equal blocks are equal.
-Only where an anchor has several blocks a last pass orders their single windows:
-in tasks that hold all blocks of an anchor, or, for anchors with very many, by a
-shuffle on the windows' own hashes. Each group keeps its least document id, so
-copies collapse before they meet.
-
-64 bits of hash stand for a gram and 64 more for a block or window: two
-different windows are held equal only where all 128 agree.
+neighbouring windows mostly share one anchor. That pass is distributed: records
+of all anchors are dealt by the leading bits of the gram's hash, sorted, and
+those whose gram stands in several documents come back to their texts. Only
+these fetch their bytes: a block is all that the anchor's windows cover. Blocks
+meet by gram again, equal ones of a part of the corpus as one. There they are
+compared byte by byte: grams first, then whole blocks (the windows of a block
+that has its gram for itself are settled at once), then single windows by digits
+of eight bytes. Hashes decide only where records meet, never what is equal.
+
+Documents of one text are resolved beforehand: all but those of the least id
+lose what any window covers. Records travel packed, many to a row.
 
 Cases: a null text is empty; texts shorter than a window lose nothing; a null
 id comes after all others; rows that repeat an id count as one document, and
-each loses its own bytes; an empty table gives an empty result; other columns
-are ignored.
+each loses its own bytes; long texts are taken in slices that overlap by a
+window; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +30,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import NULL_ID, forget, power_of_two, sized, written
-from lodestone.llm.line_dedup import SEGMENT_BITS, SEGMENT_BYTES, _fold, _packed, _segments, _set, _test, _unpacked, bit_places
-from lodestone.llm.tokenizer_fst import _power_tables
+from lodestone.llm._common import NULL_ID, forget, lean, sized, written
 
 GRAM = 24
 GROUP_BYTES = 400_000
-#: Blocks of one anchor that a task orders itself.
-MANY = 4096
-MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Text bytes in a part, and about as many bytes of records for a key of the radix passes.
+PART_BYTES = 8_000_000
+SLICE_BYTES = 1 << 22
+FLUSH = 1_500_000
+#: Of a place in a group of texts; longer groups are refused.
+PLACE_BITS = 24
+#: Texts that stand several times, up to which the table of their hashes is broadcast.
+MOST_COPIED = 500_000
+MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("at", "<u4")])
+PLACE = np.dtype([("doc", "<i8"), ("version", "<i8"), ("at", "<u4")])
+OCCURRENCE = np.dtype([("block", "<u4"), ("doc", "<i8"), ("version", "<i8"), ("low", "<u4")])
+BLOCK = np.dtype([("first", "<i8"), ("last", "<i8"), ("part", "<u4"), ("number", "<u4"), ("lead", "<u4"), ("size", "<u4")])
+VERDICT = np.dtype([("number", "<u4"), ("head", "<u4"), ("tail", "<u4"), ("least", "<i8")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,26 +67,25 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def prefix_sums(data: bytes) -> np.ndarray:
-    """Sums that give the polynomial hash of any stretch of the data."""
-    up, _ = _power_tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
+def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Each hash's key below n, by its leading bits."""
+    return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def stretch_hashes(sums: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of data[first:stop]."""
-    _, down = _power_tables(len(sums))
-    return _mixed((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64) * MIX[2])
+def part_of(doc: np.ndarray, version: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the corpus that a document belongs to."""
+    return dealt(_mixed(_mixed(doc.astype(np.uint64) * MIX[0]) ^ version.astype(np.uint64)), parts)
 
 
 def anchored_blocks(data: bytes, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Over texts put one after the other: each anchor's place, the first and last start of its windows, and its hash."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     if len(data) < width:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return none
+    if len(data) >> PLACE_BITS:
+        raise ValueError("slices are too long")
     hashes = gram_hashes(data)
-    bits = np.uint64(max(20, len(data).bit_length()))
+    bits = np.uint64(PLACE_BITS)  # the same for all texts, so that equal windows choose alike
     least = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     reach, span = width - GRAM + 1, 1
     while 2 * span <= reach:
@@ -90,262 +99,352 @@ def anchored_blocks(data: bytes, sizes: np.ndarray, width: int) -> tuple[np.ndar
         inside[np.maximum(stops - k, 0)] = False
     starts = np.flatnonzero(inside[:n])
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return none
     chosen = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
     place = chosen[new]
     return place, starts[new], starts[np.append(new[1:], len(starts)) - 1], hashes[place]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Documents (id, bytes) in groups of about GROUP_BYTES."""
+def grouped(batches: Iterator[pa.RecordBatch], width: int, slice_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts of columns doc, version, text in groups of about GROUP_BYTES, long ones in slices: doc, version, first byte's place, bytes."""
+    group: list[tuple[int, int, int, bytes]] = []
+    size = 0
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(doc)
-            texts.append((text or "").encode())
-            size += len(texts[-1])
-            if size > GROUP_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
-
-
-def _filled(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Both filters of one task over anchors; an anchor counts once a document."""
-    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for _, texts in _grouped(batches):
-        sizes = np.array([len(x) for x in texts])
-        place, _, _, hashes = anchored_blocks(b"".join(texts), sizes, width)
-        owner = np.searchsorted(np.cumsum(sizes), place, side="right")
-        order = np.lexsort((owner, hashes))
-        hashes, owner = hashes[order], owner[order]
-        other = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])) if len(hashes) else np.zeros(0, bool)
-        unique, counts = np.unique(hashes[other], return_counts=True)
-        first, second = bit_places(unique, bits)
-        again = (counts > 1) | (_test(once, first) & _test(once, second))
-        for x in (first[again], second[again]):
-            _set(twice, x)
-        for x in (first, second):
-            _set(once, x)
-    a, b = once.reshape(-1, SEGMENT_BYTES), twice.reshape(-1, SEGMENT_BYTES)
-    used = np.flatnonzero(a.any(axis=1))
-    for k in range(0, len(used), 256):
-        yield _segments([(int(i), _packed(a[i]), _packed(b[i])) for i in used[k : k + 256]])
-
-
-def repeated_anchor_filter(pairs: DataFrame, bits: int, width: int) -> np.ndarray:
-    """Bits of anchors that may stand in two documents; bits / 8 bytes, whatever the input."""
-    shape = "segment int, once binary, twice binary"
-    folded = written(pairs.mapInArrow(lambda it: _filled(it, bits, width), shape).repartition("segment").mapInArrow(_fold, shape), "filter")
-    out = np.zeros((bits // SEGMENT_BITS, SEGMENT_BYTES), np.uint8)
-    for row in folded.select("segment", "twice").toLocalIterator():
-        out[row.segment] = _unpacked(bytes(row.twice))
-    forget(folded)
-    return out.reshape(-1)
-
-
-OCCURRENCE = "anchor long, block long, doc long, version long, start int, size int, lead int, bytes binary"
-
-
-def version_of(text: bytes) -> int:
-    """Tells rows of one id apart."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch], shared, bits: int, width: int, unique_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks of suspected anchors; the bytes come with the first of each kind that a task meets."""
-    bitmap = shared.value
-    seen: set[int] = set()
-    for ids, texts in _grouped(batches):
-        sizes = np.array([len(x) for x in texts])
-        data = b"".join(texts)
-        place, low, high, hashes = anchored_blocks(data, sizes, width)
-        a, b = bit_places(hashes, bits)
-        kept = _test(bitmap, a) & _test(bitmap, b)
-        place, low, high, hashes = place[kept], low[kept], high[kept], hashes[kept]
-        if not len(place):
-            continue
-        stop = high + width
-        block = _mixed(stretch_hashes(prefix_sums(data), low, stop) + (place - low).astype(np.uint64) * MIX[0]).astype(np.int64)
-        bounds = np.cumsum(sizes)
-        owner = np.searchsorted(bounds, low, side="right")
-        if len(seen) > 300_000:
-            seen.clear()
-        texts_of = []
-        for x, f, s in zip(block.tolist(), low.tolist(), stop.tolist(), strict=True):
-            if x in seen:
-                texts_of.append(None)
-            else:
-                seen.add(x)
-                texts_of.append(data[f:s])
-        versions = np.array([0 if unique_ids else version_of(x) for x in texts], dtype=np.int64)
-        yield pa.record_batch(
-            [pa.array(hashes.astype(np.int64)), pa.array(block), pa.array(np.array(ids, dtype=np.int64)[owner]), pa.array(versions[owner]), pa.array((low - (bounds - sizes)[owner]).astype(np.int32)), pa.array((stop - low).astype(np.int32)), pa.array((place - low).astype(np.int32)), pa.array(texts_of, pa.binary())],
-            ["anchor", "block", "doc", "version", "start", "size", "lead", "bytes"],
-        )
-
-
-def block_windows(anchor: np.ndarray, lead: np.ndarray, data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of blocks: block number, place in the block, and a hash of anchor, offset and bytes."""
-    sizes = np.array([len(x) for x in data])
-    counts = sizes - width + 1
-    block = np.repeat(np.arange(len(data)), counts)
-    at = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = (np.cumsum(sizes) - sizes)[block] + at
-    hashes = stretch_hashes(prefix_sums(b"".join(data)), first, first + width)
-    return block, at, _mixed(hashes + anchor[block].astype(np.uint64) * MIX[0] + (lead[block] - at).astype(np.int64).astype(np.uint64) * MIX[2])
-
-
-PARTIAL = "anchor long, block long, first long, head int, tail int"
-
-
-def _ranges(anchor, block, first, number: np.ndarray, at: np.ndarray, width: int) -> pa.RecordBatch:
-    """Windows that go, in order, as ranges of their blocks."""
-    new = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (at[1:] != at[:-1] + 1))) if len(number) else np.zeros(0, int)
-    last = np.append(new[1:], len(number)) - 1 if len(new) else new
-    own = number[new]
-    return pa.record_batch([pa.array(anchor[own]), pa.array(block[own]), pa.array(first[own]), pa.array(at[new].astype(np.int32)), pa.array((at[last] + width).astype(np.int32))], ["anchor", "block", "first", "head", "tail"])
-
-
-def _resolved(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, block, first, lead, bytes) in order of anchor -> ranges that a block's first document loses."""
-    held: list[tuple] = []
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        unique = {(r[0], r[1]): r for r in rows}.values()
-        anchor, block, first, lead = (np.array([r[k] for r in unique], dtype=np.int64) for k in range(4))
-        number, at, key = block_windows(anchor, lead, [r[4] for r in unique], width)
-        order = np.argsort(key, kind="stable")
-        begins = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        least = np.minimum.reduceat(first[number[order]], begins)
-        low = np.empty(len(key), dtype=np.int64)
-        low[order] = np.repeat(least, np.diff(np.append(begins, len(key))))
-        gone = low < first[number]
-        return _ranges(anchor, block, first, number[gone], at[gone], width)
-
+        for doc, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text")), strict=True):
+            data = (text or "").encode()
+            for at in range(0, max(1, len(data) - width + 1), slice_bytes):
+                group.append((doc, version, at, data[at : at + slice_bytes + width - 1]))
+                size += len(group[-1][3])
+                if size > GROUP_BYTES:
+                    yield _taken(group)
+                    group, size = [], 0
+    if group:
+        yield _taken(group)
+
+
+def _taken(group: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    return (*(np.array([x[k] for x in group], dtype=np.int64) for k in range(3)), [x[3] for x in group])
+
+
+def packed(key: np.ndarray, records: np.ndarray, names: tuple[str, str] = ("key", "data")) -> pa.RecordBatch:
+    """One row a key with all its records."""
+    order = np.argsort(key, kind="stable")
+    key, records = key[order], records[order]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    offsets = (np.append(begins, len(key)) * records.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(records.tobytes())])
+    return pa.record_batch([pa.array(key[begins].astype(np.int32)), data], list(names))
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """From rows (key, data) in order of key: the data of each key."""
+    held, now = [], None
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if len(held) > 50_000 and row[0] != held[-1][0]:
-                yield solve(held)
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and key != now:
+                yield held
                 held = []
-            held.append(row)
+            now = key
+            held.append(data)
     if held:
-        yield solve(held)
-
+        yield held
 
-def _exploded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, block, first, lead, bytes) -> their single windows."""
-    for batch in batches:
-        anchor, block, first, lead = (batch.column(k).to_numpy() for k in range(4))
-        data = batch.column(4).to_pylist()
-        for k in range(0, len(data), 8192):
-            part = slice(k, k + 8192)
-            number, at, key = block_windows(anchor[part], lead[part], data[part], width)
-            yield pa.record_batch([pa.array(anchor[part][number]), pa.array(block[part][number]), pa.array(first[part][number]), pa.array(at.astype(np.int32)), pa.array((at + width).astype(np.int32)), pa.array(key.astype(np.int64))], ["anchor", "block", "first", "head", "tail", "key"])
 
+def anchor_rows(batches: Iterator[pa.RecordBatch], keys: int, width: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """All anchors of the texts, by key."""
+    held: list[np.ndarray] = []
+    size = 0
+    for doc, version, base, texts in grouped(batches, width, slice_bytes):
+        sizes = np.array([len(x) for x in texts])
+        place, _, _, gram = anchored_blocks(b"".join(texts), sizes, width)
+        stops = np.cumsum(sizes)
+        owner = np.searchsorted(stops, place, side="right")
+        records = np.empty(len(place), dtype=ANCHOR)
+        records["gram"], records["doc"], records["version"] = gram, doc[owner], version[owner]
+        records["at"] = place - (stops - sizes)[owner] + base[owner]
+        held.append(records)
+        size += len(records)
+        if size > FLUSH:
+            records = np.concatenate(held)
+            yield packed(dealt(records["gram"], keys), records)
+            held, size = [], 0
+    if size:
+        records = np.concatenate(held)
+        yield packed(dealt(records["gram"], keys), records)
+
+
+def shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The anchors of a key whose gram stands in several documents, by part."""
+    for data in by_key(batches):
+        records = np.frombuffer(b"".join(data), dtype=ANCHOR)
+        records = records[np.argsort(records["gram"])]
+        gram, doc = records["gram"], records["doc"]
+        begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        several = np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins)
+        kept = records[np.repeat(several, np.diff(np.append(begins, len(records))))]
+        places = np.empty(len(kept), dtype=PLACE)
+        for c in PLACE.names:
+            places[c] = kept[c]
+        yield packed(part_of(places["doc"], places["version"], parts), places, ("part", "data"))
+
+
+EXTRACTED = "kind int, key int, data binary"
+
+
+def extracted(texts: pa.Table, found: pa.Table, keys: int, width: int, slice_bytes: int) -> pa.Table:
+    """Of one part: its occurrences of blocks (kind 0, by part) and its distinct blocks with their bytes (kind 1, by key)."""
+    rows: list[tuple[int, int, bytes]] = []
+    if len(texts) and len(found):
+        part = texts["part"][0].as_py()
+        places = np.frombuffer(b"".join(found["data"].to_pylist()), dtype=PLACE)
+        order = np.lexsort((places["at"], places["version"], places["doc"]))
+        places = places[order]
+        new = np.flatnonzero(np.append(True, (places["doc"][1:] != places["doc"][:-1]) | (places["version"][1:] != places["version"][:-1])))
+        of = {(int(places["doc"][a]), int(places["version"][a])): places["at"][a:b] for a, b in zip(new, np.append(new[1:], len(places)), strict=True)}
+        numbers: dict[tuple[bytes, int], int] = {}
+        hashes: list[int] = []
+        first: list[int] = []
+        last: list[int] = []
+        occurrences: list[np.ndarray] = []
+        for doc, version, base, data in grouped(texts.to_batches(), width, slice_bytes):
+            kept = [k for k, key in enumerate(zip(doc.tolist(), version.tolist(), strict=True)) if key in of]
+            if not kept:
+                continue
+            doc, version, base, data = doc[kept], version[kept], base[kept], [data[k] for k in kept]
+            sizes = np.array([len(x) for x in data])
+            whole = b"".join(data)
+            place, low, high, gram = anchored_blocks(whole, sizes, width)
+            stops = np.cumsum(sizes)
+            owner = np.searchsorted(stops, place, side="right")
+            shift = (base - (stops - sizes))[owner]
+            bounds = np.searchsorted(owner, np.arange(len(data) + 1))
+            there = np.zeros(len(place), dtype=bool)
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                there[a:b] = np.isin(place[a:b] + shift[a:b], of[int(doc[k]), int(version[k])])
+            place, low, stop, gram, owner, shift = (x[there] for x in (place, low, high + width, gram, owner, shift))
+            block = np.empty(len(place), dtype=np.int64)
+            for k, (p, a, b, d) in enumerate(zip(place.tolist(), low.tolist(), stop.tolist(), doc[owner].tolist(), strict=True)):
+                n = numbers.setdefault((whole[a:b], p - a), len(hashes))
+                block[k] = n
+                if n == len(hashes):
+                    hashes.append(int(gram[k]))
+                    first.append(d)
+                    last.append(d)
+                elif d < first[n]:
+                    first[n] = d
+                elif d > last[n]:
+                    last[n] = d
+            own = np.empty(len(place), dtype=OCCURRENCE)
+            own["block"], own["doc"], own["version"], own["low"] = block, doc[owner], version[owner], low + shift
+            occurrences.append(own)
+        if hashes:
+            rows.append((0, part, np.concatenate(occurrences).tobytes()))
+            records = np.empty(len(hashes), dtype=BLOCK)
+            records["first"], records["last"], records["part"], records["number"] = first, last, part, np.arange(len(hashes))
+            blocks = list(numbers)
+            records["lead"], records["size"] = [x[1] for x in blocks], [len(x[0]) for x in blocks]
+            key = dealt(np.array(hashes, dtype=np.uint64), keys)
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+            for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
+                own = order[a:b]
+                rows.append((1, int(key[own[0]]), np.uint32(len(own)).tobytes() + records[own].tobytes() + b"".join(blocks[k][0] for k in own)))
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["kind", "key", "data"])
+
+
+def window_digits(data: np.ndarray, start: np.ndarray, lead: np.ndarray, width: int) -> np.ndarray:
+    """What windows hold beside the gram at lead, as digits of eight bytes, most significant first."""
+    rest = width - GRAM
+    padded = -(-rest // 8) * 8
+    columns = np.zeros((rest + 1, padded), dtype=np.int64)
+    for k in range(rest + 1):
+        columns[k, :rest] = [*range(k), *range(k + GRAM, width)]
+    out = np.empty((len(start), padded // 8), dtype=np.uint64)
+    for a in range(0, len(start), 50_000):
+        part = slice(a, a + 50_000)
+        text = data[start[part, None] + columns[lead[part]]]
+        text[:, rest:] = 0
+        out[part] = text.view(">u8")
+    return out
 
-def removed_ranges(pairs: DataFrame, width: int, unique_ids: bool, filter_bits: int | None = None) -> DataFrame:
-    """Write and return (doc, version, spans): the maximal byte runs that each document loses, in order.
 
-    Where no id repeats, version is zero throughout, which spares the shuffles its bytes.
-    """
-    spark = pairs.sparkSession
-    bits = filter_bits
-    if bits is None:
-        size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = power_of_two(size // 4, 1 << 20, 1 << 30)
-    shared = spark.sparkContext.broadcast(repeated_anchor_filter(pairs, bits, width))
-    found = written(pairs.mapInArrow(lambda it: _occurrences(it, shared, bits, width, unique_ids), OCCURRENCE), "occurrences", "zstd")
-    key = ["anchor", "block"]
-    blocks = written(found.groupBy(key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "blocks")
-    several = written(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
-    samples = found.filter("bytes IS NOT NULL").select(*key, "lead", "bytes").join(sized(several, 2_000_000), "anchor")
-    wide = samples.join(blocks.select(*key, "first"), key).select(*key, "first", "lead", "bytes", "n")
-    few = wide.filter(F.col("n") <= MANY).drop("n").repartition("anchor").sortWithinPartitions("anchor")
-    partial = few.mapInArrow(lambda it: _resolved(it, width), PARTIAL)
-    if several.filter(F.col("n") > MANY).limit(1).count():
-        single = written(wide.filter(F.col("n") > MANY).drop("n").mapInArrow(lambda it: _exploded(it, width), f"{PARTIAL}, key long").distinct(), "single")
-        least = written(single.groupBy("key").agg(F.min("first").alias("least")), "least")
-        partial = partial.union(single.join(least, "key").filter("least < first").select("anchor", "block", "first", "head", "tail"))
-    none = F.lit(None).cast("int")
-    verdicts = written(blocks.filter("first < last").select(*key, "first", none.alias("head"), none.alias("tail")).union(partial), "verdicts")
-    for x in (blocks, several):
+def equal_windows(group: np.ndarray, digits: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that other documents hold too, and the least document of each; group: the first digit, first and last: least and greatest document of each row."""
+    live, group = np.arange(len(group)), group.copy()
+    least = first.copy()
+    for k in range(-1, digits.shape[1]):
+        digit = digits[live, k] if k >= 0 else np.zeros(len(live), dtype=np.uint64)
+        order = np.lexsort((digit, group[live]))
+        live, digit = live[order], digit[order]
+        if not len(live):
+            break
+        own = group[live]
+        begins = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (digit[1:] != digit[:-1])))
+        sizes = np.diff(np.append(begins, len(live)))
+        low = np.minimum.reduceat(first[live], begins)
+        several = low < np.maximum.reduceat(last[live], begins)
+        group[live] = np.repeat(np.arange(len(begins)), sizes)
+        least[live] = np.repeat(low, sizes)
+        live = live[np.repeat(several, sizes)]
+    return live, least[live]
+
+
+def judged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """From blocks by key: by part, the ranges of its blocks that stand in several documents, each with the least of these."""
+    for rows in by_key(batches):
+        records, texts = [], []
+        for data in rows:
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            own = np.frombuffer(data, BLOCK, n, 4)
+            stops = (4 + n * BLOCK.itemsize + np.cumsum(own["size"], dtype=np.int64)).tolist()
+            texts += [data[a:b] for a, b in zip([4 + n * BLOCK.itemsize, *stops], stops, strict=False)]
+            records.append(own)
+        every = np.concatenate(records)
+        distinct: dict[tuple[bytes, int], int] = {}
+        of = np.array([distinct.setdefault((x, lead), len(distinct)) for x, lead in zip(texts, every["lead"].tolist(), strict=True)])
+        order = np.argsort(of, kind="stable")
+        begins = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+        first, last = np.minimum.reduceat(every["first"][order], begins), np.maximum.reduceat(every["last"][order], begins)
+        blocks, lead = [x for x, _ in distinct], np.array([x for _, x in distinct], dtype=np.int64)
+        size = np.array([len(x) for x in blocks], dtype=np.int64)
+        grams: dict[bytes, int] = {}
+        gram = np.array([grams.setdefault(x[k : k + GRAM], len(grams)) for x, k in distinct])
+        alone = np.bincount(gram)[gram] == 1
+        whole = np.flatnonzero(alone & (first < last))
+        runs = [(whole, np.zeros(len(whole), np.int64), size[whole], first[whole])]
+        mixed = np.flatnonzero(~alone)
+        if len(mixed):
+            counts = size[mixed] - width + 1
+            block = np.repeat(mixed, counts)
+            at = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = np.zeros(len(blocks), np.int64)
+            begin[mixed] = np.cumsum(size[mixed]) - size[mixed]
+            data = np.frombuffer(b"".join(blocks[k] for k in mixed), dtype=np.uint8)
+            offset = lead[block] - at
+            digits = window_digits(data, begin[block] + at, offset, width)
+            live, least = equal_windows(gram[block] * (width - GRAM + 1) + offset, digits, first[block], last[block])
+            order = np.lexsort((at[live], block[live]))
+            b, a, least = block[live][order], at[live][order], least[order]
+            if len(b):
+                new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1] + 1) | (least[1:] != least[:-1]))
+                head = np.flatnonzero(new)
+                tail = np.append(head[1:], len(b)) - 1
+                runs.append((b[head], a[head], a[tail] + width, least[head]))
+        b, head, tail, least = (np.concatenate([x[k] for x in runs]) for k in range(4))
+        order = np.argsort(b, kind="stable")
+        b, head, tail, least = b[order], head[order], tail[order], least[order]
+        low, high = np.searchsorted(b, of), np.searchsorted(b, of, side="right")
+        row = np.repeat(np.arange(len(of)), high - low)
+        run = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[row]
+        useful = least[run] < every["last"][row]
+        row, run = row[useful], run[useful]
+        out = np.empty(len(row), dtype=VERDICT)
+        out["number"], out["head"], out["tail"], out["least"] = every["number"][row], head[run], tail[run], least[run]
+        yield packed(every["part"][row].astype(np.int64), out, ("part", "data"))
+
+
+REMOVED = "doc long, version long, spans binary"
+
+
+def merged(found: pa.Table, verdicts: pa.Table) -> pa.Table:
+    """Of one part: the maximal byte runs that each document loses, as pairs of 32-bit places in order."""
+    rows: list[tuple[int, int, bytes]] = []
+    if len(found) and len(verdicts):
+        own = np.frombuffer(b"".join(found["data"].to_pylist()), dtype=OCCURRENCE)
+        told = np.frombuffer(b"".join(verdicts["data"].to_pylist()), dtype=VERDICT)
+        told = told[np.argsort(told["number"], kind="stable")]
+        low, high = np.searchsorted(told["number"], own["block"]), np.searchsorted(told["number"], own["block"], side="right")
+        row = np.repeat(np.arange(len(own)), high - low)
+        run = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[row]
+        lost = told["least"][run] < own["doc"][row]
+        row, run = row[lost], run[lost]
+        doc, version = own["doc"][row], own["version"][row]
+        head, tail = own["low"][row].astype(np.int64) + told["head"][run], own["low"][row].astype(np.int64) + told["tail"][run]
+        order = np.lexsort((head, version, doc))
+        doc, version, head, tail = doc[order], version[order], head[order], tail[order]
+        if len(doc):
+            other = np.append(False, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))
+            number = np.cumsum(other)
+            reached = np.maximum.accumulate(tail + (number << 32)) - (number << 32)
+            new = np.flatnonzero(np.append(True, other[1:] | (head[1:] > reached[:-1])))
+            spans = np.stack([head[new], reached[np.append(new[1:], len(doc)) - 1]], axis=1).astype("<i4")
+            bounds = np.flatnonzero(np.append(True, np.diff(number[new]) != 0))
+            rows = [(int(doc[new[a]]), int(version[new[a]]), spans[a:b].tobytes()) for a, b in zip(bounds, np.append(bounds[1:], len(new)), strict=True)]
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc", "version", "spans"])
+
+
+def removed_spans(units: DataFrame, parts: int, width: int, slice_bytes: int) -> DataFrame:
+    """Write and return (doc, version, spans) from (part, doc, version, text), no text of which stands in two documents."""
+    texts = units.select("doc", "version", "text")
+    anchors = texts.mapInArrow(lean(lambda it: anchor_rows(it, parts, width, slice_bytes)), "key int, data binary")
+    gathered = anchors.repartition(parts, "key").sortWithinPartitions("key")
+    shared = written(gathered.mapInArrow(lean(lambda it: shared_anchors(it, parts)), "part int, data binary"), "shared")
+    both = units.groupBy("part").cogroup(shared.groupBy("part"))
+    blocks = written(both.applyInArrow(lambda a, b: extracted(a, b, parts, width, slice_bytes), EXTRACTED), "blocks", "zstd")
+    forget(shared)
+    gathered = blocks.filter("kind = 1").select("key", "data").repartition(parts, "key").sortWithinPartitions("key")
+    verdicts = written(gathered.mapInArrow(lean(lambda it: judged(it, width)), "part int, data binary"), "verdicts", "zstd")
+    own = blocks.filter("kind = 0").select(F.col("key").alias("part"), "data")
+    out = written(own.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(merged, REMOVED), "removed")
+    for x in (blocks, verdicts):
         forget(x)
-    begin = F.col("start") + F.coalesce("head", F.lit(0))
-    end = F.col("start") + F.coalesce("tail", "size")
-    lost = found.drop("bytes", "lead").join(verdicts, key).filter((F.col("head").isNull() & (F.col("doc") > F.col("first"))) | (F.col("head").isNotNull() & (F.col("doc") == F.col("first"))))
-    lost = written(lost.select("doc", "version", begin.alias("head"), end.alias("tail")), "lost")
-    for x in (found, verdicts):
-        forget(x)
-    one = Window.partitionBy("doc", "version").orderBy("head", "tail")
-    reached = F.max("tail").over(one.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("head") > F.coalesce("reached", F.lit(-1)), 1).otherwise(0)).over(one.rowsBetween(Window.unboundedPreceding, 0))
-    runs = lost.withColumn("reached", reached).withColumn("island", island).groupBy("doc", "version", "island").agg(F.min("head").alias("head"), F.max("tail").alias("tail"))
-    spans = F.array_sort(F.collect_list(F.struct("head", "tail")))
-    out = written(runs.groupBy("doc", "version").agg(spans.alias("spans")), "removed")
-    forget(lost)
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, filter_bits: int | None = None, broadcast_docs: int = 300_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Remove each byte that is covered by a window which also starts in a document of a smaller id.
 
     Returns id_col, n_bytes, n_removed, n_spans and kept, the bytes that are
-    left. filter_bits: size of the filters, by default 2 bits a byte of text, at
-    least 2^20 and at most 2^30 (128 MB); a fuller filter suspects more anchors
-    and changes no result. broadcast_docs: up to so many documents that lose
-    bytes, their runs go to all tasks; beyond it the texts are joined with them.
+    left. part_bytes: text in a part, which one task holds with its records.
     """
     if width < GRAM:
         raise ValueError(f"windows have at least {GRAM} bytes")
-    spark = docs.sparkSession
-    pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    unique_ids = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    version = lambda text: 0 if unique_ids else version_of(text)
-    removed = removed_ranges(pairs, width, unique_ids, filter_bits)
-    kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
-
-    def left(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> list[pa.Array]:
-        kept, lost = [], []
-        for text, own in zip(texts, spans, strict=True):
-            at, parts = 0, []
-            for a, b in own:
-                parts.append(text[at:a])
-                at = b
-            kept.append(b"".join(parts) + text[at:])
-            lost.append(len(text) - len(kept[-1]))
-        return [pa.array([len(x) for x in texts], pa.int64()), pa.array(lost, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(kept, pa.binary())]
-
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
-    if removed.limit(broadcast_docs + 1).count() <= broadcast_docs:
-        table = spark.sparkContext.broadcast({(r.doc, r.version): np.array(r.spans, dtype=np.int32).tobytes() for r in removed.toLocalIterator()})
-
-        def by_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            runs = table.value
-            for batch in batches:
-                texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-                ids = [NULL_ID if x is None else x for x in batch.column(2).to_pylist()]
-                spans = [np.frombuffer(runs.get((d, version(x)), b""), np.int32).reshape(-1, 2).tolist() for d, x in zip(ids, texts, strict=True)]
-                yield pa.record_batch([batch.column(0), *left(texts, spans)], names)
-
-        return docs.select(F.col(id_col), F.col(text_col), F.col(id_col).cast("long").alias("__doc")).mapInArrow(by_table, shape)
-
-    def versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text"))
+    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4, -(-size // part_bytes))
+    several = not pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    version = F.xxhash64("text") if several else F.lit(0).cast("long")  # tells rows of one id apart
+    keyed = pairs.select("doc", version.alias("version"), "text", F.sha2("text", 256).alias("same"))
+    copied = written(keyed.groupBy("same").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copied")
+    whole = keyed.join(sized(copied, MOST_COPIED), "same", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
+
+    def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [version((x or "").encode()) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(own, pa.int64())], ["id", "text", "doc", "version"])
+            part = part_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), parts)
+            yield pa.record_batch([pa.array(part.astype(np.int32)), *batch.columns], ["part", "doc", "version", "text"])
 
-    def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            spans = [[(s["head"], s["tail"]) for s in own or ()] for own in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), *left(texts, spans)], names)
+    own = whole.filter(~F.col("copy") & (F.octet_length("text") >= width)).select("doc", "version", "text")
+    units = written(own.mapInArrow(lean(with_part), "part int, doc long, version long, text string"), "units", "zstd")
+    removed = removed_spans(units, parts, width, slice_bytes)
+    forget(units)
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc")).mapInArrow(versions, f"id {kind}, text string, doc long, version long")
-    return keyed.join(removed, ["doc", "version"], "left").select("id", "text", "spans").mapInArrow(by_join, shape)
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, lost, runs = [], [], []
+            texts = [x.encode() for x in batch.column(1).to_pylist()]
+            for data, spans, copy in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if copy:
+                    own = [(0, len(data))] if len(data) >= width else []
+                else:
+                    own = np.frombuffer(spans or b"", "<i4").reshape(-1, 2).tolist()
+                at, rest = 0, []
+                for a, b in own:
+                    rest.append(data[at:a])
+                    at = b
+                kept.append(b"".join(rest) + data[at:])
+                lost.append(len(data) - len(kept[-1]))
+                runs.append(len(own))
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    spread = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text"))
+    spread = spread.select("*", version.alias("version"), F.sha2("text", 256).alias("same")).join(sized(copied, MOST_COPIED), "same", "left")
+    spread = spread.join(removed, ["doc", "version"], "left").select("id", "text", "spans", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy"))
+    return spread.mapInArrow(lean(left), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:

@@ -107,8 +107,10 @@ def test_distributions_sum_to_one():
 
 def test_the_tree_grows_with_the_corpus():
     for more in (0, 60):  # a context that a small corpus retains stays in a large one
-        _, levels = learned_from(["qzjxv qzjxv"] * 2 + ["plain words stand here " * 4000] * more, 5, 2.0)
-        assert int.from_bytes(b"qzj", "big") in levels[0].contexts[levels[0].kept]
+        low, _ = learned_from(["qzjxv qzjxv"] * 2 + ["plain words stand here " * 4000] * more, 5, 2.0)
+        one = low.shorter(1)
+        one.test(one.shorter(0), 1, 2, 0.01, 2.0)
+        assert ord("q") in one.contexts[one.kept]
 
 
 def test_value_table():

@@ -1,6 +1,7 @@
 """Line dedup, repeats and decontamination against brute force."""
 
 import hashlib
+from collections import Counter
 import re
 from collections import defaultdict
 
@@ -77,21 +78,37 @@ REPEATS = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_docs": 0}, {"filter_bits": 1 << 16}])
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 300, "slice_bytes": 64}])
 def test_repeats(docs_of, options):
     found = remove_repeats(docs_of(REPEATS), **options)
     got = sorted((tuple(r) for r in found.withColumn("kept", F.sha2("kept", 256)).collect()), key=repr)
     assert got == brute_repeats(REPEATS, 50)
 
 
-@pytest.mark.parametrize("many", [1, 4096])
-def test_repeats_on_sample(sample, monkeypatch, many):
-    monkeypatch.setattr(repeats, "MANY", many)  # 1: all anchors with several blocks go by single windows
+def test_repeats_on_sample(sample):
     df, rows = sample
-    got = sorted((tuple(r) for r in remove_repeats(df).withColumn("kept", F.sha2("kept", 256)).collect()), key=repr)
+    got = sorted((tuple(r) for r in remove_repeats(df, part_bytes=100_000).withColumn("kept", F.sha2("kept", 256)).collect()), key=repr)
     assert got == brute_repeats(rows, 50)
 
 
+def test_window_groups_by_digits():
+    rng = np.random.default_rng(3)
+    width, gram = 40, bytes(range(repeats.GRAM))
+    rows = []
+    for doc in range(300):
+        lead = int(rng.integers(0, width - repeats.GRAM + 1))
+        rest = bytes(rng.integers(0, 2, width - repeats.GRAM, dtype=np.uint8)) if doc % 3 else bytes(width - repeats.GRAM)
+        rows.append((doc, lead, rest[:lead] + gram + rest[lead:]))
+    data = np.frombuffer(b"".join(x for *_, x in rows), dtype=np.uint8)
+    lead, doc = np.array([x[1] for x in rows]), np.array([x[0] for x in rows])
+    digits = repeats.window_digits(data, np.arange(300) * width, lead, width)
+    live, least = repeats.equal_windows(lead, digits, doc, doc)
+    first, n = {}, Counter(x for *_, x in rows)
+    for d, _, x in rows:
+        first.setdefault(x, d)
+    assert {int(k): int(v) for k, v in zip(live, least, strict=True)} == {d: first[x] for d, _, x in rows if n[x] > 1}
+
+
 def test_repeats_of_nothing(docs_of):
     assert remove_repeats(docs_of(REPEATS).filter("false")).collect() == []
     assert [r.n_removed for r in remove_repeats(docs_of([(1, "x")])).collect()] == [0]
