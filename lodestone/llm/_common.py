@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import string
 import tempfile
 import uuid
@@ -25,14 +26,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+_BLANKS = re.compile(rb"[ \t-\r]")
+PIECE = 1 << 20
+
+
+def pieces(text: str | None) -> Iterator[tuple[list[bytes], bool]]:
+    """The words of a text between blanks, lower-cased in A-Z, in pieces of about PIECE bytes, and whether a piece is the last."""
+    data, at = (text or "").encode().lower(), 0
+    while len(data) - at > PIECE and (m := _BLANKS.search(data, at + PIECE)):
+        yield data[at : m.start()].split(), False
+        at = m.start()
+    yield data[at:].split(), True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
     The setting is read from the session; where it is unset, as in tests, a
-    temporary folder of this machine is taken and remembered in the session.
+    temporary folder of this machine is taken and remembered in the session, in
+    local mode only.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/lodestone-{uuid.uuid4().hex}"

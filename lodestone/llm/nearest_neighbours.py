@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import written
+from lodestone.llm._common import lean, written
 
 BLOCK = 4096
 ROUNDS = 3
@@ -50,7 +50,8 @@ def rotated(vectors: np.ndarray, table: int) -> np.ndarray:
     """Unit vectors after the table's pseudo-rotation."""
     width = 1 << max(0, vectors.shape[1] - 1).bit_length()
     x = np.zeros((len(vectors), width))
-    x[:, : vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    x[:, : vectors.shape[1]] = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
     for signs in rotation_signs(width, table):
         x = hadamard(x * signs)
     return x
@@ -95,27 +96,59 @@ def _entries(batches: Iterator[pa.RecordBatch], tables: int, probes: int, form:
                 )
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; where squares would overflow or vanish, of scaled differences."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = vectors - query
+        out = np.sqrt((apart**2).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+        if len(odd):
+            half = vectors[odd] / 2 - query / 2  # differences of finite numbers may overflow
+            top = np.abs(half).max(axis=1, keepdims=True)
+            size = np.where(top > 0, top, 1.0)
+            out[odd] = 2 * size[:, 0] * np.sqrt(((half / size) ** 2).sum(axis=1)) * (top[:, 0] > 0)
+            fine = np.flatnonzero((top[:, 0] > 0) & (top[:, 0] < 1e-140))
+            if len(fine):  # halving loses the last bit of the smallest numbers
+                apart = apart[odd[fine]]
+                top = np.abs(apart).max(axis=1, keepdims=True)
+                out[odd[fine]] = np.where(top[:, 0] > 0, top[:, 0] * np.sqrt(((apart / np.where(top > 0, top, 1.0)) ** 2).sum(axis=1)), 0.0)
+    return out
+
+
 def nearest_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest candidates of each query, exactly, ties to the smaller id; rows that repeat an id take one place."""
+    """The k nearest candidates of each query, exactly, ties to the smaller id; rows that repeat an id take one place.
+
+    Bounds on all squared distances come from one matrix product over vectors
+    that are scaled by a power of two and moved to the first; candidates whose
+    lower bound is within the k-th upper bound are measured exactly.
+    """
     out = []
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     repeated = len(first) < len(ids)
-    own = (vectors**2).sum(axis=1)
+    power = -int(np.frexp(max(np.abs(vectors).max(), np.abs(queries).max()))[1])
+    near = np.ldexp(vectors, power)
+    centre = near[0].copy()
+    near -= centre
+    asked = np.ldexp(queries, power) - centre
+    own, theirs = (near**2).sum(axis=1), (asked**2).sum(axis=1)
+    share = 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
     for a in range(0, len(queries), 256):
-        part = queries[a : a + 256]
-        rough = (part**2).sum(axis=1)[:, None] + own[None] - 2 * part @ vectors.T
-        rough[query_ids[a : a + 256, None] == ids[None]] = np.inf
-        of_id = np.minimum.reduceat(rough, first, axis=1) if repeated else rough
-        limit = np.partition(of_id, min(k, of_id.shape[1]) - 1, axis=1)[:, min(k, of_id.shape[1]) - 1]
-        for i, row in enumerate(rough):
-            slack = 1e-9 * (1 + abs(limit[i])) if np.isfinite(limit[i]) else 0
-            near = np.flatnonzero((row <= limit[i] + slack) & np.isfinite(row))
-            exact = np.sqrt(((vectors[near] - part[i]) ** 2).sum(axis=1))
+        sums = theirs[a : a + 256, None] + own[None]
+        rough = sums - 2 * asked[a : a + 256] @ near.T
+        slack = share * sums + 1e-290
+        same = query_ids[a : a + 256, None] == ids[None]
+        upper = np.where(same, np.inf, rough + slack)
+        upper = np.minimum.reduceat(upper, first, axis=1) if repeated else upper
+        limit = np.partition(upper, min(k, upper.shape[1]) - 1, axis=1)[:, min(k, upper.shape[1]) - 1]
+        may = (rough - slack <= limit[:, None]) & ~same
+        for i, row in enumerate(may):
+            chosen = np.flatnonzero(row)
+            exact = distances(vectors[chosen], queries[a + i])
             seen: set[int] = set()
-            for j in np.lexsort((ids[near], exact)):
-                if (other := int(ids[near[j]])) not in seen:
+            for j in np.lexsort((ids[chosen], exact)):
+                if (other := int(ids[chosen[j]])) not in seen:
                     seen.add(other)
                     out.append((int(query_ids[a + i]), other, float(exact[j])))
                 if len(seen) == k:
@@ -137,8 +170,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables
     form = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     base = vectors.select(F.col(id_col).cast("long"), vector_col)
     asked = vectors.filter(is_query).select(F.col(id_col).cast("long"), vector_col)
-    index = written(base.mapInArrow(lambda it: _entries(it, tables, 1, form), ENTRY), "index")
-    probed = written(asked.mapInArrow(lambda it: _entries(it, tables, probes, form), ENTRY), "probes")
+    index = written(base.mapInArrow(lean(lambda it: _entries(it, tables, 1, form)), ENTRY), "index")
+    probed = written(asked.mapInArrow(lean(lambda it: _entries(it, tables, probes, form)), ENTRY), "probes")
     key = ["dims", "hash", "bucket"]
     blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     sizes = F.broadcast(written(blocks(index, "_n").join(blocks(probed, "_m"), key), "sizes"))  # at most tables * signed axes rows a vector length

@@ -18,13 +18,12 @@ go to all tasks; the values of all others reach their texts through a shuffle.
 Cases: a null text is empty and has its end alone; rows that repeat an id are
 scored one by one; null ids count as the empty text in the split; with no
 training rows every distribution is uniform; texts are taken whole, the longest
-in pieces of about PIECE bytes; an empty table gives an empty result; other
+in pieces; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,27 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import crc_mod, forget, lean, written
+from lodestone.llm._common import crc_mod, forget, lean, pieces, written
 
 END = b"\n"
 #: Stands for the end of a text among tokens; no token holds a blank.
 END_TOKEN = "\n"
-BLANKS = re.compile(rb"[ \t-\r]")
-PIECE = 1 << 20
 GROUP_BYTES = 1_000_000
 EMPTY = np.uint64((1 << 64) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: str | None) -> Iterator[tuple[list[bytes], bool]]:
-    """The tokens of a text, lower-cased in A-Z, in pieces cut at blanks, and whether a piece is the last."""
-    data, at = (text or "").encode().lower(), 0
-    while len(data) - at > PIECE and (m := BLANKS.search(data, at + PIECE)):
-        yield data[at : m.start()].split(), False
-        at = m.start()
-    yield data[at:].split(), True
-
-
 def runs(texts: list[str | None], depth: int) -> Iterator[tuple[int, bytes, bytes, list[bytes], bool]]:
     """Pieces of texts: text number, the depth bytes before, the symbols, the tokens, and whether the text ends here."""
     for k, text in enumerate(texts):

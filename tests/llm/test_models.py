@@ -184,3 +184,68 @@ def test_revealing_terms_of_any_kind_and_everywhere(docs_of):
     assert named == {(k, x): 2 for k in range(3) for x in names}
     texts = {r.doc_id: r.text for r in sanitise(docs).collect()}
     assert not any(x in texts[k].split() for k in range(3) for x in names) and texts[10] == rows[3][1]
+
+
+def brute_neighbours(ids, vectors, query, k):
+    """By Python's own exact fractions."""
+    from fractions import Fraction
+
+    q = [Fraction(x) for x in vectors[query]]
+    apart = {}
+    for i, v in zip(ids, vectors, strict=True):
+        if i != ids[query]:
+            apart[i] = min(apart.get(i, math.inf), sum((Fraction(x) - y) ** 2 for x, y in zip(v, q, strict=True)))
+    return [i for _, i in sorted((d, i) for i, d in apart.items())[:k]]
+
+
+def test_neighbours_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    for shift, size in ((1e6, 1e-4), (0, 1e170), (0, 1e-200), (0, 1e307), (1e-200, 1e-203), (-3e5, 1.0)):
+        vectors = (rng.normal(size=(120, 8)) * size + shift).tolist()
+        ids = list(range(119)) + [7]
+        got = nearest_in_block(np.array(ids[:5]), np.array(vectors[:5]), np.array(ids), np.array(vectors), 9)
+        assert all(np.isfinite(s) and s > 0 for *_, s in got)
+        for q in range(5):
+            assert [v for i, v, _ in got if i == q] == brute_neighbours(ids, vectors, q, 9)
+
+
+def test_neighbours_over_blocks(spark, monkeypatch):
+    from lodestone.llm import nearest_neighbours as module
+
+    rng = np.random.default_rng(6)
+    vectors = (np.rint(rng.normal(size=(300, 4)) * 4) / 4).tolist() + [[1e-200] * 4, [1e170] * 4, [1.5e170] * 4]  # ties across blocks
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(module, "BLOCK", 7)
+    found = nearest_neighbours(df, F.col("vec_id") % 60 == 0, k=5, tables=4, probes=8).collect()
+    for q in range(0, 300, 60):  # at 300 doubles tie where fractions do not
+        assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == brute_neighbours(range(303), vectors, q, 5)
+
+
+def test_balls_join_what_is_linked_and_nothing_else(spark):
+    from lodestone.llm.simhash import least_labels, links
+
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    fps = {0, (1 << 64) - 1, *(int(x) for x in centres)}
+    for x in centres[:20].tolist():
+        for _ in range(12):  # chains that go on by zero to four bits
+            for k in rng.choice(64, int(rng.integers(0, 5)), replace=False).tolist():
+                x ^= 1 << k
+            fps.add(int(x))
+    fps = sorted(fps)
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    want = least_labels(len(fps), *(np.array([p[k] for p in pairs]) for k in (0, 1)))
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    at = {x: k for k, x in enumerate(fps)}
+    found = [(at[r.a % (1 << 64)], at[r.b % (1 << 64)]) for r in links(nodes).collect()]
+    assert (least_labels(len(fps), *(np.array([p[k] for p in found]) for k in (0, 1))) == want).all() and len(set(want.tolist())) < len(fps)
+
+
+def test_simhash_of_pieces(monkeypatch):
+    from lodestone.llm import _common
+
+    texts = ["a b c d e f g h i j", "", None, "one two", "one two three", "x " * 50, "  spaced   out \n words go here  "]
+    whole = [[simhash(t, w) for t in texts] for w in (1, 3, 5)]
+    monkeypatch.setattr(_common, "PIECE", 3)
+    assert [[simhash(t, w) for t in texts] for w in (1, 3, 5)] == whole
+    assert [x & (1 << 64) - 1 for x in whole[1]] == [brute_simhash(t) for t in texts]

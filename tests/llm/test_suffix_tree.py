@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import suffix_tree_lm
+from lodestone.llm import _common
 from lodestone.llm.suffix_tree_lm import LOW, Level, ValueTable, learned, run_windows, runs, score_texts
 
 END = b"\n"
@@ -78,7 +78,7 @@ def test_end_counts_where_it_is_no_frequent_token(docs_of):
 
 
 def test_pieces_make_the_whole_stream(monkeypatch):
-    monkeypatch.setattr(suffix_tree_lm, "PIECE", 5)
+    monkeypatch.setattr(_common, "PIECE", 5)
     for text in ("", None, "   ", "one", " one  two three\tfour five   ", "a" * 40 + " b", "x y z " * 10):
         found = list(runs([text], 3))
         assert b"".join(x[2] for x in found) == stream(text) and [x[4] for x in found].count(True) == 1
