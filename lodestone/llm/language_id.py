@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import crc_mod
-from lodestone.llm.tokenizer_fst import E as LAST_LETTER
-from lodestone.llm.tokenizer_fst import code_point_classes
+from lodestone.llm._common import crc_mod, lean
+from lodestone.llm.pretokens import E as LAST_LETTER
+from lodestone.llm.pretokens import code_point_classes
 
 BOUNDARY = 0
 BATCH_CHARS = 400_000
@@ -124,7 +124,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([np.rint(x).astype(np.int64) for x in sums.values()], pa.list_(pa.int64()))], ["lang", "vector"])
 
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), text_col)
-    parts = known.mapInArrow(bundled, "lang string, vector array<bigint>")
+    parts = known.mapInArrow(lean(bundled), "lang string, vector array<bigint>")
     sums = parts.select("lang", F.posexplode("vector").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
     rows = sums.limit(most_languages * dimensions + 1).collect()
     if len(rows) > most_languages * dimensions:
@@ -165,7 +165,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text_col: str = "text
                         best[k] = 0
             yield pa.record_batch([*(batch.column(i) for i in range(len(rest))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], out.fieldNames())
 
-    return docs.select(rest).mapInArrow(predicted, out)
+    return docs.select(rest).mapInArrow(lean(predicted), out)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import BLANK, NULL_ID, power_of_two, sized, written
+from lodestone.llm._common import BLANK, NULL_ID, lean, power_of_two, sized, written
 
 SEGMENT_BITS = 1 << 16
 SEGMENT_BYTES = SEGMENT_BITS // 8
@@ -125,8 +125,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The second filter over all documents; bits / 8 bytes, whatever the input."""
     shape = "segment int, once binary, twice binary"
-    parts = docs.mapInArrow(lambda it: _fill(it, bits, min_chars), shape)
-    folded = parts.repartition("segment").mapInArrow(_fold, shape).select("segment", "twice")
+    parts = docs.mapInArrow(lean(lambda it: _fill(it, bits, min_chars)), shape)
+    folded = parts.repartition("segment").mapInArrow(lean(_fold), shape).select("segment", "twice")
     out = np.zeros((bits // SEGMENT_BITS, SEGMENT_BYTES), np.uint8)
     for row in folded.toLocalIterator():
         out[row.segment] = _unpacked(bytes(row.twice))
@@ -173,7 +173,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     bits = filter_bits or power_of_two(256 * docs.count(), 1 << 20, 1 << 28)
     shared = spark.sparkContext.broadcast(twice_filter(pairs, bits, min_chars))
-    suspects = pairs.mapInArrow(lambda it: _suspects(it, shared, bits, min_chars), "key binary, doc long")
+    suspects = pairs.mapInArrow(lean(lambda it: _suspects(it, shared, bits, min_chars)), "key binary, doc long")
     if_first = F.min("doc").alias("first")
     repeats = written(suspects.groupBy("key").agg(if_first, F.max("doc").alias("last")).filter("first < last").select("key", "first"), "repeats")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -193,7 +193,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     done.append(_kept(text, lambda k, d=doc, s=suspected: k in s and table.get(digest(k), d) != d))
                 yield _with_counts(batch, at, done, out)
 
-        return docs.select(rest).mapInArrow(by_table, out)
+        return docs.select(rest).mapInArrow(lean(by_table), out)
 
     joined = suspects.join(repeats, "key").filter("doc <> first")
     lost = joined.groupBy("doc").agg(F.collect_list("key").alias("__line_dedup_lost"))
@@ -208,7 +208,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 done.append(_kept(text, lambda k, g=gone: bool(g) and eligible(k, min_chars) and digest(k) in g))
             yield _with_counts(batch, at, done, out)
 
-    return both.mapInArrow(by_join, out)
+    return both.mapInArrow(lean(by_join), out)
 
 
 def _suspected(text: str | None, bitmap: np.ndarray, bits: int, min_chars: int) -> set[bytes]:

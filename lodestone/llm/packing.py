@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import written
+from lodestone.llm._common import lean, written
 from lodestone.llm.tokenizer_fst import compiled
 
 
@@ -124,7 +124,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)
 
-    return docs.select(id_col, text_col).mapInArrow(pieces, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _bucket int")
+    return docs.select(id_col, text_col).mapInArrow(lean(pieces, ("ids", "powers")), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _bucket int")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             sequence, offset = run[:, 4] + k // run[:, 3], run[:, 5] + k % run[:, 3] * length
             yield pa.record_batch([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ready.mapInArrow(placed, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ready.mapInArrow(lean(placed), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

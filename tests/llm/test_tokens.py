@@ -11,9 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from lodestone.llm import pretokens
 from lodestone.llm.packing import pack, packing_plan
-from lodestone.llm.tokenizer_fst import NEXT, CompiledTokenizer, chunk_maps, scan
-from lodestone.llm.token_counts import count_tokens
+from lodestone.llm.pretokens import NEXT, chunk_maps, scan
+from lodestone.llm.token_counts import CountingTransducer, IntTable, count_tokens
+from lodestone.llm.tokenizer_fst import CompiledTokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -26,6 +28,12 @@ def fst():
         return CompiledTokenizer(f.read(), most_paths=500)
 
 
+@pytest.fixture(scope="module")
+def counter():
+    with open(PATH) as f:
+        return CountingTransducer(f.read())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=5)), max_size=60).map("".join))
 def test_ids_are_the_library_s(fst, text):
@@ -33,12 +41,40 @@ def test_ids_are_the_library_s(fst, text):
     assert next(fst.encoded([text])).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-def test_groups_and_long_texts(fst):
-    texts = ["", None, "x" * 5000, "'" * 300 + "re", " " * 1000 + "x", "<|endoftext|>", "a<|endoftext|><|endoftext|> b"] * 3
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=5)), max_size=60).map("".join))
+def test_counts_are_the_library_s(counter, text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert counter.counted([text], most_kept=50) == [len(LIBRARY.encode(text, add_special_tokens=False).ids)]
+
+
+def test_counts_of_all_tokens_and_of_runs(counter):
+    rng = random.Random(4)
+    words = [LIBRARY.decode([k]) for k in range(0, 50_256, 7)]
+    joined = ["".join(rng.choice(words).strip() for _ in range(rng.randint(2, 5))) for _ in range(3000)]
+    runs = [x * n for x in ("a", "aa", "ab", "é", "=", "-", "the", "中") for n in (*range(1, 40), 500, 3001)]
+    for texts in (words, joined, runs):
+        assert counter.counted(texts) == [len(x.ids) for x in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+    for x in runs[::13]:
+        assert counter.count_one(x.encode()) == int(counter.counts([x.encode()])[0])
+
+
+def test_tables_of_numbers():
+    entries = {k * k << 3: k for k in range(5000)}
+    table = IntTable.of(entries)
+    keys = np.arange(200_000, dtype=np.int64)
+    assert table.get(keys).tolist() == [entries.get(k, -1) for k in range(200_000)]
+    assert IntTable.of({}).get(keys[:3]).tolist() == [-1] * 3
+
+
+@pytest.mark.parametrize("segment", [pretokens.SEGMENT, 3])
+def test_groups_and_long_texts(fst, counter, monkeypatch, segment):
+    monkeypatch.setattr(pretokens, "SEGMENT", segment)
+    texts = ["", None, "x" * 5000, "'" * 300 + "re", " " * 1000 + "x", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "some words, it's  said \n we're  \t here "] * 3
     expected = [LIBRARY.encode(x or "", add_special_tokens=False).ids for x in texts]
     for most in (1, 700, 10**6):
         assert [x.tolist() for x in fst.encoded(texts, most)] == expected
-        assert list(fst.counted(texts, most)) == [len(x) for x in expected]
+        assert counter.counted(texts, most) == [len(x) for x in expected]
 
 
 def test_chunk_maps_compose():
