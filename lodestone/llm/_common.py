@@ -59,19 +59,27 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
+#: Rows that go to a Python worker at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str = "table", compression: str = "snappy", batch: int | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors.
 
     Once the table is there its shuffle files serve nothing and go at once.
+    batch: rows that go to a Python worker at once, where rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH)}
     spark.conf.set(CLEANUP, "true")
+    if batch:
+        spark.conf.set(BATCH, str(batch))
     try:
         df.write.mode("overwrite").option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,13 +111,18 @@ def lean(task: Callable[..., Iterator], keep: tuple[str, ...] = ()) -> Callable[
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # not every libc can
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every libc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def power_of_two(n: int, least: int, most: int) -> int:
     """The smallest power of two that is at least n, kept within bounds that are powers of two."""
     return min(most, max(least, 1 << max(0, n - 1).bit_length()))

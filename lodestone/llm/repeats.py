@@ -33,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import NULL_ID, forget, lean, sized, written
+from lodestone.llm._common import NULL_ID, forget, give_back, lean, sized, written
 
 GRAM = 24
 GROUP_BYTES = 400_000
 #: Text bytes in a part, and about as many bytes of records for a key of the radix passes.
-PART_BYTES = 8_000_000
+PART_BYTES = 4_000_000
 SLICE_BYTES = 1 << 22
-FLUSH = 1_500_000
+FLUSH = 400_000
+#: Packed rows that go to a Python worker at once.
+BATCH_ROWS = 64
 #: Of a place in a group of texts; longer groups are refused.
 PLACE_BITS = 24
 #: Texts that stand several times, up to which the table of their hashes is broadcast.
@@ -251,6 +253,7 @@ def extracted(texts: pa.Table, found: pa.Table, keys: int, width: int, slice_byt
                 own = order[a:b]
                 rows.append((1, int(key[own[0]]), np.uint32(len(own)).tobytes() + records[own].tobytes() + b"".join(blocks[k][0] for k in own)))
     columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    give_back()
     return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["kind", "key", "data"])
 
 
@@ -343,6 +346,8 @@ def judged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         out = np.empty(len(row), dtype=VERDICT)
         out["number"], out["head"], out["tail"], out["least"] = every["number"][row], head[run], tail[run], least[run]
         yield packed(every["part"][row].astype(np.int64), out, ("part", "data"))
+        del rows, records, texts, every, distinct, blocks, grams, out
+        give_back()
 
 
 REMOVED = "doc long, version long, spans binary"
@@ -381,14 +386,14 @@ def removed_spans(units: DataFrame, parts: int, width: int, slice_bytes: int) ->
     texts = units.select("doc", "version", "text")
     anchors = texts.mapInArrow(lean(lambda it: anchor_rows(it, parts, width, slice_bytes)), "key int, data binary")
     gathered = anchors.repartition(parts, "key").sortWithinPartitions("key")
-    shared = written(gathered.mapInArrow(lean(lambda it: shared_anchors(it, parts)), "part int, data binary"), "shared")
+    shared = written(gathered.mapInArrow(lean(lambda it: shared_anchors(it, parts)), "part int, data binary"), "shared", batch=BATCH_ROWS)
     both = units.groupBy("part").cogroup(shared.groupBy("part"))
-    blocks = written(both.applyInArrow(lambda a, b: extracted(a, b, parts, width, slice_bytes), EXTRACTED), "blocks", "zstd")
+    blocks = written(both.applyInArrow(lambda a, b: extracted(a, b, parts, width, slice_bytes), EXTRACTED), "blocks", "zstd", BATCH_ROWS * 8)
     forget(shared)
     gathered = blocks.filter("kind = 1").select("key", "data").repartition(parts, "key").sortWithinPartitions("key")
-    verdicts = written(gathered.mapInArrow(lean(lambda it: judged(it, width)), "part int, data binary"), "verdicts", "zstd")
+    verdicts = written(gathered.mapInArrow(lean(lambda it: judged(it, width)), "part int, data binary"), "verdicts", "zstd", BATCH_ROWS)
     own = blocks.filter("kind = 0").select(F.col("key").alias("part"), "data")
-    out = written(own.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(merged, REMOVED), "removed")
+    out = written(own.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(merged, REMOVED), "removed", batch=BATCH_ROWS)
     for x in (blocks, verdicts):
         forget(x)
     return out
