@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity
+from lodestone.operators.limits import capped_groups
 from lodestone.tables import written
 
 #: Edges up to this number may be ordered in one task.
@@ -17,9 +18,11 @@ SMALL_EDGES = 200_000
 
 
 def aggregate_edges(candidates: DataFrame, key: list[str], evidence: str, most: int) -> DataFrame:
-    """One edge a key: occurrences (candidates), the first distinct evidence rows, and how many were left out."""
-    found = candidates.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"), F.array_sort(F.collect_set(evidence)).alias("_all"))
-    return found.select(*key, "occurrences", F.slice("_all", 1, most).alias("evidence"), F.greatest(F.size("_all") - most, F.lit(0)).alias("omitted_evidence"))
+    """One edge a key: occurrences (candidates), the first distinct evidence rows, and how many were left out.
+
+    No more than most pieces of evidence of an edge come together.
+    """
+    return capped_groups(candidates, key, evidence, most).withColumnsRenamed({"values": "evidence", "omitted": "omitted_evidence"})
 
 
 def normalize_nodes(candidates: DataFrame, identity_cols: list[str], fixed: list[str]) -> DataFrame:
@@ -85,7 +88,9 @@ def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[v])
                 if low[v] == order[v]:
-                    at = stack.index(v) if stack[-1] != v else len(stack) - 1
+                    at = len(stack) - 1
+                    while stack[at] != v:
+                        at -= 1
                     members, stack[at:] = stack[at:], []
                     least = min(members)
                     root.update(dict.fromkeys(members, least))

@@ -104,3 +104,13 @@ def profile_completeness(profile: DataFrame, produced: DataFrame, name: str) ->
     there = produced.select(name).distinct().withColumn("_there", F.lit(True))
     state = F.when(F.col("_there"), "available").when(F.col("required"), "missing").otherwise("optional")
     return profile.join(there, name, "left").select(name, state.alias("state"))
+
+
+def delete_using(rows: DataFrame, victims: DataFrame, key: list[str]) -> DataFrame:
+    """What is left of rows without those whose key stands among the victims; files are rewritten, not changed."""
+    return rows.join(victims.select(*key).distinct(), key, "left_anti")
+
+
+def with_each(rows: DataFrame, name: str, values: list) -> DataFrame:
+    """Every row with every value of a short list."""
+    return rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))

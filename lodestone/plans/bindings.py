@@ -413,7 +413,7 @@ def section_carry(spark, read):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 21 OFFSET 40")
 def page_offset(spark, read):
-    return read("orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(21)
+    return limits.offset_page(read("orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.col("o_orderkey")], 21, 40)[0]
 
 
 @query("SELECT o_orderkey, true AS has_more FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 20")
@@ -452,9 +452,9 @@ def payload_stage(spark, read):
     return store.stage(store.payloads(docs.filter("doc_id % 2 = 0"), "text"), store.payloads(docs.filter("doc_id % 2 = 1"), "text")).select("digest")
 
 
-@query("SELECT count(*) AS n, CAST(sum(c_acctbal) AS DECIMAL(18, 2)) AS freed FROM (SELECT CAST(c_acctbal AS DECIMAL(18, 2)) AS c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_custkey < 1000000)")
+@query("SELECT count(*) AS n, CAST(sum(c_acctbal) AS DECIMAL(18, 2)) AS freed FROM (SELECT CAST(c_acctbal AS DECIMAL(18, 2)) AS c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_custkey < 100)")
 def gc_candidates(spark, read):
-    lost = store.unreferenced(read("customer"), read("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "c_custkey", F.lit(1_000_000))
+    lost = store.unreferenced(read("customer"), read("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "c_custkey", F.lit(100))
     return lost.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("decimal(18,2)").alias("freed"))
 
 

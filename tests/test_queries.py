@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestone.plans import bindings
+from lodestone import plans as bindings
 
 
 def plain(v):
