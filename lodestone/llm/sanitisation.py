@@ -52,8 +52,6 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 SHORT = r"^[a-z]{1,3}$"
 #: Code points in a block of positions that meet in a join.
 BLOCK = 128
-#: Longest term of OP4_SQL.
-MOST_LETTERS = 40
 MOST_TERMS = 500_000
 
 
@@ -204,28 +202,27 @@ _BASE = " UNION ALL ".join(
     f"SELECT doc_id, '{kind}' AS kind, {rank} AS r, s, s + length(m) AS e, '{kind}:' || {_LOWER.format('m') if kind in ('email', 'ip') else 'dg'} AS entity FROM (SELECT *, {_DIGITS} AS dg FROM ({_matches_sql('d', 'doc_id', 't', pattern)})) WHERE {good}"
     for rank, (kind, (pattern, good)) in enumerate(_SQL_KINDS.items())
 )
-_FAR = 64 + MOST_LETTERS
+_TERM = r"[\p{L}\p{M}\p{N}]+"
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_BASE}),
-sides AS (
-  SELECT doc_id, entity, s AS bs, e AS be, greatest(s - {_FAR}, 0) AS place, substr(t, CAST(greatest(s - {_FAR}, 0) + 1 AS BIGINT), CAST(s - greatest(s - {_FAR}, 0) AS BIGINT)) AS part, s - {_FAR} <= 0 AS op, true AS shut FROM base JOIN d USING (doc_id)
-  UNION ALL SELECT doc_id, entity, s, e, e, substr(t, CAST(e + 1 AS BIGINT), {_FAR}), true, e + {_FAR} >= length(t) FROM base JOIN d USING (doc_id)
+held AS (SELECT DISTINCT doc_id, entity FROM base),
+holders AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM base)),
+words AS ({_matches_sql('holders', 'doc_id', 't', _TERM)}),
+free AS (
+  SELECT doc_id, {_LOWER.format('m')} AS term, NOT regexp_full_match(m, '[a-z]{{1,3}}') AS able, s, s + length(m) AS e FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND w.s < b.e AND w.s + length(w.m) > b.s)
 ),
-words AS ({_matches_sql('sides', 'doc_id, entity, bs, be, place, part, op, shut', 'part', r'\p{L}{4,}', 'place')}),
-near AS (
-  SELECT DISTINCT doc_id, entity, {_LOWER.format('m')} AS term, s, s + length(m) AS e FROM words w
-  WHERE (op OR s > place) AND (shut OR s + length(m) < place + length(part)) AND s + length(m) >= bs - 64 AND s <= be + 64 AND length(m) <= {MOST_LETTERS}
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND w.s < b.e AND w.s + length(w.m) > b.s)
-),
-together AS (SELECT term, entity, count(DISTINCT doc_id) AS n_et FROM near GROUP BY term, entity HAVING count(DISTINCT doc_id) >= 2),
-of_entity AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY entity),
-of_term AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_LOWER.format('t')}, '\\p{{L}}{{4,}}')) AS term FROM d) WHERE term IN (SELECT term FROM together) GROUP BY term),
+near AS (SELECT DISTINCT f.doc_id, b.entity, f.term FROM free f JOIN base b ON b.doc_id = f.doc_id WHERE f.able AND f.e >= b.s - 64 AND f.s <= b.e + 64),
+together AS (SELECT term, entity, count(*) AS n_et FROM near GROUP BY term, entity HAVING count(*) >= 2),
+of_entity AS (SELECT entity, count(*) AS n_e FROM held GROUP BY entity),
+of_term AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_LOWER.format('t')}, '{_TERM}')) AS term FROM d) WHERE term IN (SELECT term FROM together) GROUP BY term),
 told AS (
   SELECT term, entity FROM together JOIN of_entity USING (entity) JOIN of_term USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
   WHERE n > n_e AND log2(n_et * n / (n_e * greatest(n_t, n_et))) / log2(n / n_e) >= 0.8
 ),
-spans AS (SELECT doc_id, kind, r, s, e FROM base UNION ALL SELECT DISTINCT doc_id, 'term', 4, s, e FROM near JOIN told USING (term, entity)),
+masked AS (SELECT DISTINCT doc_id, term FROM held JOIN told USING (entity)),
+spans AS (SELECT doc_id, kind, r, s, e FROM base UNION ALL SELECT DISTINCT doc_id, 'term', 4, s, e FROM free JOIN masked USING (doc_id, term)),
 lists AS (
   SELECT doc_id, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, r, e) AS spans,
     string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, r) FILTER (WHERE r < 4) AS base_spans,
