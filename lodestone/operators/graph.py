@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from lodestone.functions import identity
 from lodestone.operators.limits import capped_groups
 from lodestone.tables import written
 
-#: Edges up to this number may be ordered in one task.
-SMALL_EDGES = 200_000
+#: Edges up to this number are ordered or walked in one task, which holds about 100 MB for them.
+SMALL_EDGES = 2_000_000
 
 
 def aggregate_edges(candidates: DataFrame, key: list[str], evidence: str, most: int) -> DataFrame:
@@ -56,45 +57,74 @@ def limitation_reasons(**flags: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in flags.items()))))
 
 
+def _arrays(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices in order, where each one's edges begin, and the edges' other ends as vertex numbers, in order."""
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    a, b = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    vertices, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    order = np.lexsort((b, a))
+    return vertices, np.searchsorted(a[order], np.arange(len(vertices) + 1)), b[order]
+
+
 def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of a small graph in one task; iterative, so depth is no limit."""
-    out: dict[int, list[int]] = {}
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out.setdefault(a, []).append(b)
-            out.setdefault(b, [])
-    order: dict[int, int] = {}
-    low: dict[int, int] = {}
-    root: dict[int, int] = {}
-    stack: list[int] = []
-    for begin in sorted(out):
-        if begin in order:
+    """Components of a graph in one task; iterative, so depth is no limit. Holds about 50 bytes an edge."""
+    vertices, begins, ends = _arrays(batches)
+    at, stop, to = begins[:-1].tolist(), begins[1:].tolist(), ends.tolist()
+    n = len(vertices)
+    order, low, root, stack, count = [-1] * n, [0] * n, [-1] * n, [], 0
+    for begin in range(n):
+        if order[begin] >= 0:
             continue
-        order[begin] = low[begin] = len(order)
+        order[begin] = low[begin] = count
+        count += 1
         stack.append(begin)
-        work = [(begin, iter(out[begin]))]
+        work = [begin]
         while work:
-            v, rest = work[-1]
-            for w in rest:
-                if w not in order:
-                    order[w] = low[w] = len(order)
+            v = work[-1]
+            if at[v] < stop[v]:
+                w = to[at[v]]
+                at[v] += 1
+                if order[w] < 0:
+                    order[w] = low[w] = count
+                    count += 1
                     stack.append(w)
-                    work.append((w, iter(out[w])))
-                    break
-                if w not in root:
-                    low[v] = min(low[v], order[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == order[v]:
-                    at = len(stack) - 1
-                    while stack[at] != v:
-                        at -= 1
-                    members, stack[at:] = stack[at:], []
-                    least = min(members)
-                    root.update(dict.fromkeys(members, least))
-    yield pa.record_batch([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], ["vertex", "component"])
+                    work.append(w)
+                elif root[w] < 0 and order[w] < low[v]:
+                    low[v] = order[w]
+                continue
+            work.pop()
+            if work and low[v] < low[work[-1]]:
+                low[work[-1]] = low[v]
+            if low[v] == order[v]:
+                first = len(stack) - 1
+                while stack[first] != v:
+                    first -= 1
+                members, stack[first:] = stack[first:], []
+                least = min(members)
+                for w in members:
+                    root[w] = least
+    yield pa.record_batch([pa.array(vertices), pa.array(vertices[root] if n else vertices)], ["vertex", "component"])
+
+
+def _levels(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+    """Vertices that seeds reach, with their depth, in one task: a level at a time over the whole frontier."""
+    vertices, begins, ends = _arrays(batches)
+    found = np.full(len(vertices), -1, dtype=np.int64)
+    front = np.flatnonzero(np.isin(vertices, seeds))
+    found[front] = 0
+    for level in range(1, depth + 1):
+        sizes = begins[front + 1] - begins[front]
+        if not sizes.sum():
+            break
+        each = np.repeat(begins[front] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        met = ends[each]
+        front = np.unique(met[found[met] < 0])
+        if not len(front):
+            break
+        found[front] = level
+    there = np.flatnonzero(found > 0)
+    yield pa.record_batch([pa.array(vertices[there]), pa.array(found[there].astype(np.int32))], ["vertex", "depth"])
 
 
 def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -188,13 +218,19 @@ def direct_neighbours(edges: DataFrame, root: int, outward: bool = True) -> Data
     return edges.filter(F.col(here) == root).groupBy(F.col(there).alias("neighbour")).agg(F.array_sort(F.collect_list("edge_id")).alias("edge_ids"))
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int, outward: bool = True) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, depth: int, outward: bool = True, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(vertex, depth) reached from seeds (vertex) over at most so many edges; seeds are not reached.
 
-    Level by level: the frontier joins the edges, and what was seen before goes.
+    A graph of at most small_edges edges is walked by one task, however deep. A
+    larger one goes level by level: the frontier joins the edges, and what was
+    seen before goes; from SMALL_EDGES on that costs a join a level.
     """
     here, there = ("a", "b") if outward else ("b", "a")
-    arcs = edges.select(F.col(here).alias("vertex"), F.col(there).alias("to"))
+    arcs = edges.select(F.col(here).cast("long").alias("vertex"), F.col(there).cast("long").alias("to")).filter("vertex IS NOT NULL AND to IS NOT NULL")
+    if arcs.limit(small_edges + 1).count() <= small_edges:
+        begin = seeds.select(F.col("vertex").cast("long")).distinct().limit(small_edges + 1).toArrow()["vertex"].drop_null().to_numpy()
+        if len(begin) <= small_edges:
+            return arcs.distinct().coalesce(1).mapInArrow(lambda it: _levels(it, begin, depth), "vertex long, depth int")
     seen = written(seeds.select("vertex").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for level in range(1, depth + 1):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
+from lodestone.operators.limits import capped_groups
 
 
 def with_directories(files: DataFrame) -> DataFrame:
@@ -20,15 +21,28 @@ def language_share(items: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
     The denominator counts known items only; percentages have two decimals,
     halves rounded up.
     """
-    known = items.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(mapping), key).groupBy("language").agg(F.sum("n").alias("n"))
+    known = items.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(mapping, key).groupBy("language").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     return known.select("language", "n", (F.floor(F.col("n") / total * 10000 + 0.5) / 100).alias("percentage"))
 
 
-def token_evidence(texts: DataFrame, rules: DataFrame, file_col: str, text_col: str) -> DataFrame:
-    """(name, ecosystem, evidence): files whose text holds a rule's token, as a sorted set."""
-    met = texts.join(F.broadcast(rules), F.contains(F.col(text_col), F.col("token")))
-    return met.groupBy("name", "ecosystem").agg(F.array_sort(F.collect_set(F.struct(F.col(file_col).alias("file"), F.col("token")))).alias("evidence"))
+#: Rules that a pass over texts may carry.
+MOST_RULES = 10_000
+
+
+def token_evidence(texts: DataFrame, rules: DataFrame, file_col: str, text_col: str, most: int = 1000) -> DataFrame:
+    """(name, ecosystem, files, evidence): files whose text holds a rule's token; evidence is the first so many, in order.
+
+    One pass tries all rules (name, ecosystem, token) on each text; ValueError
+    beyond MOST_RULES rules.
+    """
+    known = [tuple(r) for r in rules.select("token", "name", "ecosystem").distinct().limit(MOST_RULES + 1).collect()]
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    every = F.array(*(F.struct(F.lit(t).alias("token"), F.lit(n).alias("name"), F.lit(e).alias("ecosystem")) for t, n, e in known)) if known else F.array().cast("array<struct<token:string,name:string,ecosystem:string>>")
+    met = texts.select(F.col(file_col).alias("file"), F.explode(F.filter(every, lambda r: F.contains(F.col(text_col), r["token"]))).alias("r")).select("file", "r.*")
+    found = capped_groups(met.withColumn("_e", F.struct("file", "token")), ["name", "ecosystem"], "_e", most)
+    return found.select("name", "ecosystem", (F.size("values") + F.col("omitted")).alias("files"), F.col("values").alias("evidence"))
 
 
 def keyed_merge(findings: DataFrame, keys: list[str], evidence: list[str]) -> DataFrame:

@@ -115,8 +115,19 @@ def reconcile(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 
 
 def containing_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Points joined with the half-open intervals of their key that hold them."""
-    return points.join(intervals, (points[key] == intervals[key]) & (points[at] >= intervals[start]) & (points[at] < intervals[end])).drop(intervals[key])
+    """Points with the half-open interval of their key that holds them; intervals of a key do not overlap.
+
+    Intervals and points of a key are sorted together once; the last interval
+    that begins at or before a point is the only one that may hold it. Empty
+    intervals, and those without an end, hold nothing.
+    """
+    real = intervals.filter(F.col(start) < F.col(end))
+    own, asked = [c for c in real.columns if c != key], [c for c in points.columns if c != key]
+    left = real.select(key, F.col(start).alias("_at"), F.lit(0).alias("_turn"), F.struct(*own).alias("_i"))
+    both = left.unionByName(points.select(key, F.col(at).alias("_at"), F.lit(1).alias("_turn"), F.struct(*asked).alias("_p")), allowMissingColumns=True)
+    last = F.last("_i", ignorenulls=True).over(Window.partitionBy(key).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("_i", last).filter("_turn = 1").filter(F.col("_at") < F.col("_i")[end])
+    return met.select(key, *(F.col("_p")[c].alias(c) for c in asked), *(F.col("_i")[c].alias(c) for c in own if c not in asked))
 
 
 def missing_methods(required: Column, have: Column) -> Column:

@@ -56,7 +56,7 @@ def violations(history: DataFrame, key: str, order: list[str], state: str, allow
     """Steps (key, previous, state, ...) that no row (previous, next) of allowed permits; first states are free."""
     step = history.withColumn("previous", F.lag(state).over(Window.partitionBy(key).orderBy(*order))).filter("previous IS NOT NULL")
     ok = allowed.select(F.col("previous"), F.col("next").alias(state))
-    return step.join(F.broadcast(ok), ["previous", state], "left_anti")
+    return step.join(ok, ["previous", state], "left_anti")
 
 
 def transition(rows: DataFrame, state: str, moves: dict[str, str]) -> DataFrame:

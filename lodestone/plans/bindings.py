@@ -97,7 +97,7 @@ TOKENS = [("track(", "tracker", "script"), ("charset", "meta", "html"), ("<table
 JOIN (VALUES ('track(', 'tracker', 'script'), ('charset', 'meta', 'html'), ('<table', 'table', 'html'), ('no-such-token', 'none', 'html')) t(token, name, ecosystem) ON contains(html, token)) GROUP BY name, ecosystem""")
 def token_detection(spark, read):
     found = inventory.token_evidence(read("pages"), spark.createDataFrame(TOKENS, "token string, name string, ecosystem string"), "url", "html")
-    return found.select("name", "ecosystem", F.size("evidence").cast("long").alias("files"), F.col("evidence")[0]["file"].alias("first_file"))
+    return found.select("name", "ecosystem", F.col("files").cast("long").alias("files"), F.col("evidence")[0]["file"].alias("first_file"))
 
 
 @query("SELECT k, count(*) AS n FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY k")

@@ -55,3 +55,16 @@ def test_impact_of_all_orders(spark, made):
         assert {r.vertex: r.depth for r in bindings.QUERIES[name](spark, path).collect()} == depths(e, min(a for a, _ in e), 3)
     got = bindings.QUERIES["impact_budgeted"](spark, path).collect()
     assert {r.value: r.depth for r in got if r.what == "reached"} == depths(edges, min(a for a, _ in edges), 16)
+
+
+def test_impact_by_levels_and_in_one_task(spark):
+    rng = random.Random(9)
+    edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(70)} | {(k, k + 1) for k in range(100, 160)})
+    rows = spark.createDataFrame([*edges, *edges[:5], (None, 1), (1, None)], "a long, b long")
+    seeds = spark.createDataFrame([(0,), (100,), (999,), (None,)], "vertex long")
+    for most in (3, 200):
+        want = depths(edges, 0, most) | depths(edges, 100, most)
+        assert {r.vertex: r.depth for r in graph.impact(rows, seeds, most).collect()} == want
+    few = rows.filter("a < 100 OR a > 157")
+    assert {r.vertex: r.depth for r in graph.impact(few, seeds, 3, small_edges=0).collect()} == depths([e for e in edges if e[0] < 100], 0, 3)
+    assert graph.impact(rows.limit(0), seeds, 3).collect() == [] and graph.strong_components(rows.limit(0)).collect() == []
