@@ -83,6 +83,17 @@ def written(df: DataFrame, name: str = "table", compression: str = "snappy", bat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ordered_ids(docs: DataFrame, id_col: str) -> tuple[Column, int]:
+    """Ids as longs in their order, null as NULL_ID after all others, and what was taken off each: 1 if the table itself holds NULL_ID, else 0."""
+    doc = F.col(id_col).cast("long")
+    low, high = docs.agg(F.min(doc), F.max(doc)).first()
+    if high != NULL_ID:
+        return F.coalesce(doc, F.lit(NULL_ID)), 0
+    if low == -NULL_ID - 1:
+        raise ValueError("ids take up all 64-bit numbers from the least to the greatest, which leaves none for null")
+    return F.coalesce(doc - 1, F.lit(NULL_ID)), 1
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by written() that no later result reads."""
     spark = df.sparkSession

@@ -42,8 +42,14 @@ def words(text: Column) -> Column:
 
 
 def document_key(id_col: str, text_col: str) -> list[Column]:
-    """A document is its id and a hash of its text, as ids may repeat."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("version")]
+    """A document is its id and a hash of its text, as ids may repeat; the hash's last bit tells a null id."""
+    none = F.col(id_col).isNull().cast("long")
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).bitwiseAND(F.lit(-2)).bitwiseOR(none).alias("version")]
+
+
+def document_id() -> Column:
+    """The id that a document's key was made of."""
+    return F.when((F.col("doc") != NULL_ID) | (F.col("version").bitwiseAND(F.lit(1)) == 0), F.col("doc"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,8 +155,7 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     """The whole documents table against the whole benchmark table."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = contamination(docs, items, unnamed=True)
-    doc = F.when(F.col("doc") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("doc"))
-    return found.select(doc.alias("doc_id"), "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(document_id().alias("doc_id"), "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

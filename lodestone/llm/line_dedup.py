@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import BLANK, NULL_ID, lean, power_of_two, sized, written
+from lodestone.llm._common import BLANK, NULL_ID, lean, ordered_ids, power_of_two, sized, written
 
 SEGMENT_BITS = 1 << 16
 SEGMENT_BYTES = SEGMENT_BITS // 8
@@ -170,7 +170,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with their own lost keys by id.
     """
     spark = docs.sparkSession
-    pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
+    own, less = ordered_ids(docs, id_col)
+    pairs = docs.select(own.alias("doc"), F.col(text_col).alias("text"))
     bits = filter_bits or power_of_two(256 * docs.count(), 1 << 20, 1 << 28)
     shared = spark.sparkContext.broadcast(twice_filter(pairs, bits, min_chars))
     suspects = pairs.mapInArrow(lean(lambda it: _suspects(it, shared, bits, min_chars)), "key binary, doc long")
@@ -188,7 +189,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for batch in batches:
                 done = []
                 for doc, text in zip(batch.column(named).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                    doc = NULL_ID if doc is None else doc
+                    doc = NULL_ID if doc is None else doc - less
                     suspected = _suspected(text, bitmap, bits, min_chars)
                     done.append(_kept(text, lambda k, d=doc, s=suspected: k in s and table.get(digest(k), d) != d))
                 yield _with_counts(batch, at, done, out)
@@ -197,7 +198,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     joined = suspects.join(repeats, "key").filter("doc <> first")
     lost = joined.groupBy("doc").agg(F.collect_list("key").alias("__line_dedup_lost"))
-    keyed = docs.select(*rest, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__line_dedup_doc"))
+    keyed = docs.select(*rest, own.alias("__line_dedup_doc"))
     both = keyed.join(lost, keyed["__line_dedup_doc"] == lost["doc"], "left").select(*rest, "__line_dedup_lost")
 
     def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

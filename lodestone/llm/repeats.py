@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import NULL_ID, forget, give_back, lean, sized, written
+from lodestone.llm._common import forget, give_back, lean, ordered_ids, sized, written
 
 GRAM = 24
 GROUP_BYTES = 400_000
@@ -408,7 +408,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if width < GRAM:
         raise ValueError(f"windows have at least {GRAM} bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text"))
+    doc, _ = ordered_ids(docs, id_col)
+    pairs = docs.select(doc.alias("doc"), text.alias("text"))
     size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // part_bytes))
     several = not pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
@@ -446,7 +447,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 runs.append(len(own))
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    spread = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text"))
+    spread = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), text.alias("text"))
     spread = spread.select("*", version.alias("version"), F.sha2("text", 256).alias("same")).join(sized(copied, MOST_COPIED), "same", "left")
     spread = spread.join(removed, ["doc", "version"], "left").select("id", "text", "spans", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy"))
     return spread.mapInArrow(lean(left), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -31,8 +31,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import NULL_ID, ascii_lower, sized, written
-from lodestone.llm.decontamination import DOC, document_key
+from lodestone.llm._common import ascii_lower, sized, written
+from lodestone.llm.decontamination import DOC, document_id, document_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Each finds what the contract's pattern finds, leftmost and without overlaps. A run that fails at its start fails
@@ -175,10 +175,9 @@ def op4_sanitisation(spark, sf_dir: str) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
     lists = found.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("spans"))
     whole = docs.select(*document_key("doc_id", "text")).join(lists, list(DOC), "left").withColumn("spans", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)))
-    doc = F.when(F.col("doc") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("doc"))
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k))
     counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return whole.select(doc.alias("doc_id"), *counts, F.sha2(span_list(F.col("spans"), KINDS[:4]), 256).alias("base_sha256"), span_list(F.col("spans"), KINDS).alias("spans"))
+    return whole.select(document_id().alias("doc_id"), *counts, F.sha2(span_list(F.col("spans"), KINDS[:4]), 256).alias("base_sha256"), span_list(F.col("spans"), KINDS).alias("spans"))
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

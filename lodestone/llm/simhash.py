@@ -27,10 +27,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import NULL_ID, lean, pieces, written
+from lodestone.llm._common import lean, pieces, written
 from lodestone.llm.components import star_components
 
 SEED = 42
@@ -58,16 +58,21 @@ def simhash(text: str | None, width: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    doc = F.col(id_col).cast("long")
+    return [F.coalesce(doc, F.lit(0)).alias("doc"), doc.isNull().alias("none"), F.xxhash64(text_col).alias("version")]
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, version, fp) for each row; a null id becomes NULL_ID, version is a hash of the text."""
+    """(doc, none, version, fp) for each row; a null id is 0 with none set, version is a hash of the text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [simhash(x, width) for x in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], ["doc", "version", "fp"])
+            fp = [simhash(x, width) for x in batch.column(3).to_pylist()]
+            yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array(fp, pa.int64())], ["doc", "none", "version", "fp"])
 
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col))
-    return keyed.mapInArrow(lean(made), "doc long, version long, fp long")
+    keyed = docs.select(*_row_key(id_col, text_col), F.col(text_col))
+    return keyed.mapInArrow(lean(made), "doc long, none boolean, version long, fp long")
 
 
 def flips(bits: int, number: int) -> np.ndarray:
@@ -168,21 +173,20 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
-    """(doc, version, fp, group, component): group is a fingerprint that names the component, component its least id."""
+    """(doc, none, version, fp, group, component): group is a fingerprint that names the component, component its least id, as (none, doc)."""
     marked = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc").alias("rep")), "nodes")
+    nodes = written(marked.groupBy("fp").agg(F.min(F.struct("none", "doc")).alias("rep")), "nodes")
     roots = written(star_components(links(nodes, radius)), "roots")
     grouped = written(nodes.join(roots, nodes["fp"] == roots["vertex"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("group")), "grouped")
     least = grouped.groupBy("group").agg(F.min("rep").alias("component"))
     classes = written(grouped.select("fp", "group").join(least, "group"), "classes")
-    return marked.join(classes, "fp").select("doc", "version", "fp", "group", "component")
+    return marked.join(classes, "fp").select("doc", "none", "version", "fp", "group", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """Return id_col, fp (signed 64-bit) and component_id, the smallest id that a row reaches over links."""
-    null = F.lit(None).cast("long")
-    known = lambda c: F.when(F.col(c) == NULL_ID, null).otherwise(F.col(c))
-    return _classes(docs, id_col, text_col, width, radius).select(known("doc").alias(id_col), "fp", known("component").alias("component_id"))
+    known = lambda c: F.when(~F.col(f"{c}none"), F.col(f"{c}doc"))
+    return _classes(docs, id_col, text_col, width, radius).select(known("").alias(id_col), "fp", known("component.").alias("component_id"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
@@ -193,9 +197,10 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """docs with one row of each component: one of its smallest id."""
-    found = _classes(docs, id_col, text_col, width, radius).filter("doc = component")
-    first = found.groupBy("group", "doc").agg(F.min("version").alias("version"))
-    kept = written(first.join(found.groupBy("doc", "version").agg(F.count(F.lit(1)).alias("n")), ["doc", "version"]).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "n"), "kept")
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__version"))
-    left = docs.join(kept.select("__doc", "__version"), same, "left_semi")
+    key = ["doc", "none", "version"]
+    found = _classes(docs, id_col, text_col, width, radius).filter(F.struct("none", "doc") == F.col("component"))
+    first = found.groupBy("group", "doc", "none").agg(F.min("version").alias("version"))
+    kept = written(first.join(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key).select(*(F.col(c).alias(f"__{c}") for c in key), "n"), "kept")
+    same = [own == F.col(f"__{c}") for own, c in zip(_row_key(id_col, text_col), key, strict=True)]
+    left = docs.join(kept.drop("n"), same[0] & same[1] & same[2], "left_semi")
     return left if kept.filter("n > 1").isEmpty() else left.dropDuplicates([id_col, text_col])
