@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import re
 import string
 import tempfile
@@ -80,7 +81,35 @@ def written(df: DataFrame, name: str = "table", compression: str = "snappy", bat
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+#: Tables written since each of the self_cleaning functions that now run began.
+_scopes: list[list[DataFrame]] = []
+
+
+def self_cleaning(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Make a function write what it returns and delete all other tables that it has written."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        own: list[DataFrame] = []
+        _scopes.append(own)
+        try:
+            out = written(f(*args, **kwargs), f.__name__)
+        finally:
+            _scopes.pop()
+        for df in own:
+            if df is not out:
+                forget(df)
+        if _scopes:
+            _scopes[-1].append(out)
+        return out
+
+    return run
 
 
 def ordered_ids(docs: DataFrame, id_col: str) -> tuple[Column, int]:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import NULL_ID, ascii_lower, sized, written
+from lodestone.llm._common import NULL_ID, ascii_lower, self_cleaning, sized, written
 
 #: What separates words: all of ASCII but digits and letters. Fixed by the contract.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,6 +108,7 @@ def occurrences(index: DataFrame, item_words: DataFrame, found: DataFrame, width
     return runs.filter(F.col("last") - F.col("first") + 1 >= F.least(F.lit(width), "n")).select("item_id", *DOC, "first", "last")
 
 
+@self_cleaning
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, unnamed: bool = False) -> DataFrame:
     """For each document: doc, version, n_words, n_hit (words in occurring windows), items (their ids, sorted), unnamed (1 if an item without id is among them)."""
     item_words = test_words(items, item_id_col, item_text_col, unnamed)

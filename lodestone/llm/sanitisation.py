@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import ascii_lower, sized, written
+from lodestone.llm._common import ascii_lower, self_cleaning, sized, written
 from lodestone.llm.decontamination import DOC, document_id, document_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -132,6 +132,7 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, holders: DataFrame, reach
     return words.join(sized(masked, MOST_TERMS), [*DOC, "term"]).select(*DOC, "start", "end", "disclosure").distinct()
 
 
+@self_cleaning
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, support: int = 2, generalise_at: float = 0.8) -> DataFrame:
     """Return (doc, version, kind, start, end, disclosure); kind is a base kind or term, ends are exclusive.
 
@@ -142,7 +143,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans, holders = protected_spans(keyed)
     terms = revealing_terms(keyed, spans, holders, reach, support, generalise_at)
     base = spans.select(*DOC, "kind", "start", "end", F.lit(None).cast("double").alias("disclosure"))
-    return written(base.union(terms.select(*DOC, F.lit("term"), "start", "end", "disclosure")), "private")
+    return base.union(terms.select(*DOC, F.lit("term"), "start", "end", "disclosure"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, **options) -> DataFrame:

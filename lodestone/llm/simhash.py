@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import lean, pieces, written
+from lodestone.llm._common import lean, pieces, self_cleaning, written
 from lodestone.llm.components import star_components
 
 SEED = 42
@@ -172,6 +172,7 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     return gathered.mapInArrow(lean(joined), "a long, b long").distinct()
 
 
+@self_cleaning
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
     """(doc, none, version, fp, group, component): group is a fingerprint that names the component, component its least id, as (none, doc)."""
     marked = written(fingerprints(docs, id_col, text_col, width), "fingerprints")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import crc_mod, forget, lean, pieces, written
+from lodestone.llm._common import crc_mod, forget, lean, pieces, self_cleaning, written
 
 END = b"\n"
 #: Stands for the end of a text among tokens; no token holds a blank.
@@ -339,6 +339,7 @@ def least_frequent(table: DataFrame, column: str, most: int) -> int:
 PARTIAL = "row long, doc {kind}, held_out boolean, n_tokens long, known long, logs double, score double, words array<struct<token:string,n:bigint>>, grams array<bigint>"
 
 
+@self_cleaning
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_count: int = 2, divergence: float = 0.01, evidence: float = 2.0, discount: float = 0.75, most_frequent: int = 300_000, most_windows: int = 1 << 21) -> DataFrame:
     """Learn from the rows that training selects and score all.
 
