@@ -41,6 +41,8 @@ GROUP_BYTES = 400_000
 PART_BYTES = 4_000_000
 SLICE_BYTES = 1 << 22
 FLUSH = 400_000
+#: Windows that are ordered together.
+WINDOWS = 200_000
 #: Packed rows that go to a Python worker at once.
 BATCH_ROWS = 64
 #: Of a place in a group of texts; longer groups are refused.
@@ -294,6 +296,37 @@ def equal_windows(group: np.ndarray, digits: np.ndarray, first: np.ndarray, last
     return live, least[live]
 
 
+def mixed_runs(blocks: list[bytes], own: np.ndarray, gram: np.ndarray, lead: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges (block, head, tail, least document) of some blocks, own, whose windows stand in several documents; all blocks of their grams are among them.
+
+    Windows at different places before their gram never meet, so that where they
+    are very many they go by place, some places at a time.
+    """
+    counts = size[own] - width + 1
+    begin = np.zeros(len(blocks), np.int64)
+    begin[own] = np.cumsum(size[own]) - size[own]
+    data = np.frombuffer(b"".join(blocks[k] for k in own), dtype=np.uint8)
+    places = width - GRAM + 1
+    step = max(1, places * WINDOWS // max(1, int(counts.sum())))
+    for low in range(0, places, step):
+        # A window at place at has its gram at lead - at, which is to lie in [low, low + step).
+        head = np.maximum(lead[own] - (low + step) + 1, 0)
+        stop = np.minimum(lead[own] - low + 1, counts)
+        n = np.maximum(stop - head, 0)
+        block = np.repeat(own, n)
+        at = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(head, n)
+        offset = lead[block] - at
+        digits = window_digits(data, begin[block] + at, offset, width)
+        live, least = equal_windows(gram[block] * places + offset, digits, first[block], last[block])
+        if len(live):
+            order = np.lexsort((at[live], block[live]))
+            b, a, least = block[live][order], at[live][order], least[order]
+            new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1] + 1) | (least[1:] != least[:-1]))
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(b)) - 1
+            yield b[head], a[head], a[tail] + width, least[head]
+
+
 def judged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """From blocks by key: by part, the ranges of its blocks that stand in several documents, each with the least of these."""
     for rows in by_key(batches):
@@ -318,23 +351,13 @@ def judged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         whole = np.flatnonzero(alone & (first < last))
         runs = [(whole, np.zeros(len(whole), np.int64), size[whole], first[whole])]
         mixed = np.flatnonzero(~alone)
-        if len(mixed):
-            counts = size[mixed] - width + 1
-            block = np.repeat(mixed, counts)
-            at = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
-            begin = np.zeros(len(blocks), np.int64)
-            begin[mixed] = np.cumsum(size[mixed]) - size[mixed]
-            data = np.frombuffer(b"".join(blocks[k] for k in mixed), dtype=np.uint8)
-            offset = lead[block] - at
-            digits = window_digits(data, begin[block] + at, offset, width)
-            live, least = equal_windows(gram[block] * (width - GRAM + 1) + offset, digits, first[block], last[block])
-            order = np.lexsort((at[live], block[live]))
-            b, a, least = block[live][order], at[live][order], least[order]
-            if len(b):
-                new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1] + 1) | (least[1:] != least[:-1]))
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(b)) - 1
-                runs.append((b[head], a[head], a[tail] + width, least[head]))
+        mixed = mixed[np.argsort(gram[mixed], kind="stable")]
+        counts = np.cumsum(size[mixed] - width + 1)
+        new = np.flatnonzero(np.append(True, np.diff(gram[mixed]) != 0)) if len(mixed) else mixed
+        turn = (counts[new] - (size[mixed[new]] - width + 1)) // WINDOWS if len(mixed) else mixed
+        cuts = [*new[np.flatnonzero(np.append(True, np.diff(turn) != 0))].tolist(), len(mixed)] if len(mixed) else []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            runs += mixed_runs(blocks, mixed[x:y], gram, lead, size, first, last, width)
         b, head, tail, least = (np.concatenate([x[k] for x in runs]) for k in range(4))
         order = np.argsort(b, kind="stable")
         b, head, tail, least = b[order], head[order], tail[order], least[order]

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,29 @@ def test_repeats(docs_of, options):
     assert got == brute_repeats(REPEATS, 50)
 
 
+@pytest.mark.parametrize("windows", [repeats.WINDOWS, 5])
+def test_ranges_do_not_depend_on_the_windows_ordered_together(monkeypatch, windows):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(repeats, "WINDOWS", windows)
+    width, gram, rows = 30, bytes(range(repeats.GRAM)), []
+    for number in range(120):
+        lead, tail = int(rng.integers(0, 7)), int(rng.integers(0, 7))
+        if lead + tail >= width - repeats.GRAM:
+            rows.append((number, lead, bytes(rng.integers(0, 2, lead, dtype=np.uint8)) + (gram if number % 4 else gram[::-1]) + bytes(rng.integers(0, 2, tail, dtype=np.uint8))))
+    records = np.array([(k, k + number % 2, 0, number, lead, len(x)) for k, (number, lead, x) in enumerate(rows)], dtype=repeats.BLOCK)
+    data = np.uint32(len(rows)).tobytes() + records.tobytes() + b"".join(x for *_, x in rows)
+    batch = pa.record_batch([pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["key", "data"])
+    told = [np.frombuffer(x, repeats.VERDICT) for b in repeats.judged(iter([batch]), width) for x in b.column(1).to_pylist()]
+    got = {(int(r["number"]), k, int(r["least"])) for t in told for r in t for k in range(int(r["head"]), int(r["tail"]) - width + 1)}
+    holders = {}
+    for k, (number, lead, x) in enumerate(rows):
+        for at in range(len(x) - width + 1):
+            if at <= lead <= at + width - repeats.GRAM:
+                holders.setdefault((lead - at, x[at : at + width]), []).append((k, k + number % 2, number, at))
+    want = {(number, at, min(r[0] for r in own)) for own in holders.values() for _, most, number, at in own if min(r[0] for r in own) < max(r[1] for r in own) and min(r[0] for r in own) < most}
+    assert {x for x in got if x[0] in {n for n, *_ in rows}} == want
+
+
 def test_repeats_on_sample(sample):
     df, rows = sample
     got = sorted((tuple(r) for r in remove_repeats(df, part_bytes=100_000).withColumn("kept", F.sha2("kept", 256)).collect()), key=repr)
