@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm._common import crc_mod, lean
 from lodestone.llm.pretokens import E as LAST_LETTER
-from lodestone.llm.pretokens import code_point_classes
+from lodestone.llm.pretokens import code_point_classes, grouped, segments
 
 BOUNDARY = 0
 BATCH_CHARS = 400_000
@@ -84,7 +84,14 @@ def trigram_vectors(letters: np.ndarray, dimensions: int) -> np.ndarray:
 
 
 def bundles(texts: list[str], group: np.ndarray, n_groups: int, dimensions: int) -> np.ndarray:
-    """The sum of trigram vectors over the texts of each group."""
+    """The sum of trigram vectors over the texts of each group; long texts in segments, cut at blanks, which no trigram's middle letter crosses."""
+    total = np.zeros((n_groups, dimensions), dtype=np.float64)
+    for parts in grouped(texts, BATCH_CHARS):
+        total += _bundled([x for _, x in parts], group[[k for k, _ in parts]], n_groups, dimensions)
+    return total
+
+
+def _bundled(texts: list[str], group: np.ndarray, n_groups: int, dimensions: int) -> np.ndarray:
     text, gram, counts, letters = trigram_counts(texts)
     total = np.zeros((n_groups, dimensions), dtype=np.float64)
     for k in range(0, len(letters), 16_384):  # bounded memory, whatever the alphabet
@@ -95,6 +102,12 @@ def bundles(texts: list[str], group: np.ndarray, n_groups: int, dimensions: int)
     return total
 
 
+def has_letter(text: str) -> bool:
+    """Is any code point a letter?"""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    return bool(len(points) and (code_point_classes()[points] <= LAST_LETTER).any())
+
+
 def in_groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about BATCH_CHARS together."""
     first = size = 0
@@ -160,8 +173,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text_col: str = "text
                     score[a + ok] = np.clip(cosine.max(axis=1), 0, 1)
             if len(unit):  # letters whose trigrams are none or cancel: the first language, without certainty
                 for k in np.flatnonzero(best == len(unit)):
-                    points = np.frombuffer(texts[k].encode("utf-32-le"), dtype="<u4")
-                    if len(points) and (code_point_classes()[points] <= LAST_LETTER).any():
+                    if any(has_letter(x) for x in segments(texts[k])):
                         best[k] = 0
             yield pa.record_batch([*(batch.column(i) for i in range(len(rest))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], out.fieldNames())
 

@@ -75,6 +75,15 @@ def plain_vector(text, dimensions):
     return total
 
 
+def test_segments_do_not_change_bundles(monkeypatch):
+    from lodestone.llm import pretokens
+
+    texts, group = ["some words ΣΑΣ in a row, and 12 more  words", "", "x", "no blank at all".replace(" ", "-")], np.array([0, 1, 1, 0])
+    whole = bundles(texts, group, 2, 64)
+    monkeypatch.setattr(pretokens, "SEGMENT", 3)
+    assert (bundles(texts, group, 2, 64) == whole).all()
+
+
 def test_language_is_the_nearest_plain_sum(docs_of):
     known = [(1, "the cat and the hat", "en"), (2, "die Katze und der Hut", "de"), (3, "one more sentence of the same", "en"), (4, "und noch ein Satz", "de")]
     asked = [(10, "the other cat"), (11, "der andere Satz und"), (12, "hat!"), (13, "Ünd, 3 die")]
