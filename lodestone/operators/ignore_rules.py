@@ -47,11 +47,29 @@ def compile_rule(ordinal: int, line: str, base: str = "") -> Rule | None:
 
 
 def rules_table(spark, lines: list[tuple[str, str]]) -> DataFrame:
-    """Rules from (base, line), in order; ignore files come by depth and path, configured lines last."""
+    """Rules from (base, line), in order; ignore files come by depth and path, configured lines last. At most MOST_RULES, as they go to all tasks."""
+    if len(lines) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     rules = [r for k, (base, line) in enumerate(lines) if (r := compile_rule(k, line, base))]
     return spark.createDataFrame([(r.ordinal, r.regex, r.base, r.negated, r.directories_only) for r in rules], "ordinal int, regex string, base string, negated boolean, directories_only boolean")
 
 
+#: Rules that a run may have; each is tried on every part of every path.
+MOST_RULES = 10_000
+
+
+def rule_lines(files: DataFrame, config: list[str] = ()) -> list[tuple[str, str]]:
+    """(base, line) of ignore files (path, content), by depth, path and line, and of configured lines behind them; ValueError beyond MOST_RULES lines."""
+    p = F.col("path")
+    base = F.when(p.contains("/"), F.regexp_replace(p, r"/[^/]*\z", "")).otherwise("")
+    each = files.select("path", base.alias("base"), F.size(F.split("path", "/")).alias("depth"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    rows = each.filter(F.trim("line") != "").orderBy("depth", "path", "at").limit(MOST_RULES + 1).collect()
+    found = [(r["base"], r["line"]) for r in rows] + [("", line) for line in config]
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return found
+
+
 def decide(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """entries (path, is_dir) with ignored and the deciding rule's ordinal (null: none matched).
 

@@ -55,6 +55,11 @@ def conflicts(rows: DataFrame, key: str, value: str, least: int = 2) -> DataFram
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values")).filter(F.size("values") >= least)
 
 
+def flag_counts(rows: DataFrame, total: str, **flags: Column) -> DataFrame:
+    """One row: how many rows there are, and for how many each flag holds."""
+    return rows.agg(F.count(F.lit(1)).alias(total), *(F.count_if(v).alias(k) for k, v in flags.items()))
+
+
 def layout(entries: DataFrame) -> DataFrame:
     """One row: greatest depth, and numbers of distinct top-level directories and files."""
     d, top = paths.depth(F.col("path")), paths.top_segment(F.col("path"))

@@ -73,11 +73,18 @@ def register(existing: DataFrame, requests: DataFrame, key: str, digest: str) ->
 
 
 def typed_statistics(rows: DataFrame, names: dict[str, Column]) -> DataFrame:
-    """(name, kind, integer_value, text_value): named values as typed attribute rows."""
-    entries = [F.struct(F.lit(k).alias("name"), v.cast("string").alias("v")) for k, v in names.items()]
-    each = rows.select(F.explode(F.array(*entries)).alias("s"))
-    number = F.col("s.v").rlike(r"^-?[0-9]+\z")
-    return each.select("s.name", F.when(number, "integer").otherwise("text").alias("kind"), F.when(number, F.col("s.v").cast("long")).alias("integer_value"), F.when(~number, F.col("s.v")).alias("text_value"))
+    """(name, kind, integer_value, decimal_value, boolean_value, text_value): named values as typed attribute rows, one value each.
+
+    A value's kind is that of its column: integer, decimal (also floating), boolean or text.
+    """
+    kinds = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "double": "decimal", "float": "decimal", "boolean": "boolean"}
+    known = rows.select(*(v.alias(k) for k, v in names.items()))
+    out = []
+    for name, kind in known.dtypes:
+        own = "decimal" if kind.startswith("decimal") else kinds.get(kind, "text")
+        value = lambda k, to, name=name, own=own: (F.col(name) if own == k else F.lit(None)).cast(to).alias(f"{k}_value")
+        out.append(F.struct(F.lit(name).alias("name"), F.lit(own).alias("kind"), value("integer", "long"), value("decimal", "decimal(38,6)"), value("boolean", "boolean"), value("text", "string")))
+    return known.select(F.explode(F.array(*out)).alias("s")).select("s.*")
 
 
 def dangling(rows: DataFrame, key: str, parents: DataFrame, parent_key: str, name: str) -> DataFrame:

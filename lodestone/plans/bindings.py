@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import identity, paths
 from lodestone.operators import graph, ignore_rules, inventory, limits, resolution, store
+from lodestone.sources import manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,7 +88,7 @@ def language_share(spark, read):
 @query("SELECT count(*) AS files, count(*) FILTER (WHERE lang IN ('en', 'de', 'fr')) AS known, count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr')) AS unknown FROM documents")
 def status_counts(spark, read):
     known = F.col("lang").isin("en", "de", "fr")
-    return read("documents").agg(F.count(F.lit(1)).alias("files"), F.count_if(known).alias("known"), F.count_if(~known).alias("unknown"))
+    return inventory.flag_counts(read("documents"), "files", known=known, unknown=~known)
 
 
 TOKENS = [("track(", "tracker", "script"), ("charset", "meta", "html"), ("<table", "table", "html"), ("no-such-token", "none", "html")]
@@ -102,7 +103,7 @@ def token_detection(spark, read):
 
 @query("SELECT k, count(*) AS n FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY k")
 def json_manifest(spark, read):
-    return read("events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return manifests.json_fields(read("events"), "props", "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT source, lang, count(*) AS findings, count(DISTINCT n_chars) AS evidence, min(n_chars) AS first_evidence FROM documents GROUP BY source, lang""")
@@ -338,12 +339,12 @@ def poisoned_aliases(spark, read):
     return resolution.poisoned_aliases(read("part").select(F.col("p_name").alias("alias"), F.col("p_type").alias("scope"), "p_brand"), ["alias", "scope"], "p_brand")
 
 
-@query("""WITH p AS (SELECT lang AS grp, CASE WHEN toxic = 1 THEN 'ambiguous' WHEN quality = 1 THEN 'resolved' ELSE 'external' END AS status, source AS target, doc_id % 50 AS g FROM documents JOIN labels USING (doc_id)),
-a AS (SELECT g, bool_or(status = 'ambiguous') AS amb, bool_and(status = 'resolved') AS res, bool_and(status = 'external') AS ext, count(DISTINCT CASE WHEN status = 'resolved' THEN target END) AS n, min(CASE WHEN status = 'resolved' THEN target END) AS t FROM p GROUP BY g),
-s AS (SELECT g, t, CASE WHEN amb OR n > 1 THEN 'ambiguous' WHEN res AND n = 1 THEN 'resolved' WHEN ext THEN 'external' ELSE 'unresolved' END AS state FROM a)
+@query("""WITH p AS (SELECT lang AS grp, CASE WHEN doc_id % 97 = 5 THEN 'stale' WHEN toxic = 1 THEN 'ambiguous' WHEN quality = 1 THEN 'resolved' ELSE 'external' END AS status, source AS target, doc_id % 50 AS g FROM documents JOIN labels USING (doc_id)),
+a AS (SELECT g, bool_or(status = 'stale') AS old, bool_or(status = 'ambiguous') AS amb, bool_and(status = 'resolved') AS res, bool_and(status = 'external') AS ext, count(DISTINCT CASE WHEN status = 'resolved' THEN target END) AS n, min(CASE WHEN status = 'resolved' THEN target END) AS t FROM p GROUP BY g),
+s AS (SELECT g, t, CASE WHEN old THEN 'unresolved' WHEN amb OR n > 1 THEN 'ambiguous' WHEN res AND n = 1 THEN 'resolved' WHEN ext THEN 'external' ELSE 'unresolved' END AS state FROM a)
 SELECT g, state, CASE WHEN state = 'resolved' THEN t END AS target FROM s""")
 def unanimity(spark, read):
-    status = F.when(F.col("toxic") == 1, "ambiguous").when(F.col("quality") == 1, "resolved").otherwise("external")
+    status = F.when(F.col("doc_id") % 97 == 5, "stale").when(F.col("toxic") == 1, "ambiguous").when(F.col("quality") == 1, "resolved").otherwise("external")
     proofs = read("documents").select("doc_id", "source").join(read("labels"), "doc_id").select((F.col("doc_id") % 50).alias("g"), status.alias("status"), F.col("source").alias("target"))
     return resolution.unanimous(proofs, ["g"], "status", "target")
 
@@ -495,11 +496,12 @@ def registration(spark, read):
     return store.register(digest(docs), digest(asked), "doc_id", "digest").select("doc_id", "outcome")
 
 
-@query("""SELECT name, kind, integer_value, text_value FROM (SELECT 'rows' AS name, 'integer' AS kind, count(*) AS integer_value, NULL AS text_value FROM orders
-UNION ALL SELECT 'customers', 'integer', count(DISTINCT o_custkey), NULL FROM orders UNION ALL SELECT 'last_status', 'text', NULL, max(o_orderstatus) FROM orders)""")
+@query("""SELECT 'rows' AS name, 'integer' AS kind, count(*) AS integer_value, CAST(NULL AS DECIMAL(38, 6)) AS decimal_value, CAST(NULL AS BOOLEAN) AS boolean_value, CAST(NULL AS VARCHAR) AS text_value FROM orders
+UNION ALL SELECT 'customers', 'integer', count(DISTINCT o_custkey), NULL, NULL, NULL FROM orders UNION ALL SELECT 'last_status', 'text', NULL, NULL, NULL, max(o_orderstatus) FROM orders
+UNION ALL SELECT 'highest', 'decimal', NULL, CAST(max(o_totalprice) AS DECIMAL(38, 6)), NULL, NULL FROM orders UNION ALL SELECT 'finished', 'boolean', NULL, NULL, bool_and(o_orderstatus = 'F'), NULL FROM orders""")
 def statistics_eav(spark, read):
-    one = read("orders").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("customers"), F.max("o_orderstatus").alias("last_status"))
-    return store.typed_statistics(one, {x: F.col(x) for x in ("rows", "customers", "last_status")})
+    one = read("orders").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("customers"), F.max("o_orderstatus").alias("last_status"), F.max("o_totalprice").alias("highest"), F.bool_and(F.col("o_orderstatus") == "F").alias("finished"))
+    return store.typed_statistics(one, {x: F.col(x) for x in ("rows", "customers", "last_status", "highest", "finished")})
 
 
 @query("""SELECT relation, count(*) AS n FROM (SELECT 'part' AS relation FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity, paths
-from lodestone.operators import dependency_graph, graph, limits, packages, publication, semantics, store, validity
+from lodestone.operators import dependency_graph, graph, limits, packages, publication, resolution, semantics, store, validity
 from lodestone.plans.bindings import CANDIDATES, CLOSURE, ENTRIES, _seg, _sid, edges_of, page_entries, page_files, query
 from lodestone.sources import repository
 
@@ -87,6 +87,49 @@ def bound_imports(spark, read):
     return packages.bound_imports(lines.select(*key).distinct(), lines.filter("l_returnflag = 'R'").select(*key, F.col("l_quantity").cast("long").alias("binding")), key)
 
 
+_FLAGS = {"stale": "o_orderkey % 13 = 0", "has_target": "o_orderkey % 4 = 0 OR o_orderkey % 17 = 0", "proof_missing": "o_orderkey % 5 = 0", "proofs_disagree": "o_orderkey % 7 = 0", "omitted": "o_orderkey % 2 = 0", "targets_stale": "o_orderkey % 11 = 0", "targets_unverified": "o_orderkey % 19 = 0", "all_external": "o_orderkey % 23 <> 0", "all_standard": "o_orderkey % 29 = 0"}
+_BINDING = "CASE o_orderkey % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'external' END"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, {_BINDING} AS binding, o_orderkey % 3 AS proofs, {', '.join(f'{v} AS {k}' for k, v in _FLAGS.items())} FROM orders)
+SELECT o_orderkey, CASE WHEN stale THEN 'stale' WHEN binding IS NULL THEN 'unresolved' WHEN binding = 'resolved' THEN
+CASE WHEN proof_missing AND omitted THEN 'unresolved' WHEN proof_missing OR proofs_disagree THEN 'error' WHEN targets_stale THEN 'stale' WHEN targets_unverified THEN 'unresolved' ELSE 'resolved_local' END
+WHEN has_target THEN 'error' WHEN binding = 'ambiguous' THEN 'ambiguous' WHEN proofs = 0 AND omitted THEN 'unresolved' WHEN proofs = 0 OR NOT all_external THEN 'error' WHEN all_standard THEN 'standard_library' ELSE 'external' END AS state FROM f""")
+def import_states(spark, read):
+    flags = [F.expr(v).alias(k) for k, v in _FLAGS.items()]
+    rows = read("orders").select("o_orderkey", F.expr(_BINDING).alias("binding"), (F.col("o_orderkey") % 3).alias("proofs"), *flags)
+    return resolution.import_state(rows).select("o_orderkey", "state")
+
+
+@query(f"""WITH {ENTRIES} SELECT CASE strlen(path) % 4 WHEN 0 THEN path WHEN 1 THEN '/' || path WHEN 2 THEN './' || replace(path, '/', '//') ELSE 'x/../' || path END AS written, CASE WHEN strlen(path) % 4 <> 1 THEN path END AS clean FROM files""")
+def normalized_paths(spark, read):
+    n, p = F.length("path") % 4, F.col("path")
+    written_as = F.when(n == 0, p).when(n == 1, F.concat(F.lit("/"), p)).when(n == 2, F.concat(F.lit("./"), F.replace(p, F.lit("/"), F.lit("//")))).otherwise(F.concat(F.lit("x/../"), p))
+    return page_files(read).select(written_as.alias("written")).select("written", paths.normalized(F.col("written")).alias("clean"))
+
+
+@query(f"""WITH {ENTRIES}, r AS (SELECT min(path) AS root FROM dirs WHERE contains(path, '/')) SELECT path FROM files, r WHERE path = root OR starts_with(path, root || '/')""")
+def paths_within(spark, read):
+    root = page_entries(read).filter(F.col("is_dir") & F.col("path").contains("/")).agg(F.min("path").alias("root")).first()["root"]
+    return page_files(read).filter(paths.within(F.col("path"), F.lit(root)))
+
+
+def _seg4(x: str) -> str:
+    return f"lpad(printf('%X', strlen({x})), 8, '0') || hex({x})"
+
+
+_TAGGED = "strlen(CAST(n_nationkey AS VARCHAR)) || ':' || n_nationkey || '|' || strlen(n_name) || ':' || n_name"
+
+
+@query(f"""WITH h AS (SELECT n_nationkey, n_name, sha256(unhex({_seg4("CAST(n_nationkey AS VARCHAR)")} || {_seg4("n_name")})) AS d FROM nation)
+SELECT n_nationkey, d AS digest, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-8' || substr(d, 14, 3) || '-' || substr('89ab89ab89ab89ab', CAST('0x' || substr(d, 17, 1) AS INT) + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS uuid,
+{_TAGGED} AS tagged, sha256('11:boundary/v1|3:app|1:c|' || strlen(n_name) || ':' || n_name) AS boundary FROM h""")
+def identities(spark, read):
+    key = F.col("n_nationkey").cast("string")
+    digest = identity.compact_identity(key, F.col("n_name"))
+    return read("nation").select("n_nationkey", F.lower(F.hex(digest)).alias("digest"), identity.uuid_v8(digest).alias("uuid"), identity.length_tagged(key, F.col("n_name")).alias("tagged"), packages.boundary_name(F.lit("app"), F.lit("c"), F.col("n_name")).alias("boundary"))
+
+
 # ---- graphs ---------------------------------------------------------------
 
 

@@ -84,6 +84,11 @@ def go_files(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
+def json_fields(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Fields of JSON texts as columns; null where a text is no JSON or lacks the field."""
+    return rows.select(F.from_json(column, schema).alias("j")).select("j.*")
+
+
 def node_packages(files: DataFrame) -> DataFrame:
     """Package manager, engines and workspaces (an array, or an object that holds one) of package.json."""
     rows = named(files, ["package.json"]).withColumn("j", F.from_json("content", "packageManager string, engines map<string,string>, workspaces string"))

@@ -154,3 +154,12 @@ def test_lifecycle(spark):
     steps = spark.createDataFrame([(1, 1, "new"), (1, 2, "run"), (1, 3, "new"), (2, 1, "run")], "k int, t int, s string")
     allowed = spark.createDataFrame([("new", "run")], "previous string, next string")
     assert [(r.k, r.t) for r in store.violations(steps, "k", ["t"], "s", allowed).collect()] == [(1, 3)]
+
+
+def test_rule_lines_come_by_depth_and_path(spark):
+    files = spark.createDataFrame([("b/.gitignore", "*.x\n\n!keep.x"), (".gitignore", "*.log"), ("a/c/.gitignore", "deep"), ("a/.gitignore", "z")], "path string, content string")
+    lines = ignore_rules.rule_lines(files, ["last"])
+    assert lines == [("", "*.log"), ("a", "z"), ("b", "*.x"), ("b", "!keep.x"), ("a/c", "deep"), ("", "last")]
+    entries = spark.createDataFrame([("b/q.x", False), ("b/keep.x", False), ("q.x", False), ("a/z", True), ("a/z/in", False), ("z", False), ("last", False)], "path string, is_dir boolean")
+    got = {r.path: r.ignored for r in ignore_rules.decide(entries, ignore_rules.rules_table(spark, lines)).collect()}
+    assert got == {"b/q.x": True, "b/keep.x": False, "q.x": False, "a/z": True, "a/z/in": True, "z": False, "last": True}
