@@ -15,6 +15,9 @@ compared byte by byte: grams first, then whole blocks (the windows of a block
 that has its gram for itself are settled at once), then single windows by digits
 of eight bytes. Hashes decide only where records meet, never what is equal.
 
+A gram that stands very often sends two records a buffer in the first pass, and
+in the second its blocks are dealt by the bytes beside it too.
+
 Documents of one text are resolved beforehand: all but those of the least id
 lose what any window covers. Records travel packed, many to a row.
 
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,7 @@ GROUP_BYTES = 400_000
 PART_BYTES = 4_000_000
 SLICE_BYTES = 1 << 22
 FLUSH = 400_000
+LEAST_HOT = 1000
 #: Windows that are ordered together.
 WINDOWS = 200_000
 #: Packed rows that go to a Python worker at once.
@@ -50,7 +55,7 @@ PLACE_BITS = 24
 #: Texts that stand several times, up to which the table of their hashes is broadcast.
 MOST_COPIED = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("at", "<u4")])
+ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("at", "<u4"), ("count", "<u4"), ("known", "u1")])
 PLACE = np.dtype([("doc", "<i8"), ("version", "<i8"), ("at", "<u4")])
 OCCURRENCE = np.dtype([("block", "<u4"), ("doc", "<i8"), ("version", "<i8"), ("low", "<u4")])
 BLOCK = np.dtype([("first", "<i8"), ("last", "<i8"), ("part", "<u4"), ("number", "<u4"), ("lead", "<u4"), ("size", "<u4")])
@@ -155,8 +160,53 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def anchor_rows(batches: Iterator[pa.RecordBatch], keys: int, width: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
-    """All anchors of the texts, by key."""
+def _gram_groups(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records by gram, where each gram begins, and which grams stand in several documents."""
+    records = records[np.argsort(records["gram"], kind="stable")]
+    gram, doc = records["gram"], records["doc"]
+    begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    return records, begins, np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins)
+
+
+def _places(records: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Records of shared grams, by part."""
+    places = np.empty(len(records), dtype=PLACE)
+    for c in PLACE.names:
+        places[c] = records[c]
+    return packed(part_of(places["doc"], places["version"], parts), places, ("part", "data"))
+
+
+DEALT = "key int, kind int, part int, data binary"
+
+
+def _dealt_rows(records: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one buffer: anchors by key (kind 1); and those whose gram stands in several documents of the buffer by part (kind 0).
+
+    Of the latter only two go by key, with the least and the greatest document
+    and the number of all: a gram that stands everywhere sends two records a
+    buffer.
+    """
+    records, begins, several = _gram_groups(records)
+    sizes = np.diff(np.append(begins, len(records)))
+    met = np.repeat(several, sizes)
+    own, first, last = records[met], [], []
+    if len(own):
+        order = np.lexsort((own["doc"], own["gram"]))
+        own = own[order]
+        heads = np.flatnonzero(np.append(True, own["gram"][1:] != own["gram"][:-1]))
+        tails = np.append(heads[1:], len(own)) - 1
+        first, last = own[heads].copy(), own[tails].copy()
+        first["count"], last["count"] = tails - heads, 1
+        first["known"] = last["known"] = 1
+        part, data = _places(own, parts).columns
+        yield pa.record_batch([part, pa.array(np.zeros(len(part), np.int32)), part, data], ["key", "kind", "part", "data"])
+    alone = np.concatenate([x for x in (records[~met], first, last) if len(x)])
+    batch = packed(dealt(alone["gram"], parts), alone)
+    yield pa.record_batch([batch.column(0), pa.array(np.ones(len(batch), np.int32)), pa.nulls(len(batch), pa.int32()), batch.column(1)], ["key", "kind", "part", "data"])
+
+
+def anchor_rows(batches: Iterator[pa.RecordBatch], parts: int, width: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """All anchors of the texts as DEALT rows."""
     held: list[np.ndarray] = []
     size = 0
     for doc, version, base, texts in grouped(batches, width, slice_bytes):
@@ -164,43 +214,80 @@ def anchor_rows(batches: Iterator[pa.RecordBatch], keys: int, width: int, slice_
         place, _, _, gram = anchored_blocks(b"".join(texts), sizes, width)
         stops = np.cumsum(sizes)
         owner = np.searchsorted(stops, place, side="right")
-        records = np.empty(len(place), dtype=ANCHOR)
-        records["gram"], records["doc"], records["version"] = gram, doc[owner], version[owner]
+        records = np.zeros(len(place), dtype=ANCHOR)
+        records["gram"], records["doc"], records["version"], records["count"] = gram, doc[owner], version[owner], 1
         records["at"] = place - (stops - sizes)[owner] + base[owner]
         held.append(records)
         size += len(records)
         if size > FLUSH:
-            records = np.concatenate(held)
-            yield packed(dealt(records["gram"], keys), records)
+            yield from _dealt_rows(np.concatenate(held), parts)
             held, size = [], 0
     if size:
-        records = np.concatenate(held)
-        yield packed(dealt(records["gram"], keys), records)
+        yield from _dealt_rows(np.concatenate(held), parts)
+
 
+#: In place of a part: the grams that stand more often than a limit.
+HOT = -1
 
-def shared_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The anchors of a key whose gram stands in several documents, by part."""
-    for data in by_key(batches):
-        records = np.frombuffer(b"".join(data), dtype=ANCHOR)
-        records = records[np.argsort(records["gram"])]
-        gram, doc = records["gram"], records["doc"]
-        begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        several = np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins)
-        kept = records[np.repeat(several, np.diff(np.append(begins, len(records))))]
-        places = np.empty(len(kept), dtype=PLACE)
-        for c in PLACE.names:
-            places[c] = kept[c]
-        yield packed(part_of(places["doc"], places["version"], parts), places, ("part", "data"))
+
+def shared_anchors(batches: Iterator[pa.RecordBatch], parts: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """From DEALT rows in order of key and kind: the anchors whose gram stands in several documents, by part; and grams that stand more than limit times."""
+    held: list[bytes] = []
+    now = None
+
+    def solved() -> Iterator[pa.RecordBatch]:
+        records, begins, several = _gram_groups(np.frombuffer(b"".join(held), dtype=ANCHOR))
+        total = np.add.reduceat(records["count"].astype(np.int64), begins)
+        hot = records["gram"][begins[several & (total > limit)]]
+        if len(hot):
+            yield pa.record_batch([pa.array([HOT], pa.int32()), pa.array([hot.tobytes()], pa.binary())], ["part", "data"])
+        kept = np.repeat(several, np.diff(np.append(begins, len(records)))) & (records["known"] == 0)
+        yield _places(records[kept], parts)
+
+    for batch in batches:
+        for key, kind, part, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if held and (kind == 0 or key != now):
+                yield from solved()
+                held = []
+            if kind == 0:
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+            else:
+                now = key
+                held.append(data)
+    if held:
+        yield from solved()
 
 
 EXTRACTED = "kind int, key int, data binary"
 
 
-def extracted(texts: pa.Table, found: pa.Table, keys: int, width: int, slice_bytes: int) -> pa.Table:
-    """Of one part: its occurrences of blocks (kind 0, by part) and its distinct blocks with their bytes (kind 1, by key)."""
+def split_hot(place: np.ndarray, low: np.ndarray, stop: np.ndarray, hot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of grams that are not hot as they are (side 0), others cut in two: which block each was, first byte, end, and side.
+
+    A window has as many bytes beside its gram as it is wider. So it has half of
+    them behind the gram (side 1) or else in front of it (side 2), and these
+    bytes are a further digit that deals out a hot gram's blocks.
+    """
+    rest = width - GRAM
+    half = (rest + 1) // 2
+    at = np.arange(len(place))
+    cut = place - (rest - half)  # windows that begin here or later have half of the bytes behind their gram
+    last = stop - width
+    sides = [(at[~hot], low[~hot], stop[~hot], 0)]
+    behind, before = hot & (last >= cut), hot & (low < cut)
+    sides.append((at[behind], np.maximum(low, cut)[behind], stop[behind], 1))
+    sides.append((at[before], low[before], (np.minimum(last, cut - 1) + width)[before], 2))
+    return (*(np.concatenate([x[k] for x in sides]) for k in range(3)), np.concatenate([np.full(len(x[0]), x[3]) for x in sides]))
+
+
+def extracted(texts: pa.Table, found: pa.Table, keys: int, width: int, slice_bytes: int, hot: np.ndarray) -> pa.Table:
+    """Of one part: its occurrences of blocks (kind 0, by part) and its distinct blocks with their bytes (kind 1, by key).
+
+    hot: grams, in order, whose blocks are dealt by a further digit.
+    """
     rows: list[tuple[int, int, bytes]] = []
     if len(texts) and len(found):
-        part = texts["part"][0].as_py()
+        part, half = texts["part"][0].as_py(), (width - GRAM + 1) // 2
         places = np.frombuffer(b"".join(found["data"].to_pylist()), dtype=PLACE)
         order = np.lexsort((places["at"], places["version"], places["doc"]))
         places = places[order]
@@ -227,12 +314,15 @@ def extracted(texts: pa.Table, found: pa.Table, keys: int, width: int, slice_byt
             for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 there[a:b] = np.isin(place[a:b] + shift[a:b], of[int(doc[k]), int(version[k])])
             place, low, stop, gram, owner, shift = (x[there] for x in (place, low, high + width, gram, owner, shift))
+            which, low, stop, side = split_hot(place, low, stop, np.isin(gram, hot), width)
+            place, gram, owner, shift = place[which], gram[which], owner[which], shift[which]
             block = np.empty(len(place), dtype=np.int64)
-            for k, (p, a, b, d) in enumerate(zip(place.tolist(), low.tolist(), stop.tolist(), doc[owner].tolist(), strict=True)):
+            for k, (p, a, b, d, beside) in enumerate(zip(place.tolist(), low.tolist(), stop.tolist(), doc[owner].tolist(), side.tolist(), strict=True)):
                 n = numbers.setdefault((whole[a:b], p - a), len(hashes))
                 block[k] = n
                 if n == len(hashes):
-                    hashes.append(int(gram[k]))
+                    further = (b"", whole[p + GRAM : p + GRAM + half], whole[p - half : p])[beside]
+                    hashes.append(int(gram[k]) ^ xxhash.xxh3_64_intdigest(further, beside) if beside else int(gram[k]))
                     first.append(d)
                     last.append(d)
                 elif d < first[n]:
@@ -404,15 +494,22 @@ def merged(found: pa.Table, verdicts: pa.Table) -> pa.Table:
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc", "version", "spans"])
 
 
-def removed_spans(units: DataFrame, parts: int, width: int, slice_bytes: int) -> DataFrame:
-    """Write and return (doc, version, spans) from (part, doc, version, text), no text of which stands in two documents."""
+def removed_spans(units: DataFrame, parts: int, width: int, slice_bytes: int, hot_limit: int) -> DataFrame:
+    """Write and return (doc, version, spans) from (part, doc, version, text), no text of which stands in two documents.
+
+    hot_limit: grams that stand more often are hot.
+    """
     texts = units.select("doc", "version", "text")
-    anchors = texts.mapInArrow(lean(lambda it: anchor_rows(it, parts, width, slice_bytes)), "key int, data binary")
-    gathered = anchors.repartition(parts, "key").sortWithinPartitions("key")
-    shared = written(gathered.mapInArrow(lean(lambda it: shared_anchors(it, parts)), "part int, data binary"), "shared", batch=BATCH_ROWS)
-    both = units.groupBy("part").cogroup(shared.groupBy("part"))
-    blocks = written(both.applyInArrow(lambda a, b: extracted(a, b, parts, width, slice_bytes), EXTRACTED), "blocks", "zstd", BATCH_ROWS * 8)
+    spark = units.sparkSession
+    anchors = texts.mapInArrow(lean(lambda it: anchor_rows(it, parts, width, slice_bytes)), DEALT)
+    gathered = anchors.repartition(parts, "key").sortWithinPartitions("key", "kind")
+    shared = written(gathered.mapInArrow(lean(lambda it: shared_anchors(it, parts, hot_limit)), "part int, data binary"), "shared", batch=BATCH_ROWS)
+    often = [np.frombuffer(r["data"], "<u8") for r in shared.filter(F.col("part") == HOT).toLocalIterator()]
+    hot = spark.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, "<u8"), *often])))
+    both = units.groupBy("part").cogroup(shared.filter(F.col("part") != HOT).groupBy("part"))
+    blocks = written(both.applyInArrow(lambda a, b: extracted(a, b, parts, width, slice_bytes, hot.value), EXTRACTED), "blocks", "zstd", BATCH_ROWS * 8)
     forget(shared)
+    hot.destroy()
     gathered = blocks.filter("kind = 1").select("key", "data").repartition(parts, "key").sortWithinPartitions("key")
     verdicts = written(gathered.mapInArrow(lean(lambda it: judged(it, width)), "part int, data binary"), "verdicts", "zstd", BATCH_ROWS)
     own = blocks.filter("kind = 0").select(F.col("key").alias("part"), "data")
@@ -422,11 +519,13 @@ def removed_spans(units: DataFrame, parts: int, width: int, slice_bytes: int) ->
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES, least_hot: int = LEAST_HOT) -> DataFrame:
     """Remove each byte that is covered by a window which also starts in a document of a smaller id.
 
     Returns id_col, n_bytes, n_removed, n_spans and kept, the bytes that are
     left. part_bytes: text in a part, which one task holds with its records.
+    least_hot: grams that stand more often, and in more than a millionth of all
+    places, are dealt by further bytes; there are fewer than 80,000 of them.
     """
     if width < GRAM:
         raise ValueError(f"windows have at least {GRAM} bytes")
@@ -448,7 +547,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     own = whole.filter(~F.col("copy") & (F.octet_length("text") >= width)).select("doc", "version", "text")
     units = written(own.mapInArrow(lean(with_part), "part int, doc long, version long, text string"), "units", "zstd")
-    removed = removed_spans(units, parts, width, slice_bytes)
+    removed = removed_spans(units, parts, width, slice_bytes, max(least_hot, size // 1_000_000))
     forget(units)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -79,13 +79,36 @@ REPEATS = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"part_bytes": 300, "slice_bytes": 64}])
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 300, "slice_bytes": 64}, {"part_bytes": 1000, "least_hot": 1}])
 def test_repeats(docs_of, options):
     found = remove_repeats(docs_of(REPEATS), **options)
     got = sorted((tuple(r) for r in found.withColumn("kept", F.sha2("kept", 256)).collect()), key=repr)
     assert got == brute_repeats(REPEATS, 50)
 
 
+@pytest.mark.parametrize("buffer", [repeats.FLUSH, 3])
+def test_shared_anchors_do_not_depend_on_buffers(monkeypatch, buffer):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(repeats, "FLUSH", buffer)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 150)
+    common = "a passage that stands in most of the texts and has more bytes than a window, "
+    rows = [(k, 0, (common if k % 4 else "") + "".join(map(chr, rng.integers(97, 123, 60))) + (common if k % 3 else "")) for k in range(40)]
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc", "version", "text"])
+    made = pa.Table.from_batches(list(repeats.anchor_rows(iter([batch]), 5, 50, 1 << 22))).sort_by([("key", "ascending"), ("kind", "ascending")])
+    found = [(p, d) for b in repeats.shared_anchors(iter(made.to_batches()), 5, 10) for p, d in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]
+    got = sorted((int(r["doc"]), int(r["at"])) for p, d in found if p >= 0 for r in np.frombuffer(d, repeats.PLACE))
+    holders, places = defaultdict(list), []
+    for doc, _, text in rows:
+        data = text.encode()
+        place, *_, gram = repeats.anchored_blocks(data, np.array([len(data)]), 50)
+        for p, g in zip(place.tolist(), gram.tolist(), strict=True):
+            holders[g].append(doc)
+            places.append((doc, p, g))
+    assert got == sorted((doc, p) for doc, p, g in places if len(set(holders[g])) > 1)
+    hot = sorted(int(x) for p, d in found if p == repeats.HOT for x in np.frombuffer(d, "<u8"))
+    assert hot == sorted(g for g, own in holders.items() if len(own) > 10 and len(set(own)) > 1) and hot
+
+
 @pytest.mark.parametrize("windows", [repeats.WINDOWS, 5])
 def test_ranges_do_not_depend_on_the_windows_ordered_together(monkeypatch, windows):
     rng = np.random.default_rng(7)
