@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import identity, paths
 from lodestone.operators import dependency_graph, graph, limits, packages, publication, resolution, semantics, store, validity
 from lodestone.plans.bindings import CANDIDATES, CLOSURE, ENTRIES, _seg, _sid, edges_of, page_entries, page_files, query
+from lodestone.sinks import documents
 from lodestone.sources import repository
+from lodestone.tables import shared_folder
 
 # ---- packages -------------------------------------------------------------
 
@@ -419,3 +421,47 @@ def confined_reads(spark, read):
     written_as = F.when(size % 3 == 0, F.col("path")).when(size % 3 == 1, F.concat(F.lit("/"), "path")).otherwise(F.concat(F.lit("./"), "path"))
     files = page_files(read).filter(size % 2 == 1).select("path", size.alias("length"), F.col("path").alias("content"))
     return repository.confined(page_files(read).select(written_as.alias("path")), files, 25).select("path", "status")
+
+
+# ---- documents, pages and runs --------------------------------------------
+
+
+@query("""WITH d AS (SELECT '{"artifact":{"name":"places","version":1},"regions":[' || (SELECT string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) FROM region)
+|| '],"nations":[' || (SELECT string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}', ',' ORDER BY n_name) FROM nation) || ']}' || chr(10) AS x)
+SELECT CAST(strlen(x) AS BIGINT) AS size, sha256(x) AS sha256 FROM d""")
+def canonical_document(spark, read):
+    head = spark.createDataFrame([("places", 1)], "name string, version int")
+    sections = [documents.Section("artifact", head, single=True), documents.Section("regions", read("region").select("r_regionkey", "r_name"), ("r_regionkey",)), documents.Section("nations", read("nation").select("n_nationkey", "n_name", "n_regionkey"), ("n_name",))]
+    receipt = documents.encode(sections, lambda data: None, 1 << 20)
+    return spark.createDataFrame([(receipt.size, receipt.sha256)], "size long, sha256 string")
+
+
+@query("SELECT n_name FROM nation")
+def drained_pages(spark, read):
+    page = lambda cursor: limits.bound_pages(read("nation").select("n_name"), "n_name", 7, "digest", "nation", "out", "root", cursor)
+    return spark.createDataFrame([(r["n_name"],) for r in limits.drained(page, 1000)], "n_name string")
+
+
+@query("SELECT 'nation' AS name, count(*) AS n, 'replayed' AS outcome FROM nation UNION ALL SELECT 'region', count(*), 'replayed' FROM region")
+def published_tables(spark, read):
+    folder, both = shared_folder(spark), {"nation": read("nation"), "region": read("region")}
+    publication.execute_scan(spark, folder, "scan", {"of": "places"}, lambda: both, current="places")
+    receipt = publication.publish(spark, folder, "scan", both, current="places")
+    found = publication.published(spark, folder, current="places")
+    counts = [found[name].select(F.lit(name).alias("name"), F.lit(receipt.outcome).alias("outcome")).groupBy("name", "outcome").agg(F.count(F.lit(1)).alias("n")) for name in sorted(found)]
+    return validity.unions(counts)
+
+
+@query("SELECT * FROM (VALUES ('facts', '1', 'regions', '1'), ('summary', '1', 'facts', '1'), ('summary', '1', 'regions', '1')) t(artifact, version, source, source_version)")
+def run_provenance(spark, read):
+    engine = publication.Engine
+    regions = engine("regions", (), (("regions", "1", ("r_name",)),), lambda s: {"regions": read("region").select("r_name")})
+    facts = engine("facts", (("regions", "1"),), (("facts", "1", ("r_name",)),), lambda s: {"facts": s.get("regions", "1")})
+    summary = engine("summary", (("facts", "1"), ("regions", "1")), (("summary", "1", ("n",)),), lambda s: {"summary": s.get("facts").agg(F.count(F.lit(1)).alias("n"))})
+    rows = publication.Pipeline([regions, facts, summary]).execute(publication.ArtifactStore())
+    return spark.createDataFrame(rows, "artifact string, version string, source string, source_version string")
+
+
+@query("SELECT * FROM (VALUES ('graphs', true, 'made'), ('types', false, 'needs a type checker')) t(name, available, reason)")
+def capability_table(spark, read):
+    return publication.capabilities(spark, [("graphs", True, "made"), ("types", False, "needs a type checker")])
