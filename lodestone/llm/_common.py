@@ -141,13 +141,18 @@ def sized(small: DataFrame, most: int) -> DataFrame:
 KEPT: dict[str, Callable[[], None]] = {}
 
 
+def empty_caches(keep: tuple[str, ...]) -> None:
+    """Empty this process's caches but those to keep; a function of its own, as a pickled task would bring a copy of KEPT."""
+    for name, clear in KEPT.items():
+        if name not in keep:
+            clear()
+
+
 def lean(task: Callable[..., Iterator], keep: tuple[str, ...] = ()) -> Callable[..., Iterator]:
     """A mapInArrow function whose idle worker holds little: other tasks' caches go before it, free memory after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, clear in KEPT.items():
-            if name not in keep:
-                clear()
+        empty_caches(keep)
         try:
             yield from task(batches)
         finally:

@@ -307,6 +307,14 @@ _shared: dict[int, CountingTransducer] = {}
 KEPT["counts"] = _shared.clear
 
 
+def shared(key: int, compiled) -> CountingTransducer:
+    """This process's tables of a broadcast; what one task has met serves the next."""
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = compiled.value
+    return _shared[key]
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Return id_col, n_bytes, n_tokens and over_limit (more than limit tokens) for each row.
 
@@ -317,13 +325,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _shared:  # what one task has met serves the next
-            _shared.clear()
-            _shared[key] = compiled.value
+        fst = shared(key, compiled)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes = [len(x.encode()) if x else 0 for x in texts]
-            tokens = _shared[key].counted(texts)
+            tokens = fst.counted(texts)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([x > limit for x in tokens], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(id_col, text_col).mapInArrow(lean(counts, ("counts", "powers")), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
