@@ -92,29 +92,42 @@ def protected_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(reduce(DataFrame.union, found), "spans"), some
 
 
-def free_words(spans: DataFrame, holders: DataFrame) -> DataFrame:
-    """Write (doc, version, term, able, start, end): all words of documents with an entity that overlap no base span."""
-    placed = placed_matches(holders, TERM)
-    words = written(placed.select(*DOC, ascii_lower(F.col("match")).alias("term"), (~F.col("match").rlike(SHORT)).alias("able"), "start", "end"), "words")
-    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK), F.floor((b - 1) / BLOCK))).alias("block")
-    covered = spans.select(*DOC, F.col("start").alias("s"), F.col("end").alias("e"), blocks(F.col("start"), F.col("end")))
-    over = words.select(*DOC, "start", "end", blocks(F.col("start"), F.col("end")))
-    inside = over.join(covered, [*DOC, "block"]).filter("start < e AND end > s").select(*DOC, "start", "end").distinct()
-    return written(words.join(inside, [*DOC, "start", "end"], "left_anti"), "free")
+def free_words(spans: DataFrame, holders: DataFrame, reach: int) -> DataFrame:
+    """Write (doc, version, term, able, near, start, end): all words of documents with an entity that overlap no base span; near: within reach of one.
+
+    Texts and spans are dealt out by document before they become words, so that
+    words are never shuffled: all that follows sorts within a document.
+    """
+    own = spans.groupBy(*DOC).agg(F.collect_list(F.struct("start", "end")).alias("own"))
+    rows = holders.join(own, list(DOC)).repartition(*DOC)
+    none, zero = F.lit(None).cast("long"), F.lit(0)
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("p"))
+    words = F.transform(pairs, lambda x: F.struct(x["m"].alias("match"), F.length(x["p"]).alias("gap"), F.coalesce(F.length(x["m"]), zero).alias("size"), none.alias("s"), none.alias("e")))
+    bases = F.transform("own", lambda x: F.struct(F.lit(None).cast("string").alias("match"), zero.alias("gap"), zero.alias("size"), x["start"].cast("long").alias("s"), x["end"].cast("long").alias("e")))
+    each = rows.select(*DOC, F.posexplode(F.concat(words, bases)).alias("i", "x")).select(*DOC, "i", "x.*")
+    one, past = Window.partitionBy(*DOC), (Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.col("size")).over(one.orderBy("i"))
+    placed = each.select(*DOC, "match", F.col("s").isNotNull().alias("base"), F.coalesce("s", end - F.col("size")).alias("start"), F.coalesce("e", end).alias("end")).filter("base OR match IS NOT NULL")
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(one.orderBy("start", F.desc("base")).rowsBetween(*past))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(one.orderBy(F.desc("start"), "base").rowsBetween(*past))
+    met = placed.withColumn("before", before).withColumn("after", after).filter("NOT base")
+    free = met.filter("coalesce(before <= start, true) AND coalesce(after >= end, true)")
+    near = F.coalesce(F.col("start") - F.col("before") <= reach, F.lit(False)) | F.coalesce(F.col("after") - F.col("end") <= reach, F.lit(False))
+    return written(free.select(*DOC, ascii_lower(F.col("match")).alias("term"), (~F.col("match").rlike(SHORT)).alias("able"), near.alias("near"), "start", "end"), "free")
 
 
 def nearby_words(spans: DataFrame, words: DataFrame, reach: int) -> DataFrame:
     """(doc, version, entity, term), distinct: able words within reach of an entity."""
     blocks = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK), F.floor(b / BLOCK))).alias("block")
     around = spans.select(*DOC, "entity", F.col("start").alias("s"), F.col("end").alias("e"), blocks(F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach))
-    each = words.filter("able").select(*DOC, "term", "start", "end", blocks(F.col("start"), F.col("end")))
+    each = words.filter("able AND near").select(*DOC, "term", "start", "end", blocks(F.col("start"), F.col("end")))
     close = (F.col("end") >= F.col("s") - reach) & (F.col("start") <= F.col("e") + reach)
     return each.join(around, [*DOC, "block"]).filter(close).select(*DOC, "entity", "term").distinct()
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, holders: DataFrame, reach: int, support: int, least: float) -> DataFrame:
     """(doc, version, start, end, disclosure): occurrences, in documents that hold an entity, of terms whose disclosure of it is at least so much."""
-    words = free_words(spans, holders)
+    words = free_words(spans, holders, reach)
     near = nearby_words(spans, words, reach)
     together = near.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
     together = written(together, "together")
