@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.decontamination import OP1_SQL, op1_decontamination
+from lodestone.llm.importance_resampling import op13_importance_resampling
 from lodestone.llm.language_id import op5_language_id
 from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 SQL = {"op1_decontamination": OP1_SQL, "op4_sanitisation": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_repeats": OP9_SQL}
