@@ -6,6 +6,7 @@ from lodestone.llm.decontamination import OP1_SQL, op1_decontamination
 from lodestone.llm.importance_resampling import op13_importance_resampling
 from lodestone.llm.language_id import op5_language_id
 from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
+from lodestone.llm.minhash import op11_minhash
 from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
 from lodestone.llm.packing import op10_best_fit_packing
 from lodestone.llm.repeats import OP9_SQL, op9_repeats
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_minhash": op11_minhash,
     "op13_importance_resampling": op13_importance_resampling,
 }
 SQL = {"op1_decontamination": OP1_SQL, "op4_sanitisation": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_repeats": OP9_SQL}
