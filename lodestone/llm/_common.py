@@ -132,6 +132,19 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Write rows with consecutive numbers from 1 by distinct keys: ordered by range, then counted by partition."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    table = written(sorted_.select("*", F.shiftright("_at", 33).alias("_part")), "sorted")
+    base, bases = 0, []
+    for part, n in sorted(tuple(r) for r in table.groupBy("_part").count().collect()):  # a row a partition
+        bases.append((part, base))
+        base += n
+    small = F.broadcast(rows.sparkSession.createDataFrame(bases, "_part long, _base long"))
+    number = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return table.join(small, "_part").withColumn(name, number).drop("_part", "_at", "_base")
+
+
 def sized(small: DataFrame, most: int) -> DataFrame:
     """Hint a broadcast if the (already written) table has at most so many rows; else leave the choice to Spark."""
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import lean, ordered_ids, self_cleaning, written
+from lodestone.llm._common import lean, numbered, ordered_ids, self_cleaning, written
 from lodestone.llm.wordspans import SEPARATOR, Words, buffer_of, byte_classes, segments, slices, words_of
 
 #: Bytes that end a word: all of ASCII but digits and letters.
@@ -192,19 +192,6 @@ def _equal(key: Sequence[str], values: Sequence[int]) -> Column:
     return out
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Write rows with consecutive numbers from 1 by distinct long keys: ordered by range, then counted by partition."""
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    table = written(sorted_.select("*", F.shiftright("_at", 33).alias("_part")), "sorted")
-    base, bases = 0, []
-    for part, n in sorted(tuple(r) for r in table.groupBy("_part").count().collect()):  # a row a partition
-        bases.append((part, base))
-        base += n
-    small = F.broadcast(rows.sparkSession.createDataFrame(bases, "_part long, _base long"))
-    number = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return table.join(small, "_part").withColumn(name, number).drop("_part", "_at", "_base")
-
-
 @self_cleaning
 def resample(
     docs: DataFrame, target: DataFrame, percent: int = 10, min_words: int = 20, order: int = 1, buckets: int = 10_000, seed: str = "2024",

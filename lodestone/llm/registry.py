@@ -9,6 +9,7 @@ from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lodestone.llm.minhash import op11_minhash
 from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
 from lodestone.llm.packing import op10_best_fit_packing
+from lodestone.llm.phrases import OP12_SQL, op12_phrases
 from lodestone.llm.repeats import OP9_SQL, op9_repeats
 from lodestone.llm.sanitisation import OP4_SQL, op4_sanitisation
 from lodestone.llm.simhash import op7_simhash
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_minhash": op11_minhash,
+    "op12_phrases": op12_phrases,
     "op13_importance_resampling": op13_importance_resampling,
 }
-SQL = {"op1_decontamination": OP1_SQL, "op4_sanitisation": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_repeats": OP9_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op4_sanitisation": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_repeats": OP9_SQL, "op12_phrases": OP12_SQL}
