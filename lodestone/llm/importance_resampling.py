@@ -230,3 +230,28 @@ def op13_importance_resampling(spark, sf_dir: str) -> DataFrame:
     """A tenth of the whole documents table, towards the benchmark."""
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resample(docs, target)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+here AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
+there AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+bytes AS (SELECT w, list_transform(range(1, length(hex(w)), 2), lambda i: CAST('0x' || substr(hex(w), i, 2) AS BIGINT)) AS b FROM (SELECT w FROM here UNION SELECT w FROM there)),
+hashed AS (SELECT w, xor(4294967295, list_reduce(b, lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8), 4294967295::BIGINT)) % 10000 AS bucket FROM bytes, crc),
+ours AS (SELECT bucket, count(*) AS s FROM here JOIN hashed USING (w) GROUP BY bucket),
+theirs AS (SELECT bucket, count(*) AS t FROM there JOIN hashed USING (w) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM here) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT count(*) FROM there) + 10000) AS DOUBLE))) AS g
+  FROM ours LEFT JOIN theirs USING (bucket)
+),
+weights AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM here JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)
+),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""

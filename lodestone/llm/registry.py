@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from lodestone.llm.decontamination import OP1_SQL, op1_decontamination
-from lodestone.llm.importance_resampling import op13_importance_resampling
+from lodestone.llm.importance_resampling import OP13_SQL, op13_importance_resampling
 from lodestone.llm.language_id import op5_language_id
 from lodestone.llm.line_dedup import OP6_SQL, op6_line_dedup
-from lodestone.llm.minhash import op11_minhash
+from lodestone.llm.minhash import OP11_SQL, op11_minhash
 from lodestone.llm.nearest_neighbours import op2_nearest_neighbours
 from lodestone.llm.packing import op10_best_fit_packing
 from lodestone.llm.phrases import OP12_SQL, op12_phrases
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_phrases": op12_phrases,
     "op13_importance_resampling": op13_importance_resampling,
 }
-SQL = {"op1_decontamination": OP1_SQL, "op4_sanitisation": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_repeats": OP9_SQL, "op12_phrases": OP12_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op4_sanitisation": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_repeats": OP9_SQL, "op11_minhash": OP11_SQL, "op12_phrases": OP12_SQL, "op13_importance_resampling": OP13_SQL}
