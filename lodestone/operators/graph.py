@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity
+from lodestone.operators import strong, waves
 from lodestone.operators.limits import capped_groups
 from lodestone.tables import written
 
@@ -68,18 +70,18 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray,
 
 
 def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of a graph in one task; iterative, so depth is no limit. Holds about 50 bytes an edge."""
+    """Components of a graph in one task; iterative, so depth is no limit."""
     vertices, begins, ends = _arrays(batches)
-    at, stop, to = begins[:-1].tolist(), begins[1:].tolist(), ends.tolist()
     n = len(vertices)
-    order, low, root, stack, count = [-1] * n, [0] * n, [-1] * n, [], 0
+    at, stop, to = (array("q", x.astype(np.int64).tobytes()) for x in (begins[:-1], begins[1:], ends))
+    order, low, root, stack, count = array("q", [-1]) * n, array("q", [0]) * n, array("q", [-1]) * n, array("q"), 0
     for begin in range(n):
         if order[begin] >= 0:
             continue
         order[begin] = low[begin] = count
         count += 1
         stack.append(begin)
-        work = [begin]
+        work = array("q", [begin])
         while work:
             v = work[-1]
             if at[v] < stop[v]:
@@ -100,11 +102,12 @@ def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = len(stack) - 1
                 while stack[first] != v:
                     first -= 1
-                members, stack[first:] = stack[first:], []
+                members = stack[first:]
+                del stack[first:]
                 least = min(members)
                 for w in members:
                     root[w] = least
-    yield pa.record_batch([pa.array(vertices), pa.array(vertices[root] if n else vertices)], ["vertex", "component"])
+    yield pa.record_batch([pa.array(vertices), pa.array(vertices[np.frombuffer(root, dtype=np.int64)] if n else vertices)], ["vertex", "component"])
 
 
 def _levels(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
@@ -127,76 +130,22 @@ def _levels(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, depth: int) ->
     yield pa.record_batch([pa.array(vertices[there]), pa.array(found[there].astype(np.int32))], ["vertex", "depth"])
 
 
-def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES, block_edges: int = waves.BLOCK_EDGES) -> DataFrame:
     """Edges (a, b) of long ids -> (vertex, component), the least id of the vertices mutually reachable.
 
-    A graph of at most small_edges distinct edges is ordered by one task; a
-    larger one by trimming and colouring, in which every step is a join or a
-    partial aggregate over written tables.
+    A graph of at most small_edges distinct edges is ordered by one task. A larger
+    one is contracted and coloured until what is left is small enough.
     """
     arcs = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
-    if arcs.limit(small_edges + 1).count() <= small_edges:
-        return arcs.coalesce(1).mapInArrow(_tarjan, "vertex long, component long")
-    vertices = written(arcs.select(F.col("a").alias("vertex")).union(arcs.select("b")).distinct())
-    left = written(arcs.filter("a <> b"))
-    done: DataFrame | None = None
-    while True:
-        left = _trimmed(left)
-        if left.isEmpty():
-            break
-        colours = _spread(left, left.select(F.col("a").alias("vertex")).union(left.select("b")).distinct().withColumn("colour", F.col("vertex")))
-        inside = _coloured(left, colours)
-        reached = _backward(inside, colours.filter("vertex = colour"))
-        done = reached if done is None else written(done.union(reached))
-        gone = reached.select("vertex")
-        left = written(inside.select("a", "b").join(gone.withColumnRenamed("vertex", "a"), "a", "left_anti").join(gone.withColumnRenamed("vertex", "b"), "b", "left_anti"))
-    if done is None:
-        return vertices.select("vertex", F.col("vertex").alias("component"))
-    least = done.groupBy("colour").agg(F.min("vertex").alias("component"))
-    named = done.join(least, "colour").select("vertex", "component")
-    return vertices.join(named, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
-
-
-def _trimmed(arcs: DataFrame) -> DataFrame:
-    """Drop, again and again, edges at vertices without a predecessor or successor."""
-    n = arcs.count()
-    while n:
-        ends = arcs.select(F.col("b").alias("a")).distinct()
-        begins = arcs.select(F.col("a").alias("b")).distinct()
-        arcs = written(arcs.join(ends, "a", "left_semi").join(begins, "b", "left_semi").select("a", "b"))
-        m = arcs.count()
-        if m == n:
-            break
-        n = m
-    return arcs
-
 
-def _spread(arcs: DataFrame, colours: DataFrame) -> DataFrame:
-    """The greatest id that reaches each vertex."""
-    colours = written(colours)
-    while True:
-        pushed = arcs.join(colours.withColumnRenamed("vertex", "a"), "a").groupBy(F.col("b").alias("vertex")).agg(F.max("colour").alias("new"))
-        after = written(colours.join(pushed, "vertex", "left").select("vertex", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") > F.col("colour")).alias("changed")))
-        colours = after.select("vertex", "colour")
-        if after.filter("changed").isEmpty():
-            return colours
+    def small(x: DataFrame) -> DataFrame | None:
+        return x.coalesce(1).mapInArrow(_tarjan, "vertex long, component long") if x.limit(small_edges + 1).count() <= small_edges else None
 
-
-def _coloured(arcs: DataFrame, colours: DataFrame) -> DataFrame:
-    """Edges inside one colour."""
-    a, b = (colours.select(F.col("vertex").alias(x), F.col("colour").alias(f"c{x}")) for x in ("a", "b"))
-    return written(arcs.join(a, "a").join(b, "b").filter("ca = cb").select("a", "b", F.col("ca").alias("colour")))
-
-
-def _backward(inside: DataFrame, roots: DataFrame) -> DataFrame:
-    """(vertex, colour) of vertices that reach their colour's root."""
-    seen = written(roots.select("vertex", "colour"))
-    front = seen
-    while not front.isEmpty():
-        met = inside.join(front.select(F.col("vertex").alias("b")), "b", "left_semi").select(F.col("a").alias("vertex"), "colour").distinct()
-        front = written(met.join(seen, ["vertex", "colour"], "left_anti"))
-        seen = written(seen.union(front))
-    return seen
+    if (done := small(arcs)) is not None:
+        return done
+    vertices = arcs.select(F.col("a").alias("vertex")).union(arcs.select("b")).distinct()
+    named = strong.components(written(arcs.filter("a <> b")), small, block_edges)
+    return vertices.join(named, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 
 def component_summary(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -218,28 +167,22 @@ def direct_neighbours(edges: DataFrame, root: int, outward: bool = True) -> Data
     return edges.filter(F.col(here) == root).groupBy(F.col(there).alias("neighbour")).agg(F.array_sort(F.collect_list("edge_id")).alias("edge_ids"))
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int, outward: bool = True, small_edges: int = SMALL_EDGES) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, depth: int, outward: bool = True, small_edges: int = SMALL_EDGES, block_edges: int = waves.BLOCK_EDGES) -> DataFrame:
     """(vertex, depth) reached from seeds (vertex) over at most so many edges; seeds are not reached.
 
-    A graph of at most small_edges edges is walked by one task, however deep. A
-    larger one goes level by level: the frontier joins the edges, and what was
-    seen before goes; from SMALL_EDGES on that costs a join a level.
+    A graph of at most small_edges edges is walked by one task, however deep. In
+    a larger one depths spread through blocks of edges, many levels a job.
     """
     here, there = ("a", "b") if outward else ("b", "a")
-    arcs = edges.select(F.col(here).cast("long").alias("vertex"), F.col(there).cast("long").alias("to")).filter("vertex IS NOT NULL AND to IS NOT NULL")
+    arcs = edges.select(F.col(here).cast("long").alias("a"), F.col(there).cast("long").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    begin = seeds.select(F.col("vertex").cast("long")).filter("vertex IS NOT NULL").distinct()
     if arcs.limit(small_edges + 1).count() <= small_edges:
-        begin = seeds.select(F.col("vertex").cast("long")).distinct().limit(small_edges + 1).toArrow()["vertex"].drop_null().to_numpy()
-        if len(begin) <= small_edges:
-            return arcs.distinct().coalesce(1).mapInArrow(lambda it: _levels(it, begin, depth), "vertex long, depth int")
-    seen = written(seeds.select("vertex").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for level in range(1, depth + 1):
-        met = arcs.join(front, "vertex", "left_semi").select(F.col("to").alias("vertex")).distinct()
-        front = written(met.join(seen, "vertex", "left_anti").withColumn("depth", F.lit(level)))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen.filter("depth > 0")
+        first = begin.limit(small_edges + 1).toArrow()["vertex"].to_numpy()
+        if len(first) <= small_edges:
+            return arcs.distinct().coalesce(1).mapInArrow(lambda it: _levels(it, first, depth), "vertex long, depth int")
+    blocks = waves.edge_blocks(written(arcs.filter("a <> b").distinct()), block_edges)
+    found = waves.spread(blocks, begin.select("vertex", F.lit(0).cast("long").alias("label")), 1, depth)
+    return found.filter("label > 0").select("vertex", F.col("label").cast("int").alias("depth"))
 
 
 @dataclass

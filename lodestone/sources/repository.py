@@ -1,4 +1,4 @@
-"""Repository facts beside file lists: refs, confined reads, Go manifests, stored rows and the catalog."""
+"""Repository facts beside file lists: refs, confined reads, Go manifests, stored rows and the catalog; Go sources are read by go_syntax."""
 
 from __future__ import annotations
 
@@ -112,78 +112,3 @@ def missing_columns(present: DataFrame, wanted: list[tuple[str, str, str]]) -> D
     """(name, column, type) that the catalog should have and has not, or has with another type."""
     asked = present.sparkSession.createDataFrame(wanted, "name string, column string, type string")
     return asked.join(present.select("name", "column", "type"), ["name", "column", "type"], "left_anti")
-
-
-def go_source_lines(files: DataFrame) -> DataFrame:
-    """(path, line, text, code) of Go files: code is without comments and with string contents blanked, at brace depth depth.
-
-    Block comments and raw strings that span lines are blanked before lines are cut.
-    """
-    blank = lambda c, p: F.regexp_replace(c, p, "")
-    quoted = r'("(?:[^"\\\n]|\\.)*+"|`[^`]*+`|\'(?:[^\'\\\n]|\\.)++\')'
-    # A comment mark inside quotes is none: what is quoted is kept by its group, what is a comment goes.
-    kept = F.regexp_replace("content", quoted + r"|//[^\n]*+|/\*(?s:.*?)\*/", "$1")
-    each = files.select("path", F.posexplode(F.split(kept, "\n")).alias("line", "text"))
-    return each.select("path", (F.col("line") + 1).alias("line"), "text", blank(F.col("text"), r'"(?:[^"\\]|\\.)*+"|`[^`]*+`').alias("code"))
-
-
-def _with_depth(lines: DataFrame) -> DataFrame:
-    """lines with the numbers of braces and parentheses open where each begins."""
-    order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda x: F.length(F.regexp_replace("code", f"[^{x}]", ""))
-    change = {"braces": count(r"{") - count(r"}"), "parens": count(r"(") - count(r")")}
-    return lines.withColumns({k: F.coalesce(F.sum(v).over(order), F.lit(0)) for k, v in change.items()})
-
-
-def _blocks(lines: DataFrame) -> DataFrame:
-    """Top-level lines with the keyword of the parenthesised block they stand in, or null."""
-    order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    deep = _with_depth(lines).filter("braces = 0 OR braces IS NULL")
-    opened = F.when(F.col("parens") == 0, F.regexp_extract("code", r"^(import|const|var|type)\s*\(", 1))
-    return deep.withColumn("block", F.when(F.col("parens") > 0, F.last(opened, ignorenulls=True).over(order)))
-
-
-def go_imports(files: DataFrame) -> DataFrame:
-    """(path, line, import_path, alias, alias_kind) of Go files (path, content); alias_kind is default, named, blank or dot.
-
-    Reads gofmt's layout: one import a line.
-    """
-    rows = _blocks(go_source_lines(files))
-    spec = F.when(F.col("block") == "import", trimmed(F.col("text"))).when(F.col("block").isNull(), F.regexp_extract("text", r"^import\s+([^(].*)$", 1))
-    parts = rows.select("path", "line", spec.alias("spec")).filter(F.col("spec").rlike(r'^([\w.]+\s+)?["`][^"`]+["`]'))
-    alias = F.regexp_extract("spec", r"^([\w.]+)\s", 1)
-    kind = F.when(alias == "", "default").when(alias == "_", "blank").when(alias == ".", "dot").otherwise("named")
-    return parts.select("path", "line", F.regexp_extract("spec", r'["`]([^"`]+)["`]', 1).alias("import_path"), alias.alias("alias"), kind.alias("alias_kind"))
-
-
-def receiver(text: Column) -> dict[str, Column]:
-    """receiver_base, pointer and generic of a method's receiver as written between its parentheses."""
-    kind = F.regexp_replace(text, r"^\s*(\w+\s+)?(?=[*(\w])", "")
-    kind = F.when(text.rlike(r"^\s*\w+\s*(\[.*\])?\s*$"), F.trim(text)).otherwise(kind)
-    bare = F.regexp_replace(kind, r"[()\s]", "")
-    return {"receiver_base": F.regexp_extract(bare, r"^\**(\w+)", 1), "pointer": bare.startswith("*"), "generic": bare.contains("[")}
-
-
-def go_symbols(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name, receiver_base, pointer, generic) of top-level declarations in Go files (path, content).
-
-    Kinds are function, method, struct, interface, constant and variable. Reads
-    gofmt's layout: one specification a line; what needs a parser comes in as facts.
-    """
-    rows = _blocks(go_source_lines(files))
-    none = {"receiver_base": F.lit(""), "pointer": F.lit(False), "generic": F.lit(False)}
-    pick = lambda rows, kind, name, of=none: rows.select("path", "line", kind.alias("kind"), name.alias("name"), *(v.alias(k) for k, v in of.items()))
-    method = rows.filter(F.col("code").rlike(r"^func\s*\("))
-    own = F.regexp_extract("code", r"^func\s*\(((?:[^()]|\([^()]*\))*)\)\s*\w+", 1)
-    out = pick(method, F.lit("method"), F.regexp_extract("code", r"^func\s*\((?:[^()]|\([^()]*\))*\)\s*(\w+)", 1), receiver(own))
-    out = out.union(pick(rows.filter(F.col("code").rlike(r"^func\s+\w+\s*[(\[]")), F.lit("function"), F.regexp_extract("code", r"^func\s+(\w+)", 1)))
-    spec = F.when(F.col("block") == "type", trimmed(F.col("code"))).when(F.col("block").isNull(), F.regexp_extract("code", r"^type\s+(\w.*)$", 1))
-    shape = r"^(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\b"
-    typed = rows.withColumn("spec", spec).filter(F.col("spec").rlike(shape))
-    out = out.union(pick(typed, F.regexp_extract("spec", shape, 2), F.regexp_extract("spec", shape, 1)))
-    for word, kind in (("const", "constant"), ("var", "variable")):
-        spec = F.when((F.col("block") == word) & (F.col("parens") == 1), trimmed(F.col("code"))).when(F.col("block").isNull(), F.regexp_extract("code", rf"^{word}\s+([^(].*)$", 1))
-        names = F.split(F.regexp_extract(spec, r"^(\w+(?:\s*,\s*\w+)*)(?:\s|=|$)", 1), r"\s*,\s*")
-        each = rows.select("path", "line", F.explode(names).alias("name")).filter("name <> ''")
-        out = out.union(pick(each, F.lit(kind), F.col("name")))
-    return out

@@ -1,6 +1,6 @@
 """Go manifests and sources, refs and the catalog."""
 
-from lodestone.sources import repository
+from lodestone.sources import go_syntax, repository
 
 MOD = 'module ex.org/app // own\n\ngo 1.21\ntoolchain go1.22.0\n\nrequire single.org/x v1.0.0\nrequire (\n\ta.org/b v0.1.0 // indirect\n\t"q.org/c" v2.0.0\n)\n\nreplace a.org/b => ../b\nreplace (\n\tq.org/c v2.0.0 => fork.org/c v2.0.1\n)\nexclude z.org/z v1.0.0\n'
 WORK = "go 1.21\n\nuse ./one\nuse (\n\t./two\n)\nreplace w.org/w v1 => ./w\n"
@@ -79,14 +79,67 @@ type Raw struct {`) }
 
 def test_imports_and_symbols(spark):
     files = spark.createDataFrame([("a.go", SOURCE), ("empty.go", "")], "path string, content string")
-    got = sorted((r.import_path, r.alias, r.alias_kind) for r in repository.go_imports(files).collect())
+    got = sorted((r.import_path, r.alias, r.alias_kind) for r in go_syntax.go_imports(files).collect())
     assert got == [("blank.org/x", "_", "blank"), ("dot.org/y", ".", "dot"), ("fmt", "", "default"), ("named.org/z", "name", "named"), ("plain.org/w", "", "default")]
-    symbols = sorted((r.kind, r.name) for r in repository.go_symbols(files).collect())
+    symbols = sorted((r.kind, r.name) for r in go_syntax.go_symbols(files).collect())
     assert symbols == sorted([("constant", x) for x in ("Answer", "Other", "First", "Second", "text")] + [("variable", x) for x in ("single", "a", "b", "f")] + [("struct", "Thing"), ("struct", "Box"), ("interface", "Reader"), ("function", "Plain"), ("function", "Generic")] + [("method", x) for x in ("Pointer", "Value", "Boxed", "Wrapped")])
-    of = {r.name: (r.receiver_base, r.pointer, r.generic) for r in repository.go_symbols(files).filter("kind = 'method'").collect()}
+    of = {r.name: (r.receiver_base, r.pointer, r.generic) for r in go_syntax.go_symbols(files).filter("kind = 'method'").collect()}
     assert of == {"Pointer": ("Thing", True, False), "Value": ("Thing", False, False), "Boxed": ("Box", True, True), "Wrapped": ("Thing", True, False)}
 
 
+AWKWARD = """/* licence
+ of three lines
+*/
+// Package doc
+package main
+
+import "fmt"; import x `raw.org/y`
+
+var doc = `func ghost() {
+import "none"
+type Ghost struct {
+`
+
+func real(x int) int { return x }
+type A = struct{}; type B [4]struct{}
+type C[T any, U interface{ M() }] interface { M() }
+type N [Len]struct{ x int }
+type (
+	D struct { a, b int }; E int
+	F map[string]interface{}
+)
+func (
+	r *D,
+) spread(
+	a int,
+) (int, error) {
+	var inner int
+	return 1, nil
+}
+const x, y = '{', "/*"
+func (E[int]) é() {}
+func ([]E) odd() {}
+"""
+
+
+def test_layout_comments_and_literals(spark):
+    broken = {"open.go": "package x\nfunc f() {", "quote.go": 'package x\nvar a = "open\n', "close.go": "package x\nvar a = 1)\n", "comment.go": "package x\n/* open\n", "none.go": "func f() {}\n", "raw.go": "package x\nvar a = `open", "empty.go": "", "null.go": None}
+    files = spark.createDataFrame([("a.go", AWKWARD), ("b.go", "package b\r\n\r\nvar v int\r\n"), *broken.items()], "path string, content string")
+    assert {r.path: (r.package, r.status) for r in go_syntax.go_files(files).collect()} == {"a.go": ("main", "parsed"), "b.go": ("b", "parsed"), **{k: (None, "failed") for k in broken}}
+    assert sorted((r.line, r.import_path, r.alias_kind) for r in go_syntax.go_imports(files).collect()) == [(7, "fmt", "default"), (7, "raw.org/y", "named")]
+    got = sorted((r.path, r.line, r.kind, r.name, r.receiver_base, r.pointer, r.generic) for r in go_syntax.go_symbols(files).collect())
+    plain = [(9, "variable", "doc"), (14, "function", "real"), (15, "struct", "A"), (16, "interface", "C"), (19, "struct", "D"), (30, "constant", "x"), (30, "constant", "y")]
+    methods = [(22, "method", "spread", "D", True, False), (31, "method", "é", "E", False, True), (32, "method", "odd", "", False, False)]
+    assert got == sorted([("a.go", *x, "", False, False) for x in plain] + [("a.go", *x) for x in methods] + [("b.go", 3, "variable", "v", "", False, False)])
+    offsets = {r.name: r.offset for r in go_syntax.go_symbols(files.filter("path = 'a.go'")).collect()}
+    assert all(AWKWARD.encode()[at:].startswith(b"func" if n in ("real", "spread", "odd", "é") else n.encode()) for n, at in offsets.items())
+
+
+def test_long_tokens(spark):
+    text = "package x\n/*" + "*" * 100_000 + "/\nvar a = `" + "\n" * 50_000 + "`\nvar b = \"" + "\\n" * 50_000 + "\"\n"
+    assert sorted((r.line, r.name) for r in go_syntax.go_symbols(spark.createDataFrame([("a.go", text)], "path string, content string")).collect()) == [(3, "a"), (50_004, "b")]
+
+
 def test_refs_and_catalog(spark, tmp_path):
     git = tmp_path / ".git" / "refs" / "remotes" / "origin"
     git.mkdir(parents=True)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, ignore_rules, inventory, limits, resolution, store
+from lodestone.operators import graph, ignore_rules, inventory, limits, resolution, store, waves
 
 
 def random_graph(seed):
@@ -39,20 +39,58 @@ def test_components_of_100_random_graphs_in_one_task(spark):
     assert got == expected
 
 
-def test_components_by_colouring(spark):
+@pytest.mark.parametrize("block_edges", [5, 1000])
+def test_components_by_contraction_and_colours(spark, block_edges):
     rows, expected = [], {}
-    for seed in range(8):
+    for seed in range(40):
         n, edges = random_graph(seed)
         reach = closure(n, edges)
         rows += [(seed * 100 + a, seed * 100 + b) for a, b in edges]
         for v in {x for e in edges for x in e}:
             expected[seed * 100 + v] = seed * 100 + min(w for w in range(n) if reach[v][w] and reach[w][v])
     edges = spark.createDataFrame(rows, "a long, b long").repartition(3)
-    assert {r.vertex: r.component for r in graph.strong_components(edges, small_edges=0).collect()} == expected
+    assert {r.vertex: r.component for r in graph.strong_components(edges, small_edges=0, block_edges=block_edges).collect()} == expected
+
+
+def brute_components(edges):
+    names = sorted({x for e in edges for x in e})
+    place = {v: k for k, v in enumerate(names)}
+    reach = closure(len(names), [(place[a], place[b]) for a, b in edges])
+    return {v: names[min(w for w in range(len(names)) if reach[k][w] and reach[w][k])] for v, k in place.items()}
+
+
+def test_components_of_rings_trees_and_chains(spark):
+    rng = random.Random(3)
+    name = list(range(1000))
+    rng.shuffle(name)
+    ring = [(k, (k + 1) % 12) for k in range(12)]  # with trees below and above it
+    edges = ring + [(k % 12, 12 + k) for k in range(10)] + [(12 + k, 30 + k) for k in range(10)] + [(50 + k, k) for k in range(5)]
+    edges += [(100 + k, 101 + k) for k in range(30)] + [(130, 115)] + [(200 + k, 201 + k) for k in range(9)] + [(209, 200), (205, 100)]
+    edges += [(300 + k, 300 + (k + d) % 40) for k in range(40) for d in (1, 2)] + [(310, 400), (400, 401), (401, 320), (320, 500)]
+    edges = [(name[a], name[b]) for a, b in edges]
+    df = spark.createDataFrame([*edges, (999, 999), (None, 1)], "a long, b long").repartition(3)
+    want = brute_components([*edges, (999, 999)])
+    for small in (0, 60):
+        assert {r.vertex: r.component for r in graph.strong_components(df, small_edges=small, block_edges=25).collect()} == want
+
+
+def test_labels_settle_in_blocks(spark):
+    rng = random.Random(8)
+    edges = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(150)} | {(k, k + 1) for k in range(100, 400)})
+    df = spark.createDataFrame(edges, "a long, b long")
+    begin = spark.createDataFrame([(0, 0), (1, 2), (100, 0), (999, 5)], "vertex long, label long")
+    want = {0: 0, 1: 2, 100: 0, 999: 5}
+    for _ in range(500):
+        for a, b in edges:
+            if a in want and want[a] + 1 <= 250:
+                want[b] = min(want.get(b, 1 << 60), want[a] + 1)
+    for size in (20, 1000):
+        assert {r.vertex: r.label for r in waves.spread(waves.edge_blocks(df, size), begin, 1, 250).collect()} == want
 
 
 def test_components_of_no_edges(spark):
     assert graph.strong_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert graph.strong_components(spark.createDataFrame([(3, 3)], "a long, b long"), small_edges=0).collect() == [(3, 3)]
 
 
 def test_impact_and_its_budgets(spark):
