@@ -132,6 +132,18 @@ def receiver(tokens: Column) -> dict[str, Column]:
     return {"receiver_base": F.regexp_extract(kind, shape, 2), "pointer": F.regexp_extract(kind, r"^((?:[*(] ?)*)", 1).contains("*"), "generic": F.regexp_extract(kind, shape, 3) != ""}
 
 
+def _with_parameters(specs: DataFrame) -> DataFrame:
+    """Specifications of types with own: is a token part of the type, and not its name or the list of its parameters?"""
+    one = Window.partitionBy("path", "statement", "spec").orderBy("at")
+    past, whole = one.rowsBetween(Window.unboundedPreceding, -1), one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = lambda k, c="token": F.nth_value(F.col(c), k).over(whole)
+    # What follows the name in brackets is an array's length rather than a list of parameters if it is empty, one name, a number or a sum.
+    length = at(4).isin("]") | (at(3) == "]") | at(3, "kind").isin("literal") | (at(3) == "...") | (at(4).rlike(r"^[-+/%<>&|^]") | ((at(4) == "*") & (at(5, "kind") == "literal")))
+    listed = F.coalesce((at(2) == "[") & ~F.coalesce(length, F.lit(False)), F.lit(False))
+    closed = F.coalesce(F.sum(((F.col("level") == 1) & (F.col("token") == "]")).cast("int")).over(past), F.lit(0))
+    return specs.withColumns({"_listed": listed, "_closed": closed}).withColumn("own", (F.col("rank") > 1) & (~F.col("_listed") | (F.col("_closed") >= 1))).drop("_listed", "_closed")
+
+
 def go_symbols(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     """(path, line, offset, kind, name, receiver_base, pointer, generic) of top-level declarations in Go files (path, content).
 
@@ -156,12 +168,8 @@ def go_symbols(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     ).filter("x IS NOT NULL").select("path", "method", "x.token", "x.begin.line", "x.begin.offset", F.transform("own", lambda x: x["token"]).alias("own"))
     found = out(held.filter("NOT method"), F.lit("function")).union(out(held.filter("method"), F.lit("method"), receiver(F.col("own"))))
 
-    typed = specs.filter("word = 'type'")
-    at = lambda k, c="token": F.nth_value(F.col(c), k).over(whole)
-    sized = at(4).isin("]") | (at(3) == "]") | at(3, "kind").isin("literal") | (at(3) == "...") | (at(4).rlike(r"^[-+/%<>&|^]") | ((at(4) == "*") & (at(5, "kind") == "literal")))
-    listed = (at(2) == "[") & ~F.coalesce(sized, F.lit(False))
-    typed = typed.withColumns({"listed": F.coalesce(listed, F.lit(False)), "closed": F.coalesce(F.sum(((F.col("level") == 1) & (F.col("token") == "]")).cast("int")).over(past), F.lit(0))})
-    own = flat & (F.col("rank") > 1) & (F.col("token") != "=") & F.when(F.col("listed"), (F.col("closed") >= 1)).otherwise(True)
+    typed = _with_parameters(specs.filter("word = 'type'"))
+    own = flat & F.col("own") & (F.col("token") != "=")
     kind = F.min(F.when(own, F.struct("at", "token"))).over(whole)["token"]
     typed = typed.withColumn("shape", kind).filter((F.col("rank") == 1) & F.col("shape").isin("struct", "interface"))
     found = found.union(out(typed, F.col("shape")))
@@ -171,3 +179,15 @@ def go_symbols(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     breaks = ~flat | F.when(odd, F.col("kind") != "name").otherwise(F.col("token") != ",")
     values = values.withColumn("_stop", F.min(F.when(breaks, F.col("rank"))).over(whole)).filter(odd & (F.col("kind") == "name") & (F.col("rank") < F.coalesce("_stop", F.lit(1 << 30))))
     return found.union(out(values, F.when(F.col("word") == "const", "constant").otherwise("variable")))
+
+
+def go_types(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
+    """(path, line, offset, name, alias, expression) of top-level types; the expression is its tokens joined by blanks, without type parameters."""
+    rows = _with_parameters((go_specifications(files) if specs is None else specs).filter("word = 'type'"))
+    first = F.col("rank") == 1
+    mark = (F.col("level") == 0) & (F.col("token") == "=")
+    one = rows.groupBy("path", "statement", "spec").agg(
+        F.max(F.when(first, F.struct("line", "offset", "token"))).alias("x"), F.max(mark).alias("alias"),
+        F.array_sort(F.collect_list(F.when(F.col("own") & ~mark, F.struct("at", "token")))).alias("own"),
+    )
+    return one.select("path", "x.line", "x.offset", F.col("x.token").alias("name"), "alias", F.array_join(F.transform("own", lambda x: x["token"]), " ").alias("expression"))
