@@ -57,6 +57,16 @@ def test_documents(spark, tmp_path):
         documents.encode(sections, written.extend, len(want) - 1)
     assert len(written) < len(want)
     path = f"file://{tmp_path}/d.json"
+    (tmp_path / "d.json").write_text("old")
+    for bad, error in (([*sections, sections[0]], ValueError), ([documents.Section("x", rows, single=True)], ValueError), ([documents.Section("x", rows.limit(0), single=True)], ValueError)):
+        with pytest.raises(error):
+            documents.publish_document(bad, path, 1000)
+    with pytest.raises(documents.TooLarge):
+        documents.publish_document(sections, path, len(want) - 1)
+    many = documents.Section("many", spark.range(5000).repartition(7).selectExpr("id", "'é,' || id AS v"), ("id",))
+    whole = bytearray()
+    assert documents.encode([many, *sections], whole.extend, 1 << 20) == documents.publish_document([many, *sections], f"{path}.many", 1 << 20) and (tmp_path / "d.json.many").read_bytes() == bytes(whole)
+    assert (tmp_path / "d.json").read_text() == "old"
     assert documents.publish_document(sections, path, 1000) == receipt and (tmp_path / "d.json").read_bytes() == want
     with pytest.raises(documents.TooLarge):
         documents.publish_document(sections, path, 20)
