@@ -2,25 +2,33 @@
 
 A publication writes its tables to a folder of its own and then one manifest
 beside it. Nothing reads tables but through a manifest, and a manifest appears
-whole or not at all: it is written under another name and renamed, and the first
-to create the name wins. So a lost driver leaves files that nothing names, and
-publishing again with the same content is a replay.
+whole or not at all, and the first to create the name wins. So a lost driver leaves
+files that nothing names, and publishing again with the same content is a replay.
+What a name shows now is the last version of a log, of which each version is created
+once and none is ever replaced: a reader finds the old one or the new one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import segment
 
 
+#: The name of a log's version.
+VERSION = re.compile(r"[0-9]{12}\.json")
+
+
 class Conflict(ValueError):
     """The name is taken by something else."""
 
@@ -29,7 +37,7 @@ class _Folder:
     """A folder of any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.jvm, self.top = spark.sparkContext._jvm, path.rstrip("/")
+        self.spark, self.jvm, self.top = spark, spark.sparkContext._jvm, path.rstrip("/")
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -52,22 +60,53 @@ class _Folder:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a file whole, unless there is one; true if it was written."""
-        if self.fs.exists(self._path(name)):
+        """Write a file whole, unless there is one; true if it was written, which one of several writers is told.
+
+        The file is written aside and then linked (a local folder) or renamed
+        without overwriting, which the name node of a distributed file system does
+        for one caller only. Stores of objects, which rename by copying, give no
+        such promise.
+        """
+        to = self._path(name)
+        aside = self._path(f"_{name.replace('/', '-')}-{uuid.uuid4().hex}")
+        self._write(aside.getName(), text)
+        self.fs.mkdirs(to.getParent())
+        try:
+            if self.fs.getScheme() == "file":
+                os.link(aside.toUri().getPath(), to.toUri().getPath())
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                context = self.jvm.org.apache.hadoop.fs.FileContext
+                context.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(self.fs.makeQualified(aside), self.fs.makeQualified(to), none)
+            return True
+        except FileExistsError:
             return False
-        aside = f"_{name.replace('/', '-')}-{uuid.uuid4().hex}"
-        self._write(aside, text)
-        self.fs.mkdirs(self._path(name).getParent())
-        done = not self.fs.exists(self._path(name)) and self.fs.rename(self._path(aside), self._path(name))
-        if not done:
-            self.fs.delete(self._path(aside), False)
-        return done
-
-    def replace(self, name: str, text: str) -> None:
-        aside = f"_{name.replace('/', '-')}-{uuid.uuid4().hex}"
-        self._write(aside, text)
-        self.fs.delete(self._path(name), False)
-        self.fs.rename(self._path(aside), self._path(name))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        finally:
+            self.fs.delete(aside, False)
+
+    def versions(self, name: str) -> list[str]:
+        """The versions of a log, in order."""
+        return [x for x in self.names(name) if VERSION.fullmatch(x)]
+
+    def latest(self, name: str) -> tuple[int, str | None]:
+        """The number and text of a log's last version; (0, None) where there is none."""
+        found = self.versions(name)
+        return (int(found[-1].partition(".")[0]), self.read(f"{name}/{found[-1]}")) if found else (0, None)
+
+    def append(self, name: str, text: str, after: int) -> bool:
+        """Make the version that follows a log's version after; false if another has made it."""
+        return self.create(f"{name}/{after + 1:012d}.json", text)
+
+    def point(self, name: str, text: str) -> None:
+        """Let a log's last version be this text, whoever else writes to it."""
+        while True:
+            number, now = self.latest(name)
+            if now == text or self.append(name, text, number):
+                return
 
     def names(self, name: str) -> list[str]:
         if not self.fs.exists(self._path(name)):
@@ -108,20 +147,20 @@ def publish(spark: SparkSession, folder: str, scan: str, tables: dict[str, DataF
             table.write.parquet(f"{data}/{name}")
         if at.create(f"manifests/{scan}.json", json.dumps({"scan": scan, "digest": digest, "tables": made, "data": data}, sort_keys=True)):
             if current:
-                at.replace(f"current-{current}", scan)
+                at.point(f"current/{current}", scan)
             return Receipt(scan, digest, made, "published")
         known = at.read(f"manifests/{scan}.json")
     if json.loads(known)["digest"] != digest:
         raise Conflict(f"{scan} is published with other content")
     if current:
-        at.replace(f"current-{current}", scan)
+        at.point(f"current/{current}", scan)
     return Receipt(scan, digest, made, "replayed")
 
 
 def published(spark: SparkSession, folder: str, scan: str | None = None, current: str | None = None) -> dict[str, DataFrame] | None:
     """The tables of a scan, or of the one that a current pointer shows; None where nothing is published."""
     at = _Folder(spark, folder)
-    scan = scan or at.read(f"current-{current}")
+    scan = scan or at.latest(f"current/{current}")[1]
     text = at.read(f"manifests/{scan}.json") if scan else None
     if text is None:
         return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity, paths
-from lodestone.operators import dependency_graph, graph, limits, packages, publication, resolution, semantics, store, validity
+from lodestone.operators import dependency_graph, graph, limits, packages, publication, resolution, retention, semantics, store, validity
 from lodestone.plans.bindings import CANDIDATES, CLOSURE, ENTRIES, _seg, _sid, edges_of, page_entries, page_files, query
 from lodestone.sinks import documents
 from lodestone.sources import repository
@@ -452,6 +452,24 @@ def published_tables(spark, read):
     return validity.unions(counts)
 
 
+@query("""WITH due AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 ORDER BY c_acctbal, c_custkey LIMIT 60), gone AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT k FROM due)),
+left_c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT k FROM due)), left_o AS (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT k FROM due)),
+left_l AS (SELECT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone))
+SELECT 'customer' AS name, (SELECT count(*) FROM due) AS purged, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM left_c UNION ALL SELECT 'orders', (SELECT count(*) FROM gone), count(*), CAST(sum(k) AS BIGINT) FROM left_o
+UNION ALL SELECT 'lines', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone)), count(*), CAST(sum(k) AS BIGINT) FROM left_l""")
+def purged_tables(spark, read):
+    """Customers in debt go in two batches with their orders, whose lines go first."""
+    folder, orders = shared_folder(spark), read("orders").select("o_custkey", "o_orderkey")
+    customer = retention.Kept(spark, folder, "customer", "c_custkey", 16)
+    kept = [retention.Kept(spark, folder, "lines", "l_custkey", 16), retention.Kept(spark, folder, "orders", "o_custkey", 16), customer]
+    lines = read("lineitem").select("l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("l_custkey"), "l_orderkey")
+    for table, rows in zip(kept, (lines, orders, read("customer").select("c_custkey", "c_acctbal")), strict=True):
+        table.create(rows)
+    batches = [retention.purge(customer, [F.col("c_acctbal")], F.col("c_acctbal") < 0, n, kept[:2], "query") for n in (45, 15)]
+    count = lambda t, key: t.rows().agg(F.lit(t.name).alias("name"), F.lit(sum(b.rows[t.name] for b in batches)).cast("long").alias("purged"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"))
+    return validity.unions([count(kept[0], "l_orderkey"), count(kept[1], "o_custkey"), count(customer, "c_custkey")])
+
+
 @query("SELECT * FROM (VALUES ('facts', '1', 'regions', '1'), ('summary', '1', 'facts', '1'), ('summary', '1', 'regions', '1')) t(artifact, version, source, source_version)")
 def run_provenance(spark, read):
     engine = publication.Engine

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,56 @@ def test_publish_and_replay(spark, tmp_path):
     assert published(spark, folder, current="main")["a"].count() == 1 and published(spark, folder, "s1")["a"].count() == 2
 
 
+class Crash(Exception):
+    pass
+
+
+def test_a_crash_between_any_two_steps_leaves_a_readable_state(spark, tmp_path, monkeypatch):
+    one, two = spark.range(3).select(F.col("id").alias("k")), spark.range(5).select(F.col("id").alias("k"))
+    steps = ["_write", "create", "append", "point"]
+    whole = {name: getattr(publication._Folder, name) for name in steps}
+    done = False
+    for crash in range(40):
+        folder, count = f"file://{tmp_path}/{crash}", [0]
+        publish(spark, folder, "s1", {"t": one}, current="main")
+
+        def step(name, count=count, crash=crash):
+            def run(self, *args):
+                for after in (False, True):  # before the step and after it
+                    if after:
+                        out = whole[name](self, *args)
+                    count[0] += 1
+                    if count[0] > crash:
+                        raise Crash
+                return out
+
+            return run
+
+        with monkeypatch.context() as m:
+            for name in steps:
+                m.setattr(publication._Folder, name, step(name))
+            try:
+                publish(spark, folder, "s2", {"t": two}, current="main")
+                done = True
+            except Crash:
+                pass
+        assert published(spark, folder, current="main")["t"].count() in (3, 5) and published(spark, folder, "s1")["t"].count() == 3
+        assert publish(spark, folder, "s2", {"t": two}, current="main").outcome in ("published", "replayed") and published(spark, folder, current="main")["t"].count() == 5
+        if done:
+            break
+    assert done and crash > 5
+
+
+def test_one_of_many_creates(spark, tmp_path):
+    at = publication._Folder(spark, f"file://{tmp_path}")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: at.create("a/b.json", f"text {k}"), range(24)))
+        versions = list(pool.map(lambda k: at.append("log", f"v{k}", 0), range(24)))
+        list(pool.map(lambda k: at.point("many", f"p{k}"), range(12)))
+    assert sum(won) == 1 and at.read("a/b.json") == f"text {won.index(True)}" and sum(versions) == 1
+    assert at.latest("log") == (1, f"v{versions.index(True)}") and at.latest("many")[0] == 12 and at.latest("none") == (0, None)
+
+
 def test_scans(spark, tmp_path):
     folder = f"file://{tmp_path}"
     scans, rows = Scans(spark, folder), spark.range(3)
