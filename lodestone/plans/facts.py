@@ -347,14 +347,14 @@ def set_equality(spark, read):
     return validity.same_set(read("customer").select(F.col("c_custkey").alias("k")), read("orders").select((F.col("o_custkey") + 3).alias("k")))
 
 
-NEEDLES = ["the and of", "no such text anywhere", "de la", "und"]
+NEEDLES = ["the and of", "no such text anywhere", "de la", "und", "retitioning ouen the of, nterti"]
 
 
 @query(f"""SELECT doc_id, needle FROM documents JOIN (SELECT unnest({NEEDLES!r}) AS needle) ON contains(text, needle)""")
 def leak_guard(spark, read):
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 16).cast("int"))).alias("at")
-    chunks = read("documents").filter("length(text) > 0").select("doc_id", "text", at).select("doc_id", "at", F.substring(F.col("text"), F.col("at") * 16 + 1, F.lit(16)).alias("piece"))
-    return validity.leaks(chunks, "doc_id", "at", "piece", [x[:16] for x in NEEDLES if len(x) <= 16])
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 32).cast("int"))).alias("at")
+    chunks = read("documents").filter("length(text) > 0").select("doc_id", "text", at).select("doc_id", "at", F.substring(F.col("text"), F.col("at") * 32 + 1, F.lit(32)).alias("piece"))
+    return validity.leaks(chunks, "doc_id", "at", "piece", NEEDLES)
 
 
 @query("""WITH k AS (SELECT event_type AS code, user_id, min(props) AS message FROM events GROUP BY 1, 2), t AS (SELECT count(*) AS n FROM k)

@@ -1,5 +1,6 @@
 """Manifests and file listings."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.sources import files, manifests
@@ -55,3 +56,22 @@ def test_reading_a_checkout(spark, tmp_path):
     assert [tuple(r) for r in small.collect()] == [("a/b.go", "package b")] and [tuple(r) for r in large.collect()] == [("big.txt", "too_large")]
     assert {(r.path, r.is_dir) for r in files.entries(small).collect()} == {("a", True), ("a/b.go", False)}
     assert spark.range(1).select(files.trimmed(F.lit("\t a b \n"))).first()[0] == "a b"
+
+
+def test_walk(spark, tmp_path, monkeypatch):
+    root = tmp_path / "the repo%20"
+    for folder in ("empty", "a/b/c", "a/.git/objects", "sub module", ".git/refs"):
+        (root / folder).mkdir(parents=True)
+    for file in ("a/x.go", "a/b/c/é y.txt", ".git/HEAD", "a/.git/objects/1", "sub module/.git", "z"):
+        (root / file).write_text("x")
+    (root / "link").symlink_to(root / "a")
+    want = {("empty", True), ("a", True), ("a/b", True), ("a/b/c", True), ("sub module", True), ("a/x.go", False), ("a/b/c/é y.txt", False), ("z", False), ("link", False)}
+    for top in (str(root), root.as_uri(), f"{root}/"):
+        found, report = files.walk(spark, top)
+        assert {tuple(r) for r in found.collect()} == want and (report["git"], report["files"], report["folders"]) == (True, 4, 5)
+    every, report = files.walk(spark, str(root), with_git=True)
+    assert {r.path for r in every.collect()} - {p for p, _ in want} == {".git", ".git/refs", ".git/HEAD", "a/.git", "a/.git/objects", "a/.git/objects/1", "sub module/.git"} and report["git"]
+    assert files.walk(spark, str(root / "empty"))[1] == {"name": "empty", "root": str(root / "empty"), "git": False, "files": 0, "folders": 0}
+    for bad in (root / "none", root / "z"):
+        with pytest.raises(files.WalkError):
+            files.walk(spark, str(bad))
