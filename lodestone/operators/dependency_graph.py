@@ -124,6 +124,19 @@ def summaries(graph: Graph, omitted: dict[str, int] | None = None, diagnostics:
     return rows.withColumns({"topology_limited": F.size(limitation_reasons(**topology)) > 0, "explanation_limited": F.size(limitation_reasons(**explanation)) > 0, "reasons": limitation_reasons(**topology, **explanation)})
 
 
+def totals(graph: Graph, lost: DataFrame) -> DataFrame:
+    """(what, name, resolution, n, occurrences): nodes by kind; edges in all, by graph, by resolution and by both, counted in one pass; and what was left out.
+
+    lost: the row that normalised() gives beside the graph.
+    """
+    none = F.lit(None).cast("string")
+    nodes = graph.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("what"), F.col("kind").alias("name"), none.alias("resolution"), "n", F.lit(None).cast("long").alias("occurrences"))
+    cube = graph.edges.cube("graph", "resolution").agg(F.count(F.lit(1)).alias("n"), F.sum("occurrences").alias("occurrences"))
+    omitted = lost.select(F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("omitted_edges", "omitted_evidence")))).alias("x"))
+    left_out = omitted.select("x.what", none.alias("name"), none.alias("resolution"), "x.n", F.lit(None).cast("long").alias("occurrences"))
+    return nodes.union(cube.select(F.lit("edges"), F.col("graph"), "resolution", "n", "occurrences")).union(left_out)
+
+
 def adjacency(edges: DataFrame, outward: bool = True) -> DataFrame:
     """(graph, vertex, ordinal, neighbour, edge_id): each vertex's edges by neighbour, then edge id."""
     here, there = ("from_id", "to_id") if outward else ("to_id", "from_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import identity, paths
 from lodestone.operators import dependency_graph, graph, limits, packages, publication, resolution, retention, semantics, store, validity
-from lodestone.plans.bindings import CANDIDATES, CLOSURE, ENTRIES, _seg, _sid, edges_of, page_entries, page_files, query
+from lodestone.plans.bindings import CANDIDATES, CLOSURE, ENTRIES, _seg, _sid, candidates, edges_of, page_entries, page_files, query
 from lodestone.sinks import documents
 from lodestone.sources import repository
 from lodestone.tables import shared_folder
@@ -230,6 +230,30 @@ def graph_counts(spark, read):
     return validity.count_by(read("lineitem"), ["l_returnflag", "l_linestatus"])
 
 
+_PART_ID = lambda key: _sid(identity.NODE, "p_brand", "'Go'", "p_name", f"CAST({key} AS VARCHAR)", "'resolved_local'")
+
+
+@query(f"""WITH {CANDIDATES}, p AS (SELECT p_partkey AS k, p_brand, {_PART_ID('p_partkey')} AS id FROM part),
+e AS (SELECT ['file', 'module', 'package'][1 + a % 3] AS graph, x.id AS from_id, y.id AS to_id, ['external', 'resolved_local', 'unresolved'][1 + (a + b) % 3] AS resolution, occurrences FROM edges JOIN p x ON x.k = a JOIN p y ON y.k = b),
+kept AS (SELECT * FROM e ORDER BY graph, from_id, to_id, resolution LIMIT 500)
+SELECT 'nodes' AS what, p_brand AS name, NULL AS resolution, count(*) AS n, NULL AS occurrences FROM p GROUP BY p_brand
+UNION ALL SELECT 'edges', graph, resolution, count(*), CAST(sum(occurrences) AS BIGINT) FROM kept GROUP BY CUBE (graph, resolution)
+UNION ALL SELECT 'omitted_edges', NULL, NULL, greatest(count(*) - 500, 0), NULL FROM e
+UNION ALL SELECT 'omitted_evidence', NULL, NULL, CAST(coalesce(sum(greatest(occurrences - 2, 0)), 0) AS BIGINT), NULL FROM kept""")
+def graph_totals(spark, read):
+    """Statistics of the part graph, cut to its first 500 edges and two pieces of evidence each."""
+    key = F.col("p_partkey").cast("string")
+    nodes = dependency_graph.node_rows(read("part"), F.col("p_brand"), F.col("p_name"), key, F.lit("resolved_local"))
+    ids = nodes.select(F.col("path").cast("long").alias("k"), "id")
+    met = candidates(read).join(ids.select(F.col("k").alias("a"), F.col("id").alias("from_id")), "a").join(ids.select(F.col("k").alias("b"), F.col("id").alias("to_id")), "b")
+    pick = lambda k, *words: F.element_at(F.array(*map(F.lit, words)), (k % 3 + 1).cast("int"))
+    graph_, resolution = pick(F.col("a"), "file", "module", "package"), pick(F.col("a") + F.col("b"), "external", "resolved_local", "unresolved")
+    edges = met.select(graph_.alias("graph"), F.lit("next").alias("kind"), "from_id", "to_id", resolution.alias("resolution"), F.col("source").cast("string").alias("evidence"))
+    none = spark.createDataFrame([], "kind string, parent_id string, child_id string")
+    found, _, lost = dependency_graph.normalised(nodes, edges, none, 500, 2)
+    return dependency_graph.totals(found, lost)
+
+
 # ---- program facts --------------------------------------------------------
 
 
