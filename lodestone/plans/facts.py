@@ -46,6 +46,47 @@ def context_imports(spark, read):
     return packages.in_contexts(docs.select(F.col("source").alias("module"), F.col("lang").alias("import_path")), contexts).select("module", "import_path", "context")
 
 
+_RULES = "SELECT context, path, bool_or(fs) AS fs, count(DISTINCT target) AS n, min(target) AS t FROM ({}) WHERE k = 1 GROUP BY ALL"
+_BELOW = "JOIN rep ON rep.owner = {} AND (a.path = rep.old OR starts_with(a.path, rep.old || '/'))"
+_RANKED = "SELECT a.context, a.path, fs, target, dense_rank() OVER (PARTITION BY a.context, a.path ORDER BY strlen(old) DESC, version IS NULL) AS k FROM asked a " + _BELOW
+
+
+@query(f"""WITH {ENTRIES}, d AS (SELECT path, len(string_split(path, '/')) AS deep, strlen(path) AS n FROM dirs WHERE len(string_split(path, '/')) <= 2),
+contexts AS (SELECT * FROM (VALUES (0, 'm', 'module'), (1, 'w', 'workspace'), (2, 'v', 'module_vendor'), (3, 'x', 'workspace_vendor')) t(i, context, kind)),
+asked AS (SELECT context, kind, path FROM files, contexts WHERE strlen(path) % 11 <> 0),
+modules AS (SELECT context, path AS module_path, unnest(CASE WHEN n % 2 = 0 THEN ['s', 't' || i] ELSE ['t' || i] END) AS target FROM d, contexts WHERE (n + i) % 3 = 0),
+met AS (SELECT a.context, a.path, target, rank() OVER (PARTITION BY a.context, a.path ORDER BY strlen(module_path) DESC) AS k FROM asked a JOIN modules m ON m.context = a.context AND (a.path = module_path OR starts_with(a.path, module_path || '/'))),
+own AS (SELECT context, path, count(DISTINCT target) AS n, min(target) AS t FROM met WHERE k = 1 GROUP BY ALL),
+declared AS (SELECT path, string_split(path, '/')[1] AS top, unnest([['v1'], ['v1', 'v1'], ['v2'], []][1 + strlen(path) % 4]) AS version FROM files),
+vendor AS (SELECT path, count(*) FILTER (WHERE version = 'v1' AND top IN (SELECT path FROM d)) AS valid FROM declared GROUP BY path),
+rep AS (SELECT 'app' AS owner, path AS old, NULL AS version, 'r' AS target, n % 2 = 0 AS fs FROM d WHERE deep = 2 UNION ALL SELECT 'app', path, 'v1', 'e', true FROM d WHERE deep = 2 AND n % 5 = 0
+UNION ALL SELECT 'app', path, 'v1', 'f', true FROM d WHERE deep = 2 AND n % 10 = 0 UNION ALL SELECT 'w', path, 'v1', 'near', n % 3 = 0 FROM d WHERE deep = 1),
+near AS ({_RULES.format(_RANKED.format('a.context'))}), mine AS ({_RULES.format(_RANKED.format("'app'"))}),
+r AS (SELECT a.*, own.n AS on_, own.t AS ot, valid, kind LIKE 'workspace%' AS work, kind LIKE '%vendor' AS vend, CASE WHEN kind LIKE 'workspace%' AND near.n IS NOT NULL THEN near.fs ELSE mine.fs END AS fs,
+CASE WHEN kind LIKE 'workspace%' AND near.n IS NOT NULL THEN near.n ELSE mine.n END AS rn, CASE WHEN kind LIKE 'workspace%' AND near.n IS NOT NULL THEN near.t ELSE mine.t END AS rt
+FROM asked a LEFT JOIN own USING (context, path) LEFT JOIN vendor USING (path) LEFT JOIN near USING (context, path) LEFT JOIN mine USING (context, path))
+SELECT context, 'app' AS module, path AS import_path, CASE WHEN on_ IS NOT NULL THEN CASE WHEN work THEN 'workspace_module' ELSE 'same_module' END WHEN vend THEN 'vendor' WHEN fs THEN 'local_replace' END AS kind,
+CASE WHEN on_ = 1 THEN 'resolved' WHEN on_ > 1 THEN 'ambiguous' WHEN vend THEN CASE WHEN valid IS NULL THEN 'external' WHEN valid = 0 THEN 'unresolved' WHEN valid = 1 THEN 'resolved' ELSE 'ambiguous' END
+WHEN fs IS NULL OR NOT fs THEN 'external' WHEN rn = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN on_ = 1 THEN ot WHEN on_ IS NULL AND NOT vend AND fs AND rn = 1 THEN rt END AS target FROM r
+UNION ALL SELECT NULL, NULL, path, NULL, 'unresolved', NULL FROM files WHERE strlen(path) % 11 = 0""")
+def package_proofs(spark, read):
+    """Every page's path as an import, proved in a module, a workspace and both vendored."""
+    size, app, none = F.octet_length("path"), F.lit("app"), F.lit(None).cast("string")
+    files, dirs = page_files(read), page_entries(read).filter(F.col("is_dir") & (paths.depth(F.col("path")) <= 2)).select("path")
+    deep = paths.depth(F.col("path"))
+    contexts = spark.createDataFrame([("m", "module", ["app"], 0), ("w", "workspace", ["app", "lib"], 1), ("v", "module_vendor", ["app"], 2), ("x", "workspace_vendor", ["lib", "app"], 3)], "context string, kind string, members array<string>, i int")
+    target = F.concat(F.lit("t"), F.col("i").cast("string"))
+    modules = dirs.join(F.broadcast(contexts), (size + F.col("i")) % 3 == 0).select("context", F.col("path").alias("module_path"), F.explode(F.when(size % 2 == 0, F.array(F.lit("s"), target)).otherwise(F.array(target))).alias("target"))  # four contexts
+    versions = F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in (["v1"], ["v1", "v1"], ["v2"], []))), size % 4 + 1)
+    declared = files.select(F.col("path").alias("import_path"), F.split("path", "/")[0].alias("module_path"), F.explode(versions).alias("version"))
+    required = dirs.select(app.alias("module"), F.col("path").alias("module_path"), F.lit("v1").alias("version"))
+    rule = lambda rows, owner, version, to, fs: rows.select(F.lit(owner).alias("owner"), F.col("path").alias("old_path"), version.alias("old_version"), F.lit(to).alias("target"), fs.alias("filesystem"))
+    two, exact = dirs.filter(deep == 2), F.lit("v1")
+    rules = [rule(two, "app", none, "r", size % 2 == 0), rule(two.filter(size % 5 == 0), "app", exact, "e", F.lit(True)), rule(two.filter(size % 10 == 0), "app", exact, "f", F.lit(True)), rule(dirs.filter(deep == 1), "w", exact, "near", size % 3 == 0)]
+    imports = files.select(F.when(size % 11 != 0, app).alias("module"), F.col("path").alias("import_path"))
+    return packages.package_proofs(imports, contexts.drop("i"), modules, declared, required, validity.unions(rules))
+
+
 @query(f"""WITH {ENTRIES}, d AS (SELECT path FROM dirs WHERE len(string_split(path, '/')) <= 3),
 req AS (SELECT path, 'v' || strlen(path) % 2 AS version FROM d),
 rep AS (SELECT path AS old_path, CAST(NULL AS VARCHAR) AS old_version, 'any' AS target, false AS fs FROM d
