@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity, paths
@@ -247,10 +248,8 @@ UNION ALL SELECT 'file', 'references', CAST(doc_id AS VARCHAR), CAST(next AS VAR
 """
 
 
-@query(f"WITH {_FACTS}, d AS (SELECT graph, kind, resolution, x, y, count(*) AS n FROM e GROUP BY ALL) SELECT graph, kind, resolution, count(*) AS edges, CAST(sum(n) AS BIGINT) AS occurrences FROM d GROUP BY ALL")
-def language_graph(spark, read):
-    from pyspark.sql import Window
-
+def language_candidates(read):
+    """Candidates of nodes, edges and containment of the graphs in which labelled documents are files of their source, a package, and import the next one's."""
     docs = read("documents").select("doc_id", "source")
     order = Window.orderBy("doc_id")  # the binding's own chain of documents; the operators have no such window
     resolution = F.when(F.col("quality") == 1, "resolved_local").when(F.col("toxic") == 1, "external").otherwise("unresolved")
@@ -261,11 +260,37 @@ def language_graph(spark, read):
     files = docs.select(F.col("doc_id").cast("string").alias("file"), F.concat_ws("/", "source", "doc_id").alias("path"), F.col("source").alias("package"))
     imports = facts.select(F.col("doc_id").cast("string").alias("file"), F.coalesce("target", F.lit("none")).alias("import_path"), F.lit("c").alias("context"), "resolution", "target")
     references = facts.filter("next IS NOT NULL").select(F.col("doc_id").alias("reference"), F.col("doc_id").cast("string").alias("file"), F.col("next").cast("string").alias("target_file"))
-    nodes, edges, contained, _ = dependency_graph.translated(modules, owned, files, imports, references)
-    g, _, _ = dependency_graph.normalised(nodes, edges, contained, 10_000_000, 8)
+    return dependency_graph.translated(modules, owned, files, imports, references)[:3]
+
+
+@query(f"WITH {_FACTS}, d AS (SELECT graph, kind, resolution, x, y, count(*) AS n FROM e GROUP BY ALL) SELECT graph, kind, resolution, count(*) AS edges, CAST(sum(n) AS BIGINT) AS occurrences FROM d GROUP BY ALL")
+def language_graph(spark, read):
+    g, _, _ = dependency_graph.normalised(*language_candidates(read), 10_000_000, 8)
     return g.edges.groupBy("graph", "kind", "resolution").agg(F.count(F.lit(1)).alias("edges"), F.sum("occurrences").alias("occurrences"))
 
 
+_TAGGED = lambda *parts: " || '|' || ".join(f"strlen({x}) || ':' || {x}" for x in parts)
+_LOCAL_ID = lambda kind, name, path: _sid(identity.NODE, f"'{kind}'", "'Go'", name, path, "'resolved_local'")
+_OUTSIDE_NAME = f"""sha256({_TAGGED("'boundary/v1'", "source", "'c'", "path")})"""
+_OUTSIDE_KIND = "CASE resolution WHEN 'external' THEN 'external_package' ELSE 'unresolved' END"
+
+
+@query(f"""WITH {_FACTS},
+n AS (SELECT doc_id, {_LOCAL_ID('file', 'CAST(doc_id AS VARCHAR)', "source || '/' || doc_id")} AS file_id, {_LOCAL_ID('package', 'source', 'source')} AS package_id FROM documents),
+t AS (SELECT i.*, CASE WHEN ok THEN {_LOCAL_ID('package', 'target', 'target')} ELSE {_sid(identity.NODE, _OUTSIDE_KIND, "'Go'", _OUTSIDE_NAME, "''", "resolution")} END AS end_id, source || '/' || doc_id || ':' || path AS proof FROM i),
+x AS (SELECT 'package' AS graph, 'imports' AS kind, package_id AS from_id, end_id AS to_id, resolution, proof FROM t JOIN n USING (doc_id)
+UNION ALL SELECT 'file', 'imports', file_id, end_id, resolution, proof FROM t JOIN n USING (doc_id)
+UNION ALL SELECT 'module', 'imports', {_LOCAL_ID('module', 'ma', 'ma')}, {_LOCAL_ID('module', 'mb', 'mb')}, resolution, proof FROM t WHERE ok AND ma IS NOT NULL AND mb IS NOT NULL AND ma <> mb
+UNION ALL SELECT 'file', 'references', a.file_id, b.file_id, 'resolved_local', f.source || '/' || f.doc_id || ':' || f.doc_id FROM f JOIN n a USING (doc_id) JOIN n b ON b.doc_id = f.next),
+k AS (SELECT graph, kind, from_id, to_id, resolution, count(*) AS occurrences, list_sort(list(DISTINCT proof)) AS proofs FROM x GROUP BY ALL)
+SELECT {_sid(identity.EDGE, 'graph', 'kind', 'from_id', 'to_id', 'resolution')} AS id, graph, kind, from_id, to_id, resolution, occurrences, array_to_string(proofs[1:3], ';') AS evidence, greatest(len(proofs) - 3, 0) AS omitted FROM k""")
+def language_graph_edges(spark, read):
+    """Every edge of the labelled documents' graphs with its ids and the first pieces of its evidence."""
+    g, proof, _ = dependency_graph.normalised(*language_candidates(read), 10_000_000, 3)
+    found = g.edges.join(proof.select("id", F.array_join("evidence", ";").alias("evidence"), "omitted"), "id")
+    return found.select("id", "graph", "kind", "from_id", "to_id", "resolution", "occurrences", "evidence", "omitted")
+
+
 @query("""SELECT 'l_returnflag' AS what, l_returnflag AS name, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2""")
 def graph_counts(spark, read):
     return validity.count_by(read("lineitem"), ["l_returnflag", "l_linestatus"])
