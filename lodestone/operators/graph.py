@@ -37,6 +37,22 @@ def normalize_nodes(candidates: DataFrame, identity_cols: list[str], fixed: list
     return candidates.groupBy(*identity_cols).agg(*(F.min(c).alias(c) for c in fixed), conflict.alias("conflict"))
 
 
+class Conflicting(ValueError):
+    """Candidates of one node disagree."""
+
+
+def merged_nodes(candidates: DataFrame, key: list[str], fixed: list[str], evidence: str, most: int) -> DataFrame:
+    """One node an identity with the first distinct evidence of all its candidates, and how much was left out.
+
+    Conflicting if candidates of one identity differ in a fixed column.
+    """
+    nodes = written(normalize_nodes(candidates, key, fixed))
+    if lost := nodes.filter("conflict").count():
+        raise Conflicting(f"{lost} nodes have candidates that disagree")
+    proof = capped_groups(candidates.select(*key, evidence), key, evidence, most).select(*key, F.col("values").alias("evidence"), F.col("omitted").alias("omitted_evidence"))
+    return nodes.drop("conflict").join(proof, key)
+
+
 def resolve_endpoints(edges: DataFrame, nodes: DataFrame, key: str, node_id: str) -> DataFrame:
     """from_id and to_id of edges between keys; null where an endpoint is unknown."""
     n = nodes.select(F.col(key).alias("_k"), F.col(node_id).alias("_id"))

@@ -35,6 +35,13 @@ def dedupe(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def last_then_prefix(rows: DataFrame, key: list[str], order: list[Column], most: int) -> DataFrame:
+    """One row a key, the last in the given order; of these the first so many by key, each with omitted, the number of those left out."""
+    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).withColumn("_last", F.max("_n").over(Window.partitionBy(*key))).filter("_n = _last").drop("_n", "_last")
+    total = last.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
+    return last.orderBy(*key).limit(most).crossJoin(F.broadcast(total))  # one row
+
+
 def category_budget(rows: DataFrame, category: str, key: str, order: list[str], most: int) -> DataFrame:
     """A budget shared by categories in their order: (category, kept, omitted).
 

@@ -65,6 +65,19 @@ def transition(rows: DataFrame, state: str, moves: dict[str, str]) -> DataFrame:
     return rows.withColumn("changed", table[F.col(state)].isNotNull()).withColumn(state, F.coalesce(table[F.col(state)], F.col(state)))
 
 
+def guarded(rows: DataFrame, requests: DataFrame, key: str, state: str, allowed: dict[str, str]) -> DataFrame:
+    """(key, to, state, outcome) of requests (key, to), at most one a key: the state afterwards, and what the request came to.
+
+    allowed: the one state from which each may be entered. changed; replayed where
+    the row is there already; conflict from any other state, or if no row may go
+    there; missing where there is no row.
+    """
+    table = F.create_map(*(F.lit(x) for pair in allowed.items() for x in pair))
+    met = requests.select(key, "to").join(rows.select(key, F.col(state).alias("_state")), key, "left")
+    outcome = F.when(F.col("_state").isNull(), "missing").when(F.col("_state") == F.col("to"), "replayed").when(F.col("_state").eqNullSafe(table[F.col("to")]), "changed").otherwise("conflict")
+    return met.withColumn("outcome", outcome).select(key, "to", F.when(F.col("outcome") == "changed", F.col("to")).otherwise(F.col("_state")).alias("state"), "outcome")
+
+
 def register(existing: DataFrame, requests: DataFrame, key: str, digest: str) -> DataFrame:
     """requests with outcome: created, replayed (same digest) or conflict."""
     known = existing.select(F.col(key), F.col(digest).alias("_known"))

@@ -320,6 +320,30 @@ def graph_totals(spark, read):
     return dependency_graph.totals(found, lost)
 
 
+@query("""SELECT p_partkey, p_name, array_to_string(list_sort(list(DISTINCT l_orderkey))[1:3], ',') AS evidence, greatest(count(DISTINCT l_orderkey) - 3, 0) AS omitted_evidence FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+def node_evidence(spark, read):
+    rows = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "p_name", F.col("l_orderkey").alias("order"))
+    found = graph.merged_nodes(rows, ["p_partkey"], ["p_name"], "order", 3)
+    return found.select("p_partkey", "p_name", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"), F.col("omitted_evidence").cast("long").alias("omitted_evidence"))
+
+
+@query("""WITH l AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT user_id, event_type, event_id, (SELECT greatest(count(*) - 100, 0) FROM l WHERE n = 1) AS omitted FROM l WHERE n = 1 ORDER BY user_id, event_type LIMIT 100""")
+def last_references(spark, read):
+    return limits.last_then_prefix(read("events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], 100).drop("ts")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'archived' ELSE 'purge_pending' END AS s, CASE WHEN o_custkey % 2 = 0 THEN 'archived' ELSE 'purge_pending' END AS t FROM orders),
+a AS (SELECT k, t FROM r UNION ALL SELECT -k, t FROM r)
+SELECT a.k AS repository, a.t AS "to", CASE WHEN s = CASE a.t WHEN 'archived' THEN 'active' ELSE 'archived' END THEN a.t ELSE s END AS state,
+CASE WHEN s IS NULL THEN 'missing' WHEN s = a.t THEN 'replayed' WHEN s = CASE a.t WHEN 'archived' THEN 'active' ELSE 'archived' END THEN 'changed' ELSE 'conflict' END AS outcome FROM a LEFT JOIN r USING (k)""")
+def guarded_transitions(spark, read):
+    state = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "archived").otherwise("purge_pending")
+    rows = read("orders").select(F.col("o_orderkey").alias("repository"), state.alias("state"), F.when(F.col("o_custkey") % 2 == 0, "archived").otherwise("purge_pending").alias("to"))
+    asked = rows.select("repository", "to").union(rows.select(-F.col("repository"), "to"))
+    return store.guarded(rows, asked, "repository", "state", {"archived": "active", "purge_pending": "archived"})
+
+
 # ---- program facts --------------------------------------------------------
 
 

@@ -88,6 +88,13 @@ def test_labels_settle_in_blocks(spark):
         assert {r.vertex: r.label for r in waves.spread(waves.edge_blocks(df, size), begin, 1, 250).collect()} == want
 
 
+def test_nodes_that_disagree(spark):
+    rows = spark.createDataFrame([("a", "x", k) for k in (3, 1, 2, 1)] + [("b", "y", 5)], "id string, name string, line int")
+    assert sorted(tuple(r) for r in graph.merged_nodes(rows, ["id"], ["name"], "line", 2).select("id", "name", "evidence", "omitted_evidence").collect()) == [("a", "x", [1, 2], 1), ("b", "y", [5], 0)]
+    with pytest.raises(graph.Conflicting):
+        graph.merged_nodes(rows.union(spark.createDataFrame([("b", "z", 5)])), ["id"], ["name"], "line", 2)
+
+
 def test_components_of_no_edges(spark):
     assert graph.strong_components(spark.createDataFrame([], "a long, b long")).collect() == []
     assert graph.strong_components(spark.createDataFrame([(3, 3)], "a long, b long"), small_edges=0).collect() == [(3, 3)]
