@@ -125,6 +125,17 @@ def nearby_words(spans: DataFrame, words: DataFrame, reach: int) -> DataFrame:
     return each.join(around, [*DOC, "block"]).filter(close).select(*DOC, "entity", "term").distinct()
 
 
+def masked_terms(words: DataFrame, held: DataFrame, told: DataFrame) -> DataFrame:
+    """Write (doc, version, term, disclosure): the terms that stand in a document and disclose an entity that it holds.
+
+    Terms meet the entities that they disclose, and these the document's own: a
+    document never meets all terms of an entity that many documents hold.
+    """
+    standing = words.select(*DOC, "term").join(sized(told, MOST_TERMS), "term").distinct()
+    both = standing.join(held, [*DOC, "entity"], "left_semi")
+    return written(both.groupBy(*DOC, "term").agg(F.max("disclosure").alias("disclosure")), "masked")
+
+
 def revealing_terms(docs: DataFrame, spans: DataFrame, holders: DataFrame, reach: int, support: int, least: float) -> DataFrame:
     """(doc, version, start, end, disclosure): occurrences, in documents that hold an entity, of terms whose disclosure of it is at least so much."""
     words = free_words(spans, holders, reach)
@@ -141,7 +152,7 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, holders: DataFrame, reach
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     told = together.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0)).filter(F.col("disclosure") >= least)
     told = written(told.select("term", "entity", "disclosure"), "disclosing")
-    masked = written(held.join(sized(told, MOST_TERMS), "entity").groupBy(*DOC, "term").agg(F.max("disclosure").alias("disclosure")), "masked")
+    masked = masked_terms(words, held, told)
     return words.join(sized(masked, MOST_TERMS), [*DOC, "term"]).select(*DOC, "start", "end", "disclosure").distinct()
 
 

@@ -5,13 +5,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm.language_id import Profiles, identify_language, learn_profiles
 from lodestone.llm.nearest_neighbours import hadamard, nearest_in_block, nearest_neighbours
-from lodestone.llm.sanitisation import op4_sanitisation, private_spans, sanitise
+from lodestone.llm.sanitisation import OP4_SQL, masked_terms, op4_sanitisation, private_spans, sanitise
 from lodestone.llm.simhash import drop_near_duplicates, near_duplicates, simhash
 from lodestone.llm.suffix_tree_lm import score_texts
 
@@ -162,6 +163,26 @@ def test_revealing_terms(docs_of):
     assert sanitise(docs.filter("false")).collect() == []
 
 
+def test_masked_terms_grow_with_what_documents_hold(spark):
+    sizes = {}
+    for n in (40, 80):
+        words = spark.createDataFrame([(k, 0, f"t{k // 2}") for k in range(n)] * 2, "doc long, version long, term string")
+        held = spark.createDataFrame([(k, 0, "shared") for k in range(n)], "doc long, version long, entity string")
+        told = spark.createDataFrame([(f"t{k}", "shared", 0.9) for k in range(n // 2)] + [("t0", "other", 0.99), ("gone", "shared", 1.0)], "term string, entity string, disclosure double")
+        found = masked_terms(words, held, told).collect()
+        assert {(r.doc, r.term, r.disclosure) for r in found} == {(k, f"t{k // 2}", 0.9) for k in range(n)}
+        sizes[n] = len(found)
+    assert sizes == {40: 40, 80: 80}
+
+
+def test_sanitisation_is_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = con.sql(OP4_SQL)
+    got = op4_sanitisation(spark, sf_dir).select(*found.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+
+
 def test_neighbours_where_ids_repeat(spark):
     rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * k]) for k in range(30)] + [(k, [1.0, 0.1 * k]) for k in range(2, 8)]
     ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
