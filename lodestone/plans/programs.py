@@ -97,6 +97,16 @@ def type_expressions(spark, read):
     return expression_relations(types).withColumn("arguments", F.array_join("arguments", ";"))
 
 
+@query("""WITH d AS (SELECT 'c' || o_custkey || '.go' AS path, 'T' || o_orderkey AS name, ['type_alias', 'defined_type', 'struct', 'interface', 'defined_type'][1 + o_orderkey % 5] AS kind, c_acctbal AS b FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT path, name, kind, 'package:.:p' AS scope, CASE WHEN kind NOT IN ('struct', 'interface') THEN 'resolved' WHEN b < 0 THEN 'partial' WHEN b > 9000 THEN 'ambiguous' ELSE 'resolved' END AS status FROM d""")
+def declarations(spark, read):
+    """Declared types against symbols of which customers in debt have none and rich ones each twice."""
+    files = type_sources(read)
+    asset = read("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".go")).alias("path"), F.col("c_acctbal").alias("b"))
+    known = go_syntax.go_symbols(files).join(asset, "path").filter("b >= 0").select("path", "kind", "name", "offset", F.explode(F.array_repeat(F.lit(1), F.when(F.col("b") > 9000, 2).otherwise(1))))
+    return go_syntax.reconciled(go_syntax.go_declarations(files), known.drop("col"))[0].select("path", "name", "kind", "scope", "status")
+
+
 @query("""WITH RECURSIVE scopes AS (SELECT 'r' || r_regionkey AS scope, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
 decl AS (SELECT 'r' || r_regionkey AS scope, 'x' || (r_regionkey + 2) AS name, 'region' AS target FROM region UNION ALL SELECT 'n' || n_nationkey, 'x' || n_nationkey % 7, 'nation' FROM nation

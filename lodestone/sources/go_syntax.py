@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.paths import directory
+
 #: Comments, raw and quoted strings, runes, numbers, names, operators, line ends, blanks; possessive, so nothing is tried twice.
 TOKEN = "|".join((
     r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)", r"`[^`]*+`", r'"(?:[^"\\\n]|\\.)*+"', r"'(?:[^'\\\n]|\\.)++'",
@@ -101,7 +103,7 @@ def go_specifications(files: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("word").isin("import", "func", "const", "var", "type"))
     ends = (F.col("kind") == "end") & (F.col("depth") == F.col("base"))
     rows = rows.withColumn("spec", F.coalesce(F.sum(ends.cast("int")).over(past), F.lit(0)))
-    rows = rows.filter((F.col("_rank") > 1 + F.col("base")) & ~ends & ((F.col("base") == 0) | (F.col("depth") > 1) | (F.col("token") != ")") | (F.col("kind") != "mark")))
+    rows = rows.filter((F.col("_rank") > 1 + F.col("base")) & ~((F.col("kind") == "end") & (F.col("depth") <= F.col("base"))) & ((F.col("base") == 0) | (F.col("depth") > 1) | (F.col("token") != ")") | (F.col("kind") != "mark")))
     spec = Window.partitionBy("path", "statement", "spec").orderBy("at")
     return rows.withColumns({"rank": F.row_number().over(spec), "level": F.col("depth") - F.col("base")}).drop("_rank")
 
@@ -191,3 +193,40 @@ def go_types(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("own") & ~mark, F.struct("at", "token")))).alias("own"),
     )
     return one.select("path", "x.line", "x.offset", F.col("x.token").alias("name"), "alias", F.array_join(F.transform("own", lambda x: x["token"]), " ").alias("expression"))
+
+
+def go_declarations(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
+    """(path, line, offset, kind, syntax, name, scope) of top-level declarations; syntax is the kind of symbol that a declaration must be, null where it need be none.
+
+    Kinds are those of symbols, defined_type and type_alias. The scope is the
+    package's, package:folder:name, or for methods and functions named init the
+    file's, file:path.
+    """
+    specs = go_specifications(files) if specs is None else specs
+    first = F.col("expression")
+    shape = F.when(first.rlike(r"^struct\b"), "struct").when(first.rlike(r"^interface\b"), "interface")
+    types = go_types(files, specs).select("path", "line", "offset", F.when(F.col("alias"), "type_alias").otherwise(F.coalesce(shape, F.lit("defined_type"))).alias("kind"), shape.alias("syntax"), "name")
+    others = go_symbols(files, specs).filter("kind NOT IN ('struct', 'interface')").select("path", "line", "offset", "kind", F.col("kind").alias("syntax"), "name")
+    packages = go_files(files).select("path", "package")
+    own = (F.col("kind") == "method") | ((F.col("kind") == "function") & (F.col("name") == "init"))
+    scope = F.when(own, F.concat(F.lit("file:"), "path")).otherwise(F.concat_ws(":", F.lit("package"), directory(F.col("path")), F.col("package")))
+    return types.union(others).join(packages, "path").select("path", "line", "offset", "kind", "syntax", "name", scope.alias("scope"))
+
+
+def reconciled(declarations: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """declarations with status, and diagnostics (path, offset, code, name), from the symbols (path, kind, name, offset) that were recorded of the same files.
+
+    A declaration that must be a symbol is resolved if just one agrees in path,
+    kind, name and place, partial if none does and ambiguous if several do; others
+    are resolved. Symbols that no declaration is alone with are told too.
+    """
+    key = ["path", "syntax", "name", "offset"]
+    known = symbols.withColumnRenamed("kind", "syntax").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    met = declarations.join(known, key, "left")
+    status = F.when(F.col("syntax").isNull() | (F.col("_n") == 1), "resolved").when(F.col("_n").isNull(), "partial").otherwise("ambiguous")
+    found = met.select(*declarations.columns, status.alias("status"))
+    code = F.when(F.col("status") == "partial", "semantic_declaration_unmatched").otherwise("semantic_declaration_ambiguous")
+    told = found.filter("status <> 'resolved'").select("path", "offset", code.alias("code"), "name")
+    alone = found.filter("status = 'resolved' AND syntax IS NOT NULL").select(*key)
+    lost = known.join(alone, key, "left_anti").select("path", "offset", F.lit("semantic_syntax_symbol_unmatched").alias("code"), "name", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
+    return found, told.union(lost.drop("col"))

@@ -1,5 +1,9 @@
 """Go manifests and sources, refs and the catalog."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from lodestone.sources import go_syntax, repository
 
 MOD = 'module ex.org/app // own\n\ngo 1.21\ntoolchain go1.22.0\n\nrequire single.org/x v1.0.0\nrequire (\n\ta.org/b v0.1.0 // indirect\n\t"q.org/c" v2.0.0\n)\n\nreplace a.org/b => ../b\nreplace (\n\tq.org/c v2.0.0 => fork.org/c v2.0.1\n)\nexclude z.org/z v1.0.0\n'
@@ -135,6 +139,27 @@ def test_layout_comments_and_literals(spark):
     assert all(AWKWARD.encode()[at:].startswith(b"func" if n in ("real", "spread", "odd", "é") else n.encode()) for n, at in offsets.items())
 
 
+def test_declarations_and_symbols(spark):
+    files = spark.createDataFrame([("d/a.go", AWKWARD), ("b.go", "package b\nfunc init() {}\nfunc main() {}\n")], "path string, content string")
+    declared = go_syntax.go_declarations(files)
+    got = {(r.name, r.kind, r.syntax, r.scope) for r in declared.collect()}
+    p = "package:d:main"
+    assert got == {
+        ("doc", "variable", "variable", p), ("real", "function", "function", p), ("A", "type_alias", "struct", p), ("B", "defined_type", None, p), ("C", "interface", "interface", p), ("N", "defined_type", None, p), ("D", "struct", "struct", p),
+        ("E", "defined_type", None, p), ("F", "defined_type", None, p), ("x", "constant", "constant", p), ("y", "constant", "constant", p), ("spread", "method", "method", "file:d/a.go"), ("é", "method", "method", "file:d/a.go"),
+        ("odd", "method", "method", "file:d/a.go"), ("init", "function", "function", "file:b.go"), ("main", "function", "function", "package:.:b"),
+    }
+    symbols = go_syntax.go_symbols(files).select("path", "kind", "name", "offset")
+    assert go_syntax.reconciled(declared, symbols)[1].collect() == [] and {r.status for r in go_syntax.reconciled(declared, symbols)[0].collect()} == {"resolved"}
+    other = symbols.filter("name NOT IN ('real', 'D')").union(symbols.filter("name IN ('D', 'main')")).union(symbols.filter("name IN ('D', 'x')")).union(spark.createDataFrame([("b.go", "struct", "Gone", 7)], "path string, kind string, name string, offset long"))
+    found, told = go_syntax.reconciled(declared, other.withColumn("offset", F.when(F.col("name") == "y", 0).otherwise(F.col("offset"))))
+    assert {r.name: r.status for r in found.filter("status <> 'resolved'").collect()} == {"real": "partial", "D": "ambiguous", "main": "ambiguous", "x": "ambiguous", "y": "partial"}
+    assert Counter((r.code.removeprefix("semantic_"), r.name) for r in told.collect()) == Counter({
+        ("declaration_unmatched", "real"): 1, ("declaration_unmatched", "y"): 1, **{("declaration_ambiguous", x): 1 for x in ("D", "main", "x")}, **{("syntax_symbol_unmatched", x): 2 for x in ("D", "main", "x")},
+        ("syntax_symbol_unmatched", "y"): 1, ("syntax_symbol_unmatched", "Gone"): 1,
+    })
+
+
 def test_long_tokens(spark):
     text = "package x\n/*" + "*" * 100_000 + "/\nvar a = `" + "\n" * 50_000 + "`\nvar b = \"" + "\\n" * 50_000 + "\"\n"
     assert sorted((r.line, r.name) for r in go_syntax.go_symbols(spark.createDataFrame([("a.go", text)], "path string, content string")).collect()) == [(3, "a"), (50_004, "b")]
