@@ -11,11 +11,13 @@ they were independent. Sets meet where a band of coordinates agrees: with 24 ban
 of 4, a pair at J = 0.85 is missed with a probability of 2 in 100,000,000.
 
 Sets that are equal are one vertex. Where several vertices share a band, all meet
-one of them, a hub, and links are confirmed on the full sets. Only what is then
-not in one component meets further hubs, four times as many in each round, until
-each band's vertices are in one component or have all met. So a group of near
-copies costs a comparison a member and not a pair, and no pair of a band that
-could join two components is left out.
+one of them, a hub, and links are confirmed on the full sets; so a group of near
+copies costs a comparison a member and not a pair. What is then not in one
+component is met by band and rare element together: sets that are alike share one
+of the elements of theirs that the fewest sets have, which texts that only share a
+passage do not. There hubs, more in each round, meet the others, until each group's
+vertices are in one component or have all met. No pair of a band that could join two
+components is left out.
 
 Cases: a null or blank text has an empty set and is linked with nothing, not even
 with its like; fewer words than a shingle are one shingle; a null id comes after
@@ -35,15 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import BLANK, forget, lean, self_cleaning, sized, written
+from lodestone.llm._common import BLANK, forget, lean, power_of_two, self_cleaning, sized, written
 from lodestone.llm.components import star_components
 from lodestone.llm.wordspans import SEPARATOR, buffer_of, byte_classes, segments, slices, spans_as_array, words_of
 
 CLASSES = byte_classes(BLANK)
 #: Coordinates of a sketch and of a band.
 COORDINATES, BAND = 96, 4
-#: Members that meet one copy of a hub's set in a group of the shuffle.
-MEMBERS = 256
+#: Pairs for each of the groups into which a hub's members are dealt.
+MEMBERS = 4096
 #: Vertices of which the places go to all tasks; more are joined by a shuffle.
 MOST_WANTED = 400_000
 #: Elements of sets that are sketched together.
@@ -154,11 +156,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Write those of the pairs (hub, node) of which 100 * intersection >= percent * union, as (a, b).
 
-    A hub's set goes once to each group of its members; sets pass one by one.
+    A hub's members are dealt into groups, and its set goes once to each that has
+    any; sets pass one by one.
     """
-    many = written(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEMBERS), "many")
-    groups = F.ceil(F.coalesce("n", F.lit(1)) / MEMBERS).cast("long")
-    dealt = pairs.join(many, "hub", "left").select("hub", "node", F.when(groups > 1, F.pmod(F.xxhash64("node"), groups)).otherwise(F.lit(0).cast("long")).alias("salt"))
+    groups = power_of_two(pairs.count() // MEMBERS, 16, 65_536)
+    dealt = pairs.select("hub", "node", F.pmod(F.xxhash64("node"), F.lit(groups)).alias("salt"))
     hubs = dealt.select("hub", "salt").distinct().join(sets, F.col("hub") == sets["node"]).select("hub", "salt", F.lit(0).alias("kind"), sets["node"].alias("node"), "set")
     members = dealt.join(sets, "node").select("hub", "salt", F.lit(1).alias("kind"), "node", "set")
     met = hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
@@ -183,34 +185,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(met.mapInArrow(lean(compared), "a binary, b binary"), "confirmed", batch=64)
 
 
+def rare_elements(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Write (node, element, room): of each of the nodes' sets the elements of which any similar set must share one, among those that other of the sets have.
+
+    Elements are ordered by the number of the sets that have them. Two sets that
+    share so many percent of either share one of the first n - ceil(n * percent / 100) + 1
+    elements of both, of which those that no other set has need not be named.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+            size = np.array([len(x) for x in own])
+            at = pa.array(np.repeat(np.arange(len(own)), size))
+            yield pa.record_batch([batch.column(0).take(at), pa.array(np.repeat(size, size)), pa.array(np.concatenate(own) if own else size)], ["node", "n", "element"])
+
+    each = written(sets.join(nodes, "node", "left_semi").mapInArrow(lean(made), "node binary, n long, element long"), "elements", batch=256)
+    shared = written(each.groupBy("element").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared_elements")
+    known = each.join(shared, "element").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("m", "element"))).alias("own"))  # a set's own elements
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("own"))
+    rooms = F.transform(F.slice("own", F.lit(1), F.greatest(first, F.lit(0)).cast("int")), lambda x, k: F.struct(x["element"].alias("element"), (F.size("own") - k).cast("long").alias("room")))
+    return written(known.select("node", F.explode(rooms).alias("x")).select("node", "x.*"), "rare")
+
+
 def met_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) that join all of the members (key, node, n) that share a key and are similar, over any number of steps; none if there are none.
 
-    Round by round one hub for each 1, 4, 16, ... of a key's hash classes meets
-    the key's other members in other components, and then leaves the key.
+    First one hub of each key meets its other members. Where these are then in
+    several components, members go on under keys made of their key and one of
+    their rare elements, which drops no link. There, round by round, one hub for
+    each 1, 4, 64, 1024, ... of a key's hash classes meets the key's other members, but
+    for those known to be in its component, and then leaves the key. Known are the
+    components after the first three rounds; to know less costs comparisons, not links.
     """
-    links, tried, spread = None, None, 1
-    label = members.withColumn("part", F.col("node"))
+    label = members.select("key", "node", "n", F.col("n").alias("room"), F.col("node").alias("part"))
+    links, parts, classes = None, None, 0
     while True:
-        mixed_ = label.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-        left = written(label.join(written(mixed_, "open"), "key"), "members")
+        several = label.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+        left = written(label.join(several, "key"), "members")
         if left.isEmpty():
             return links
-        first = left.groupBy("key", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(spread)).alias("class")).agg(F.min(F.struct("node", "n", "part")).alias("hub"))
-        hubs = written(first.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.part").alias("hub_part")), "hubs")
-        fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        if links is not None and not classes:
+            rare = rare_elements(sets, left.select("node").distinct(), percent)
+            label = left.drop("room").join(rare, "node").select(F.xxhash64("key", "element").alias("key"), "node", "n", "room", "part")
+            label, classes = written(label, "refined"), 1
+            continue
+        first = left.groupBy("key", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(classes, 1))).alias("class")).agg(F.min(F.struct("node", "n", "room", "part")).alias("hub"))
+        hubs = written(first.select("key", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "room", "part"))), "hubs")
+        fits = (100 + percent) * F.least("room", "hub_room") >= percent * (F.col("n") + F.col("hub_n"))
         pairs = left.join(hubs, "key").filter((F.col("part") != F.col("hub_part")) & fits)
-        pairs = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["hub", "node"], "left_anti"), "pairs")
+        pairs = written(pairs.select(F.least("hub_node", "node").alias("hub"), F.greatest("hub_node", "node").alias("node")).distinct(), "pairs")
         found = confirmed(pairs, sets, percent)
-        links = found if links is None else written(links.union(found), "links")
-        tried = pairs if tried is None else written(tried.union(pairs), "tried")
-        roots = written(star_components(links), "roots")
-        rest = left.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
-        named = rest.join(roots, rest["node"] == roots["vertex"], "left")
-        label = written(named.select("key", "node", "n", F.coalesce("root", "node").alias("part")), "label")
+        links = found if links is None else links.union(found)
+        rest = left.join(hubs.select("key", F.col("hub_node").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "room")
+        if classes < 64:  # later links are few
+            roots = written(star_components(links), "roots")
+            parts = roots.select(F.col("vertex").alias("node"), F.col("root").alias("part"))
+        label = written(rest.join(parts, "node", "left").select("key", "node", "n", "room", F.coalesce("part", "node").alias("part")), "label")
         forget(left)
-        spread *= 4
+        classes *= 4 if classes < 4 else 16
 
 
 @self_cleaning
