@@ -8,12 +8,13 @@ word. It is extended by a word by moving it one position on and intersecting it
 with the word's bitmap; across a free position nothing meets. Supports are bits
 counted in each shard and summed over the shards.
 
-The bitmaps are a table, of a row for each word and shard, and so are those of
-word pairs. Words that are frequent over all shards go back to their shards, where
-all pairs are made; pairs that are frequent over all shards go back too, and there,
-class by class of first pairs, each is extended to three words and at once to four.
-So a shard makes no phrase that holds an infrequent word, and no longer one that
-holds an infrequent pair; no vocabulary is sent to all tasks.
+The words' bitmaps are a table, of a row for each word and shard. Words that are
+frequent over all shards go back to their shards, where all pairs are made and
+counted; pairs that are frequent over all shards are then extended, class by class of
+first pairs, to three words and at once to four. So a shard makes no phrase that holds
+an infrequent word, and no longer one that holds an infrequent pair. Up to four
+million frequent pairs are sent to all shards as numbers; of more, their bitmaps are
+written and go back by a join. No vocabulary is sent without a bound.
 
 Cases: a null text is empty and a null language is `und`; a language without a
 candidate gives no row; equal scores and counts are ordered by phrase in the order
@@ -33,17 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import forget, lean, numbered, power_of_two, self_cleaning, sized, written
+from lodestone.llm._common import lean, numbered, power_of_two, self_cleaning, sized, written
 from lodestone.llm.wordspans import BREAK, buffer_of, byte_classes, segments, slices, spans_as_array, words_of
 
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words of a shard, and pairs of blocks that are intersected at once.
 SHARD_WORDS = 1 << 22
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 #: Rows of a batch that goes back to Spark.
 BATCH = 200_000
-#: Frequent words or pairs that go to all tasks; more are joined by a shuffle.
+#: Frequent words that go to all tasks by a join; more are joined by a shuffle.
 MOST_SENT = 400_000
+#: Frequent pairs that go to all tasks as numbers, 32 MB at most; of more, the bitmaps are written and joined.
+MOST_PAIRS = 1 << 22
 
 
 class Bitmaps(NamedTuple):
@@ -56,7 +59,7 @@ class Bitmaps(NamedTuple):
 
 def bitmaps(of: np.ndarray, position: np.ndarray) -> Bitmaps:
     """Bitmaps of positions, which come sorted by bitmap, then position."""
-    return merged(of, position >> 3, np.left_shift(1, position & 7).astype(np.uint8))
+    return merged(of.astype(np.int32), (position >> 3).astype(np.int32), np.left_shift(1, position & 7).astype(np.uint8))
 
 
 def merged(of: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Bitmaps:
@@ -65,11 +68,6 @@ def merged(of: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Bitmaps:
     return Bitmaps(of[new], block[new], np.bitwise_or.reduceat(bits, new) if len(new) else bits)
 
 
-def ordered(of: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Bitmaps:
-    order = np.lexsort((block, of))
-    return merged(of[order], block[order], bits[order])
-
-
 def packed(maps: Bitmaps, number: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Of each of so many bitmaps the number of positions, the gaps between its blocks in seven bits a byte, and the blocks' bits."""
     size = np.bincount(maps.of, minlength=number)
@@ -103,30 +101,41 @@ def unpacked(gaps: pa.Array, bits: pa.Array) -> Bitmaps:
     block = np.cumsum(value)
     first = (bit_at[:-1] - bit_at[0])[size > 0]
     block -= np.repeat(block[first] - value[first], size[size > 0])
-    return Bitmaps(np.repeat(np.arange(len(size)), size), block, bit.copy())
+    return Bitmaps(np.repeat(np.arange(len(size), dtype=np.int32), size), block.astype(np.int32), bit.copy())
+
+
+def sorted_by_block(maps: Bitmaps) -> tuple[Bitmaps, np.ndarray]:
+    """The blocks of all bitmaps by number, and where each number begins."""
+    order = np.argsort(maps.block, kind="stable")
+    whole = Bitmaps(*(x[order] for x in maps))
+    last = int(whole.block[-1]) if len(order) else 0
+    return whole, np.searchsorted(whole.block, np.arange(last + 3, dtype=np.int32)).astype(np.int32)
 
 
-def extended(prefix: Bitmaps, by_block: Bitmaps) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bitmaps of prefixes moved on by one position and intersected with all of by_block, which comes sorted by block: prefix, other, block and bits where any bit is left."""
+def extended(prefix: Bitmaps, others: tuple[Bitmaps, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps of prefixes moved on by one position and intersected with all others, sorted by block: prefix, other, block and bits where any bit is left."""
+    by_block, begins = others
     of, block = np.concatenate([prefix.of, prefix.of]), np.concatenate([prefix.block, prefix.block + 1])
     bits = np.concatenate([(prefix.bits << 1).astype(np.uint8), prefix.bits >> 7])
-    low, high = np.searchsorted(by_block.block, block, side="left"), np.searchsorted(by_block.block, block, side="right")
-    size = np.where(bits > 0, high - low, 0)
-    mine = np.repeat(np.arange(len(of)), size)
+    some = np.flatnonzero((bits > 0) & (block < len(begins) - 1))
+    of, block, bits = of[some], block[some], bits[some]
+    low = begins[block]
+    size = begins[block + 1] - low
+    mine = np.repeat(np.arange(len(of), dtype=np.int32), size)
     past = np.cumsum(size)
     other = np.arange(past[-1] if len(past) else 0) - np.repeat(past - size - low, size)
     both = bits[mine] & by_block.bits[other]
     left = np.flatnonzero(both)
-    return of[mine[left]], by_block.of[other[left]], block[mine[left]], both[left]
+    mine = mine[left]
+    return of[mine].astype(np.int64), by_block.of[other[left]].astype(np.int64), block[mine], both[left]
 
 
-def classes_of(prefix: Bitmaps, by_block: Bitmaps) -> Iterator[Bitmaps]:
+def classes_of(prefix: Bitmaps, others: tuple[Bitmaps, np.ndarray]) -> Iterator[Bitmaps]:
     """The prefixes in classes that make about so many intersections."""
-    width = np.searchsorted(by_block.block, prefix.block + 1, side="right") - np.searchsorted(by_block.block, prefix.block, side="left")
-    part = np.cumsum(width) // TOGETHER
-    begins = np.concatenate([[True], prefix.of[1:] != prefix.of[:-1]]) if len(prefix.of) else np.zeros(0, dtype=bool)
-    part = part[np.maximum.accumulate(np.where(begins, np.arange(len(part)), 0))] if len(part) else part
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+    begins = others[1]
+    part = np.cumsum(begins[np.minimum(prefix.block + 2, len(begins) - 1)] - begins[np.minimum(prefix.block, len(begins) - 1)], dtype=np.int64) // TOGETHER
+    first = np.flatnonzero(np.concatenate([[True], prefix.of[1:] != prefix.of[:-1]])) if len(prefix.of) else np.zeros(0, dtype=np.int64)
+    cuts = [0, *first[1:][np.diff(part[first]) > 0], len(part)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if a < b:
             yield Bitmaps(*(x[a:b] for x in prefix))
@@ -134,8 +143,10 @@ def classes_of(prefix: Bitmaps, by_block: Bitmaps) -> Iterator[Bitmaps]:
 
 def named(keys: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, Bitmaps]:
     """Distinct keys, and their bitmaps."""
-    distinct, of = np.unique(keys, return_inverse=True)
-    return distinct, ordered(of, block, bits)
+    order = np.lexsort((block, keys))
+    keys, block, bits = keys[order], block[order], bits[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
+    return keys[new], merged((np.cumsum(new) - 1).astype(np.int32), block, bits)
 
 
 def in_batches(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -155,18 +166,26 @@ def word_bitmaps(docs: DataFrame, text_col: str, lang_col: str, shard_words: int
 
         def shard() -> Iterator[pa.RecordBatch]:
             code = pa.chunked_array(words).dictionary_encode().combine_chunks()
-            key = code.indices.to_numpy().astype(np.int64) * len(known) + np.concatenate(langs)
+            words.clear()
+            small = len(code.dictionary) * len(known) < 1 << 31
+            key = code.indices.to_numpy().astype(np.int32 if small else np.int64) * len(known) + np.concatenate(langs)
             order = np.argsort(key, kind="stable")
             key = key[order]
             new = np.concatenate([[True], key[1:] != key[:-1]])
-            own = key[new]
-            count, gaps, bits = packed(bitmaps(np.cumsum(new) - 1, np.concatenate(places)[order]), len(own))
+            own = key[new].astype(np.int64)
+            place = np.concatenate(places)[order]
+            del key, order
+            langs.clear()
+            places.clear()
+            maps = bitmaps(np.cumsum(new, dtype=np.int32) - 1, place)
+            del new, place
+            count, gaps, bits = packed(maps, len(own))
             lang = pa.array(list(known)).take(pa.array(own % len(known)))
             word = code.dictionary.take(pa.array(own // len(known))).cast(pa.large_string())
             yield from in_batches([pa.array(np.full(len(own), turn)), lang, word, pa.array(count), gaps, bits], names)
 
         for batch in slices(batches, 0):
-            row_lang = np.array([known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()])
+            row_lang = np.array([known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()], dtype=np.int32)
             data, where = buffer_of(batch.column(0))
             for part, starts, _ in segments(data, where, CLASSES, BREAK):
                 found = words_of(part, starts, CLASSES)
@@ -174,13 +193,13 @@ def word_bitmaps(docs: DataFrame, text_col: str, lang_col: str, shard_words: int
                     continue
                 words.append(spans_as_array(found))
                 langs.append(row_lang[found.row])
-                places.append(at + np.cumsum(1 + found.first))
+                places.append((at + np.cumsum(1 + found.first)).astype(np.int32))
                 at = int(places[-1][-1])
                 if at >= shard_words:
                     yield from shard()
                     turn, at = turn + 1, 0
-                    words, langs, places, known = [], [], [], {}
-                    row_lang = np.array([known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()])
+                    known.clear()
+                    row_lang = np.array([known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()], dtype=np.int32)
         if words:
             yield from shard()
 
@@ -216,11 +235,6 @@ def by_shard(rows: DataFrame, task: Callable[[np.ndarray, Bitmaps], Iterator[pa.
     return rows.select("shard", "key", "gaps", "bits").repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(run), schema)
 
 
-def sorted_by_block(maps: Bitmaps) -> Bitmaps:
-    order = np.argsort(maps.block, kind="stable")
-    return Bitmaps(*(x[order] for x in maps))
-
-
 def pairs_in_shard(ids: np.ndarray, maps: Bitmaps) -> Iterator[pa.RecordBatch]:
     """(key, n, gaps, bits) of all pairs of words that stand side by side; a key is the first word's id and the second's in 32 bits each."""
     others = sorted_by_block(maps)
@@ -231,6 +245,29 @@ def pairs_in_shard(ids: np.ndarray, maps: Bitmaps) -> Iterator[pa.RecordBatch]:
         yield from in_batches([pa.array(keys), pa.array(count), gaps, own_bits], ["key", "n", "gaps", "bits"])
 
 
+def pair_counts_in_shard(ids: np.ndarray, maps: Bitmaps) -> Iterator[pa.RecordBatch]:
+    """(key, n) of all pairs of words that stand side by side."""
+    for batch in pairs_in_shard(ids, maps):
+        yield batch.select(["key", "n"])
+
+
+def longer_of_known(known: np.ndarray, ids: np.ndarray, maps: Bitmaps) -> Iterator[pa.RecordBatch]:
+    """longer_in_shard, from the words' bitmaps and the sorted keys of all frequent pairs."""
+    others, keys, parts, n = sorted_by_block(maps), [], [], 0
+    for part in classes_of(maps, others):
+        a, b, block, bits = extended(part, others)
+        pair = ids[a] << 32 | ids[b]
+        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        some = np.flatnonzero(known[at] == pair) if len(known) else np.zeros(0, dtype=np.int64)
+        own, made = named(pair[some], block[some], bits[some])
+        keys.append(own)
+        parts.append(made._replace(of=made.of + np.int32(n)))
+        n += len(own)
+    del others
+    if n:
+        yield from longer_in_shard(np.concatenate(keys), Bitmaps(*(np.concatenate([p[k] for p in parts]) for k in range(3))))
+
+
 def longer_in_shard(pairs: np.ndarray, maps: Bitmaps) -> Iterator[pa.RecordBatch]:
     """(first, rest, n) of phrases of three and four words: the first two words' ids, and the others'."""
     others, second = sorted_by_block(maps), pairs & 0xFFFFFFFF
@@ -261,13 +298,16 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, support: int
     if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
         raise ValueError("ids of frequent words take 31 bits")
     back = single.join(sized(words.select("lang", "word", F.col("id").alias("key")), MOST_SENT), ["lang", "word"])
-    double = written(by_shard(back, pairs_in_shard, "shard long, key long, n long, gaps binary, bits binary"), "pairs")
-    forget(single)
-    pairs = written(double.groupBy("key").agg(F.sum("n").alias("f")).filter(enough), "frequent_pairs")
-    back = double.join(sized(pairs.select("key"), MOST_SENT), "key", "left_semi")
-    longer = by_shard(back, longer_in_shard, "shard long, first long, rest long, n long").groupBy("first", "rest").agg(F.sum("n").alias("f")).filter(enough)
+    counts = by_shard(back, pair_counts_in_shard, "shard long, key long, n long").groupBy("key").agg(F.sum("n").alias("f")).filter(enough)
+    pairs = written(counts, "frequent_pairs")
+    if pairs.count() <= MOST_PAIRS:
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(pairs.select("key").toArrow()["key"].to_numpy()))
+        longer = by_shard(back, lambda ids, maps: longer_of_known(known.value, ids, maps), "shard long, first long, rest long, n long")
+    else:
+        double = written(by_shard(back, pairs_in_shard, "shard long, key long, n long, gaps binary, bits binary"), "pairs")
+        longer = by_shard(double.join(pairs.select("key"), "key", "left_semi"), longer_in_shard, "shard long, first long, rest long, n long")
+    longer = longer.groupBy("first", "rest").agg(F.sum("n").alias("f")).filter(enough)
     phrases = written(pairs.select(F.col("key").alias("first"), F.lit(0).cast("long").alias("rest"), "f").union(longer), "phrases")
-    forget(double)
     return words, phrases, total
 
 

@@ -135,8 +135,9 @@ def prose(n, seed):
     return [("".join(rng.choice(words) + rng.choice(gaps) for _ in range(int(rng.integers(0, 80)))), [None, "en", "und", "fr"][k % 4]) for k in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 50}, {"top": 7}, {"top": None}, {"support": 3, "absorb_percent": 50}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 50}, {"shard_words": 70, "most_pairs": 0}, {"top": 7}, {"top": None}, {"support": 3, "absorb_percent": 50}])
 def test_phrases(docs_of, monkeypatch, options):
+    monkeypatch.setattr(phrases, "MOST_PAIRS", (options := dict(options)).pop("most_pairs", phrases.MOST_PAIRS))
     rows = [*prose(120, 5), (None, "en"), ("", "fr"), ("a b c a b c " * 20, "es"), ("w" * 9000, None), ("same words here " * 4, "de"), *[("same words here", "de")] * 40]
     expect = {"shard_words": 0, **options}
     expect.pop("shard_words")
@@ -162,9 +163,9 @@ def test_bitmaps_pack_and_extend(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(maps, back, strict=True))
     monkeypatch.setattr(phrases, "TOGETHER", 500)
     got = Counter()
-    by_block = sorted_by_block(maps)
-    for part in phrases.classes_of(maps, by_block):
-        a, b, block, own = extended(part, by_block)
+    others = sorted_by_block(maps)
+    for part in phrases.classes_of(maps, others):
+        a, b, block, own = extended(part, others)
         for x, y, n in zip(a.tolist(), b.tolist(), np.bitwise_count(own).tolist(), strict=True):
             got[x, y] += n
     assert got == Counter((x, y) for x, y, d in zip(word[:-1].tolist(), word[1:].tolist(), np.diff(place).tolist(), strict=True) if d == 1)
