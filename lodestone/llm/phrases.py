@@ -39,7 +39,7 @@ from lodestone.llm.wordspans import BREAK, buffer_of, byte_classes, segments, sl
 
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words of a shard, and pairs of blocks that are intersected at once.
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
 TOGETHER = 1 << 20
 #: Rows of a batch that goes back to Spark.
 BATCH = 200_000
