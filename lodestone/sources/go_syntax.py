@@ -1,4 +1,4 @@
-"""Go sources as a table of tokens, and the declarations that follow from it.
+"""Go sources as tokens, and the declarations that follow from them.
 
 One alternation cuts a whole file into comments, literals, names, operators and
 blanks, so that a mark inside a comment or a literal is none. Lines, offsets and
@@ -7,24 +7,36 @@ literal or a closing bracket ends its statement, as the language says. What stan
 at which depth of which statement then tells imports, functions, methods, types and
 values, however the source is laid out.
 
+Tokens never leave the task that reads their file: the sums are taken over the arrays
+of many files at once, and a row is a specification with the tokens that declare it.
+
 Files are rows (path, content). A file that does not begin with its package, ends
 inside a comment or literal, or leaves a bracket open or closes one too many has
 the status failed and gives no rows beyond that. A null content is an empty file,
-and failed. Files of one path are read as one, which callers should rule out.
+and failed. Files of one path are read each by itself; callers should rule them out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import directory
 
-#: Comments, raw and quoted strings, runes, numbers, names, operators, line ends, blanks; possessive, so nothing is tried twice.
-TOKEN = "|".join((
-    r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)", r"`[^`]*+`", r'"(?:[^"\\\n]|\\.)*+"', r"'(?:[^'\\\n]|\\.)++'",
-    r"\.?[0-9](?:[eEpP][+-]|[0-9A-Za-z_.])*+", r"[\p{L}_][\p{L}\p{Nd}_]*+", r"\+\+|--|\.\.\.|:=|[=!<>]=|<-", r"\n", r"[^\S\n]++", r"(?s:.)",
-))
+#: Characters that count as alphanumeric to a regular expression and are neither letters nor decimal digits.
+_ODD = "".join(f"\\U{c:08x}" for c in range(0x80, 0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())
+#: Names (ASCII ones first, for speed), blanks before a token, comments, raw and quoted strings, runes, numbers, operators, line ends; possessive, so nothing is tried twice.
+TOKEN = re.compile(r"[ \t\r\f\v]*+(?:" + "|".join((
+    r"[A-Za-z_][A-Za-z0-9_]*+(?![^\x00-\x7f])", rf"[^\W\d{_ODD}][^\W{_ODD}]*+", r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\Z)", r"`[^`]*+`", r'"(?:[^"\\\n]|\\[^\n\r\x85\u2028\u2029])*+"', r"'(?:[^'\\\n]|\\[^\n\r\x85\u2028\u2029])++'",
+    r"\.?[0-9](?:[eEpP][+-]|[0-9A-Za-z_.])*+", r"\+\+|--|\.\.\.|:=|[=!<>]=|<-", r"(?s:.)", r"\Z",
+)) + ")")
 #: Words that end a statement at a line's end; other keywords do not.
 ENDING = ("break", "continue", "fallthrough", "return")
 #: The language's keywords: fixed values.
@@ -34,116 +46,258 @@ KEYWORDS = (
 )
 
 
-def _kind(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    kind = F.when(token == "\n", "line").when(F.trim(F.translate(token, "\t\r\f\x0b", "")) == "", "blank")
-    kind = kind.when(token.startswith("/*") & ~(token.endswith("*/") & (F.length(token) > 3)), "open")
-    kind = kind.when(token.startswith("//") | token.startswith("/*"), "comment")
-    kind = kind.when((first.isin('"', "`", "'")) & (F.length(token) > 1), "literal").when(first.isin('"', "`", "'"), "open")
-    kind = kind.when(token.rlike(r"^\.?[0-9]"), "literal").when(token.isin(*KEYWORDS), "keyword").when(token.rlike(r"^[\p{L}_]"), "name")
-    return kind.otherwise("mark")
+#: What a token can be. open is a quote or comment that is never closed, end the end of a statement.
+KINDS = ("line", "blank", "open", "comment", "literal", "keyword", "name", "mark", "end")
+LINE, BLANK, OPEN, COMMENT, LITERAL, KEYWORD, NAME, MARK, END = range(len(KINDS))
+#: Bytes of files that are placed at once, and at least one file; a task holds about 150 bytes for each.
+PLACED = 1 << 20
+FILE = "path string, package string, status string"
+SPECIFICATION = "path string, package string, word string, line long, offset long, tokens array<struct<line long, offset long, token string, kind string, level int>>"
+
+
+def _kinds(words: pa.Array) -> np.ndarray:
+    """The kind of each of some distinct tokens."""
+    test = lambda pattern: pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+    long = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    starred, quoted = test(r"^/\*"), test("^[\"`']")
+    choice = [
+        (test(r"^\n\z"), LINE), (test(r"^[ \t\r\f\v]*\z"), BLANK), (starred & ~(test(r"\*/\z") & (long > 3)), OPEN), (starred | test("^//"), COMMENT), (quoted & (long > 1), LITERAL), (quoted, OPEN),
+        (test(r"^\.?[0-9]"), LITERAL), (pc.is_in(words, pa.array(KEYWORDS)).to_numpy(zero_copy_only=False), KEYWORD), (test(r"^[\p{L}_]"), NAME),
+    ]
+    return np.select([x for x, _ in choice], [k for _, k in choice], MARK).astype(np.int8)
+
+
+def _before(x: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of x over what stands before each place in its run; runs begin at begins and have sizes."""
+    total = np.cumsum(x, dtype=np.int64) - x
+    return total - np.repeat(total[begins], sizes)
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and their sizes."""
+    n = len(keys[0])
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    begins = np.flatnonzero(new)
+    return begins, np.diff(np.append(begins, n))
 
 
-def go_tokens(files: DataFrame) -> DataFrame:
-    """(path, at, line, offset, token, kind, depth, statement): the tokens that count, with the statement ends that line ends stand for.
+def _placed(texts: list[str]) -> dict[str, np.ndarray | pa.Array]:
+    """The tokens that count, of some files' texts: file, word (its number in names), line, offset, kind and depth (brackets open before it), and statement (those ended outside all brackets before it).
 
-    offset is in bytes, depth the number of brackets open before the token,
-    statement the number of statements ended outside all brackets before it.
-    Kinds are name, keyword, literal, mark, end, and open for a quote or comment that is never closed.
+    Statement ends stand where line ends do that are such.
     """
-    each = files.select("path", F.posexplode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("at", "token"))
-    each = each.withColumn("kind", _kind(F.col("token")))
-    order = Window.partitionBy("path").orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
-    lines = F.length("token") - F.length(F.replace("token", F.lit("\n")))
-    placed = each.withColumns({"line": total(lines) + 1, "offset": total(F.octet_length("token")), "_lines": lines})
+    found = [TOKEN.findall(x) for x in texts]
+    counts = np.array([len(x) for x in found], dtype=np.int64)
+    coded = pa.array(chain.from_iterable(found), pa.string(), size=int(counts.sum())).dictionary_encode()
+    bare = pc.ascii_ltrim(coded.dictionary, characters=" \t\r\f\v")
+    ahead = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) - pc.binary_length(bare).to_numpy(zero_copy_only=False)
+    again, raw = bare.dictionary_encode(), coded.indices.to_numpy()
+    names, word, ahead = again.dictionary, again.indices.to_numpy()[raw], ahead[raw]
+    extra = pc.index_in(pa.array([";"]), names).to_pylist()[0]
+    if extra is None:
+        names, extra = pa.concat_arrays([names, pa.array([";"], names.type)]), len(names)
+    kinds = _kinds(names)
+    lines, octets = pc.count_substring(names, "\n").to_numpy(zero_copy_only=False), pc.binary_length(names).to_numpy(zero_copy_only=False)
+    file = np.repeat(np.arange(len(counts)), counts)
+    begins = (np.cumsum(counts) - counts)[counts > 0]
+    sizes = counts[counts > 0]
+    line, offset, kind = _before(lines[word], begins, sizes) + 1, _before(octets[word] + ahead, begins, sizes) + ahead, kinds[word]
     # A comment over several lines ends a line too.
-    kept = placed.filter((F.col("kind") != "blank") & ((F.col("kind") != "comment") | (F.col("_lines") > 0)))
-    ends = F.col("kind").isin("line", "comment")
-    last, last_kind = F.lag("token").over(order), F.lag("kind").over(order)
-    ender = last_kind.isin("name", "literal") | last.isin(")", "]", "}", "++", "--", *ENDING)
-    kept = kept.withColumn("_stop", F.when(ends, F.coalesce(ender, F.lit(False)) & ~last_kind.isin("line", "comment")))
-    kept = kept.filter("_stop OR _stop IS NULL").withColumns({"token": F.when(F.col("_stop"), ";").otherwise(F.col("token")), "kind": F.when(F.col("_stop") | (F.col("token") == ";"), "end").otherwise(F.col("kind"))})
-    mark = F.col("kind") == "mark"
-    change = F.when(mark & F.col("token").isin("(", "[", "{"), 1).when(mark & F.col("token").isin(")", "]", "}"), -1).otherwise(0)
-    deep = kept.withColumn("depth", total(change))
-    return deep.withColumn("statement", total(F.when((F.col("kind") == "end") & (F.col("depth") == 0), 1).otherwise(0))).drop("_lines", "_stop")
-
-
-def go_files(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    keep = np.flatnonzero((kind != BLANK) & ((kind != COMMENT) | (lines[word] > 0)))
+    ending = pc.is_in(names, pa.array([")", "]", "}", "++", "--", *ENDING])).to_numpy(zero_copy_only=False) | (kinds == NAME) | (kinds == LITERAL)
+    file, word, line, offset, kind = file[keep], word[keep], line[keep], offset[keep], kind[keep]
+    ends = (kind == LINE) | (kind == COMMENT)
+    stop = np.zeros(len(word), dtype=bool)
+    stop[1:] = ends[1:] & ending[word[:-1]] & (file[1:] == file[:-1])
+    keep = np.flatnonzero(stop | ~ends)
+    file, line, offset = file[keep], line[keep], offset[keep]
+    word = np.where(stop[keep], extra, word[keep])
+    kind = np.where(word == extra, END, kind[keep])
+    if len(word):
+        begins, sizes = _runs(file)
+        change = pc.is_in(names, pa.array(["(", "[", "{"])).to_numpy(zero_copy_only=False).astype(np.int8) - pc.is_in(names, pa.array([")", "]", "}"])).to_numpy(zero_copy_only=False)
+        after = change[word]
+        depth = _before(after, begins, sizes)
+        statement = _before((kind == END) & (depth == 0), begins, sizes)
+    else:
+        after = depth = statement = np.zeros(0, dtype=np.int64)
+    return {"names": names, "file": file, "word": word, "line": line, "offset": offset, "kind": kind, "depth": depth, "after": depth + after, "statement": statement}
+
+
+def _parsed(t: dict, files: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which files are parsed, and the number of each one's package name among the names, -1 for none."""
+    good, package = np.zeros(files, dtype=bool), np.full(files, -1)
+    if not len(t["file"]):
+        return good, package
+    begins, _ = _runs(t["file"])
+    at = t["file"][begins]
+    said = np.flatnonzero((t["kind"] == NAME) | (t["kind"] == END))
+    second, where = np.unique(t["file"][said], return_index=True)
+    named = t["kind"][said[where]] == NAME
+    package[second[named]] = t["word"][said[where]][named]
+    first = pc.equal(t["names"], "package").to_numpy(zero_copy_only=False)[t["word"][begins]]
+    least, left = np.minimum.reduceat(t["after"], begins), t["after"][np.append(begins[1:], len(t["file"])) - 1]
+    good[at] = first & (least >= 0) & (left == 0) & ~np.logical_or.reduceat(t["kind"] == OPEN, begins) & (package[at] >= 0)
+    return good, np.where(good, package, -1)
+
+
+def _declared(t: dict, good: np.ndarray) -> dict[str, np.ndarray]:
+    """Places of the tokens that declare something in parsed files, with spec, the place where the specification's statement begins, word and level."""
+    names, at = t["names"], np.flatnonzero(good[t["file"]])
+    if not len(at):
+        return {k: np.zeros(0, dtype=np.int64) for k in ("at", "spec", "begin", "word", "level")}
+    is_in = lambda *x: pc.is_in(names, pa.array(x)).to_numpy(zero_copy_only=False)
+    begins, sizes = _runs(t["file"][at], t["statement"][at])
+    word, second = t["word"][at[begins]], t["word"][at[np.minimum(begins + 1, len(at) - 1)]]
+    base = np.repeat((is_in("(")[second] & (sizes > 1) & ~is_in("func")[word]).astype(np.int64), sizes)
+    begin, rank, word = np.repeat(at[begins], sizes), np.arange(len(at)) - np.repeat(begins, sizes), np.repeat(word, sizes)
+    depth, kind, mark = t["depth"][at], t["kind"][at], t["word"][at]
+    spec = _before((kind == END) & (depth == base), begins, sizes)
+    closing = (base == 1) & (depth <= 1) & is_in(")")[mark] & (kind == MARK)
+    keep = np.flatnonzero(is_in("import", "func", "const", "var", "type")[word] & (rank > base) & ~((kind == END) & (depth <= base)) & ~closing)
+    if not len(keep):
+        return _declared(t, np.zeros_like(good))
+    at, begin, word, level, kind, mark, spec = at[keep], begin[keep], word[keep], (depth - base)[keep], kind[keep], mark[keep], spec[keep]
+    begins, sizes = _runs(begin, spec)
+    rank, flat = np.arange(len(at)) - np.repeat(begins, sizes), level == 0
+    # Of an import its first two tokens, of values the names, of a function what is outside brackets and a method's receiver.
+    stops = ~flat | np.where(rank % 2 == 0, kind != NAME, ~is_in(",")[mark])
+    opens = flat & is_in("(")[mark]
+    receives = np.repeat(opens[begins], sizes) & (_before(opens, begins, sizes) == 1)
+    value = is_in("const", "var")[word] & (rank % 2 == 0) & ~stops & (_before(stops, begins, sizes) == 0)
+    keep = np.flatnonzero(value | is_in("type")[word] | (is_in("import")[word] & (rank < 2)) | (is_in("func")[word] & (flat | receives)))
+    return {"at": at[keep], "spec": np.repeat(np.arange(len(begins)), sizes)[keep], "begin": begin[keep], "word": word[keep], "level": level[keep]}
+
+
+def _read(files: DataFrame, schema: str, make: Callable[[pa.Array, dict], pa.RecordBatch]) -> DataFrame:
+    """Rows that make gives for the paths and the placed tokens of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents = batch.column(0), batch.column(1)
+            ends = np.cumsum(pc.binary_length(contents).fill_null(0).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < len(paths):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PLACED, "right")))
+                texts = [(x or b"").decode("utf-8", "replace") for x in contents.slice(low, high - low).to_pylist()]
+                yield make(paths.slice(low, high - low), _placed(texts))
+                low = high
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
+
+
+def go_files(files: DataFrame) -> DataFrame:
     """(path, package, status) of each file; status is parsed or failed, package null where it failed."""
-    tokens = go_tokens(files) if tokens is None else tokens
-    mark = F.col("kind") == "mark"
-    closing = mark & F.col("token").isin(")", "]", "}")
-    after = F.col("depth") + F.when(closing, -1).when(mark & F.col("token").isin("(", "[", "{"), 1).otherwise(0)
-    found = tokens.groupBy("path").agg(
-        F.min(F.struct("at", "token")).alias("first"), F.min(F.when(F.col("kind").isin("name", "end"), F.struct("at", "token", "kind"))).alias("second"),
-        F.min(after).alias("least"), F.max(F.struct("at", after.alias("depth"))).alias("last"), F.max((F.col("kind") == "open").cast("int")).alias("open"),
-    )
-    good = (F.col("first.token") == "package") & (F.col("second.kind") == "name") & (F.col("least") >= 0) & (F.col("last.depth") == 0) & (F.col("open") == 0)
-    met = files.select("path").distinct().join(found.select("path", F.col("second.token").alias("package"), good.alias("good")), "path", "left")
-    good = F.coalesce("good", F.lit(False))
-    return met.select("path", F.when(good, F.col("package")).alias("package"), F.when(good, "parsed").otherwise("failed").alias("status"))
+
+    def make(paths: pa.Array, t: dict) -> pa.RecordBatch:
+        good, package = _parsed(t, len(paths))
+        return pa.record_batch([paths, t["names"].take(pa.array(package, mask=package < 0)), pa.array(np.where(good, "parsed", "failed"))], ["path", "package", "status"])
+
+    return _read(files, FILE, make)
 
 
 def go_specifications(files: DataFrame) -> DataFrame:
-    """go_tokens of parsed files' top-level declarations, with word (import, func, const, var or type), begin (where that stands), spec (its number in the declaration) and rank in it.
+    """(path, package, word, line, offset, tokens) of the specifications in parsed files' top-level declarations; word is import, func, const, var or type, and stands at line and offset.
 
-    The declaring word and the brackets of a group are left out. base is the
-    depth of the specification's own tokens, level that of the token above it.
+    offset is in bytes. The declaring word, the brackets of a group and what declares
+    nothing are left out: bodies and parameters of functions, and types and values of
+    constants and variables. Tokens are in order and have line, offset, token, kind (name,
+    keyword, literal, mark or end) and level, the number of brackets that are open before it within the specification.
     """
-    tokens = go_tokens(files)
-    one = Window.partitionBy("path", "statement").orderBy("at")
-    past = one.rowsBetween(Window.unboundedPreceding, -1)
-    first, second = (F.nth_value(F.col("token"), k).over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k in (1, 2))
-    rows = tokens.join(go_files(files, tokens).filter("status = 'parsed'").select("path"), "path", "left_semi")
-    begin = F.first(F.struct("line", "offset")).over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumns({"word": first, "begin": begin, "base": F.when((second == "(") & (first != "func"), 1).otherwise(0), "_rank": F.row_number().over(one)})
-    rows = rows.filter(F.col("word").isin("import", "func", "const", "var", "type"))
-    ends = (F.col("kind") == "end") & (F.col("depth") == F.col("base"))
-    rows = rows.withColumn("spec", F.coalesce(F.sum(ends.cast("int")).over(past), F.lit(0)))
-    rows = rows.filter((F.col("_rank") > 1 + F.col("base")) & ~((F.col("kind") == "end") & (F.col("depth") <= F.col("base"))) & ((F.col("base") == 0) | (F.col("depth") > 1) | (F.col("token") != ")") | (F.col("kind") != "mark")))
-    spec = Window.partitionBy("path", "statement", "spec").orderBy("at")
-    return rows.withColumns({"rank": F.row_number().over(spec), "level": F.col("depth") - F.col("base")}).drop("_rank")
+
+    def make(paths: pa.Array, t: dict) -> pa.RecordBatch:
+        good, package = _parsed(t, len(paths))
+        d = _declared(t, good)
+        at, names = d["at"], t["names"]
+        begins, _ = _runs(d["spec"]) if len(at) else (np.zeros(0, dtype=np.int64), None)
+        file, begin = t["file"][at[begins]], d["begin"][begins]
+        token = pa.StructArray.from_arrays(
+            [pa.array(t["line"][at]), pa.array(t["offset"][at]), names.take(pa.array(t["word"][at])), pa.array(KINDS, pa.string()).take(pa.array(t["kind"][at])), pa.array(d["level"].astype(np.int32))], ["line", "offset", "token", "kind", "level"]
+        )
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)).astype(np.int32)), token)
+        columns = [paths.take(pa.array(file)), names.take(pa.array(package[file])), names.take(pa.array(d["word"][begins])), pa.array(t["line"][begin]), pa.array(t["offset"][begin]), tokens]
+        return pa.record_batch(columns, ["path", "package", "word", "line", "offset", "tokens"])
+
+    return _read(files, SPECIFICATION, make)
+
+
+def _token(k: int, field: str = "token", of: Column | str = "tokens") -> Column:
+    """A field of a specification's kth token, from 1, null where there is none."""
+    return F.get(of, F.lit(k - 1))[field]
+
+
+def _flat(x: Column) -> Column:
+    return x["level"] == 0
 
 
 def go_imports(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     """(path, line, offset, import_path, alias, alias_kind) of Go files (path, content); alias_kind is default, named, blank or dot."""
-    specs = (go_specifications(files) if specs is None else specs).filter("word = 'import'")
-    of = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
-    one = specs.groupBy("path", "statement", "spec").agg(of(1, "line").alias("line"), of(1, "offset").alias("offset"), *(of(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("token", "kind")))
-    bare = F.col("kind1") == "literal"
-    text = F.when(bare, F.col("token1")).otherwise(F.col("token2"))
-    alias = F.when(bare, "").otherwise(F.col("token1"))
+    one = (go_specifications(files) if specs is None else specs).filter("word = 'import'")
+    bare = _token(1, "kind") == "literal"
+    text = F.when(bare, _token(1)).otherwise(_token(2))
+    alias = F.when(bare, "").otherwise(_token(1))
     kind = F.when(alias == "", "default").when(alias == "_", "blank").when(alias == ".", "dot").otherwise("named")
-    return one.filter(text.rlike(r'^["`].')).select("path", "line", "offset", F.substring(text, F.lit(2), F.length(text) - 2).alias("import_path"), alias.alias("alias"), kind.alias("alias_kind"))
+    said = one.select("path", _token(1, "line").alias("line"), _token(1, "offset").alias("offset"), text.alias("text"), alias.alias("alias"), kind.alias("alias_kind")).filter(F.col("text").rlike(r'^["`].'))
+    return said.select("path", "line", "offset", F.expr("substring(text, 2, length(text) - 2)").alias("import_path"), "alias", "alias_kind")
+
+
+def receiver_type(tokens: Column) -> Column:
+    """The type of a method's receiver, given as the tokens between its brackets, joined by blanks."""
+    at = lambda k: F.get(tokens, F.lit(k))
+    is_name = lambda x: x.rlike(r"^[\p{L}_]")
+    named = is_name(at(0)) & (is_name(at(1)) | at(1).isin("*", "("))
+    kind = F.array_join(F.when(F.coalesce(named, F.lit(False)), F.slice(tokens, F.lit(2), F.size(tokens))).otherwise(tokens), " ")
+    return F.regexp_replace(kind, " ?,$", "")
 
 
-def receiver(tokens: Column) -> dict[str, Column]:
-    """receiver_base, pointer and generic of a method's receiver, given as the tokens between its brackets.
+def receiver(kind: Column) -> dict[str, Column]:
+    """receiver_base, pointer and generic of a receiver's type.
 
     The base is empty where the receiver is no name behind stars and brackets.
     """
-    at = lambda k: F.get(tokens, F.lit(k))
-    is_name = lambda x: x.rlike(r"^[\p{L}_]")
-    tokens = F.when(F.element_at(tokens, -1) == ",", F.slice(tokens, F.lit(1), F.size(tokens) - 1)).otherwise(tokens)
-    named = F.size(tokens).between(2, 1 << 30) & is_name(at(0)) & (is_name(at(1)) | at(1).isin("*", "("))
-    kind = F.array_join(F.when(named, F.slice(tokens, F.lit(2), F.size(tokens))).otherwise(tokens), " ")
     shape = r"^((?:[*(] )*)([\p{L}_][\p{L}\p{Nd}_]*+)((?: \))* \[.*\])?(?: \))*$"
     return {"receiver_base": F.regexp_extract(kind, shape, 2), "pointer": F.regexp_extract(kind, r"^((?:[*(] ?)*)", 1).contains("*"), "generic": F.regexp_extract(kind, shape, 3) != ""}
 
 
-def _with_parameters(specs: DataFrame) -> DataFrame:
-    """Specifications of types with own: is a token part of the type, and not its name or the list of its parameters?"""
-    one = Window.partitionBy("path", "statement", "spec").orderBy("at")
-    past, whole = one.rowsBetween(Window.unboundedPreceding, -1), one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = lambda k, c="token": F.nth_value(F.col(c), k).over(whole)
+def _own() -> Column:
+    """The tokens of a type specification that are part of the type, and not its name or the list of its parameters."""
+    at = _token
     # What follows the name in brackets is an array's length rather than a list of parameters if it is empty, one name, a number or a sum.
     length = at(4).isin("]") | (at(3) == "]") | at(3, "kind").isin("literal") | (at(3) == "...") | (at(4).rlike(r"^[-+/%<>&|^]") | ((at(4) == "*") & (at(5, "kind") == "literal")))
     listed = F.coalesce((at(2) == "[") & ~F.coalesce(length, F.lit(False)), F.lit(False))
-    closed = F.coalesce(F.sum(((F.col("level") == 1) & (F.col("token") == "]")).cast("int")).over(past), F.lit(0))
-    return specs.withColumns({"_listed": listed, "_closed": closed}).withColumn("own", (F.col("rank") > 1) & (~F.col("_listed") | (F.col("_closed") >= 1))).drop("_listed", "_closed")
+    closed = F.array_position(F.transform("tokens", lambda x: (x["level"] == 1) & (x["token"] == "]")), F.lit(True)).cast("int")
+    whole, many = F.col("tokens"), F.size("tokens")
+    after = F.when(closed > 0, F.slice(whole, closed + 1, many)).otherwise(F.slice(whole, 1, 0))
+    return F.when(listed, after).otherwise(F.slice(whole, 2, many))
+
+
+def _expression(own: Column) -> Column:
+    """Tokens joined by blanks, without an alias's mark."""
+    return F.array_join(F.transform(F.filter(own, lambda x: ~(_flat(x) & (x["token"] == "="))), lambda x: x["token"]), " ")
+
+
+def _is_alias() -> Column:
+    return F.exists("tokens", lambda x: _flat(x) & (x["token"] == "="))
+
+
+_SYMBOL = "array<struct<line: bigint, offset: bigint, kind: string, name: string, receiver_base: string, pointer: boolean, generic: boolean>>"
+
+
+def _symbols(kind_of_type: Column) -> Column:
+    """The symbols that a specification declares, as an array; a type is one if kind_of_type is not null."""
+    plain = (F.lit(""), F.lit(False), F.lit(False))
+    symbol = lambda line, offset, kind, name, of=plain: F.struct(line.alias("line"), offset.alias("offset"), kind.alias("kind"), name.alias("name"), *(v.alias(k) for k, v in zip(("receiver_base", "pointer", "generic"), of, strict=True)))
+    name = F.get(F.filter("tokens", lambda x: _flat(x) & (x["kind"] == "name")), F.lit(0))["token"]
+    inside = F.filter("tokens", lambda x: (x["level"] > 0) & ~((x["level"] == 1) & (x["token"] == ")")))
+    kind = F.array(receiver_type(F.transform(inside, lambda x: x["token"])))
+    methods = F.transform(kind, lambda k: symbol(F.col("line"), F.col("offset"), F.lit("method"), name, tuple(receiver(k).values())))
+    func = F.when(_token(1) == "(", methods).otherwise(F.array(symbol(F.col("line"), F.col("offset"), F.lit("function"), name)))
+    first = F.get("tokens", F.lit(0))
+    values = F.transform("tokens", lambda x: symbol(x["line"], x["offset"], F.when(F.col("word") == "const", "constant").otherwise("variable"), x["token"]))
+    types = F.when(kind_of_type.isNotNull(), F.array(symbol(first["line"], first["offset"], kind_of_type, first["token"])))
+    found = F.when(F.col("word") == "func", F.when(name.isNotNull(), func)).when(F.col("word") == "type", types)
+    return found.when(F.col("word").isin("const", "var"), values).cast(_SYMBOL)
 
 
 def go_symbols(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
@@ -154,45 +308,15 @@ def go_symbols(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     of other kinds are no symbols.
     """
     specs = go_specifications(files) if specs is None else specs
-    one = Window.partitionBy("path", "statement", "spec").orderBy("at")
-    past, whole = one.rowsBetween(Window.unboundedPreceding, -1), one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    none = {"receiver_base": F.lit(""), "pointer": F.lit(False), "generic": F.lit(False)}
-    out = lambda rows, kind, of=none: rows.select("path", "line", "offset", kind.alias("kind"), F.col("token").alias("name"), *(v.alias(k) for k, v in of.items()))
-    flat = F.col("level") == 0
-
-    func = specs.filter("word = 'func'").withColumn("group", F.coalesce(F.sum((flat & (F.col("token") == "(")).cast("int")).over(past), F.lit(0)))
-    is_method = F.first("token").over(whole) == "("
-    inside = F.when((F.col("group") == 1) & (F.col("level") > 0) & ~((F.col("level") == 1) & (F.col("token") == ")")), F.struct("at", "token"))
-    names = flat & (F.col("kind") == "name")
-    func = func.withColumns({"method": is_method, "nth": F.sum(names.cast("int")).over(one)}).filter(names & (F.col("nth") == 1) | (F.col("method") & inside.isNotNull()))
-    held = func.withColumn("held", F.when(F.col("method"), inside)).groupBy("path", "statement").agg(
-        F.max("method").alias("method"), F.min(F.when(names & (F.col("nth") == 1), F.struct("at", "token", "begin"))).alias("x"), F.array_sort(F.collect_list("held")).alias("own"),
-    ).filter("x IS NOT NULL").select("path", "method", "x.token", "x.begin.line", "x.begin.offset", F.transform("own", lambda x: x["token"]).alias("own"))
-    found = out(held.filter("NOT method"), F.lit("function")).union(out(held.filter("method"), F.lit("method"), receiver(F.col("own"))))
-
-    typed = _with_parameters(specs.filter("word = 'type'"))
-    own = flat & F.col("own") & (F.col("token") != "=")
-    kind = F.min(F.when(own, F.struct("at", "token"))).over(whole)["token"]
-    typed = typed.withColumn("shape", kind).filter((F.col("rank") == 1) & F.col("shape").isin("struct", "interface"))
-    found = found.union(out(typed, F.col("shape")))
-
-    values = specs.filter("word IN ('const', 'var')")
-    odd = F.col("rank") % 2 == 1
-    breaks = ~flat | F.when(odd, F.col("kind") != "name").otherwise(F.col("token") != ",")
-    values = values.withColumn("_stop", F.min(F.when(breaks, F.col("rank"))).over(whole)).filter(odd & (F.col("kind") == "name") & (F.col("rank") < F.coalesce("_stop", F.lit(1 << 30))))
-    return found.union(out(values, F.when(F.col("word") == "const", "constant").otherwise("variable")))
+    shape = F.get(F.filter(_own(), lambda x: _flat(x) & (x["token"] != "=")), F.lit(0))["token"]
+    each = specs.filter("word <> 'import'").withColumn("shape", F.when(F.col("word") == "type", shape))
+    return each.select("path", F.inline(_symbols(F.when(F.col("shape").isin("struct", "interface"), F.col("shape")))))
 
 
 def go_types(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     """(path, line, offset, name, alias, expression) of top-level types; the expression is its tokens joined by blanks, without type parameters."""
-    rows = _with_parameters((go_specifications(files) if specs is None else specs).filter("word = 'type'"))
-    first = F.col("rank") == 1
-    mark = (F.col("level") == 0) & (F.col("token") == "=")
-    one = rows.groupBy("path", "statement", "spec").agg(
-        F.max(F.when(first, F.struct("line", "offset", "token"))).alias("x"), F.max(mark).alias("alias"),
-        F.array_sort(F.collect_list(F.when(F.col("own") & ~mark, F.struct("at", "token")))).alias("own"),
-    )
-    return one.select("path", "x.line", "x.offset", F.col("x.token").alias("name"), "alias", F.array_join(F.transform("own", lambda x: x["token"]), " ").alias("expression"))
+    rows = (go_specifications(files) if specs is None else specs).filter("word = 'type'")
+    return rows.select("path", _token(1, "line").alias("line"), _token(1, "offset").alias("offset"), _token(1).alias("name"), _is_alias().alias("alias"), _expression(_own()).alias("expression"))
 
 
 def go_declarations(files: DataFrame, specs: DataFrame | None = None) -> DataFrame:
@@ -203,14 +327,17 @@ def go_declarations(files: DataFrame, specs: DataFrame | None = None) -> DataFra
     file's, file:path.
     """
     specs = go_specifications(files) if specs is None else specs
+    is_type = F.col("word") == "type"
+    each = specs.filter("word <> 'import'").withColumns({"expression": F.when(is_type, _expression(_own())), "alias": F.when(is_type, _is_alias())})
     first = F.col("expression")
     shape = F.when(first.rlike(r"^struct\b"), "struct").when(first.rlike(r"^interface\b"), "interface")
-    types = go_types(files, specs).select("path", "line", "offset", F.when(F.col("alias"), "type_alias").otherwise(F.coalesce(shape, F.lit("defined_type"))).alias("kind"), shape.alias("syntax"), "name")
-    others = go_symbols(files, specs).filter("kind NOT IN ('struct', 'interface')").select("path", "line", "offset", "kind", F.col("kind").alias("syntax"), "name")
-    packages = go_files(files).select("path", "package")
+    kind = F.when(F.col("alias"), "type_alias").otherwise(F.coalesce(shape, F.lit("defined_type")))
+    found = each.select("path", "package", F.when(is_type, kind).alias("kind_of_type"), shape.alias("shape"), "word", "line", "offset", "tokens")
+    found = found.select("path", "package", F.col("kind_of_type").alias("_kind"), F.col("shape"), F.inline(_symbols(F.col("kind_of_type"))))
+    syntax = F.when(F.col("_kind").isNotNull(), F.col("shape")).otherwise(F.col("kind"))
     own = (F.col("kind") == "method") | ((F.col("kind") == "function") & (F.col("name") == "init"))
     scope = F.when(own, F.concat(F.lit("file:"), "path")).otherwise(F.concat_ws(":", F.lit("package"), directory(F.col("path")), F.col("package")))
-    return types.union(others).join(packages, "path").select("path", "line", "offset", "kind", "syntax", "name", scope.alias("scope"))
+    return found.select("path", "line", "offset", "kind", syntax.alias("syntax"), "name", scope.alias("scope"))
 
 
 def reconciled(declarations: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -165,6 +165,21 @@ def test_long_tokens(spark):
     assert sorted((r.line, r.name) for r in go_syntax.go_symbols(spark.createDataFrame([("a.go", text)], "path string, content string")).collect()) == [(3, "a"), (50_004, "b")]
 
 
+def test_tokens_stay_in_their_task(spark):
+    """Each reading of files is one pass without a shuffle, and odd letters, blanks and receivers are what the language says."""
+    text = "package x\nvar \u00e9t\u00e9, \u4e00\u0663 = 1, 2\n\tvar a\u00b2 int\r\nfunc () none() {}\nfunc (t *T,) last() {}\nfunc (x) (y) { f() }\ntype ()\n"
+    files = spark.createDataFrame([("a.go", text), ("b.go", "package b"), ("c.go", "package c; var z int")], "path string, content string")
+    for read in (go_syntax.go_files, go_syntax.go_imports, go_syntax.go_symbols, go_syntax.go_types, go_syntax.go_declarations):
+        plan = read(files)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    got = sorted((r.path, r.line, r.offset, r.kind, r.name, r.receiver_base, r.pointer) for r in go_syntax.go_symbols(files).collect())
+    data = text.encode()
+    assert got == [
+        ("a.go", 2, data.index("\u00e9t".encode()), "variable", "\u00e9t\u00e9", "", False), ("a.go", 2, data.index("\u4e00".encode()), "variable", "\u4e00\u0663", "", False), ("a.go", 3, data.index(b"a\xc2\xb2"), "variable", "a", "", False),
+        ("a.go", 4, data.index(b"func ()"), "method", "none", "", False), ("a.go", 5, data.index(b"func (t"), "method", "last", "T", True), ("c.go", 1, 15, "variable", "z", "", False),
+    ]
+
+
 def test_refs_and_catalog(spark, tmp_path):
     git = tmp_path / ".git" / "refs" / "remotes" / "origin"
     git.mkdir(parents=True)
