@@ -98,3 +98,20 @@ def test_scopes_and_method_sets(spark):
     need = spark.createDataFrame([("I", "A()"), ("I", "B()")], "interface string, method string")
     assert {(r.type, r.interface): r.satisfied for r in semantics.satisfaction(pairs, have, need).collect()} == {("T", "I"): True, ("U", "I"): False, ("T", "Empty"): True}
     assert [tuple(r) for r in semantics.missing(pairs, have, need).collect()] == [("U", "I", 1, "B()")]
+
+
+def test_kept_edges_meet_their_ids(spark):
+    """Ends given by key are ordered by id; unknown ones are no edges; only kept edges prove."""
+    frame = spark.createDataFrame
+    ends = frame([(k, f"id{9 - k}") for k in range(6)], "key long, id string")
+    rows = [("file", "next", a, b, r, f"{a}{b}{n}") for a in range(7) for b in range(5) for r in ("external", None) for n in range(1 + (a + b) % 3)]
+    edges = frame(rows, "graph string, kind string, from_id long, to_id long, resolution string, evidence string")
+    none = frame([], "kind string, parent_id string, child_id string")
+    nodes = frame([], "id string, kind string")
+    whole = sorted({(f"id{9 - a}", f"id{9 - b}", r) for _, _, a, b, r, _ in rows if a < 6}, key=lambda x: (*x[:2], x[2] or ""))
+    times = {x: sum((f"id{9 - a}", f"id{9 - b}", r) == x for _, _, a, b, r, _ in rows) for x in whole}
+    for most in (7, 1000):
+        g, proof, lost = dependency_graph.normalised(nodes, edges, none, most, 1, ends)
+        assert {(r.from_id, r.to_id, r.resolution): r.occurrences for r in g.edges.collect()} == {x: times[x] for x in whole[:most]}
+        assert sorted(r.omitted for r in proof.collect()) == sorted(times[x] - 1 for x in whole[:most])
+        assert lost.first().omitted_edges == max(0, len(whole) - most)
