@@ -1,5 +1,8 @@
 """Identities against the published vectors; paths."""
 
+import hashlib
+import time
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity, paths
@@ -48,3 +51,13 @@ def test_paths(spark):
 
 def test_slug_keeps_one_dash_a_character(spark):
     assert one(spark, paths.slug(F.lit("--A  b_c!"))) == ("a--b-c",)
+
+
+def test_ids_of_many_members_take_linear_time(spark):
+    """300,000 members: copied for each member, their text would be some 600 GB."""
+    names = sorted(str(k) for k in range(300_000))
+    part = lambda x: len(x).to_bytes(8, "big") + x
+    body = b"".join(part(x.encode()) for x in (identity.SCC, "g", *names))
+    began = time.time()
+    row = spark.range(300_000).agg(F.collect_list(F.col("id").cast("string")).alias("m")).select(identity.stable_id_of_members(identity.SCC, F.lit("g"), F.col("m")).alias("x")).first()
+    assert row.x == f"{identity.SCC}:sha256:{hashlib.sha256(body).hexdigest()}" and time.time() - began < 60
