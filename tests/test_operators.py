@@ -208,3 +208,18 @@ def test_rule_lines_come_by_depth_and_path(spark):
     entries = spark.createDataFrame([("b/q.x", False), ("b/keep.x", False), ("q.x", False), ("a/z", True), ("a/z/in", False), ("z", False), ("last", False)], "path string, is_dir boolean")
     got = {r.path: r.ignored for r in ignore_rules.decide(entries, ignore_rules.rules_table(spark, lines)).collect()}
     assert got == {"b/q.x": True, "b/keep.x": False, "q.x": False, "a/z": True, "a/z/in": True, "z": False, "last": True}
+
+
+def test_few_levels_of_a_large_graph_are_joined(spark):
+    rows = [(a, (a * a + k) % 50) for a in range(50) for k in range(2)] + [(None, 1), (3, None)]
+    edges, after = spark.createDataFrame(rows, "a long, b long"), {}
+    for a, b in rows[:-2]:
+        after.setdefault(a, set()).add(b)
+    for depth in (0, 1, 3, 8):
+        seen, front = {7: 0, 900: 0}, {7}
+        for level in range(1, depth + 1):
+            front = {b for a in front for b in after.get(a, ())} - set(seen)
+            seen |= dict.fromkeys(front, level)
+        found = graph.impact(edges, spark.createDataFrame([(7,), (900,), (None,)], "vertex long"), depth, small_edges=0)
+        assert "MapInArrow" not in found._jdf.queryExecution().toString()
+        assert {r.vertex: r.depth for r in found.collect()} == {v: d for v, d in seen.items() if d}
