@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import dependency_graph, packages, semantics, validity
+from lodestone.plans import facts
 
 
 def proofs(spark, imports, modules=(), declared=(), required=(), replacements=(), kind="module"):
@@ -115,3 +116,14 @@ def test_kept_edges_meet_their_ids(spark):
         assert {(r.from_id, r.to_id, r.resolution): r.occurrences for r in g.edges.collect()} == {x: times[x] for x in whole[:most]}
         assert sorted(r.omitted for r in proof.collect()) == sorted(times[x] - 1 for x in whole[:most])
         assert lost.first().omitted_edges == max(0, len(whole) - most)
+
+
+def test_ids_are_not_sent_to_all_tasks(spark, sf_dir):
+    """The tables of ids that edges meet, small as they are here, are merged; edges do not move again for their place among a vertex's."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    g = facts.part_graph(read)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for found in (dependency_graph.with_eligible(g), g.edges):
+        assert "Broadcast" not in plan(found)
+    again = dependency_graph.adjacency(g.edges, outward=False, by="b")
+    assert plan(again).count("Exchange") == plan(g.edges).count("Exchange") and "Window" in plan(again)
