@@ -13,10 +13,11 @@ of 4, a pair at J = 0.85 is missed with a probability of 2 in 100,000,000.
 Sets that are equal are one vertex. Where several vertices share a band, all meet
 one of them, a hub, and links are confirmed on the full sets; so a group of near
 copies costs a comparison a member and not a pair. What is then not in one
-component is met by band and rare element together: sets that are alike share one
-of the elements of theirs that the fewest sets have, which texts that only share a
-passage do not. There hubs, more in each round, meet the others, until each group's
-vertices are in one component or have all met. No pair of a band that could join two
+component is met by rare element: sets that are alike share one of the elements of
+theirs that the fewest sets have, which texts that only share a passage do not. A
+vertex stands there once for each of these, in however many bands it met others.
+There hubs, more in each round, meet the others, until each group's vertices are in
+one component or have all met. No pair of a band that could join two
 components is left out.
 
 Cases: a null or blank text has an empty set and is linked with nothing, not even
@@ -46,6 +47,8 @@ CLASSES = byte_classes(BLANK)
 COORDINATES, BAND = 96, 4
 #: Pairs for each of the groups into which a hub's members are dealt.
 MEMBERS = 4096
+#: Hubs for each element, in one round after another.
+HUBS = (8, 64)
 #: Vertices of which the places go to all tasks; more are joined by a shuffle.
 MOST_WANTED = 400_000
 #: Elements of sets that are sketched together.
@@ -208,42 +211,60 @@ def rare_elements(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return written(known.select("node", F.explode(rooms).alias("x")).select("node", "x.*"), "rare")
 
 
-def met_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) that join all of the members (key, node, n) that share a key and are similar, over any number of steps; none if there are none.
+def joined_parts(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Write parts (node, part) with what the links (a, b) join; star components are made of the parts, not of their nodes."""
+    if parts is None:
+        return written(star_components(links).withColumnsRenamed({"vertex": "node", "root": "part"}), "parts")
+    end = lambda x: parts.select(F.col("node").alias(x), F.col("part").alias(f"{x}_part"))
+    known = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    stars = star_components(known.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
+    moved = parts.join(stars.withColumnRenamed("vertex", "part"), "part", "left").select("node", F.coalesce("root", "part").alias("part"))
+    new = stars.select(F.col("vertex").alias("node"), F.col("root").alias("part")).join(parts, "node", "left_anti")
+    return written(moved.union(new), "parts")
+
+
+def met_parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, part) of those of the members (key, node, n) that similar ones join, over any number of steps, if they share a key; none if no members share any.
 
     First one hub of each key meets its other members. Where these are then in
-    several components, members go on under keys made of their key and one of
-    their rare elements, which drops no link. There, round by round, one hub for
-    each 1, 4, 64, 1024, ... of a key's hash classes meets the key's other members, but
-    for those known to be in its component, and then leaves the key. Known are the
-    components after the first three rounds; to know less costs comparisons, not links.
+    several components, members go on under their rare elements, once each and not
+    once a key, which drops no link: similar sets share such an element. There one
+    hub for each of 8, then 64 of an element's hash classes meets its other members,
+    but for those known to be in its component, and then leaves it. Last, all
+    that is left under an element meets.
     """
     label = members.select("key", "node", "n", F.col("n").alias("room"), F.col("node").alias("part"))
-    links, parts, classes = None, None, 0
-    while True:
+    parts = None
+    for classes in (1, *HUBS, None):
         several = label.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
         left = written(label.join(several, "key"), "members")
         if left.isEmpty():
-            return links
-        if links is not None and not classes:
-            rare = rare_elements(sets, left.select("node").distinct(), percent)
-            label = left.drop("room").join(rare, "node").select(F.xxhash64("key", "element").alias("key"), "node", "n", "room", "part")
-            label, classes = written(label, "refined"), 1
-            continue
-        first = left.groupBy("key", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(classes, 1))).alias("class")).agg(F.min(F.struct("node", "n", "room", "part")).alias("hub"))
-        hubs = written(first.select("key", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "room", "part"))), "hubs")
+            return parts
+        if classes:
+            of_class = left.groupBy("key", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(classes)).alias("class")).agg(F.min(F.struct("node", "n", "room", "part")).alias("hub"))
+            hubs, once = written(of_class.select("key", "hub.*"), "hubs"), F.lit(True)
+        else:
+            hubs, once = left, F.col("hub_node") < F.col("node")
         fits = (100 + percent) * F.least("room", "hub_room") >= percent * (F.col("n") + F.col("hub_n"))
-        pairs = left.join(hubs, "key").filter((F.col("part") != F.col("hub_part")) & fits)
+        own = hubs.select("key", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "room", "part")))
+        pairs = left.join(own, "key").filter((F.col("part") != F.col("hub_part")) & fits & once)
         pairs = written(pairs.select(F.least("hub_node", "node").alias("hub"), F.greatest("hub_node", "node").alias("node")).distinct(), "pairs")
-        found = confirmed(pairs, sets, percent)
-        links = found if links is None else links.union(found)
-        rest = left.join(hubs.select("key", F.col("hub_node").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "room")
-        if classes < 64:  # later links are few
-            roots = written(star_components(links), "roots")
-            parts = roots.select(F.col("vertex").alias("node"), F.col("root").alias("part"))
+        first, parts = parts is None, joined_parts(parts, confirmed(pairs, sets, percent))
+        if not classes:
+            return parts
+        rest = left.join(hubs.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "room")
         label = written(rest.join(parts, "node", "left").select("key", "node", "n", "room", F.coalesce("part", "node").alias("part")), "label")
+        if first:
+            label = written(refined(label, sets, percent), "refined")
         forget(left)
-        classes *= 4 if classes < 4 else 16
+
+
+def refined(label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of label (key, node, n, room, part) of keys with several parts, each node under its rare elements instead and once for each."""
+    several = label.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    nodes = written(label.join(several, "key").select("node", "n", "part").distinct(), "left")
+    rare = rare_elements(sets, nodes.select("node"), percent)
+    return nodes.join(rare, "node").select(F.col("element").alias("key"), "node", "n", "room", "part")
 
 
 @self_cleaning
@@ -258,13 +279,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "shared")
     members = written(banded.join(shared, "key").select("key", "node", "n"), "shared_bands")
     wanted = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("doc", "none", "version", "node"), "wanted")
-    links = met_links(members, full_sets(docs, wanted, id_col, text_col, width), percent)
+    parts = met_parts(members, full_sets(docs, wanted, id_col, text_col, width), percent)
     named = nodes.select("node", F.struct("none", "doc").alias("rep"))
-    if links is None:
+    if parts is None:
         classes = named.withColumnRenamed("rep", "component")
     else:
-        roots = written(star_components(links), "roots")
-        grouped = written(named.join(roots, named["node"] == roots["vertex"], "left").select("node", "rep", F.coalesce("root", "node").alias("group")), "grouped")
+        grouped = written(named.join(parts, "node", "left").select("node", "rep", F.coalesce("part", "node").alias("group")), "grouped")
         least = grouped.groupBy("group").agg(F.min("rep").alias("component"))
         classes = grouped.select("node", "group").join(least, "group").select("node", "component")
     classes = written(classes, "classes")

@@ -231,6 +231,20 @@ def test_near_duplicates_options(docs_of, monkeypatch):
     assert near_duplicates(docs_of([(1, "a b"), (2, "c d")])).filter(~F.col("kept")).collect() == []
 
 
+def test_near_duplicates_meet_once_an_element(docs_of, monkeypatch):
+    rows, whole, seen = near_copies(), minhash.written, defaultdict(list)
+
+    def counted(df, name="table", *args, **more):
+        out = whole(df, name, *args, **more)
+        seen[name].append(out.count() if name in ("rare", "refined") else None)
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    assert sorted((tuple(r) for r in near_duplicates(docs_of(rows)).collect()), key=repr) == brute_groups(rows)
+    assert seen["refined"] == seen["rare"] and seen["rare"][0] > 0  # not once more for each band
+    assert len(seen["pairs"]) <= 2 + len(minhash.HUBS)
+
+
 def test_sketches_fill_and_agree():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 62, 4000).astype(np.uint64)
