@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from lodestone.operators import graph
+from lodestone.operators import graph, strong
 from lodestone.plans import bindings
 from test_operators import closure
 
@@ -68,3 +68,17 @@ def test_impact_by_levels_and_in_one_task(spark):
     few = rows.filter("a < 100 OR a > 157")
     assert {r.vertex: r.depth for r in graph.impact(few, seeds, 3, small_edges=0).collect()} == depths([e for e in edges if e[0] < 100], 0, 3)
     assert graph.impact(rows.limit(0), seeds, 3).collect() == [] and graph.strong_components(rows.limit(0)).collect() == []
+
+
+def test_components_of_many_arcs_by_their_outline(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = {(x, y) for lo in (0, 15) for x in range(lo, lo + 15) for y in range(lo, lo + 15) if rng.random() < 0.6} | {(3, 20), (4, 21), (28, 28), (40, 40)}
+    edges |= {(50 + x, 50 + y) for x in range(15) for y in range(x)}  # no ring in these
+    dealt, whole = [], strong.edge_blocks
+    monkeypatch.setattr(strong, "edge_blocks", lambda arcs, n: dealt.append(arcs.count()) or whole(arcs, n))
+    reach = closure(65, edges)
+    used = {x for e in edges for x in e}
+    want = {v: min((w for w in used if reach[v][w] and reach[w][v]), default=v) for v in used}
+    rows = spark.createDataFrame(sorted(edges), "a long, b long")
+    assert {r.vertex: r.component for r in graph.strong_components(rows, small_edges=0).collect()} == want
+    assert dealt and max(dealt) <= 4 * 45 < len(edges)
