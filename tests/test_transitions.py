@@ -82,3 +82,8 @@ def test_components_of_many_arcs_by_their_outline(spark, monkeypatch):
     rows = spark.createDataFrame(sorted(edges), "a long, b long")
     assert {r.vertex: r.component for r in graph.strong_components(rows, small_edges=0).collect()} == want
     assert dealt and max(dealt) <= 4 * 45 < len(edges)
+
+
+def test_cycles_take_transitions_once(spark, made):
+    plan = bindings.QUERIES["cycles"](spark, made[0])._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "Window" not in plan
